@@ -206,49 +206,62 @@ def blocks(docs: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
     return store(found.distinct(), "blocks")
 
 
-def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(cls, n, grams, vec)`` of the wanted classes, from the texts again.
+def _spot(cls: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    """A class and a document's id as a place in a table of 2**24 bits."""
+    return (mix(cls.view(np.uint64) ^ mix(doc_id.view(np.uint64))) >> _U(40)).astype(np.int64)
 
-    A bit table of fixed size keeps most other documents from being moved; what
-    it lets through by chance does no harm.
-    """
-    bits = 1 << 24
 
-    def spot(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros(bits // 8, np.uint8)
-        at = np.unique(mix(pdf["cls"].to_numpy(np.int64).view(np.uint64)) >> _U(40)).astype(np.int64)
-        np.bitwise_or.at(a, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return pd.DataFrame({"slot": [0], "blob": [a.tobytes()]})
+def shingle_table(docs: DataFrame, member: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(cls, n, grams, vec)`` of the wanted classes, from the text of each one's smallest doc_id.
+
+    A bit table of fixed size tells those documents apart inside the scan, so
+    sets are not moved; what it lets through by chance, and repeated rows, are
+    taken out only where there are any.
+    """
+    size = (1 << 24) // 8
+    first = member.groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")).join(wanted, "cls")
 
-    def joined(batches):
-        a = np.zeros(bits // 8, np.uint8)
+    def mark(batches):
+        a = np.zeros(size, np.uint8)
         for pdf in batches:
-            a |= np.frombuffer(spot(pdf)["blob"].iloc[0], np.uint8)
+            at = _spot(pdf["cls"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64))
+            np.bitwise_or.at(a, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pd.DataFrame({"blob": [a.tobytes()]})
 
-    table = np.zeros(bits // 8, np.uint8)
-    for row in wanted.select("cls").coalesce(16).mapInPandas(joined, "blob binary").toLocalIterator():
+    table = np.zeros(size, np.uint8)
+    for row in first.coalesce(16).mapInPandas(mark, "blob binary").toLocalIterator():
         table |= np.frombuffer(row["blob"], np.uint8)
     table = docs.sparkSession.sparkContext.broadcast(table)  # 2 MB, whatever the input
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, seen = [], set()
-        for s in shingle_sets(pdf["text"]):
-            c = class_id(s)
-            if not c or c in seen:
-                continue
-            seen.add(c)
-            at = int(mix(np.array([c], np.int64).view(np.uint64))[0] >> _U(40))
-            if table.value[at >> 3] >> (at & 7) & 1:
+        sets = shingle_sets(pdf["text"])
+        ids = np.array([class_id(s) for s in sets], np.int64)
+        at = _spot(ids, pdf["doc_id"].to_numpy(np.int64))
+        for i in np.flatnonzero((table.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1):
+            c, s = int(ids[i]), sets[i]
+            if c and c not in seen:
+                seen.add(c)
                 rows.append((c, len(s), s.tobytes(), count_vector(s).tobytes()))
         return pd.DataFrame(rows, columns=["cls", "n", "grams", "vec"])
 
-    out = mapped(docs.select("text"), run, "cls long, n int, grams binary, vec binary")
-    return store(out.dropDuplicates(["cls"]), "sets")
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    out = store(mapped(rows, run, "cls long, n int, grams binary, vec binary"), "sets")
+    twice = store(out.groupBy("cls").count().filter("count > 1").select("cls"), "twice")
+    n = twice.count()
+    if n == 0:
+        return out
+    twice = F.broadcast(twice) if n <= FEW else twice
+    one = store(out.join(twice, "cls", "left_semi").dropDuplicates(["cls"]), "once")
+    return out.join(twice, "cls", "left_anti").unionByName(one)
+
+
+#: Ids of classes that may be broadcast to pick their sets: 8 bytes each.
+FEW = 1_000_000
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``(a, b)``, those that link."""
+    """Of ``(a, b)``, those that link. Only sets that occur in pairs are moved."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ok = []
@@ -259,9 +272,12 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok.append(7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(x) + len(y)))
         return pdf.loc[ok, ["a", "b"]]
 
-    a = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
-    return mapped(pairs.join(a, "a").join(b, "b"), run, "a long, b long", column="ga", limit=16_000_000)
+    def of(side: str) -> DataFrame:
+        use = pairs.select(F.col(side).alias("cls")).distinct()
+        use = F.broadcast(use) if use.count() <= FEW else use
+        return sets.join(use, "cls", "left_semi").select(F.col("cls").alias(side), F.col("grams").alias("g" + side))
+
+    return mapped(pairs.join(of("a"), "a").join(of("b"), "b"), run, "a long, b long", column="ga", limit=16_000_000)
 
 
 def tree_pairs(rows: DataFrame, spanning: bool, buckets: int) -> DataFrame:
@@ -308,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member, table = members(docs)
     block = blocks(docs, table, buckets)
     own = block.select("cls").distinct()
-    sets = shingle_table(docs, own)
+    sets = shingle_table(docs, member, own)
     comp = store(own.withColumn("comp", F.col("cls")), "comp")
     tested = None
 
