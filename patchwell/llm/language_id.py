@@ -169,6 +169,14 @@ class Scorer:
         return total, n
 
 
+def worker_scorer(model: Model) -> Scorer:
+    """The worker's own scorer of a model; a Python worker keeps its words between tasks."""
+    if model.ident not in _scorers:
+        _scorers.clear()
+        _scorers[model.ident] = Scorer(model)
+    return _scorers[model.ident]
+
+
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model | None:
     """From ``(doc_id, text, lang)``; None without a usable row. Nine tenths give counts, a tenth the limits of rejection."""
     rows = labelled.filter("lang is not null and text is not null").withColumn("draw", F.crc32(F.concat(F.lit("sample "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / F.lit(float(1 << 32)))
@@ -222,10 +230,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         if m is None:
             return pd.DataFrame({"row": pdf["row"], "lang_pred": UNKNOWN, "score": 0.0, "cross_entropy": None, "rejected": True})
-        if m.ident not in _scorers:  # a Python worker keeps its words between tasks
-            _scorers.clear()
-            _scorers[m.ident] = Scorer(m)
-        total, n = _scorers[m.ident].texts(pdf["text"])
+        total, n = worker_scorer(m).texts(pdf["text"])
         h = -total / np.maximum(n, 1)[:, None]
         best = h.argmin(axis=1)
         least = h[np.arange(len(h)), best]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, ngram_join, packing, pii
+from . import decontaminate, language_id, ngram_join, packing, pii, quality, tokenfile, vectors, warc
 from .scratch import crc
 
 
@@ -14,12 +14,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measure(_read(spark, sf_dir, "documents"))
+    held = F.pmod(crc("doc_id"), F.lit(5)) == 0
+    model = quality.fit(measured, _read(spark, sf_dir, "labels").filter(~held))
+    return quality.score(measured, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -28,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = F.pmod(crc("doc_id"), F.lit(4)) == 2
@@ -35,12 +50,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_ngram_join, op5_packing, op8_language_id, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_ngram_join, op5_packing, op7_token_file, op8_language_id, op9_nearest, op10_pii)}
 
 #: DuckDB SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {}

@@ -29,9 +29,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts and sets are long rows: an Arrow batch of 500 keeps a worker's memory low. A setting of one's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: later uses do not recompute what made it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -92,4 +99,5 @@ def mapped(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: st
         for pdf in split_batches(batches, column, limit):
             yield fn(pdf)
 
+    small_batches(df.sparkSession)
     return df.mapInPandas(run, schema)
