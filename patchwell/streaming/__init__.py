@@ -1,0 +1 @@
+"""No operator of this library is stateful over time; new volumes are read by the batch plans."""
