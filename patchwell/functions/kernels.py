@@ -131,8 +131,9 @@ def _coefficients(c: np.ndarray) -> np.ndarray:
     if n == 1:
         return c.astype(float)
     c = c.astype(float) * 6
-    powers = z ** np.arange(1, min(n, 60))
-    mirrored = c[np.arange(1, len(powers) + 1) % n]
+    k = np.arange(1, 40)
+    powers, k = z**k, k % (2 * n - 2)
+    mirrored = c[np.where(k < n, k, 2 * n - 2 - k)]
     c[0] = c[0] + (powers.reshape(-1, *[1] * (c.ndim - 1)) * mirrored).sum(axis=0)
     for i in range(1, n):
         c[i] += z * c[i - 1]
