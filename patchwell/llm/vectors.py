@@ -170,7 +170,8 @@ def search(table: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
                 out.append(pd.DataFrame({"query_id": i, "q": q, "cid": c[best], "d": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "cid": [], "d": []})
 
-    spread = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    # As many groups as the index needs, whatever the partitions: each returns up to RERANK entries a query.
+    spread = max(8, int(sizes.sum()) // LIST_PART)
     deal = lambda: F.pmod(F.xxhash64("list", "part"), F.lit(spread)).cast("int").alias("deal")
     part_of = F.element_at(F.array(*[F.lit(int(p)) for p in sorted({*parts.tolist()})]), 1) if len({*parts.tolist()}) == 1 else F.create_map(*[F.lit(int(x)) for k, p in enumerate(parts) for x in (k, p)])[F.col("list")]
     left = asked.mapInPandas(route, "query_id long, q binary, list int, part int").select("*", deal())
