@@ -1,21 +1,24 @@
 """Token ids in compressed binary files: context mixing and a range coder, many blocks at a time.
 
-An id is coded as a *case* and, where needed, a payload. The cases are the id
-that last followed the same two ids (order 2), the one that last followed the
-same id (order 1), an id of a table of recent ones (order 0, its 8-bit slot
-follows), and any id (16 or 32 raw bits follow). The case's distribution mixes
-three sets of adaptive counts: of the block, by how well order 1 has done in its
-context, and by how well order 2 has. Its range coder is carry-less with 48-bit
-registers and 16-bit output.
+An id is coded as a *case*: the id that last followed the same two ids (order 2),
+the one that last followed the same id (order 1), an id of a table of recent ones
+(order 0), or any id. The case's distribution mixes adaptive counts of the block,
+of how well order 1 has done in its context, of how well order 2 has, and of
+both; the closer the context, the more its counts weigh. The mix is renewed every
+``RENEW`` ids. Cases go through a range coder with 32-bit range and 16-bit digits,
+whose carries are added to the digits when the block is done. An order-0 slot (8
+bits) and an id that nothing predicts (16 or 32) are uniform, so coding would not
+shorten them: they stand as they are, in streams of their own behind the digits.
 
 Every block of ``BLOCK`` ids starts from nothing and has its own checksums, so
 one can be decoded, or found damaged, alone. For the same reason all blocks of a
 segment advance together, one id a step, as NumPy lanes.
 
-A segment is: ``PWTK``, bytes of it, documents, ids, raw bits (16 or 32), CRC of
+A segment is: ``PWT2``, bytes of it, documents, ids, raw bits (16 or 32), CRC of
 the index; the index (doc ids, a null flag, ids of each document); each block's
 ids, bytes, CRC of the bytes and CRC of the ids; the blocks. A file is its
-segments, a line feed after each.
+segments, a line feed after each. A block is the number of digits, of slots and
+of raw ids (16 bits each), then these three.
 """
 
 from __future__ import annotations
@@ -35,168 +38,154 @@ BLOCK = 2048
 LANES = 1536
 SEGMENT = 3_000_000
 END_ID = 0
-MAGIC = b"PWTK"
+MAGIC = b"PWT2"
 _HEAD = "<4sQQQBI"
-_TOP, _BOT, _ALL = np.uint64(1 << 32), np.uint64(1 << 16), np.uint64((1 << 48) - 1)
-_TOTAL = 12
-_U = np.uint64
+#: Bits of a distribution's total, of a context table and of the order-0 table.
+_TOTAL, _KEYS, _SLOTS = 12, 10, 8
+RENEW = 32
+#: How well a context has done, after a miss (first four) or a hit: 0 to 3.
+_NEXT = np.array([0, 0, 1, 1, 1, 2, 3, 3])
+
+
+def slot_of(ids):
+    return (ids * 2654435761 >> 7) & ((1 << _SLOTS) - 1)
 
 
 class Lanes:
-    """The model's state for all blocks, and one step's cases in all of them."""
-
-    def __init__(self, n: int):
-        self.n, self.row = n, np.arange(n)
-        self.one, self.two = np.full((n, 1024), -1, np.int64), np.full((n, 1024), -1, np.int64)
-        self.one_seen, self.two_seen = np.zeros((n, 1024), np.int8), np.zeros((n, 1024), np.int8)
-        self.slots = np.full((n, 256), -1, np.int64)
-        self.counts = [np.ones((n, 4), np.int64), np.ones((n, 4, 4), np.int64), np.ones((n, 4, 4), np.int64)]
+    """The model's state for ``n`` blocks, flat by block. A table's entry is its id times 4, plus how well it has done."""
+
+    def __init__(self, n: int, bits: int):
+        kind = np.int32 if bits == 16 else np.int64
+        row = np.arange(n)
+        self.n, self.keys, self.recent, self.mixes = n, row << _KEYS, row << _SLOTS, row << 4
+        self.one, self.two = np.full(n << _KEYS, -4, kind), np.full(n << _KEYS, -4, kind)
+        self.slots = np.full(n << _SLOTS, -1, kind)
+        self.counts = np.zeros(n * 16 * 4, np.int32)  # by block, order 2's state, order 1's state and case
         self.a = self.b = np.zeros(n, np.int64)
-
-    def predict(self):
-        r = self.row
-        self.k1 = (self.a * 40503 >> 3) & 1023
-        self.k2 = ((self.a * 40503 + self.b * 10007 * 613) >> 5) & 1023
-        self.p1, self.p2 = self.one[r, self.k1], self.two[r, self.k2]
-        self.s1, self.s2 = self.one_seen[r, self.k1], self.two_seen[r, self.k2]
-        # Mixed counts: the closer the context, the more its own counts weigh.
-        mixed = self.counts[0] + 3 * self.counts[1][r, self.s1] + 6 * self.counts[2][r, self.s2]
-        freq = 16 + mixed * ((1 << _TOTAL) - 64) // mixed.sum(axis=1, keepdims=True)
-        freq[:, 3] += (1 << _TOTAL) - freq.sum(axis=1)
-        return freq
-
-    def case_of(self, ids):
-        self.slot = (ids * 2654435761 >> 7) & 255
-        return np.where(ids == self.p2, 0, np.where(ids == self.p1, 1, np.where(self.slots[self.row, self.slot] == ids, 2, 3)))
-
-    def update(self, ids, case, live):
-        r = self.row[live]
-        ids, case = ids[live], case[live]
-        for c, at in ((self.counts[0], (r, case)), (self.counts[1], (r, self.s1[live], case)), (self.counts[2], (r, self.s2[live], case))):
-            c[at] += 24
-            over = c[at] > 4000
-            if over.any():
-                rows = tuple(x[over] for x in at[:-1])
-                c[rows] = (c[rows] + 1) // 2
-        for table, seen, key, hit in ((self.one, self.one_seen, self.k1[live], self.p1[live] == ids), (self.two, self.two_seen, self.k2[live], self.p2[live] == ids)):
-            table[r, key] = ids
-            seen[r, key] = np.where(hit, np.minimum(seen[r, key] + 1, 3), np.where(seen[r, key] > 1, 1, 0))
-        self.slots[r, (ids * 2654435761 >> 7) & 255] = ids
-        self.b = np.where(live, self.a, self.b)
-        self.a = self.a.copy()
-        self.a[live] = ids
-
-
-def _raw_steps(bits: int):
-    return range(bits - 8, -1, -8)
+        self.t = 0
+
+    def renew(self) -> None:
+        """Cumulative shares of the cases for each pair of states."""
+        c = self.counts.reshape(self.n, 4, 4, 4)
+        by_two = c.sum(axis=2, keepdims=True, dtype=np.int32)
+        by_one = c.sum(axis=1, keepdims=True, dtype=np.int32)
+        mixed = 16 * c + 4 * by_one + 4 * by_two + (by_one.sum(axis=2, keepdims=True, dtype=np.int32) + 1)
+        whole = mixed[..., 0] + mixed[..., 1] + mixed[..., 2] + mixed[..., 3]
+        share = ((1 << _TOTAL) - 64) / whole
+        self.cum = np.zeros((self.n, 4, 4, 5), np.uint32)
+        at = np.zeros(whole.shape, np.uint32)
+        for k in range(3):
+            at += (mixed[..., k] * share).astype(np.uint32) + np.uint32(16)
+            self.cum[..., k + 1] = at
+        self.cum[..., 4] = 1 << _TOTAL
+        self.cum = self.cum.ravel()
+
+    def predict(self) -> None:
+        if self.t % RENEW == 0 or self.t in (4, 8, 16):
+            self.renew()
+        self.t += 1
+        h = self.a * 40503
+        self.k1 = (h >> 3 & ((1 << _KEYS) - 1)) + self.keys
+        self.k2 = ((h + self.b * 6130291) >> 5 & ((1 << _KEYS) - 1)) + self.keys
+        e1, e2 = self.one.take(self.k1), self.two.take(self.k2)
+        self.p1, self.s1, self.p2, self.s2 = e1 >> 2, e1 & 3, e2 >> 2, e2 & 3
+        self.mix = (self.s2 << 2) + self.s1 + self.mixes
+
+    def update(self, ids, case, slot) -> None:
+        """``slot`` is of the ids, in the flat table."""
+        self.counts[(self.mix << 2) + case] += 1
+        four = ids << 2
+        self.one[self.k1] = four + _NEXT.take(self.s1 + ((self.p1 == ids) << 2))
+        self.two[self.k2] = four + _NEXT.take(self.s2 + ((self.p2 == ids) << 2))
+        self.slots[slot] = ids
+        self.a, self.b = ids, self.a
 
 
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[bytes]:
-    """``ids`` (blocks, BLOCK) with each block's length."""
-    n = len(ids)
-    m, low, rng = Lanes(n), np.zeros(n, np.uint64), np.full(n, _ALL, np.uint64)
-    out, size = np.zeros((n, ids.shape[1] * 3 + 16), np.uint16), np.zeros(n, np.int64)
-
-    def emit(at):
-        out[at, size[at]] = (low[at] >> _U(32)).astype(np.uint16)
-        size[at] += 1
-        low[at] = (low[at] << _U(16)) & _ALL
-
-    def put(at, cum, freq):
-        r = rng[at] >> _U(_TOTAL)
-        low[at] = low[at] + r * cum.astype(np.uint64)
-        rng[at] = r * freq.astype(np.uint64)
-        while len(at):
-            l, g = low[at], rng[at]
-            same = (l ^ (l + g)) < _TOP
-            tight = ~same & (g < _BOT)
-            at2 = at[tight]
-            rng[at2] = (_BOT - (low[at2] & (_BOT - _U(1))))
-            at = at[same | tight]
-            if len(at):
-                emit(at)
-                rng[at] = (rng[at] << _U(16)) & _ALL
-
-    byte = np.full(n, 1 << (_TOTAL - 8))
-    for t in range(ids.shape[1]):
-        live = lengths > t
-        if not live.any():
-            break
-        freq = m.predict()
-        x = ids[:, t]
-        case = m.case_of(x)
-        cum = np.cumsum(freq, axis=1) - freq
-        at = np.flatnonzero(live)
-        put(at, cum[at, case[at]], freq[at, case[at]])
-        at = np.flatnonzero(live & (case == 2))
-        if len(at):
-            put(at, m.slot[at] << (_TOTAL - 8), byte[at])
-        at = np.flatnonzero(live & (case == 3))
-        if len(at):
-            for s in _raw_steps(bits):
-                put(at, ((x[at] >> s) & 255) << (_TOTAL - 8), byte[at])
-        m.update(x, case, live)
-    for _ in range(3):
-        emit(np.arange(n))
-    return [out[i, : size[i]].tobytes() for i in range(n)]
+    """``ids`` (blocks, BLOCK) with each block's length. Shorter blocks go on with what fills them."""
+    n, width = len(ids), int(lengths.max(initial=0))
+    m, low, rng = Lanes(n, bits), np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
+    out, size = np.zeros((n, width // 2 + 8), np.int64), np.zeros(n, np.int64)  # a case takes 8 bits at most
+    steps = np.ascontiguousarray(ids[:, :width].T)
+    cases, slots = np.zeros(steps.shape, np.int8), slot_of(steps)
+    for t in range(width):
+        m.predict()
+        x, slot = steps[t], slots[t] + m.recent
+        case = np.where(x == m.p2, 0, np.where(x == m.p1, 1, 3 - (m.slots.take(slot) == x)))
+        cases[t] = case
+        at = m.mix * 5 + case
+        left = m.cum.take(at).astype(np.int64)
+        r = rng >> _TOTAL
+        low += r * left
+        rng = r * (m.cum.take(at + 1) - left)
+        full = np.flatnonzero(rng < 1 << 16)
+        if len(full):
+            out[full, size[full]] = low[full] >> 16
+            size[full] += 1
+            low[full] = (low[full] & 0xFFFF) << 16
+            rng[full] <<= 16
+        m.update(x, case, slot)
+    for _ in range(2):
+        out[np.arange(n), size] = low >> 16
+        size += 1
+        low = (low & 0xFFFF) << 16
+    for k in range(out.shape[1] - 1, 0, -1):
+        out[:, k - 1] += out[:, k] >> 16
+    out = out.astype("<u2")
+    short, raw = (cases == 2).T, (cases == 3).T
+    short_ends, raw_ends = np.cumsum(short.sum(axis=1)), np.cumsum(raw.sum(axis=1))
+    short, raw = slots.T[short].astype(np.uint8), ids[:, :width][raw].astype(f"<u{bits // 8}")
+    blobs, s, w = [], 0, 0
+    for i, (e, f) in enumerate(zip(short_ends.tolist(), raw_ends.tolist(), strict=True)):
+        blobs.append(struct.pack("<HHH", size[i], e - s, f - w) + out[i, : size[i]].tobytes() + short[s:e].tobytes() + raw[w:f].tobytes())
+        s, w = e, f
+    return blobs
 
 
 def decode_blocks(blobs: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray:
     n, width = len(blobs), int(lengths.max(initial=0))
-    most = max(map(len, blobs), default=0) // 2 + 8
-    words, ids = np.zeros((n, most), np.uint64), np.zeros((n, width), np.int64)
-    for i, b in enumerate(blobs):
-        words[i, : len(b) // 2] = np.frombuffer(b, np.uint16)
-    m, low, rng = Lanes(n), np.zeros(n, np.uint64), np.full(n, _ALL, np.uint64)
-    code, pos = (words[:, 0] << _U(32)) | (words[:, 1] << _U(16)) | words[:, 2], np.full(n, 3)
-
-    def peek(at):
-        return np.minimum(((code[at] - low[at]) & _ALL) // (rng[at] >> _U(_TOTAL)), _U((1 << _TOTAL) - 1)).astype(np.int64)
-
-    def take(at, cum, freq):
-        r = rng[at] >> _U(_TOTAL)
-        low[at] = low[at] + r * cum.astype(np.uint64)
-        rng[at] = r * freq.astype(np.uint64)
-        while len(at):
-            l, g = low[at], rng[at]
-            same = (l ^ (l + g)) < _TOP
-            tight = ~same & (g < _BOT)
-            at2 = at[tight]
-            rng[at2] = (_BOT - (low[at2] & (_BOT - _U(1))))
-            at = at[same | tight]
-            if len(at):
-                code[at] = ((code[at] << _U(16)) & _ALL) | words[at, np.minimum(pos[at], most - 1)]
-                pos[at] += 1
-                low[at] = (low[at] << _U(16)) & _ALL
-                rng[at] = (rng[at] << _U(16)) & _ALL
-
-    byte = np.full(n, 1 << (_TOTAL - 8))
+    heads = [struct.unpack_from("<HHH", b) for b in blobs]
+    most = np.array(heads).max(axis=0) + 4
+    words, short, raw = np.zeros((n, most[0]), np.uint32), np.zeros((n, most[1]), np.uint8), np.zeros((n, most[2]), np.int64)
+    for i, (b, (d, s, w)) in enumerate(zip(blobs, heads, strict=True)):
+        words[i, :d] = np.frombuffer(b, "<u2", d, 6)
+        short[i, :s] = np.frombuffer(b, np.uint8, s, 6 + 2 * d)
+        raw[i, :w] = np.frombuffer(b, f"<u{bits // 8}", w, 6 + 2 * d + s)
+    m, rng = Lanes(n, bits), np.full(n, (1 << 32) - 1, np.uint32)
+    code = (words[:, 0] << 16) | words[:, 1]
+    # Each lane's place in its flat stream.
+    row = np.arange(n)
+    at_word, at_short, at_raw = row * most[0] + 2, row * most[1], row * most[2]
+    words, short, raw = words.ravel(), short.ravel(), raw.ravel()
+    steps = np.zeros((width, n), np.int64)
     for t in range(width):
-        live = lengths > t
-        freq = m.predict()
-        cum = np.cumsum(freq, axis=1) - freq
-        at = np.flatnonzero(live)
-        v = peek(at)
-        case = np.zeros(n, np.int64)
-        case[at] = (v[:, None] >= cum[at, 1:]).sum(axis=1)
-        take(at, cum[at, case[at]], freq[at, case[at]])
-        x = np.where(case == 0, m.p2, m.p1)
-        at = np.flatnonzero(live & (case == 2))
+        m.predict()
+        base = m.mix * 5
+        r = rng >> _TOTAL
+        case = (code >= r * m.cum.take(base + 1)).astype(np.int64)
+        case += code >= r * m.cum.take(base + 2)
+        case += code >= r * m.cum.take(base + 3)
+        base += case
+        left = m.cum.take(base)
+        code -= r * left
+        rng = r * (m.cum.take(base + 1) - left)
+        full = np.flatnonzero(rng < 1 << 16)
+        if len(full):
+            code[full] = (code[full] << 16) | words[at_word[full]]
+            at_word[full] += 1
+            rng[full] <<= 16
+        x = np.where(case == 0, m.p2, m.p1).astype(np.int64)
+        at = np.flatnonzero(case == 2)
         if len(at):
-            s = peek(at) >> (_TOTAL - 8)
-            take(at, s << (_TOTAL - 8), byte[at])
-            x[at] = m.slots[at, s]
-        at = np.flatnonzero(live & (case == 3))
+            x[at] = m.slots[m.recent[at] + short[at_short[at]]]
+            at_short[at] += 1
+        at = np.flatnonzero(case == 3)
         if len(at):
-            got = np.zeros(len(at), np.int64)
-            for _ in _raw_steps(bits):
-                s = peek(at) >> (_TOTAL - 8)
-                take(at, s << (_TOTAL - 8), byte[at])
-                got = got << 8 | s
-            x[at] = got
-        ids[live, t] = x[live]
-        m.update(x, case, live)
-    return ids
+            x[at] = raw[at_raw[at]]
+            at_raw[at] += 1
+        steps[t] = x
+        m.update(x, case, slot_of(x) + m.recent)
+    return steps.T
 
 
 def write_segment(names: list, ids: np.ndarray, sizes: np.ndarray) -> bytes:
