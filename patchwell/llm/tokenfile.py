@@ -42,82 +42,83 @@ MAGIC = b"PWT2"
 _HEAD = "<4sQQQBI"
 #: Bits of a distribution's total, of a context table and of the order-0 table.
 _TOTAL, _KEYS, _SLOTS = 12, 10, 8
-RENEW = 32
+RENEW = 64
 #: How well a context has done, after a miss (first four) or a hit: 0 to 3.
 _NEXT = np.array([0, 0, 1, 1, 1, 2, 3, 3])
 
 
 def slot_of(ids):
-    return (ids * 2654435761 >> 7) & ((1 << _SLOTS) - 1)
+    return (ids * 40503 >> 7) & ((1 << _SLOTS) - 1)
 
 
 class Lanes:
     """The model's state for ``n`` blocks, flat by block. A table's entry is its id times 4, plus how well it has done."""
 
-    def __init__(self, n: int, bits: int):
-        kind = np.int32 if bits == 16 else np.int64
+    def __init__(self, n: int, width: int, bits: int):
+        self.kind = kind = np.int32 if bits == 16 else np.int64  # products may wrap, the same way in both directions
         row = np.arange(n)
-        self.n, self.keys, self.recent, self.mixes = n, row << _KEYS, row << _SLOTS, row << 4
+        self.n, self.keys, self.recent, self.mixes = n, row << _KEYS, row << _SLOTS, row << 6
         self.one, self.two = np.full(n << _KEYS, -4, kind), np.full(n << _KEYS, -4, kind)
         self.slots = np.full(n << _SLOTS, -1, kind)
-        self.counts = np.zeros(n * 16 * 4, np.int32)  # by block, order 2's state, order 1's state and case
-        self.a = self.b = np.zeros(n, np.int64)
-        self.t = 0
+        self.next = _NEXT.astype(kind)
+        #: Of each step: by block, order 2's state, order 1's state and case.
+        self.coded = np.zeros((width, n), np.int64)
+        self.counts = np.zeros(n << 6, np.int64)
+        self.h = self.g = np.zeros(n, kind)
+        self.t = self.renewed = 0
 
     def renew(self) -> None:
-        """Cumulative shares of the cases for each pair of states."""
-        c = self.counts.reshape(self.n, 4, 4, 4)
+        """Shares of the cases for each pair of states: where one begins, and its size 16 bits up."""
+        self.counts += np.bincount(self.coded[self.renewed : self.t].ravel(), minlength=self.n << 6)
+        self.renewed = self.t
+        c = self.counts.astype(np.int32).reshape(self.n, 4, 4, 4)
         by_two = c.sum(axis=2, keepdims=True, dtype=np.int32)
         by_one = c.sum(axis=1, keepdims=True, dtype=np.int32)
         mixed = 16 * c + 4 * by_one + 4 * by_two + (by_one.sum(axis=2, keepdims=True, dtype=np.int32) + 1)
-        whole = mixed[..., 0] + mixed[..., 1] + mixed[..., 2] + mixed[..., 3]
-        share = ((1 << _TOTAL) - 64) / whole
-        self.cum = np.zeros((self.n, 4, 4, 5), np.uint32)
-        at = np.zeros(whole.shape, np.uint32)
-        for k in range(3):
-            at += (mixed[..., k] * share).astype(np.uint32) + np.uint32(16)
-            self.cum[..., k + 1] = at
-        self.cum[..., 4] = 1 << _TOTAL
-        self.cum = self.cum.ravel()
+        share = ((1 << _TOTAL) - 64) / mixed.sum(axis=3, keepdims=True, dtype=np.int32)
+        size = (mixed * share).astype(np.uint32) + np.uint32(16)
+        begin = np.zeros_like(size)
+        np.cumsum(size[..., :3], axis=3, out=begin[..., 1:])
+        size[..., 3] = (1 << _TOTAL) - begin[..., 3]
+        self.shares = (begin | size << 16).ravel()
+        self.begin = begin.ravel()
 
     def predict(self) -> None:
-        if self.t % RENEW == 0 or self.t in (4, 8, 16):
+        if self.t % RENEW == 0 or self.t in (4, 8, 16, 32):
             self.renew()
-        self.t += 1
-        h = self.a * 40503
-        self.k1 = (h >> 3 & ((1 << _KEYS) - 1)) + self.keys
-        self.k2 = ((h + self.b * 6130291) >> 5 & ((1 << _KEYS) - 1)) + self.keys
+        self.k1 = (self.h >> 3 & ((1 << _KEYS) - 1)) + self.keys
+        self.k2 = ((self.h + self.g * 613) >> 5 & ((1 << _KEYS) - 1)) + self.keys
         e1, e2 = self.one.take(self.k1), self.two.take(self.k2)
         self.p1, self.s1, self.p2, self.s2 = e1 >> 2, e1 & 3, e2 >> 2, e2 & 3
-        self.mix = (self.s2 << 2) + self.s1 + self.mixes
+        self.mix = ((self.s2 << 2) + self.s1 << 2) + self.mixes
 
-    def update(self, ids, case, slot) -> None:
+    def update(self, ids, coded, slot) -> None:
         """``slot`` is of the ids, in the flat table."""
-        self.counts[(self.mix << 2) + case] += 1
+        self.coded[self.t] = coded
         four = ids << 2
-        self.one[self.k1] = four + _NEXT.take(self.s1 + ((self.p1 == ids) << 2))
-        self.two[self.k2] = four + _NEXT.take(self.s2 + ((self.p2 == ids) << 2))
+        self.one[self.k1] = four + self.next.take(self.s1 + ((self.p1 == ids) << 2))
+        self.two[self.k2] = four + self.next.take(self.s2 + ((self.p2 == ids) << 2))
         self.slots[slot] = ids
-        self.a, self.b = ids, self.a
+        self.h, self.g = ids * 40503, self.h
+        self.t += 1
 
 
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[bytes]:
     """``ids`` (blocks, BLOCK) with each block's length. Shorter blocks go on with what fills them."""
     n, width = len(ids), int(lengths.max(initial=0))
-    m, low, rng = Lanes(n, bits), np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
+    m, low, rng = Lanes(n, width, bits), np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
     out, size = np.zeros((n, width // 2 + 8), np.int64), np.zeros(n, np.int64)  # a case takes 8 bits at most
-    steps = np.ascontiguousarray(ids[:, :width].T)
-    cases, slots = np.zeros(steps.shape, np.int8), slot_of(steps)
+    steps = np.ascontiguousarray(ids[:, :width].T, m.kind)
+    slots = slot_of(steps)
     for t in range(width):
         m.predict()
         x, slot = steps[t], slots[t] + m.recent
         case = np.where(x == m.p2, 0, np.where(x == m.p1, 1, 3 - (m.slots.take(slot) == x)))
-        cases[t] = case
-        at = m.mix * 5 + case
-        left = m.cum.take(at).astype(np.int64)
+        case += m.mix
+        share = m.shares.take(case)
         r = rng >> _TOTAL
-        low += r * left
-        rng = r * (m.cum.take(at + 1) - left)
+        low += r * (share & 0xFFFF)
+        rng = r * (share >> 16)
         full = np.flatnonzero(rng < 1 << 16)
         if len(full):
             out[full, size[full]] = low[full] >> 16
@@ -132,6 +133,7 @@ def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[bytes
     for k in range(out.shape[1] - 1, 0, -1):
         out[:, k - 1] += out[:, k] >> 16
     out = out.astype("<u2")
+    cases = m.coded & 3
     short, raw = (cases == 2).T, (cases == 3).T
     short_ends, raw_ends = np.cumsum(short.sum(axis=1)), np.cumsum(raw.sum(axis=1))
     short, raw = slots.T[short].astype(np.uint8), ids[:, :width][raw].astype(f"<u{bits // 8}")
@@ -146,35 +148,33 @@ def decode_blocks(blobs: list[bytes], lengths: np.ndarray, bits: int) -> np.ndar
     n, width = len(blobs), int(lengths.max(initial=0))
     heads = [struct.unpack_from("<HHH", b) for b in blobs]
     most = np.array(heads).max(axis=0) + 4
-    words, short, raw = np.zeros((n, most[0]), np.uint32), np.zeros((n, most[1]), np.uint8), np.zeros((n, most[2]), np.int64)
+    words, short, raw = np.zeros((n, most[0]), np.uint32), np.zeros((n, most[1]), np.uint8), np.zeros((n, most[2]), np.int32 if bits == 16 else np.int64)
     for i, (b, (d, s, w)) in enumerate(zip(blobs, heads, strict=True)):
         words[i, :d] = np.frombuffer(b, "<u2", d, 6)
         short[i, :s] = np.frombuffer(b, np.uint8, s, 6 + 2 * d)
         raw[i, :w] = np.frombuffer(b, f"<u{bits // 8}", w, 6 + 2 * d + s)
-    m, rng = Lanes(n, bits), np.full(n, (1 << 32) - 1, np.uint32)
+    m, rng = Lanes(n, width, bits), np.full(n, (1 << 32) - 1, np.uint32)
     code = (words[:, 0] << 16) | words[:, 1]
     # Each lane's place in its flat stream.
     row = np.arange(n)
     at_word, at_short, at_raw = row * most[0] + 2, row * most[1], row * most[2]
     words, short, raw = words.ravel(), short.ravel(), raw.ravel()
-    steps = np.zeros((width, n), np.int64)
+    steps = np.zeros((width, n), m.kind)
     for t in range(width):
         m.predict()
-        base = m.mix * 5
         r = rng >> _TOTAL
-        case = (code >= r * m.cum.take(base + 1)).astype(np.int64)
-        case += code >= r * m.cum.take(base + 2)
-        case += code >= r * m.cum.take(base + 3)
-        base += case
-        left = m.cum.take(base)
-        code -= r * left
-        rng = r * (m.cum.take(base + 1) - left)
+        base = m.mix + ((code >= r * m.begin.take(m.mix + 2)).astype(np.int64) << 1)
+        base += code >= r * m.begin.take(base + 1)
+        share = m.shares.take(base)
+        code -= r * (share & 0xFFFF)
+        rng = r * (share >> 16)
+        case = base & 3
         full = np.flatnonzero(rng < 1 << 16)
         if len(full):
             code[full] = (code[full] << 16) | words[at_word[full]]
             at_word[full] += 1
             rng[full] <<= 16
-        x = np.where(case == 0, m.p2, m.p1).astype(np.int64)
+        x = np.where(case == 0, m.p2, m.p1)
         at = np.flatnonzero(case == 2)
         if len(at):
             x[at] = m.slots[m.recent[at] + short[at_short[at]]]
@@ -184,7 +184,7 @@ def decode_blocks(blobs: list[bytes], lengths: np.ndarray, bits: int) -> np.ndar
             x[at] = raw[at_raw[at]]
             at_raw[at] += 1
         steps[t] = x
-        m.update(x, case, slot_of(x) + m.recent)
+        m.update(x, base, slot_of(x) + m.recent)
     return steps.T
 
 

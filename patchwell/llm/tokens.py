@@ -34,11 +34,11 @@ def _byte_letters() -> list[str]:
 class _Words(dict):
     """Word to ids; what is missing is learned as it is met."""
 
-    def __init__(self, owner: "Encoder"):
-        self.owner = owner
+    def __init__(self, owner: "Encoder", before: str):
+        self.owner, self.before = owner, before
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.owner.learn(word)
+        ids = self[word] = self.owner.learn(word if word[:1] == "\n" else self.before + word)
         return ids
 
 
@@ -56,7 +56,7 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.lowered = self.tok.normalizer is not None
-        self.letters = _byte_letters()
+        self.letters = {b: c for b, c in enumerate(_byte_letters()) if c != chr(b)}
         if self.lowered:
             self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         else:
@@ -65,7 +65,8 @@ class Encoder:
         self.simple = re.compile(r"[\n\x20-\x7e\xa1-\xac\xae-\xff]*").fullmatch
         self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
         self.ends = {".", "!", "?"}
-        self.words = _Words(self)
+        #: Words by themselves, and those after one space, which has been cut off.
+        self.words, self.spaced = _Words(self, ""), _Words(self, "" if self.lowered else " ")
         self.pieces: dict[str, bytes] = {}
 
     def learn(self, w: str) -> bytes:
@@ -86,37 +87,42 @@ class Encoder:
 
     def _piece(self, p: str) -> bytes:
         """Ids of one pre-token, in little-endian order as on every usual machine."""
-        got = array("I", [t.id for t in self.model.tokenize("".join([self.letters[b] for b in p.encode()]))]).tobytes()
+        raw = p if p.isascii() else p.encode().decode("latin-1")
+        got = array("I", [t.id for t in self.model.tokenize(raw.translate(self.letters))]).tobytes()
         self.pieces[p] = got
         return got
 
-    def split(self, text: str) -> list[str] | None:
-        if self.odd.search(text):
+    def ids(self, text: str) -> bytes | None:
+        """Marked ids; None where white space is unusual."""
+        if any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() and not self.lowered else self.odd.search(text):
             return None
         if self.lowered:
-            return text.split()
-        words = text.split(" ")
-        if "" in words or "\n" in text:
-            return self.cut(text)
-        return words[:1] + [" " + w for w in words[1:]]
+            return b"".join(map(self.words.__getitem__, text.split()))
+        # A line feed begins a word of its own, so all cuts are at one space.
+        cut = text.replace("\n", " \n")
+        if "  " in cut or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n":
+            return b"".join(map(self.words.__getitem__, self.cut(text)))
+        first, *rest = cut.split(" ")
+        return self.words[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def encode_marked(self, texts) -> list[np.ndarray]:
         """Ids of each text (null: none), sentence ends with ``MARK`` set."""
-        if len(self.words) > self.LIMIT:
+        if len(self.words) + len(self.spaced) > self.LIMIT:
             self.words.clear()
+            self.spaced.clear()
         if len(self.pieces) > self.LIMIT // 2:
             self.pieces.clear()
-        get, out = self.words.__getitem__, []
+        out = []
         for t in texts:
-            w = self.split(t) if isinstance(t, str) else []
-            if w is None:
+            got = self.ids(t) if isinstance(t, str) else b""
+            if got is None:
                 e = self.tok.encode(t, add_special_tokens=False)
                 ids = np.array(e.ids, np.uint32)
                 stops = [i for i, (a, b) in enumerate(e.offsets) if t[a:b][-1:] in self.ends]
                 ids[stops] |= MARK
                 out.append(ids)
             else:
-                out.append(np.frombuffer(b"".join(map(get, w)), np.uint32))
+                out.append(np.frombuffer(got, np.uint32))
         return out
 
     def encode(self, texts) -> list[np.ndarray]:
