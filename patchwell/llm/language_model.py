@@ -1,12 +1,11 @@
 """Katz backoff scores of documents, with every count gathered from the corpus.
 
-Tokens are words and one end a document. Bigrams seen twice or more keep a
-Good-Turing discounted share of their context's count; the rest of a context's
-mass goes to the unigrams that do not follow it there, by a weight that makes the
-whole sum to one exactly: ``alpha = (1 - sum p(w|h)) / (1 - sum p(w))`` over the
-kept ``w``. Unigrams are discounted likewise, and what that frees is the
-probability of a word never seen. Bigrams seen once count towards Good-Turing's
-frequencies and are then left to backoff, a usual cut-off.
+Tokens are words and one end a document. Every bigram, those seen once included,
+keeps a Good-Turing discounted share of its context's count; the rest of a
+context's mass goes to the unigrams that do not follow it there, by a weight that
+makes the whole sum to one exactly: ``alpha = (1 - sum p(w|h)) / (1 - sum p(w))``
+over the ``w`` that do. Unigrams are discounted likewise, and what that frees is
+the probability of a word never seen.
 
 Counts, weights and probabilities are tables, partitioned by key. A shard of
 documents asks for the entries of its own distinct tokens and bigrams and gets
@@ -64,7 +63,7 @@ def _dealt(keys: np.ndarray, buckets: int):
 
 
 def counts(train: DataFrame, buckets: int) -> DataFrame:
-    """``(kind, key, ctx, tok, c)``: all unigrams (kind 0), bigrams seen twice or more (1), and how many
+    """``(kind, key, ctx, tok, c)``: all unigrams (kind 0), all bigrams (1), and how many
     unigrams (2) and bigrams (3) occur ``key`` times, for small ``key``."""
 
     def run(batches):
@@ -118,8 +117,6 @@ def counts(train: DataFrame, buckets: int) -> DataFrame:
         _, at, inv = np.unique(k, return_index=True, return_inverse=True)
         total = np.bincount(inv, c).astype(np.int64)
         r = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
-        keep = total >= (2 if kind else 1)
-        at, total = at[keep], total[keep]
         out = pd.DataFrame({"kind": kind, "key": k[at].view(np.int64), "ctx": ctx[at].view(np.int64), "tok": tok[at].view(np.int64), "c": total})
         return pd.concat([out, pd.DataFrame({"kind": kind + 2, "key": np.arange(1, K + 2), "ctx": 0, "tok": 0, "c": r})])
 

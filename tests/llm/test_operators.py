@@ -334,6 +334,31 @@ def test_katz(spark, docs, texts):
     assert language_model.score(docs, empty).count() == docs.count() and language_model.score(docs.limit(0), model).count() == 0
 
 
+def test_katz_keeps_bigrams_seen_once(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)], [1 / (k + 1) for k in range(30)], k=25))) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = language_model.Model(table.filter("doc_id < 20"))
+    seqs = {i: ["<s>", *t.split(), "</s>"] for i, t in rows}
+    c1 = collections.Counter(w for i in range(20) for w in seqs[i][1:])
+    c2 = collections.Counter(p for i in range(20) for p in zip(seqs[i], seqs[i][1:], strict=False))
+    h = c1 | {"<s>": 20}
+    less = lambda c, d, above: c - above if c > language_model.K else c * d[c]
+    p1 = {w: less(c, model.d1, 0.0) * model.scale for w, c in c1.items()}
+    q = {p: less(c, model.d2, language_model.ABOVE) / h[p[0]] for p, c in c2.items()}
+
+    def prob(u, w):
+        if (u, w) in q:
+            return q[u, w]
+        after = [x for v, x in q if v == u]
+        return (1 - sum(q[u, x] for x in after)) / (1 - sum(p1[x] for x in after)) * p1.get(w, model.unseen)
+
+    assert sum(c == 1 for c in c2.values()) > 50 and model.kept.count() == len(c2)
+    for r in language_model.score(table, model).collect():
+        s = seqs[r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(np.log10(prob(u, w)) for u, w in zip(s, s[1:], strict=False)))
+
+
 def test_warc(spark):
     pages = [(i, f"http://a/{i} b", h) for i, h in enumerate(["<p>é</p>", "x", "x", None, "", "WARC/1.1\r\n\r\n\nfiledesc://", "x", "y" * 100000])]
     pages += [(3, None, "x"), (None, "u", "x"), (None, "u", "alone"), pages[0]]
