@@ -3,9 +3,12 @@
 Equal vectors are one entry with their smallest ids, so a vector that fills a
 third of the table is searched once. Centroids and codebooks are fitted on a
 bounded sample; every vector is assigned and coded. A query probes its nearest
-lists, ranks entries by asymmetric distance tables over the codes, and the best
-are ranked again by their exact distance. How many lists are probed is found on
-the sample by its recall against brute force.
+lists and gets a distance to each entry by asymmetric distance tables over the
+codes. That is off by at most the length of what the codes leave out, which is
+kept beside them; so all entries are ranked again by their exact distance that
+can be among the best, and none that a probed list holds is lost. How many lists
+are probed is found by the recall of up to ``TRIALS`` of the queries against brute
+force over the whole table.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from .scratch import store
 TOP = 10
 SAMPLE = 20_000
 PARTS, CODES = 16, 256
-#: Entries of each query that are ranked exactly.
-RERANK = 200
-RECALL = 0.98
-#: Entries of one list that a task holds; longer lists are dealt out.
-LIST_PART = 50_000
+#: Entries that a query's lists hold together at least.
+LEAST = 200
+TRIALS, RECALL = 200, 0.98
+#: Entries of one list that a task holds, and components of their vectors; longer lists are dealt out.
+LIST_PART, LIST_VALUES = 50_000, 8_000_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -47,6 +50,16 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def cutoff(value: np.ndarray, cid: np.ndarray, k: int) -> float:
+    """The least value up to which there are ``k`` different ids; infinite with fewer."""
+    order = np.argsort(value, kind="stable")
+    for n in (4 * k, len(order)):
+        first = np.sort(np.unique(cid[order[:n]], return_index=True)[1])
+        if len(first) >= k:
+            return float(value[order[first[k - 1]]])
+    return np.inf
+
+
 class Quantiser:
     """Coarse centroids and one codebook a part of the dimensions."""
 
@@ -58,10 +71,14 @@ class Quantiser:
         self.books = [kmeans(rest[:, a:b], CODES) for a, b in self.cut]
         self.probes = len(self.coarse)
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and the length of what the codes leave out."""
         at = nearest(x, self.coarse)
         rest = x - self.coarse[at]
-        return at, np.stack([nearest(rest[:, a:b], m) for (a, b), m in zip(self.cut, self.books, strict=True)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, a:b], m) for (a, b), m in zip(self.cut, self.books, strict=True)], axis=1).astype(np.uint8)
+        for i, ((a, b), m) in enumerate(zip(self.cut, self.books, strict=True)):
+            rest[:, a:b] -= m[codes[:, i]]
+        return at, codes, np.sqrt((rest * rest).sum(axis=1))
 
     def far(self, q: np.ndarray, lists: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of one list's codes to a query, by its distance tables."""
@@ -72,27 +89,15 @@ class Quantiser:
         return total
 
     def probed(self, q: np.ndarray, size: np.ndarray, probes: int | None = None) -> np.ndarray:
-        """The nearest ``probes`` lists, and as many more as hold ``RERANK`` entries."""
+        """The nearest ``probes`` lists, and as many more as hold ``LEAST`` entries."""
         order = ((self.coarse - q) ** 2).sum(axis=1).argsort(kind="stable")
-        enough = int(np.searchsorted(np.cumsum(size[order]), RERANK)) + 1
+        enough = int(np.searchsorted(np.cumsum(size[order]), LEAST)) + 1
         return order[: max(probes or self.probes, enough)]
 
-    def settle(self, sample: np.ndarray) -> None:
-        """The fewest probes (a power of two) whose recall on the sample reaches ``RECALL``."""
-        at, codes = self.code(sample)
-        size = np.bincount(at, minlength=len(self.coarse))
-        qs = sample[:: max(1, len(sample) // 100)][:100]
-        truth = [set(((sample - q) ** 2).sum(axis=1).argsort(kind="stable")[: TOP + 1]) for q in qs]
-        members = [np.flatnonzero(at == i) for i in range(len(self.coarse))]
-        probes = 1
-        while probes < len(self.coarse):
-            found = 0
-            for q, t in zip(qs, truth, strict=True):
-                rows = [members[i] for i in self.probed(q, size, probes)]
-                dist = np.concatenate([self.far(q, int(at[m[0]]), codes[m]) for m in rows if len(m)])
-                found += len(t & set(np.concatenate(rows)[np.argsort(dist, kind="stable")[:RERANK]]))
-            if found >= RECALL * sum(map(len, truth)):
-                break
+    def settle(self, qs: list[np.ndarray], truth: list[np.ndarray], size: np.ndarray) -> None:
+        """The fewest probes (a power of two) with which the lists of the true neighbours are probed to ``RECALL``; all lists lose none."""
+        probes, total = 1, sum(map(len, truth))
+        while probes < len(self.coarse) and sum(int(np.isin(t, self.probed(q, size, probes)).sum()) for q, t in zip(qs, truth, strict=True)) < RECALL * total:
             probes *= 2
         self.probes = min(probes, len(self.coarse))
 
@@ -135,58 +140,74 @@ def search(table: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
     drawn = entries.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(np.ceil(min(1.0, SAMPLE / n) * (1 << 20)))).select("vec").limit(2 * SAMPLE).toPandas()["vec"]
     sample = np.frombuffer(b"".join(drawn if len(drawn) else entries.limit(1000).toPandas()["vec"]), np.float64).reshape(-1, size["d"])
     quant = Quantiser(sample, max(1, min(int(np.sqrt(n)), 8192, len(sample) // 4 or 1)))
-    quant.settle(sample)
     shared = spark.sparkContext.broadcast(quant)  # bounded by the sample and 8192 lists
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
                 x = np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1)
-                at, codes = shared.value.code(x)
-                yield pd.DataFrame({"list": at, "cid": pdf["cid"], "codes": [c.tobytes() for c in codes]})
+                at, codes, off = shared.value.code(x)
+                yield pd.DataFrame({"list": at, "cid": pdf["cid"], "codes": [c.tobytes() for c in codes], "off": off, "vec": pdf["vec"]})
 
-    index = store(entries.select("vec", "cid").mapInPandas(assign, "list int, cid long, codes binary"), "index")
+    index = store(entries.select("vec", "cid").mapInPandas(assign, "list int, cid long, codes binary, off double, vec binary"), "index")
     sizes = np.zeros(len(quant.coarse), np.int64)
     for r in index.groupBy("list").count().toLocalIterator():  # a row a list
         sizes[r["list"]] = r["count"]
-    parts = np.maximum(1, -(-sizes // LIST_PART))
+    held = max(1, min(LIST_PART, LIST_VALUES // size["d"]))
+    parts = np.maximum(1, -(-sizes // held))
+    spread = max(8, int(sizes.sum()) // held)
     asked = good.filter(F.col("vec_id") % every == 0)
+    trial = [np.asarray(r["embedding"], np.float64) for r in asked.orderBy(F.xxhash64("vec_id", "embedding")).limit(TRIALS).collect()]
+
+    def closest(batches):
+        d, at = np.full((len(trial), top + 1), np.inf), np.full((len(trial), top + 1), -1)
+        for pdf in batches:
+            x, own = np.frombuffer(b"".join(pdf["vec"]), np.float64).reshape(len(pdf), -1), pdf["list"].to_numpy(np.int64)
+            for i, q in enumerate(trial):
+                both = np.append(d[i], ((x - q) ** 2).sum(axis=1))
+                best = np.argpartition(both, top)[: top + 1]
+                d[i], at[i] = both[best], np.append(at[i], own)[best]
+        i, j = np.nonzero(at >= 0)
+        yield pd.DataFrame({"i": i, "d": d[i, j], "list": at[i, j]})
+
+    w = Window.partitionBy("i").orderBy("d")
+    true = index.select("vec", "list").coalesce(spread).mapInPandas(closest, "i int, d double, list int")
+    true = true.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top + 1).toPandas()  # TRIALS * (top + 1) rows
+    quant.settle(trial, [true["list"].to_numpy()[true["i"] == i] for i in range(len(trial))], sizes)
+    probes = quant.probes
 
     def route(batches):
         for pdf in batches:
-            rows = [(int(i), np.asarray(v, np.float64).tobytes(), int(k), p) for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True) for k in shared.value.probed(np.asarray(v), sizes) for p in range(parts[k])]
+            rows = [(int(i), np.asarray(v, np.float64).tobytes(), int(k), p) for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True) for k in shared.value.probed(np.asarray(v), sizes, probes) for p in range(parts[k])]
             yield pd.DataFrame(rows, columns=["query_id", "q", "list", "part"])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        lists = {k: (g["cid"].to_numpy(), np.frombuffer(b"".join(g["codes"]), np.uint8).reshape(len(g), -1)) for k, g in right.groupby("list")}
+        lists = {k: (g["cid"].to_numpy(), np.frombuffer(b"".join(g["codes"]), np.uint8).reshape(len(g), -1), g["off"].to_numpy(), np.frombuffer(b"".join(g["vec"]), np.float64).reshape(len(g), -1)) for k, g in right.groupby("list")}
         for (i, q), g in left.groupby(["query_id", "q"]):
             v = np.frombuffer(q, np.float64)
-            have = [k for k in g["list"] if k in lists]
+            have = [k for k in g["list"].unique() if k in lists]
             if have:
-                d = np.concatenate([shared.value.far(v, k, lists[k][1]) for k in have])
-                c = np.concatenate([lists[k][0] for k in have])
-                best = np.lexsort((c, d))[:RERANK]
-                out.append(pd.DataFrame({"query_id": i, "q": q, "cid": c[best], "d": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "cid": [], "d": []})
-
-    # As many groups as the index needs, whatever the partitions: each returns up to RERANK entries a query.
-    spread = max(8, int(sizes.sum()) // LIST_PART)
+                c, off = (np.concatenate([lists[k][j] for k in have]) for j in (0, 2))
+                d = np.sqrt(np.concatenate([shared.value.far(v, k, lists[k][1]) for k in have]))
+                most = cutoff(d + off, c, top + 1)
+                can = d - off <= most + 1e-9 * (most + np.sqrt((v * v).sum()))
+                ends = np.cumsum([len(lists[k][0]) for k in have])[:-1]
+                x = np.concatenate([lists[k][3][m] for k, m in zip(have, np.split(can, ends), strict=True)])
+                c, d = c[can], np.sqrt(((v - x) ** 2).sum(axis=1))
+                best = np.lexsort((c, d))
+                # As many as have top + 1 different ids: ids repeat only where one stands for several vectors.
+                best = best[: np.sort(np.unique(c[best], return_index=True)[1])[: top + 1][-1] + 1]
+                out.append(pd.DataFrame({"query_id": i, "q": q, "cid": c[best], "vec": [y.tobytes() for y in x[best]], "score": d[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "cid": [], "vec": [], "score": []})
+
+    # As many groups as the index needs, whatever the partitions: each returns its own best entries of a query.
     deal = lambda: F.pmod(F.xxhash64("list", "part"), F.lit(spread)).cast("int").alias("deal")
     part_of = F.element_at(F.array(*[F.lit(int(p)) for p in sorted({*parts.tolist()})]), 1) if len({*parts.tolist()}) == 1 else F.create_map(*[F.lit(int(x)) for k, p in enumerate(parts) for x in (k, p)])[F.col("list")]
     left = asked.mapInPandas(route, "query_id long, q binary, list int, part int").select("*", deal())
     right = index.withColumn("part", F.pmod(F.xxhash64("cid"), part_of).cast("int")).select("*", deal())
-    near = left.groupBy("deal").cogroup(right.groupBy("deal")).applyInPandas(rank, "query_id long, q binary, cid long, d double")
-    w = Window.partitionBy("query_id", "q").orderBy("d", "cid")
-    best = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= RERANK).select("query_id", "q", "cid")
-
-    def exact(batches):
-        for pdf in batches:
-            if len(pdf):
-                a, b = (np.frombuffer(b"".join(pdf[c]), np.float64).reshape(len(pdf), -1) for c in ("q", "vec"))
-                yield pd.DataFrame({"query_id": pdf["query_id"], "ids": pdf["ids"], "score": np.sqrt(((a - b) ** 2).sum(axis=1))})
-
-    scored = best.join(entries, "cid").select("query_id", "q", "vec", "ids").mapInPandas(exact, "query_id long, ids array<long>, score double")
+    near = left.groupBy("deal").cogroup(right.groupBy("deal")).applyInPandas(rank, "query_id long, q binary, cid long, vec binary, score double")
+    scored = near.join(entries.select("vec", "ids"), "vec")
     each = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return each.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -306,6 +306,27 @@ def test_nearest(spark):
     assert vectors.search(table.filter("vec_id < 4")).count() == 3
 
 
+@pytest.mark.parametrize("probe_all", [True, False])
+def test_nearest_in_a_dense_cluster(spark, monkeypatch, probe_all):
+    monkeypatch.setattr(vectors, "SAMPLE", 300)  # the cluster is thin in the sample, as in a large table
+    monkeypatch.setattr(vectors, "CODES", 16)
+    if probe_all:
+        monkeypatch.setattr(vectors.Quantiser, "settle", lambda self, *_: None)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 8))
+    x[rng.permutation(4000)[:600]] = x[0] + rng.normal(size=(600, 8)) * 1e-5
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = vectors.search(table, every=40).toPandas()
+    hit = n = 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        best = np.lexsort((np.arange(4000), d))[:10]
+        assert len(g) == 10
+        hit, n = hit + len(set(best) & set(g["vec_id"])), n + 10
+    assert n == 1000 and hit >= (1.0 if probe_all else 0.975) * n
+
+
 def test_katz(spark, docs, texts):
     train = docs.filter("doc_id % 2 = 0")
     model = language_model.Model(train)
