@@ -132,7 +132,7 @@ def forest(a, b, score, comp) -> np.ndarray:
 
 
 def members(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, cls, n)`` of every row, and the corpus' shingle counts by slot of a fixed table."""
+    """``(doc_id, key, cls, n)`` of every row, ``key`` being a hash of its text, and the corpus' shingle counts by slot of a fixed table."""
     from pyspark import TaskContext
 
     def run(batches):
@@ -149,13 +149,13 @@ def members(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 seen.clear()
             if new:
                 table += np.bincount((np.concatenate(new) >> _U(44)).astype(np.int64), minlength=TABLE).astype(np.int32)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "cls": ids, "n": [len(s) for s in sets], "slot": -1, "blob": None})
-        yield pd.DataFrame({"doc_id": [NO_ID], "cls": 0, "n": 0, "slot": TaskContext.get().partitionId(), "blob": [table.tobytes()]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "cls": ids, "n": [len(s) for s in sets], "slot": -1, "blob": None})
+        yield pd.DataFrame({"doc_id": [NO_ID], "key": 0, "cls": 0, "n": 0, "slot": TaskContext.get().partitionId(), "blob": [table.tobytes()]})
 
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    out = store(docs.mapInPandas(run, "doc_id long, cls long, n int, slot int, blob binary"), "members")
+    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    out = store(docs.mapInPandas(run, "doc_id long, key long, cls long, n int, slot int, blob binary"), "members")
     table = tree_sum(out.filter("slot >= 0").select("slot", "blob"), "int32")
-    return out.filter("slot < 0").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "cls", "n"), np.zeros(TABLE, np.int32) if table is None else table
+    return out.filter("slot < 0").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "key", "cls", "n"), np.zeros(TABLE, np.int32) if table is None else table
 
 
 def blocks(docs: DataFrame, table: np.ndarray, buckets: int) -> DataFrame:
@@ -318,6 +318,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows stay and are in one component; rows whose doc_id is null form
     no smaller id. Extra columns are left out. No rows give no rows.
     """
+    classed = grouped(docs)
+    least = classed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    linked = classed.filter("n > 0").join(least, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = classed.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``members`` with ``comp``, which rows of one component share; rows without shingles all have 0."""
     spark = docs.sparkSession
     buckets = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -368,14 +377,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comp = merge(comp, verify(pairs, sets))
         drop(rows)
         rows = open_blocks(comp)
-    classed = member.join(comp.select("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = classed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = classed.filter("n > 0").join(least, "comp").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = classed.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return member.join(comp.select("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component's; of repeated rows with that id, one stays."""
-    keep = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: that of the smallest doc_id, null ones last, and then of the smallest hash of its text.
+
+    Rows are told apart by doc_id and text, so a null or repeated id on different
+    texts loses none. A text without shingles stays once for each id it has.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key")
+    least = grouped(docs).groupBy("comp", F.when(F.col("n") == 0, row).alias("alone")).agg(F.min(row).alias("row"))
+    keep = least.select(F.col("row.id").alias("_id"), F.col("row.key").alias("_key"))
+    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64("text"))
+    return marked.join(keep, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)

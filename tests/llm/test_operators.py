@@ -80,6 +80,15 @@ def test_ngram_join(spark, docs):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} - {None} == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_one_of_each_keeps_one_row_a_component(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b + " tail"), (None, None), (7, c), (7, d), (7, d), (3, e), (None, e + " tail"), (None, e), (8, ""), (8, "")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    fixed = [(None, a), (None, None), (7, c), (7, d), (3, e), (8, "")]
+    assert len(got) == len(fixed) + 1 and set(fixed) <= {tuple(r) for r in got}
+    assert {r["text"] for r in got} & {b, b + " tail"}
+
+
 def test_ngram_join_with_chains_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", 4)
     rng, rows = random.Random(9), []
