@@ -3,7 +3,7 @@
 Patterns give base spans, which always stay. The field then labels *units*
 (address-like and number-like stretches) of one document together: neighbours in
 the text share a potential, and so do distant units that are equal or end in the
-same digits (skip edges). Loopy message passing spreads a label along those
+same digits (skip edges), and each unit with the nearest labelled one of its key. Loopy message passing spreads a label along those
 edges, so a number written once in full and once without its marks gets one
 label. Only units that a base span does not touch and that a skip edge ties to
 a base span of that kind can be added.
@@ -30,8 +30,8 @@ LABELS = ("other", *KINDS)
 MAX_DOCS = 20_000
 SURE = 0.9
 ROUNDS = 10
-#: Units of one document that pass messages together; longer documents go in overlapping windows.
-WINDOW = 20_000
+#: Edges whose messages are computed at once; all of a document's units pass messages together.
+AT_ONCE = 20_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -134,6 +134,24 @@ def skip_edges(us) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
+def sure_edges(us, y: np.ndarray) -> np.ndarray:
+    """Each unit without a label with the last labelled one of its key before it, or else the first after it.
+
+    Along a chain alone, what is known would reach no further than a unit a round.
+    """
+    last: dict[str, int] = {}
+    out, wait = [], {}
+    for i, (_, _, key) in enumerate(us):
+        if y[i]:
+            out += [(j, i) for j in wait.pop(key, ())]
+            last[key] = i
+        elif key in last:
+            out.append((last[key], i))
+        else:
+            wait.setdefault(key, []).append(i)
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def near_edges(us) -> np.ndarray:
     return np.array([(i, i + 1) for i in range(len(us) - 1) if us[i + 1][0] - us[i][1] <= 40], np.int64).reshape(-1, 2)
 
@@ -174,25 +192,29 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict:
     return {"unary": {q: np.log((c + 0.5) / (c.sum() + 0.5 * k)) for q, c in unary.items()}, "near": 0.5 * lift(pair["n"]), "skip": lift(skip)}
 
 
-def propagate(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def propagate(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, rounds: int = ROUNDS, kind: np.ndarray | None = None) -> np.ndarray:
     """Marginals by loopy sum-product in log space, all messages of a round at once.
 
-    ``edges`` (m, 2) with log potentials ``tables`` (m, k, k).
+    ``edges`` (m, 2) with log potentials ``tables`` (m, k, k), or with their places ``kind`` (m,) in fewer tables.
     """
     n, k = unary.shape
     if not len(edges):
         p = np.exp(unary - unary.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
     src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    pot = np.concatenate([tables, tables.transpose(0, 2, 1)])
+    kind = np.arange(len(edges)) if kind is None else kind
+    pot, kind = np.concatenate([tables, tables.transpose(0, 2, 1)]), np.append(kind, kind + len(tables))
     m, half = np.zeros((len(src), k)), len(edges)
     for _ in range(rounds):
         belief = unary.copy()
         np.add.at(belief, dst, m)
         back = np.concatenate([m[half:], m[:half]])
-        x = (belief[src] - back)[:, :, None] + pot
-        top = x.max(axis=1)
-        new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
+        new = np.empty_like(m)
+        for c in range(0, len(src), AT_ONCE):
+            s = slice(c, c + AT_ONCE)
+            x = (belief[src[s]] - back[s])[:, :, None] + pot[kind[s]]
+            top = x.max(axis=1)
+            new[s] = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
         m = 0.5 * m + 0.5 * (new - new.max(axis=1, keepdims=True))
     belief = unary.copy()
     np.add.at(belief, dst, m)
@@ -212,24 +234,16 @@ def added_spans(text: str, spans, model: dict) -> list[tuple[int, int, int]]:
             named.setdefault(key, set()).add(v)
     if not any(v == 0 and key in named for (_, _, key), v in zip(us, y.tolist(), strict=True)):
         return []
-    out = []
-    for w in range(0, len(us), WINDOW):
-        lo = max(0, w - WINDOW // 10)
-        part, lab = us[lo : w + WINDOW], y[lo : w + WINDOW]
-        flat = np.full(len(LABELS), -np.log(len(LABELS)))
-        u = np.stack([model["unary"].get(unary_key(text, a, b), flat) for a, b, _ in part])
-        fixed = lab > 0
-        u[fixed] = -12.0
-        u[fixed, lab[fixed]] = 0.0
-        near, skip = near_edges(part), skip_edges(part)
-        edges = np.concatenate([near, skip])
-        tables = np.concatenate([np.repeat(model["near"][None], len(near), 0), np.repeat(model["skip"][None], len(skip), 0)])
-        p = propagate(u, edges, tables)
-        for i in range(w - lo, len(part)):
-            k = int(p[i].argmax())
-            if lab[i] == 0 and k and p[i, k] >= SURE and k in named.get(part[i][2], ()):
-                out.append((part[i][0], k - 1, part[i][1]))
-    return out
+    flat = np.full(len(LABELS), -np.log(len(LABELS)))
+    u = np.stack([model["unary"].get(unary_key(text, a, b), flat) for a, b, _ in us])
+    fixed = y > 0
+    u[fixed] = -1e9  # no number of copies talks a base span out of its label
+    u[fixed, y[fixed]] = 0.0
+    near, skip = near_edges(us), np.unique(np.concatenate([skip_edges(us), sure_edges(us, y)]), axis=0)
+    kind = np.repeat([0, 1], [len(near), len(skip)])
+    p = propagate(u, np.concatenate([near, skip]), np.stack([model["near"], model["skip"]]), kind=kind)
+    best = p.argmax(axis=1).tolist()
+    return [(us[i][0], k - 1, us[i][1]) for i, k in enumerate(best) if y[i] == 0 and k and p[i, k] >= SURE and k in named.get(us[i][2], ())]
 
 
 def joined(spans) -> str:

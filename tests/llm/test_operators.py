@@ -282,6 +282,16 @@ def test_pii_field(spark, docs):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_pii_field_spans_a_long_document(spark, copies):
+    phones = [f"call +1 (555) 010-{1000 + i} today, order 555010{i}, again +1 (555) 010-{1000 + i} now" for i in range(60)]
+    model = pii.fit(spark.createDataFrame(list(enumerate(phones)), "doc_id long, text string"))
+    rest = "".join(f"{i} of {20000000 + i}\n" + "-" * 41 for i in range(25_000 if copies == 1 else 100))
+    text = "call +1 (555) 010-4321 now." + (rest + "Again: 15550104321 is it.\n") * copies
+    more = pii.added_spans(text, pii.base_spans(text), model)
+    assert [text[a:b] for a, _, b in more] == ["15550104321"] * copies
+
+
 def test_messages_match_enumeration():
     rng = np.random.default_rng(0)
     u, edges = rng.normal(size=(4, 3)), np.array([(0, 1), (1, 2), (1, 3)])  # a tree, where message passing is exact
