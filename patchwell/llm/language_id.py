@@ -9,8 +9,8 @@ by binary search. A text goes to the language of the lowest cross-entropy a
 character; one that lies far outside of what held-out training texts have is
 rejected.
 
-Training uses a bounded sample: ``MAX_DOCS`` documents over all languages and
-``MAX_CHARS`` characters of each; prediction reads whole texts.
+Training uses a bounded sample of ``MAX_DOCS`` documents over all languages;
+counts, limits of rejection and predictions are of whole texts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from .words import mix
 
 ORDER = 4
 MAX_DOCS = 8_000
-MAX_CHARS = 20_000
 UNKNOWN = "und"
 #: Rejection: standard deviations of held-out cross-entropy beyond the language's mean.
 FAR = 12.0
@@ -177,7 +176,7 @@ def worker_scorer(model: Model) -> Scorer:
     return _scorers[model.ident]
 
 
-def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model | None:
+def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
     """From ``(doc_id, text, lang)``; None without a usable row. Nine tenths give counts, a tenth the limits of rejection."""
     rows = labelled.filter("lang is not null and text is not null").withColumn("draw", F.crc32(F.concat(F.lit("sample "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) / F.lit(float(1 << 32)))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -186,17 +185,24 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHAR
     share = {k: min(1.0, max_docs / len(counts) / n) for k, n in counts.items()}
     spark = labelled.sparkSession
     part = rows.join(F.broadcast(spark.createDataFrame(list(share.items()), "lang string, share double")), "lang").filter("draw < share")  # a row a language
-    part = part.select("lang", F.substring("text", 1, max_chars).alias("text"), (F.col("draw") * 10 < F.col("share")).alias("held"))
+    part = part.select("lang", "text", (F.col("draw") * 10 < F.col("share")).alias("held"))
+
+    few = [r["lang"] for r in part.groupBy("lang").count().filter("count < 20").collect()]  # a row a language
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        by: dict[str, Counter] = {}
+        for lang, t in zip(pdf["lang"], pdf["text"], strict=True):
+            by.setdefault(lang, Counter()).update(letters(t))
+        return pd.DataFrame([(lang, w, n) for lang, c in by.items() for w, n in c.items()], columns=["lang", "word", "n"])
+
+    words = mapped(part.filter(~F.col("held") | F.col("lang").isin(few)), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        words: Counter = Counter()
-        for t in pdf.loc[~pdf["held"] | (len(pdf) < 20), "text"]:
-            words.update(letters(t))
-        parts = fit_language(words) if words else []
+        parts = fit_language(Counter(dict(zip(pdf["word"], pdf["n"].tolist(), strict=True)))) if len(pdf) else []
         return pd.DataFrame([(key[0], k, n, h.tobytes(), v.tobytes()) for k, n, h, v in parts], columns=["lang", "kind", "n", "hash", "value"])
 
     parts: dict[str, list] = {}
-    for r in part.groupBy("lang").applyInPandas(learn, "lang string, kind string, n int, hash binary, value binary").toLocalIterator():
+    for r in words.groupBy("lang").applyInPandas(learn, "lang string, kind string, n int, hash binary, value binary").toLocalIterator():
         parts.setdefault(r["lang"], []).append((r["kind"], r["n"], np.frombuffer(r["hash"], np.uint64), np.frombuffer(r["value"])))
     if not parts:
         return None

@@ -254,6 +254,18 @@ def test_language_id(spark):
         assert (np.diff(model.table[c, 3][0].astype(object)) > 0).all()
 
 
+def test_language_id_learns_from_whole_texts(spark):
+    rows = [(i, "common words " * 2000 + ("zyxel quokka " if lang == "en" else "fjord brygge ") * 300, lang) for i, lang in enumerate(["en", "no"] * 100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(table)
+    end = spark.createDataFrame([(1, "zyxel quokka"), (2, "fjord brygge")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(end, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2)] == ["en", "no"] and all(got[i]["score"] > 0.99 for i in (1, 2))
+    # Limits are set on whole texts too: they are what prediction measures on the same documents.
+    h = language_id.identify(table, model).groupBy("lang").agg(F.avg("cross_entropy").alias("h")).collect()
+    assert all(model.limit[r["lang"]] == pytest.approx(r["h"] + language_id.FAR * 0.05, abs=0.01) for r in h)
+
+
 def test_pii_base_spans_are_the_patterns():
     email, ip, card, phone = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
     rng = random.Random(3)
