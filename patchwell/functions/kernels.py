@@ -43,48 +43,100 @@ def edges(img: np.ndarray, low: float = 100, high: float = 200) -> np.ndarray:
 RING = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
 
 
-def outlines(mask: np.ndarray) -> list[np.ndarray]:
-    """Outer outlines of 8-connected components, as (x, y) corners where the direction changes.
-
-    Components come in scan order of their first pixel; each outline is followed
-    clockwise from there.
-    """
-    m = np.pad(mask > 0, 1)
-    seen = np.zeros(m.shape, bool)
-    out = []
-    for y, x in np.argwhere(m):
-        if seen[y, x]:
+def _followed(m: np.ndarray, y: int, x: int, back: int) -> np.ndarray:
+    """The border through (y, x), clockwise, from the neighbour that ``back`` names; corners where the direction changes."""
+    path, at, first = [(x, y)], (y, x), None
+    while True:
+        for k in range(1, 9):
+            d = (back + k) % 8
+            nxt = (at[0] + RING[d][0], at[1] + RING[d][1])
+            if m[nxt]:
+                break
+        else:
+            break
+        if first is None:
+            first = (at, d)
+        elif (at, d) == first:
+            break
+        path.append((nxt[1], nxt[0]))
+        at, back = nxt, (d + 4) % 8
+    pts = np.array(path[:-1] if len(path) > 1 and path[-1] == path[0] else path)
+    if len(pts) > 2:
+        step = np.roll(pts, -1, axis=0) - pts
+        pts = pts[(step != np.roll(step, 1, axis=0)).any(axis=1)]
+    return pts - 1
+
+
+def parts(mask: np.ndarray, ring=RING) -> np.ndarray:
+    """Numbers from 1 of connected components, in scan order of their first pixel."""
+    number = np.zeros(mask.shape, np.int64)
+    count = 0
+    for y, x in np.argwhere(mask):
+        if number[y, x]:
             continue
+        count += 1
         stack = [(y, x)]
-        seen[y, x] = True
+        number[y, x] = count
         while stack:
             a, b = stack.pop()
-            for i, j in RING:
-                if m[a + i, b + j] and not seen[a + i, b + j]:
-                    seen[a + i, b + j] = True
-                    stack.append((a + i, b + j))
-        path, at, back = [(x, y)], (y, x), 0
-        first = None
-        while True:
-            for k in range(1, 9):
-                d = (back + k) % 8
-                nxt = (at[0] + RING[d][0], at[1] + RING[d][1])
-                if m[nxt]:
-                    break
-            else:
-                break
-            if first is None:
-                first = (at, d)
-            elif (at, d) == first:
-                break
-            path.append((nxt[1], nxt[0]))
-            at, back = nxt, (d + 4) % 8
-        pts = np.array(path[:-1] if len(path) > 1 and path[-1] == path[0] else path)
-        if len(pts) > 2:
-            step = np.roll(pts, -1, axis=0) - pts
-            pts = pts[(step != np.roll(step, 1, axis=0)).any(axis=1)]
-        out.append(pts - 1)
-    return out
+            for i, j in ring:
+                c, d = a + i, b + j
+                if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not number[c, d]:
+                    number[c, d] = count
+                    stack.append((c, d))
+    return number
+
+
+def outline_tree(mask: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Outlines as (x, y) corners, and the place of each one's parent (-1 for none).
+
+    Every 8-connected component has an outer outline, and one around each of its
+    holes, whose points are the component's own. All come in scan order of their
+    first pixel. A hole's parent is its component, an outer outline's the hole
+    that it lies in.
+    """
+    m = np.pad(mask > 0, 1)
+    inside, outside = parts(m), parts(~m, RING[::2])
+    begins = [(*np.argwhere(inside == k)[0], 0, k, 0) for k in range(1, inside.max() + 1)]
+    for k in range(2, outside.max() + 1):  # 1 is what lies around everything
+        y, x = np.argwhere(outside == k)[0]
+        begins.append((y, x - 1, 4, inside[y, x - 1], k))
+    begins.sort(key=lambda b: (b[0], b[1], b[2]))
+    outer = {k: i for i, (_, _, back, k, _) in enumerate(begins) if back == 0}
+    hole = {k: i for i, (_, _, back, _, k) in enumerate(begins) if back == 4}
+    found, parent = [], []
+    for y, x, back, k, _ in begins:
+        found.append(_followed(m, y, x, back))
+        parent.append(outer[k] if back else hole.get(int(outside[y, x - 1]), -1))
+    return found, parent
+
+
+def outlines(mask: np.ndarray) -> list[np.ndarray]:
+    """Outer outlines alone, in scan order."""
+    m = np.pad(mask > 0, 1)
+    number = parts(m)
+    return [_followed(m, *np.argwhere(number == k)[0], 0) for k in range(1, number.max() + 1)]
+
+
+def shape(mask: np.ndarray) -> tuple[int, tuple[int, int, int, int], tuple[int, int, int, int]] | None:
+    """Of a mask's edges: how many outlines, the extents (top, bottom, left, right) of the largest, and the rectangle around it simplified."""
+    found, _ = outline_tree(edges(box_blur(mask * 255 % 256)))
+    if not found:
+        return None
+    top = found[biggest(found)]
+    x, y = top[:, 0], top[:, 1]
+    return len(found), (int(y.min()), int(y.max()), int(x.min()), int(x.max())), rect(simplified(top))
+
+
+def window_sums(spots: np.ndarray, rows: np.ndarray, cols: np.ndarray, size: int) -> np.ndarray:
+    """How many true pixels lie in each window, by a table of running sums; windows are cut to the slice as array slices are."""
+    h, w = spots.shape
+    table = np.zeros((h + 1, w + 1), np.int64)
+    table[1:, 1:] = spots.cumsum(axis=0).cumsum(axis=1)
+    cut = lambda v, n: np.clip(np.where(v < 0, v + n, v), 0, n)
+    a, b, c, d = cut(rows, h), cut(rows + size, h), cut(cols, w), cut(cols + size, w)
+    b, d = np.maximum(a, b), np.maximum(c, d)
+    return table[b, d] - table[a, d] - table[b, c] + table[a, c]
 
 
 def area(points: np.ndarray) -> float:

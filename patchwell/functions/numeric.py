@@ -25,6 +25,11 @@ def least_area(cm2: float, spacing: float) -> Column:
     return whole(F.lit(float(cm2)) * voxels_per_cm2(spacing))
 
 
+def least_voxels(cm2: float, spacing: float) -> int:
+    """``least_area`` as a number, where a task needs it."""
+    return int(float(cm2) * round(1.0 / (spacing / 10) ** 2))
+
+
 def sample_count(area: Column, size: int, density: int) -> Column:
     """Random windows of a slice: its area in windows times the density, one at least."""
     return F.greatest(F.lit(1), whole(area / F.lit(float(size * size)) * density))

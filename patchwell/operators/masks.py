@@ -12,9 +12,14 @@ SLICE = ("case_id", "z")
 PIXEL = ("case_id", "z", "y", "x")
 
 
-def areas(voxels: DataFrame) -> DataFrame:
-    """Labelled voxels of each slice. Partial sums leave every scan task, so only slices are shuffled."""
-    return voxels.groupBy(*SLICE).agg(F.sum("gland").cast("long").alias("gland_area"), F.sum("lesion").cast("long").alias("lesion_area"))
+def areas(voxels: DataFrame, level: int = 1, combined: bool = False) -> DataFrame:
+    """Voxels of each slice whose gland label is at least 1, and whose lesion label is at least ``level``.
+
+    ``combined``: the gland column holds both. Partial counts leave every scan
+    task, so only slices are shuffled.
+    """
+    lesion = F.col("gland" if combined else "lesion") >= level
+    return voxels.groupBy(*SLICE).agg(F.count_if(F.col("gland") >= 1).alias("gland_area"), F.count_if(lesion).alias("lesion_area"))
 
 
 def nonempty(voxels: DataFrame) -> DataFrame:

@@ -1,43 +1,92 @@
-"""Slice kernels as grouped work: a slice is one row, so nothing is shuffled."""
+"""Slice kernels: a slice is one row, so nothing is shuffled."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.numeric import resized, source_index
+from ..params import Params
+from .masks import SLICE
 
 
 def outlines(masks: DataFrame) -> DataFrame:
     """Outlines of each mask slice (``case_id, z, height, width, px``): blur, edges, borders.
 
-    ``contour`` counts from 0 in scan order; ``biggest`` marks the one of the
-    largest area; ``x, y, w, h`` is the rectangle around its simplified polygon.
+    ``contour`` counts from 0 in scan order and ``parent`` is the one around it
+    (-1: none), holes having outlines of their own; ``biggest`` marks the one of
+    the largest area; ``x, y, w, h`` is the rectangle around its simplified polygon.
     """
 
     def run(batches):
         for pdf in batches:
             for case, z, h, w, px in zip(*(pdf[c] for c in ("case_id", "z", "height", "width", "px")), strict=True):
                 img = np.asarray(px, float).astype(int).reshape(h, w) * 255 % 256
-                found = kernels.outlines(kernels.edges(kernels.box_blur(img)))
+                found, parent = kernels.outline_tree(kernels.edges(kernels.box_blur(img)))
                 if not found:
                     continue
                 top = kernels.biggest(found)
-                rows = [(case, z, i, len(p), kernels.area(p), i == top, *kernels.rect(kernels.simplified(p)), p.ravel().tolist()) for i, p in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["case_id", "z", "contour", "n_points", "area", "biggest", "x", "y", "w", "h", "points"])
+                rows = [(case, z, i, parent[i], len(p), kernels.area(p), i == top, *kernels.rect(kernels.simplified(p)), p.ravel().tolist()) for i, p in enumerate(found)]
+                yield pd.DataFrame(rows, columns=["case_id", "z", "contour", "parent", "n_points", "area", "biggest", "x", "y", "w", "h", "points"])
 
     cols = masks.select("case_id", "z", "height", "width", "px")
-    return cols.mapInPandas(run, "case_id string, z int, contour int, n_points int, area double, biggest boolean, x int, y int, w int, h int, points array<int>")
+    return cols.mapInPandas(run, "case_id string, z int, contour int, parent int, n_points int, area double, biggest boolean, x int, y int, w int, h int, points array<int>")
 
 
-def spline(slices: DataFrame, spacing: tuple[float, float], target: float, fill: float = 0.0) -> DataFrame:
-    """Slices resampled in-plane by cubic splines; z stays, so slices do not need each other."""
+def shapes(slices: DataFrame, params: Params) -> DataFrame:
+    """Mask slices with what windows are placed by.
+
+    ``contours`` counts the outlines of the gland's edges (0: none, the rest is
+    null); ``y_min`` to ``x_max`` are the extents of the largest outline, ``box_*``
+    the rectangle around it simplified; ``g_*`` are the extents of all gland pixels.
+    """
+    names = ["contours", "y_min", "y_max", "x_min", "x_max", "box_x", "box_y", "box_w", "box_h", "g_top", "g_bottom", "g_left", "g_right"]
+    binary = params.positive and params.gland_contains_lesion
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for px, h, w in zip(pdf["gland"], pdf["height"], pdf["width"], strict=True):
+                m = np.asarray(px, int).reshape(h, w)
+                got = kernels.shape((m > 0).astype(int) if binary else m)
+                y, x = np.nonzero(m >= 1)
+                if got is None or not len(y):
+                    rows.append((0, *[None] * 12))
+                else:
+                    rows.append((got[0], *got[1], *got[2], y.min(), y.max(), x.min(), x.max()))
+            # Nullable numbers, as a slice without an outline has none.
+            yield pd.concat([pdf, pd.DataFrame(rows, columns=names, dtype="Int32")], axis=1)
+
+    keep = slices.select(*[c for c in slices.columns if c not in names])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + [f"{n} int" for n in names])
+    return keep.mapInPandas(run, schema)
+
+
+def nearest(slices: DataFrame, target: float, columns: tuple[str, ...] = ("px",), fill: float = 0.0) -> DataFrame:
+    """Slices with ``spacing`` (x, y, z) resampled in-plane by the nearest pixel; what lies outside gets ``fill``. Array expressions alone."""
+    sx, sy = F.col("spacing")[0], F.col("spacing")[1]
+    t = F.lit(float(target))
+    h, w = resized(F.col("height"), sy, t), resized(F.col("width"), sx, t)
+    at = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda y: F.transform(F.sequence(F.lit(0), w - 1), lambda x: _pixel(c, source_index(y, sy, t), source_index(x, sx, t), fill))))
+    both = slices.withColumns({**{c: at(c) for c in columns}, "new_h": h, "new_w": w})
+    return both.withColumns({"height": F.col("new_h"), "width": F.col("new_w"), "spacing": F.array(t, t, F.col("spacing")[2])}).drop("new_h", "new_w")
+
+
+def _pixel(column: str, y, x, fill: float):
+    inside = (y < F.col("height")) & (x < F.col("width"))
+    return F.coalesce(F.try_element_at(F.col(column), F.when(inside, y * F.col("width") + x + 1)), F.lit(fill).cast("double"))
+
+
+def spline(slices: DataFrame, target: float, fill: float = 0.0) -> DataFrame:
+    """Slices (``case_id, z, modality, spacing, height, width, px``) resampled in-plane by cubic splines; z stays, so slices do not need each other."""
 
     def run(batches):
         for pdf in batches:
-            out = [kernels.spline_resampled(np.asarray(p, float).reshape(h, w), spacing, target, fill) for p, h, w in zip(pdf["px"], pdf["height"], pdf["width"], strict=True)]
-            yield pdf[["case_id", "z", "modality"]].assign(height=[o.shape[0] for o in out], width=[o.shape[1] for o in out], px=[o.ravel() for o in out])
+            out = [kernels.spline_resampled(np.asarray(p, float).reshape(h, w), (s[1], s[0]), target, fill) for p, h, w, s in zip(pdf["px"], pdf["height"], pdf["width"], pdf["spacing"], strict=True)]
+            yield pdf[[*SLICE, "modality"]].assign(height=[o.shape[0] for o in out], width=[o.shape[1] for o in out], px=[o.ravel() for o in out])
 
-    cols = slices.select("case_id", "z", "modality", "height", "width", "px")
+    cols = slices.select(*SLICE, "modality", "spacing", "height", "width", "px")
     return cols.mapInPandas(run, "case_id string, z int, modality string, height int, width int, px array<double>")

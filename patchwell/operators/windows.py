@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.numeric import even, sample_count, sliced, whole
+from ..params import Params
 from .masks import SLICE
 
+#: Draws of one window until the original search gives up.
+ATTEMPTS = 10_000
 #: Multipliers of the linear congruence that draws pixels without a random generator's state.
 DRAW, LAYER = 7919, 104729
 
 
+def around_box(size: int) -> dict[str, Column]:
+    """Place of the window around a rectangle (``box_*``)."""
+    return {"row0": F.col("box_y") - whole((F.lit(size) - F.col("box_h")) / 2), "col0": F.col("box_x") - whole((F.lit(size) - F.col("box_w")) / 2)}
+
+
 def center(extents: DataFrame, size: int) -> DataFrame:
     """One window a slice, around the outline's rectangle."""
     w, h = F.col("x_max") - F.col("x_min") + 1, F.col("y_max") - F.col("y_min") + 1
@@ -36,28 +47,39 @@ def axis(lo: Column, hi: Column, size: int, stride: int) -> dict[str, Column]:
     return {"start": whole(middle - full / 2), "end": whole(middle + full / 2), "steps": whole(n - q + 1)}
 
 
-def grid(extents: DataFrame, size: int, stride: int) -> DataFrame:
+def grid(extents: DataFrame, size: int, stride: int, keep: bool = False) -> DataFrame:
+    """The grid over each slice's extents; ``keep`` leaves the other columns beside it."""
     i, j = axis(F.col("y_min"), F.col("y_max"), size, stride), axis(F.col("x_min"), F.col("x_max"), size, stride)
-    return extents.select(*SLICE, *[c.alias(f"{k}_i") for k, c in i.items()], *[c.alias(f"{k}_j") for k, c in j.items()])
+    return extents.select("*" if keep else F.struct(*SLICE).alias("s"), *[c.alias(f"{k}_i") for k, c in i.items()], *[c.alias(f"{k}_j") for k, c in j.items()]).select(*(["*"] if keep else ["s.*", *[f"{k}_{a}" for a in "ij" for k in i]]))
 
 
-def tiles(grid: DataFrame, size: int, stride: int, height: int, width: int) -> DataFrame:
-    """Grid windows, row by row; ordinals count from 1 before any filter.
+def _tile(si: Column, sj: Column, size: int, stride: int, height: Column, width: Column) -> dict[str, Column]:
+    """One window of a grid. It is cut out of the grid's own rectangle, so it loses what lies outside of that."""
+    out = {"ordinal": (si - 1) * F.col("steps_j") + sj, "row0": F.col("start_i") + (si - 1) * stride, "col0": F.col("start_j") + (sj - 1) * stride}
+    for name, k, s, n in (("height", "i", si, height), ("width", "j", sj, width)):
+        room = F.greatest(sliced(F.col(f"end_{k}"), n) - sliced(F.col(f"start_{k}"), n), F.lit(0))
+        out[name] = F.greatest(F.least((s - 1) * stride + size, room) - F.least((s - 1) * stride, room), F.lit(0))
+    return out
+
 
-    Windows are cut out of the grid's own rectangle, so they lose what lies
-    outside of it: ``height`` and ``width`` of each are what is left.
+def tile_structs(grid: DataFrame, size: int, stride: int, lesion) -> DataFrame:
+    """Slices of a kept grid with each window as ``tile`` (ordinals count from 1, row by row, before any filter), and ``lesion(tile)`` in it.
+
+    Windows are made and counted within the row, so its arrays are not repeated.
     """
+    def one(si, sj):
+        t = _tile(si, sj, size, stride, F.col("height"), F.col("width"))
+        return F.struct(*[c.cast("int").alias(k) for k, c in t.items()], lesion(t).alias("lesion"))
+
+    steps = lambda k: F.sequence(F.lit(1), F.col(f"steps_{k}"))
+    every = F.when((F.col("steps_i") > 0) & (F.col("steps_j") > 0), F.flatten(F.transform(steps("i"), lambda si: F.transform(steps("j"), lambda sj: one(si, sj)))))
+    return grid.select(*SLICE, F.explode(every).alias("tile"))
+
+
+def tiles(grid: DataFrame, size: int, stride: int, height: int, width: int) -> DataFrame:
+    """Grid windows, row by row; ordinals count from 1 before any filter. ``height`` and ``width`` of each are what the slice leaves of it."""
     out = grid.select("*", F.explode(F.sequence(F.lit(1), F.col("steps_i"))).alias("si")).select("*", F.explode(F.sequence(F.lit(1), F.col("steps_j"))).alias("sj"))
-    kept = {}
-    for k, s, n in (("i", "si", height), ("j", "sj", width)):
-        lo, hi = sliced(F.col(f"start_{k}"), F.lit(n)), sliced(F.col(f"end_{k}"), F.lit(n))
-        room = F.greatest(hi - lo, F.lit(0))
-        at = (F.col(s) - 1) * stride
-        kept[k] = F.greatest(F.least(at + size, room) - F.least(at, room), F.lit(0))
-    return out.select(
-        *SLICE, ((F.col("si") - 1) * F.col("steps_j") + F.col("sj")).alias("ordinal"), (F.col("start_i") + (F.col("si") - 1) * stride).alias("row0"),
-        (F.col("start_j") + (F.col("sj") - 1) * stride).alias("col0"), kept["i"].alias("height"), kept["j"].alias("width"),
-    )
+    return out.select(*SLICE, *[c.alias(k) for k, c in _tile(F.col("si"), F.col("sj"), size, stride, F.lit(height), F.lit(width)).items()])
 
 
 def ranked(mask: DataFrame) -> DataFrame:
@@ -84,7 +106,7 @@ def random_windows(pixels: DataFrame, draws: DataFrame, size: int, seed: int) ->
     return out.select(*SLICE, "ordinal", whole(F.col("y") - F.lit(size) / 2).alias("row0"), whole(F.col("x") - F.lit(size) / 2).alias("col0"))
 
 
-def bounded(windows: DataFrame, size: int, height: int, width: int) -> DataFrame:
+def bounded(windows: DataFrame, size: int, height: int | Column, width: int | Column) -> DataFrame:
     """Windows with the rows and columns that slicing leaves of them."""
     kept = lambda a, n: F.greatest(sliced(a + size, F.lit(n)) - sliced(a, F.lit(n)), F.lit(0))
     return windows.withColumns({"height": kept(F.col("row0"), height), "width": kept(F.col("col0"), width)})
@@ -104,3 +126,59 @@ def acceptable(pixels: DataFrame, voxels: DataFrame, size: int, least: Column) -
     around = pixels.select(*SLICE, "y", "x", whole(F.col("y") - F.lit(size) / 2).alias("row0"), whole(F.col("x") - F.lit(size) / 2).alias("col0"))
     around = around.filter((F.col("row0") >= 0) & (F.col("col0") >= 0))
     return lesion_counts(around, voxels, size).filter(F.col("lesion") >= least).select(*SLICE, "y", "x")
+
+
+def sampled(slices: DataFrame, params: Params, least: int) -> DataFrame:
+    """Random windows of mask slices with ``gland_area``: ``case_id, z, ordinal, attempts, row0, col0, slice_h, slice_w``.
+
+    A draw is a number made of case, slice, ordinal and seed (``draw="hash"``), or
+    of slice, ordinal and seed by a linear congruence that SQL can repeat
+    (``"lcg"``), so a task that runs again draws the same. Of negatives, each
+    draw picks a gland pixel. Of positives it picks among the pixels whose window
+    starts inside the slice and holds ``least`` lesion voxels, as redrawing until
+    then would (``positive_draws="acceptable"``; ``attempts`` is 1), or it is
+    redrawn as the original does (``"attempts"``): until the lesion is enough, a
+    coordinate is negative, or ``ATTEMPTS`` are used up, and the last pixel stays.
+    """
+    size, label = params.crop_image_size, "gland" if params.gland_contains_lesion else "lesion"
+    level = params.tumor_label_level if params.gland_contains_lesion else 1
+    positive, redraw = params.positive, params.positive_draws == "attempts"
+    count = sample_count(F.col("gland_area"), size, params.sample_number)
+    number = (lambda i: i * DRAW + F.col("z") * LAYER + params.seed) if params.draw == "lcg" else (lambda i: F.xxhash64("case_id", "z", i, F.lit(params.seed)))
+    drawn = slices.select(*SLICE, "height", "width", "gland", F.col(label).alias("label"), F.transform(F.sequence(F.lit(0), count - 1), lambda i: number(i).cast("long")).alias("draws"))
+
+    def run(batches):
+        for pdf in batches:
+            for case, z, h, w, gland, lab, draws in zip(*(pdf[c] for c in ("case_id", "z", "height", "width", "gland", "label", "draws")), strict=True):
+                y, x = np.divmod(np.flatnonzero(np.asarray(gland) >= 1), w)
+                row, col = np.trunc(y - size / 2).astype(np.int64), np.trunc(x - size / 2).astype(np.int64)
+                held = kernels.window_sums(np.asarray(lab).reshape(h, w) >= level, row, col, size) if positive else None
+                tries = np.ones(len(draws), np.int64)
+                if positive and redraw:
+                    stop = (held >= least) | (row < 0) | (col < 0)
+                    pick, tries = _redrawn(np.asarray(draws, np.int64), stop)
+                else:
+                    if positive:
+                        ok = (held >= least) & (row >= 0) & (col >= 0)
+                        row, col = row[ok], col[ok]
+                    if not len(row):
+                        continue
+                    pick = np.asarray(draws, np.int64) % len(row)
+                yield pd.DataFrame({"case_id": case, "z": z, "ordinal": np.arange(len(pick)), "attempts": tries, "row0": row[pick], "col0": col[pick], "slice_h": h, "slice_w": w})
+
+    return drawn.mapInPandas(run, "case_id string, z int, ordinal int, attempts int, row0 int, col0 int, slice_h int, slice_w int")
+
+
+def _redrawn(draws: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each draw the first pixel of its own sequence that stops the search, and how many it took."""
+    pick, tries = np.zeros(len(draws), np.int64), np.full(len(draws), ATTEMPTS, np.int64)
+    for i, d in enumerate(draws.tolist()):
+        rng = np.random.default_rng(d & (1 << 64) - 1)
+        for begin in range(1, ATTEMPTS, 1000):
+            got = rng.integers(0, len(stop), min(1000, ATTEMPTS - begin))
+            hit = np.flatnonzero(stop[got])
+            pick[i] = got[hit[0] if len(hit) else -1]
+            if len(hit):
+                tries[i] = begin + hit[0]
+                break
+    return pick, tries

@@ -10,7 +10,7 @@ METHODS = ("center", "random", "stride")
 STATUSES = ("negative", "positive", "unknown")
 SEQUENCES = ("T2W", "bpMRI")
 #: Names that mean the same output kind.
-FORMATS = {"npy": "npy", "nmp": "npy", "npm": "npy", "jpg": "png", "png": "png", "tiff": "tiff", "parquet": "parquet"}
+FORMATS = {"npy": "npy", "nmp": "npy", "npm": "npy", "jpg": "jpg", "png": "png", "tiff": "tiff", "parquet": "parquet"}
 
 
 @dataclass(frozen=True)
@@ -36,17 +36,27 @@ class Params:
     keep_all_slices: bool = True
     fill: float = 0.0
     seed: int = 42
-    #: "reference" keeps partial edge crops with three modalities; "strict" wants whole ones.
+    #: "reference" begins one slice late, keeps partial edge crops with three modalities and takes the nearest
+    #: pixel for ADC and HBV of centred and random negatives; "strict" does none of these.
     compat: str = "reference"
+    #: Windows are placed by the gland's largest outline, or by the gland's own extents.
+    geometry: str = "contour"
+    #: What random windows are drawn by, and how positives are drawn: see ``windows.sampled``.
+    draw: str = "hash"
+    positive_draws: str = "acceptable"
     keywords: dict = field(default_factory=lambda: {"T2W": "T2W", "ADC": "ADC", "HBV": "HBV"})
 
     def __post_init__(self):
-        for name, known in (("crop_method", METHODS), ("patient_status", STATUSES), ("sequence_type", SEQUENCES), ("saved_image_type", FORMATS), ("compat", ("reference", "strict"))):
+        for name, known in (("crop_method", METHODS), ("patient_status", STATUSES), ("sequence_type", SEQUENCES), ("saved_image_type", FORMATS), ("compat", ("reference", "strict")), ("geometry", ("contour", "extents")), ("draw", ("hash", "lcg")), ("positive_draws", ("acceptable", "attempts"))):
             if getattr(self, name) not in known:
                 raise ValueError(f"{name} must be one of {', '.join(known)}")
         if self.crop_image_size < 1 or self.crop_stride < 1 or self.pixel_spacing <= 0:
             raise ValueError("sizes and spacing must be positive")
 
+    @property
+    def file_type(self) -> str:
+        return FORMATS[self.saved_image_type]
+
     @property
     def positive(self) -> bool:
         return self.patient_status == "positive"
@@ -63,9 +73,15 @@ def read_keywords(path: str) -> dict:
     return {k: ini.get("config", k, fallback=k) for k in ("T2W", "ADC", "HBV")}
 
 
-def parse(argv: list[str] | None = None) -> Params:
-    """Settings from a command line; ``--keep-all-slices false`` means false."""
-    parser = argparse.ArgumentParser(description="Patches from image volumes")
+#: Paths that the command line takes beside the settings.
+PATHS = ("orig_img_path_t2w", "orig_img_path_adc", "orig_img_path_hbv", "seg_img_path", "seg_img_path_lesion", "path_to_save")
+
+
+def parse_all(argv: list[str] | None = None) -> tuple[Params, dict[str, str | None]]:
+    """Settings and paths from a command line; ``--keep-all-slices false`` means false."""
+    parser = argparse.ArgumentParser(prog="patchwell", description="Patches from image volumes")
+    for name in PATHS:
+        parser.add_argument("--" + name.replace("_", "-"))
     for f in fields(Params):
         if f.name == "keywords":
             parser.add_argument("--config")
@@ -73,5 +89,9 @@ def parse(argv: list[str] | None = None) -> Params:
         kind = {"bool": lambda s: s.lower() in ("1", "true", "yes"), "int": int, "float": float}.get(f.type, str)
         parser.add_argument("--" + f.name.replace("_", "-"), type=kind, default=f.default)
     given = vars(parser.parse_args(argv))
-    config = given.pop("config")
-    return Params(**given, **({"keywords": read_keywords(config)} if config else {}))
+    config, paths = given.pop("config"), {name: given.pop(name) for name in PATHS}
+    return Params(**given, **({"keywords": read_keywords(config)} if config else {})), paths
+
+
+def parse(argv: list[str] | None = None) -> Params:
+    return parse_all(argv)[0]

@@ -1,90 +1,93 @@
-"""From masks to windows to crops: one plan for each method and class."""
+"""From mask slices to windows to crops: one plan for each method and class.
 
-from __future__ import annotations
+A slice's masks stay on one row from the scan to its windows: areas, overlap,
+extents, tiles and lesion counts are all taken from there, so a plan scans the
+masks once and shuffles only the slice range of each case.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import least_area
-from ..operators import crops, masks, windows
+from ..functions.numeric import least_area, least_voxels
+from ..operators import crops, outline, stacks, windows
 from ..operators.masks import SLICE
 from ..params import Params
 
 
-def slice_candidates(voxels: DataFrame, params: Params) -> DataFrame:
-    """Slices in range, large enough and, for positives, with lesion enough in the gland."""
-    k = 0 if params.keep_all_slices else params.exclude_slices
-    out = masks.large_enough(masks.areas(voxels), params).join(masks.slice_range(voxels, k), list(SLICE), "left_semi")
-    if params.positive:
-        good = masks.overlap(voxels).filter(F.col("percent") >= params.min_overlap_percent)
-        out = out.join(good, list(SLICE), "left_semi")
-    return out
+def shaped(slices: DataFrame, params: Params) -> DataFrame:
+    """Mask slices with the extents and the rectangle that windows are placed by; without an outline, ``contours`` is 0."""
+    if params.geometry == "contour":
+        return outline.shapes(slices, params)
+    out = stacks.box(slices)
+    return out.withColumns({
+        "contours": F.lit(1), "box_x": F.col("x_min"), "box_y": F.col("y_min"), "box_w": F.col("x_max") - F.col("x_min") + 1, "box_h": F.col("y_max") - F.col("y_min") + 1,
+        "g_top": F.col("y_min") + 1, "g_bottom": F.col("y_max"), "g_left": F.col("x_min") + 1, "g_right": F.col("x_max"),
+    })
 
 
-def candidate_windows(voxels: DataFrame, params: Params, height: int, width: int) -> DataFrame:
-    """Windows of the chosen slices, before the filters on what they hold."""
-    size = params.crop_image_size
-    chosen = slice_candidates(voxels, params)
-    mine = voxels.join(chosen.select(*SLICE), list(SLICE), "left_semi")
+def placed(shapes: DataFrame, params: Params) -> DataFrame:
+    """Every window of the shaped slices with what is left of it in its slice (``height, width``) and, before any filter, why it is not cropped (``reason``)."""
+    size, least = params.crop_image_size, least_area(params.c_min_positive, params.pixel_spacing)
+    found = shapes.filter("contours > 0")
+    lost = lambda h, w: F.when((h == 0) | (w == 0), "OUT_OF_BOUNDS")
+    wrong = (F.col("height") != size) | (F.col("width") != size)
+    exact = params.crop_method == "center" or params.sequence_type == "T2W" or params.compat == "strict"
     if params.crop_method == "center":
-        return windows.bounded(windows.center(masks.extents(mine), size), size, height, width)
-    if params.crop_method == "stride":
-        return windows.tiles(windows.grid(masks.extents(mine), size, params.crop_stride), size, params.crop_stride, height, width)
-    pixels = mine.filter("gland >= 1").select(*masks.PIXEL)
-    if params.positive:
-        pixels = windows.acceptable(pixels, mine, size, least_area(params.c_min_positive, params.pixel_spacing))
-    drawn = windows.random_windows(pixels, windows.draws(chosen, size, params.sample_number), size, params.seed)
-    return windows.bounded(drawn, size, height, width)
+        out = found.withColumns(windows.around_box(size)).withColumn("held", stacks.contained(size))
+        out = windows.bounded(out.select(*SLICE, F.lit(1).alias("ordinal"), F.lit(1).alias("attempts"), "row0", "col0", "held", "height", "width"), size, F.col("height"), F.col("width"))
+        reason = F.when(~F.col("held"), "NOT_CONTAINED").otherwise(lost(F.col("height"), F.col("width")))
+    elif params.crop_method == "stride":
+        tile = windows.tile_structs(windows.grid(found, size, params.crop_stride, keep=True), size, params.crop_stride, lambda t: stacks.spots_in(t["row0"], t["col0"], t["height"], t["width"], params) if params.positive else F.lit(None).cast("long"))
+        out = tile.select(*SLICE, F.lit(1).alias("attempts"), "tile.*")
+        reason = F.when(F.col("lesion") < least, "LESION_TOO_SMALL").otherwise(lost(F.col("height"), F.col("width"))) if params.positive else lost(F.col("height"), F.col("width"))
+    else:
+        drawn = windows.sampled(found, params, least_voxels(params.c_min_positive, params.pixel_spacing))
+        out = windows.bounded(drawn, size, F.col("slice_h"), F.col("slice_w")).drop("slice_h", "slice_w")
+        reason = lost(F.col("height"), F.col("width"))
+    reason = F.coalesce(reason, F.when(wrong, "WRONG_SIZE")) if exact else reason
+    return out.withColumn("reason", reason)
 
 
-def kept_windows(voxels: DataFrame, params: Params, height: int, width: int) -> DataFrame:
+def kept_windows(slices: DataFrame, params: Params) -> DataFrame:
     """Windows that are cropped."""
-    size = params.crop_image_size
-    out = candidate_windows(voxels, params, height, width)
-    if params.crop_method == "center":
-        wide = masks.dilated(voxels.filter("gland >= 1").join(out.select(*SLICE), list(SLICE), "left_semi"), height, width)
-        good = windows.containment(wide, out.select(*SLICE, "row0", "col0"), size).filter("contained")
-        out = out.join(good, list(SLICE), "left_semi")
-    out = out.filter("height > 0 and width > 0")
-    if params.crop_method == "center" or params.sequence_type == "T2W" or params.compat == "strict":
-        out = out.filter((F.col("height") == size) & (F.col("width") == size))
-    if params.positive and params.crop_method == "stride":
-        least = least_area(params.c_min_positive, params.pixel_spacing)
-        out = windows.lesion_counts(out, voxels, size).filter(F.col("lesion") >= least).drop("lesion")
-    return out
-
-
-def crop(voxels: DataFrame, slices: list[DataFrame], params: Params, height: int, width: int) -> DataFrame:
-    """Crops of every modality with the range that their greys cover.
-
-    Modalities are rows, not joined columns; volume percentiles are aggregated
-    once and joined by volume.
+    return placed(shaped(stacks.chosen(slices, params), params), params).filter("reason is null").select(*SLICE, "ordinal", "row0", "col0", "height", "width")
+
+
+def crop(slices: DataFrame, images: DataFrame, params: Params, originals: DataFrame | None = None) -> DataFrame:
+    """Crops of every modality (a column of ``images``) with the range that their greys cover.
+
+    Percentiles are of whole volumes as they were before resampling
+    (``originals``; without them, of ``images``), aggregated once and joined by
+    volume.
     """
-    every = reduce(DataFrame.unionByName, slices)
-    long = every.select("case_id", "modality", F.explode("px").alias("v"))
-    p = crops.percentile(long, params.max_percentile)
-    cut = crops.autoscale(crops.read_windows(kept_windows(voxels, params, height, width), every, params.crop_image_size))
+    volumes = images if originals is None else originals
+    p = crops.percentile(volumes.select("case_id", "modality", F.explode("px").alias("v")), params.max_percentile)
+    cut = crops.autoscale(crops.read_windows(kept_windows(slices, params), images, params.crop_image_size))
     joined = cut.join(p, ["case_id", "modality"])
     lo, hi = crops.window_policy(F.col("modality"), F.col("p"), F.col("vmin"), F.col("vmax"), params.normalized_image, params.normalized_vmax, params.do_normalization)
     out = joined.withColumns({"lo": lo, "hi": hi})
     return out.withColumn("gray", F.transform("px", lambda v: crops.gray(v, F.col("lo"), F.col("hi")))).drop("p", "vmin", "vmax")
 
 
-def decisions(voxels: DataFrame, params: Params, height: int, width: int) -> DataFrame:
-    """Why each gland slice was cropped or not, for centred windows: the first reason that holds."""
-    size = params.crop_image_size
-    least = least_area(params.c_min_positive if params.positive else params.c_min_negative, params.pixel_spacing)
+def decisions(slices: DataFrame, params: Params, ranged: bool = True) -> DataFrame:
+    """Why each gland slice, or each window of one that passes, was cropped or not: the first reason that holds.
+
+    Slices that fail as a whole have one row, of ordinal 0 (1 for centred
+    windows). ``ranged`` leaves out slices that the range does not reach.
+    ``metric`` is the lesion in a tile, or else the slice's area.
+    """
+    measures = stacks.measured(slices, params).filter("gland_area > 0")
+    if ranged:
+        measures = stacks.in_range(measures, params)
     area = F.col("lesion_area" if params.positive else "gland_area")
-    base = masks.areas(voxels).filter("gland_area > 0")
-    over = masks.overlap(voxels).select(*SLICE, "percent")
-    win = windows.bounded(windows.center(masks.extents(voxels), size), size, height, width)
-    held = windows.containment(masks.dilated(voxels.filter("gland >= 1"), height, width), win.select(*SLICE, "row0", "col0"), size).select(*SLICE, "contained")
-    out = base.join(over, list(SLICE), "left").join(win.drop("ordinal"), list(SLICE), "left").join(held, list(SLICE), "left")
-    reason = F.when(area < least, "AREA_TOO_SMALL")
-    if params.positive:
-        reason = reason.when(~F.coalesce(F.col("percent") >= params.min_overlap_percent, F.lit(False)), "OVERLAP_REJECT")
-    reason = reason.when(~F.col("contained"), "NOT_CONTAINED").when(F.col("height") * F.col("width") == 0, "OUT_OF_BOUNDS")
-    reason = reason.when((F.col("height") != size) | (F.col("width") != size), "WRONG_SIZE").otherwise("CROPPED")
-    return out.select(*SLICE, F.lit(1).alias("ordinal"), reason.alias("reason"), area.alias("metric"))
+    judged = shaped(measures.withColumns({"slice_reason": stacks.reason(params), "metric": area}), params)
+    judged = judged.withColumn("slice_reason", F.coalesce("slice_reason", F.when(F.col("contours") == 0, "NO_CONTOUR")))
+    failed = judged.filter("slice_reason is not null").select(*SLICE, F.lit(int(params.crop_method == "center")).alias("ordinal"), F.col("slice_reason").alias("reason"), "metric")
+    passed = judged.filter("slice_reason is null")
+    win = placed(passed, params).select(*SLICE, "ordinal", F.coalesce("reason", F.lit("CROPPED")).alias("reason"), *(["lesion"] if params.crop_method == "stride" else []))
+    win = win.join(passed.select(*SLICE, "metric"), list(SLICE))
+    if params.crop_method == "stride":
+        win = win.withColumn("metric", F.coalesce("lesion", "metric")).drop("lesion")
+    return failed.unionByName(win)

@@ -7,6 +7,7 @@ where that is cheaper.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import numeric
-from .operators import crops, masks, outline, windows
+from .operators import crops, masks, outline, stacks, windows
 from .params import Params
 from .plans import patches
 from .sources import images, nifti, raster
@@ -22,11 +23,11 @@ from .sources import images, nifti, raster
 H, W = raster.HEIGHT, raster.WIDTH
 PS, SIZE, STRIDE, SAMPLES, SEED = 2.0, 16, 8, 12, 42
 NEG = Params(crop_method="stride", pixel_spacing=PS, crop_image_size=SIZE, crop_stride=STRIDE, sample_number=SAMPLES, seed=SEED)
-POS = Params(crop_method="stride", patient_status="positive", pixel_spacing=PS, crop_image_size=SIZE, crop_stride=STRIDE, sample_number=SAMPLES, seed=SEED)
-CENTER = Params(crop_method="center", pixel_spacing=PS, crop_image_size=24)
-CENTER_POS = Params(crop_method="center", patient_status="positive", pixel_spacing=PS, crop_image_size=24)
-RANDOM = Params(crop_method="random", pixel_spacing=PS, crop_image_size=SIZE, sample_number=SAMPLES, seed=SEED)
-RANDOM_POS = Params(crop_method="random", patient_status="positive", pixel_spacing=PS, crop_image_size=SIZE, sample_number=SAMPLES, seed=SEED)
+POS = Params(crop_method="stride", patient_status="positive", tumor_label_level=1, pixel_spacing=PS, crop_image_size=SIZE, crop_stride=STRIDE, sample_number=SAMPLES, seed=SEED)
+CENTER = Params(crop_method="center", pixel_spacing=PS, crop_image_size=24, geometry="extents")
+CENTER_POS = Params(crop_method="center", patient_status="positive", pixel_spacing=PS, crop_image_size=24, tumor_label_level=1, geometry="extents")
+RANDOM = Params(crop_method="random", draw="lcg", pixel_spacing=PS, crop_image_size=SIZE, sample_number=SAMPLES, seed=SEED)
+RANDOM_POS = Params(crop_method="random", patient_status="positive", tumor_label_level=1, draw="lcg", pixel_spacing=PS, crop_image_size=SIZE, sample_number=SAMPLES, seed=SEED)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,7 +94,7 @@ def _public(df: DataFrame) -> DataFrame:
 @query("""SELECT t.z, t.ordinal, t.row0, t.col0, t.height, t.width, min(v.v) AS vmin, max(v.v) AS vmax FROM tile t SEMI JOIN chosen USING (z)
 JOIN vox v ON v.z=t.z AND v.y>=t.row0 AND v.y<t.row0+16 AND v.x>=t.col0 AND v.x<t.col0+16 WHERE t.height=16 AND t.width=16 GROUP BY ALL""")
 def flagship(spark, sf_dir):
-    win = patches.kept_windows(raster.labels(spark, sf_dir), NEG, H, W)
+    win = patches.kept_windows(raster.mask_slices(spark, sf_dir), NEG)
     cut = crops.autoscale(crops.read_windows(win, raster.slices(spark, sf_dir), SIZE))
     return cut.select("z", "ordinal", "row0", "col0", "height", "width", "vmin", "vmax")
 
@@ -133,6 +134,33 @@ def area_threshold_pos(spark, sf_dir):
     return masks.large_enough(masks.areas(raster.labels(spark, sf_dir)), POS).select("z", "lesion_area")
 
 
+def _graded(spark, sf_dir):
+    """Masks with labels above 1: the gland's own holds lesions as 2 and 3, the lesion mask as 1 to 3."""
+    grade = F.when((F.col("x") + F.col("y")) % 3 == 0, 3).when((F.col("x") + F.col("y")) % 3 == 1, 2).otherwise(1)
+    lesion = F.when(F.col("lesion") == 1, grade).otherwise(0)
+    return raster.labels(spark, sf_dir).withColumn("lesion", lesion).withColumn("gland", F.when(F.col("gland") == 1, F.greatest(F.lit(1), F.col("lesion"))).otherwise(0))
+
+
+@query("""SELECT level, combined, z, gland_area, CASE WHEN combined THEN in_gland ELSE lesion_area END AS lesion_area FROM (SELECT level, z, sum(gland)::BIGINT AS gland_area,
+sum(CASE WHEN lesion*grade >= level THEN 1 ELSE 0 END)::BIGINT AS lesion_area, sum(CASE WHEN gland=1 AND greatest(1, lesion*grade) >= level THEN 1 ELSE 0 END)::BIGINT AS in_gland FROM
+(SELECT *, CASE (x+y)%3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS grade FROM vox), (SELECT unnest([1,2,3]) AS level) GROUP BY level, z), (SELECT unnest([true,false]) AS combined)""")
+def lesion_level_area(spark, sf_dir):
+    v = _graded(spark, sf_dir)
+    every = [masks.areas(v, level, both).withColumns({"level": F.lit(level), "combined": F.lit(both)}) for level in (1, 2, 3) for both in (True, False)]
+    return reduce(DataFrame.unionByName, every)
+
+
+@query("""SELECT z, sum(gland)::BIGINT AS gland_area, sum(CASE WHEN gland=1 AND lesion*grade >= 2 THEN 1 ELSE 0 END)::BIGINT AS lesion_area,
+sum(CASE WHEN gland=1 AND lesion*grade >= 2 THEN 1 ELSE 0 END)::BIGINT AS overlap_area FROM (SELECT *, CASE (x+y)%3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS grade FROM vox)
+SEMI JOIN keep USING (z) GROUP BY z HAVING lesion_area >= 5""")
+def combined_labels_kept(spark, sf_dir):
+    grade = lambda p: F.when((p % W + F.floor(p / W)) % 3 == 0, 3).when((p % W + F.floor(p / W)) % 3 == 1, 2).otherwise(1)
+    both = F.transform(F.arrays_zip("gland", "lesion"), lambda v, i: F.when(v["gland"] == 1, F.greatest(F.lit(1), v["lesion"] * grade(i))).otherwise(0))
+    s = raster.mask_slices(spark, sf_dir).withColumn("gland", both)
+    params = Params(patient_status="positive", gland_contains_lesion=True, pixel_spacing=PS)
+    return stacks.chosen(s, params).select("z", "gland_area", "lesion_area", "overlap_area")
+
+
 @query("SELECT gland + 2*lesion AS label, (gland + 2*lesion)*255 % 256 AS u8, count(*) AS n FROM vox GROUP BY ALL")
 def label_to_u8(spark, sf_dir):
     label = F.col("gland") + 2 * F.col("lesion")
@@ -201,7 +229,7 @@ def stride_tiles(spark, sf_dir):
 
 @query("SELECT z, ordinal, row0, col0, height, width FROM tile SEMI JOIN chosen USING (z) WHERE height=16 AND width=16")
 def stride_tiles_neg(spark, sf_dir):
-    return patches.kept_windows(raster.labels(spark, sf_dir), NEG, H, W)
+    return patches.kept_windows(raster.mask_slices(spark, sf_dir), NEG)
 
 
 @query("SELECT z, ordinal, lesion FROM tlesion")
@@ -212,7 +240,7 @@ def tile_lesions(spark, sf_dir):
 
 @query("SELECT z, ordinal, row0, col0, height, width FROM tile JOIN tlesion USING (z, ordinal) SEMI JOIN chosen_pos USING (z) WHERE height=16 AND width=16 AND lesion >= 5")
 def stride_tiles_pos(spark, sf_dir):
-    return patches.kept_windows(raster.labels(spark, sf_dir), POS, H, W)
+    return patches.kept_windows(raster.mask_slices(spark, sf_dir), POS)
 
 
 @query("SELECT z, greatest(1, CAST(trunc(gland_area/256.0*12) AS INT)) AS n FROM area")
@@ -228,27 +256,27 @@ def random_windows(spark, sf_dir):
 
 @query("SELECT z, ordinal, row0, col0 FROM rwin SEMI JOIN chosen USING (z) WHERE row0 >= 0 AND col0 >= 0 AND row0+16 <= 50 AND col0+16 <= 64")
 def random_windows_neg(spark, sf_dir):
-    return patches.kept_windows(raster.labels(spark, sf_dir), RANDOM, H, W).drop("height", "width")
+    return patches.kept_windows(raster.mask_slices(spark, sf_dir), RANDOM).drop("height", "width")
 
 
 @query("SELECT z, ordinal, row0, col0 FROM pwin SEMI JOIN chosen_pos USING (z) WHERE row0+16 <= 50 AND col0+16 <= 64")
 def random_windows_pos(spark, sf_dir):
-    return patches.kept_windows(raster.labels(spark, sf_dir), RANDOM_POS, H, W).drop("height", "width")
+    return patches.kept_windows(raster.mask_slices(spark, sf_dir), RANDOM_POS).drop("height", "width")
 
 
 @query("SELECT z, row0, col0 FROM cwin JOIN held USING (z) SEMI JOIN chosen USING (z) WHERE total=inside AND row0>=0 AND col0>=0 AND row0+24<=50 AND col0+24<=64")
 def center_windows_neg(spark, sf_dir):
-    return patches.kept_windows(raster.labels(spark, sf_dir), CENTER, H, W).select("z", "row0", "col0")
+    return patches.kept_windows(raster.mask_slices(spark, sf_dir), CENTER).select("z", "row0", "col0")
 
 
 @query("SELECT z, row0, col0 FROM cwin JOIN held USING (z) SEMI JOIN chosen_pos USING (z) WHERE total=inside AND row0>=0 AND col0>=0 AND row0+24<=50 AND col0+24<=64")
 def center_windows_pos(spark, sf_dir):
-    return patches.kept_windows(raster.labels(spark, sf_dir), CENTER_POS, H, W).select("z", "row0", "col0")
+    return patches.kept_windows(raster.mask_slices(spark, sf_dir), CENTER_POS).select("z", "row0", "col0")
 
 
 @query("SELECT t.z, t.ordinal, v.y - t.row0 AS y, v.x - t.col0 AS x, v.v FROM tile t SEMI JOIN chosen USING (z) JOIN vox v ON v.z=t.z AND v.y>=t.row0 AND v.y<t.row0+16 AND v.x>=t.col0 AND v.x<t.col0+16 WHERE t.height=16 AND t.width=16")
 def crop_pixels(spark, sf_dir):
-    cut = crops.read_windows(patches.kept_windows(raster.labels(spark, sf_dir), NEG, H, W), raster.slices(spark, sf_dir), SIZE)
+    cut = crops.read_windows(patches.kept_windows(raster.mask_slices(spark, sf_dir), NEG), raster.slices(spark, sf_dir), SIZE)
     return cut.select("z", "ordinal", "width", F.posexplode("px").alias("i", "v")).select("z", "ordinal", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), "v")
 
 
@@ -261,8 +289,7 @@ def crop_shape_filter(spark, sf_dir):
 
 
 def _percentiles(spark, sf_dir):
-    every = [raster.slices(spark, sf_dir, m) for m in ("T2W", "ADC", "HBV")]
-    long = every[0].unionByName(every[1]).unionByName(every[2]).select("case_id", "modality", F.explode("px").alias("v"))
+    long = raster.modalities(spark, sf_dir, ["T2W", "ADC", "HBV"]).select("case_id", "modality", F.explode("px").alias("v"))
     return crops.percentile(long, 99.5)
 
 
@@ -278,8 +305,7 @@ def volume_percentile(spark, sf_dir):
 SELECT modality, policy, round(CASE WHEN policy='auto' AND modality='T2W' THEN lo ELSE 0 END, 9) AS vmin,
 round(CASE WHEN modality<>'T2W' OR policy='percentile' THEN p WHEN policy='fixed' THEN 242.0 ELSE hi END, 9) AS vmax FROM pct JOIN rng USING (modality), (SELECT unnest(['fixed','percentile','auto']) AS policy)""")
 def window_policy(spark, sf_dir):
-    every = [raster.slices(spark, sf_dir, m) for m in ("T2W", "ADC", "HBV")]
-    ranges = every[0].unionByName(every[1]).unionByName(every[2]).groupBy("modality").agg(F.min(F.array_min("px")).alias("a"), F.max(F.array_max("px")).alias("b"))
+    ranges = raster.modalities(spark, sf_dir, ["T2W", "ADC", "HBV"]).groupBy("modality").agg(F.min(F.array_min("px")).alias("a"), F.max(F.array_max("px")).alias("b"))
     both = _percentiles(spark, sf_dir).join(ranges, "modality")
     out = []
     for name, fixed, pct in (("fixed", True, False), ("percentile", False, True), ("auto", False, False)):
@@ -295,15 +321,14 @@ def gray8(spark, sf_dir):
 
 @query("SELECT t.z, t.ordinal, min(v.v) AS vmin, max(v.v) AS vmax FROM tile t SEMI JOIN chosen_pos USING (z) JOIN tlesion l USING (z, ordinal) JOIN vox v ON v.z=t.z AND v.y>=t.row0 AND v.y<t.row0+16 AND v.x>=t.col0 AND v.x<t.col0+16 WHERE t.height=16 AND t.width=16 AND l.lesion>=5 GROUP BY ALL")
 def crop_autoscale(spark, sf_dir):
-    win = patches.kept_windows(raster.labels(spark, sf_dir), POS, H, W)
+    win = patches.kept_windows(raster.mask_slices(spark, sf_dir), POS)
     return crops.autoscale(crops.read_windows(win, raster.slices(spark, sf_dir), SIZE)).select("z", "ordinal", "vmin", "vmax")
 
 
 @query(MODAL + "SELECT m.modality, t.z, t.ordinal, count(*) AS n, min(m.v) AS vmin, max(m.v) AS vmax FROM tile t SEMI JOIN chosen USING (z) JOIN modal m ON m.z=t.z AND m.y>=t.row0 AND m.y<t.row0+16 AND m.x>=t.col0 AND m.x<t.col0+16 WHERE t.height>0 AND t.width>0 GROUP BY ALL")
 def modality_stack(spark, sf_dir):
     params = Params(crop_method="stride", sequence_type="bpMRI", pixel_spacing=PS, crop_image_size=SIZE, crop_stride=STRIDE)
-    every = [raster.slices(spark, sf_dir, m) for m in params.modalities]
-    out = patches.crop(raster.labels(spark, sf_dir), every, params, H, W)
+    out = patches.crop(raster.mask_slices(spark, sf_dir), raster.modalities(spark, sf_dir, params.modalities), params)
     return out.select("modality", "z", "ordinal", F.size("px").cast("long").alias("n"), F.array_min("px").alias("vmin"), F.array_max("px").alias("vmax"))
 
 
@@ -317,20 +342,22 @@ def resample_size(spark, sf_dir):
 @query("""SELECT o.z, o.y, o.x, coalesce(v.v, 0.0) AS v, coalesce(v.gland, 0) AS gland FROM (SELECT z, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT DISTINCT z FROM line), (SELECT unnest(range(CAST(round_even(50/1.6::DOUBLE,0) AS INT))) AS y), (SELECT unnest(range(CAST(round_even(64/1.6::DOUBLE,0) AS INT))) AS x)) o
 LEFT JOIN vox v ON v.z=o.z AND v.y=CAST(floor(o.y*1.6::DOUBLE+0.5) AS INT) AND v.x=CAST(floor(o.x*1.6::DOUBLE+0.5) AS INT)""")
 def nn_resample(spark, sf_dir):
-    s = raster.slices(spark, sf_dir)
-    m = raster.labels(spark, sf_dir).groupBy("case_id", "z").agg(F.array_sort(F.collect_list(F.struct("y", "x", "gland"))).alias("m"))
-    h, w = (numeric.resized(F.lit(n), F.lit(1.0), F.lit(1.6)) for n in (H, W))
-    out = s.join(m, ["case_id", "z"]).select("z", "px", F.col("m.gland").alias("g"), F.explode(F.sequence(F.lit(0), h - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), w - 1)).alias("x"))
-    sy, sx = (numeric.source_index(F.col(c), F.lit(1.0), F.lit(1.6)) for c in ("y", "x"))
-    at = F.when((sy < H) & (sx < W), sy * W + sx + 1)
-    return out.select("z", "y", "x", F.coalesce(F.try_element_at("px", at), F.lit(0.0)).alias("v"), F.coalesce(F.try_element_at("g", at), F.lit(0)).alias("gland"))
+    both = raster.slices(spark, sf_dir).join(raster.mask_slices(spark, sf_dir).select("case_id", "z", F.transform("gland", lambda v: v.cast("double")).alias("gland")), ["case_id", "z"])
+    out = outline.nearest(both.withColumn("spacing", F.array(F.lit(1.0), F.lit(1.0), F.lit(3.0))), 1.6, ("px", "gland"))
+    long = out.select("z", "width", F.posexplode(F.arrays_zip("px", "gland")).alias("i", "p"))
+    return long.select("z", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), F.col("p.px").alias("v"), F.col("p.gland").cast("int").alias("gland"))
 
 
-@query("SELECT count(DISTINCT z) AS n_slices, true AS consistent FROM line")
+@query("""SELECT part, max(n) AS n_slices, min(n) = max(n) AND max(height) = min(height) AS consistent FROM (SELECT z % 5 AS part, role, count(*) AS n,
+CASE WHEN z % 5 = 2 AND role = 'lesion' THEN 49 ELSE 50 END AS height FROM (SELECT DISTINCT z FROM line), (SELECT unnest(['gland', 'lesion']) AS role)
+WHERE NOT (z % 5 = 1 AND role = 'lesion' AND z > 4) GROUP BY ALL) GROUP BY part""")
 def stack_check(spark, sf_dir):
-    s = raster.slices(spark, sf_dir)
-    roles = s.select("case_id", "z", "height", "width", F.explode(F.array(F.lit("image"), F.lit("gland"), F.lit("lesion"))).alias("role"))
-    return masks.stack_check(roles)
+    """Five cases: one's lesion stack is short, another's has slices of another size."""
+    s = raster.places(spark, sf_dir).select("z").distinct().withColumn("part", F.col("z") % 5)
+    height = F.when((F.col("part") == 2) & (F.col("role") == "lesion"), 49).otherwise(50)
+    roles = s.select("*", F.explode(F.array(F.lit("gland"), F.lit("lesion"))).alias("role")).filter("not (part = 1 and role = 'lesion' and z > 4)")
+    roles = roles.select(F.col("part").cast("string").alias("case_id"), "z", "role", height.alias("height"), F.lit(W).alias("width"))
+    return stacks.same_stacks(roles).select(F.col("case_id").cast("int").alias("part"), "n_slices", "consistent")
 
 
 NAMES = "SELECT DISTINCT source || '_' || lang || '_' || (CASE doc_id % 4 WHEN 0 THEN 'NormT2WI' WHEN 1 THEN 'ADC' WHEN 2 THEN 'HBV' ELSE 'other' END) || '.nii.gz' AS name FROM documents"
@@ -355,7 +382,7 @@ def route_modality(spark, sf_dir):
 
 @query("SELECT 'T2W_slice_' || z || '_of_' || (SELECT max(z)+1 FROM line) || '_' || ordinal || '_cord_' || row0 || '_' || col0 || '_T2W' AS name FROM tile SEMI JOIN chosen USING (z) WHERE height=16 AND width=16")
 def crop_name(spark, sf_dir):
-    win = patches.kept_windows(raster.labels(spark, sf_dir), NEG, H, W)
+    win = patches.kept_windows(raster.mask_slices(spark, sf_dir), NEG)
     n = raster.lines(spark, sf_dir).agg((F.max("z") + 1).alias("n"))  # one row
     return win.join(F.broadcast(n), how="cross").select(crops.crop_name("T2W", F.col("z"), F.col("n"), F.col("ordinal"), F.col("row0"), F.col("col0"), F.lit("T2W")).alias("name"))
 
@@ -363,17 +390,51 @@ def crop_name(spark, sf_dir):
 @query("""SELECT z, 1 AS ordinal, CASE WHEN lesion_area < 5 THEN 'AREA_TOO_SMALL' WHEN NOT coalesce(100.0*overlap_area/nullif(lesion_area,0) >= 50, false) THEN 'OVERLAP_REJECT'
 WHEN total <> inside THEN 'NOT_CONTAINED' WHEN row0<0 OR col0<0 OR row0+24>50 OR col0+24>64 THEN 'WRONG_SIZE' ELSE 'CROPPED' END AS reason, lesion_area AS metric FROM area JOIN cwin USING (z) JOIN held USING (z) WHERE gland_area > 0""")
 def decision_log(spark, sf_dir):
-    return patches.decisions(raster.labels(spark, sf_dir), CENTER_POS, H, W)
+    return patches.decisions(raster.mask_slices(spark, sf_dir), CENTER_POS, ranged=False)
+
+
+@query("""SELECT t.z, t.ordinal, CASE WHEN l.lesion < 5 THEN 'LESION_TOO_SMALL' WHEN t.height*t.width = 0 THEN 'OUT_OF_BOUNDS' WHEN t.height<>16 OR t.width<>16 THEN 'WRONG_SIZE' ELSE 'CROPPED' END AS reason, l.lesion AS metric
+FROM tile t JOIN tlesion l USING (z, ordinal) SEMI JOIN chosen_pos USING (z)
+UNION ALL SELECT z, 0, CASE WHEN lesion_area < 5 THEN 'AREA_TOO_SMALL' ELSE 'OVERLAP_REJECT' END, lesion_area FROM area SEMI JOIN keep USING (z) ANTI JOIN chosen_pos USING (z) WHERE gland_area > 0""")
+def decision_log_stride(spark, sf_dir):
+    return patches.decisions(raster.mask_slices(spark, sf_dir), POS)
+
+
+@query("""SELECT z, ordinal, CASE WHEN greatest(least(row0+16,50)-greatest(row0,0),0)*greatest(least(col0+16,64)-greatest(col0,0),0) = 0 THEN 'OUT_OF_BOUNDS' WHEN row0<0 OR col0<0 OR row0+16>50 OR col0+16>64 THEN 'WRONG_SIZE' ELSE 'CROPPED' END AS reason, gland_area AS metric
+FROM rwin JOIN area USING (z) SEMI JOIN chosen USING (z) UNION ALL SELECT z, 0, 'AREA_TOO_SMALL', gland_area FROM area SEMI JOIN keep USING (z) WHERE gland_area BETWEEN 1 AND 24""")
+def decision_log_random(spark, sf_dir):
+    return patches.decisions(raster.mask_slices(spark, sf_dir), RANDOM)
+
+
+@query("SELECT z, 1 AS contours, y_min, y_max, x_min, x_max FROM ext")
+def contour_extents(spark, sf_dir):
+    """The largest outline's reach, followed on the edges: one pixel before the gland's first, up to its last, as its discs are solid."""
+    got = outline.shapes(raster.mask_slices(spark, sf_dir), NEG).filter("contours > 0")
+    return got.select("z", F.least("contours", F.lit(1)).alias("contours"), "y_min", "y_max", "x_min", "x_max")
+
+
+@query()
+def center_windows_contour(spark, sf_dir):
+    """Centred windows around the simplified rectangle of the largest outline."""
+    params = Params(crop_method="center", pixel_spacing=PS, crop_image_size=24)
+    return patches.kept_windows(raster.mask_slices(spark, sf_dir), params).select("z", "row0", "col0")
+
+
+@query()
+def random_windows_hashed(spark, sf_dir):
+    """Random windows of positives, drawn by hashes that hold the case, and redrawn as the original does."""
+    params = Params(crop_method="random", patient_status="positive", tumor_label_level=1, pixel_spacing=PS, crop_image_size=SIZE, positive_draws="attempts")
+    shaped = patches.shaped(stacks.chosen(raster.mask_slices(spark, sf_dir), params), params)
+    return patches.placed(shaped, params).select("z", "ordinal", "attempts", "row0", "col0", "reason")
 
 
 def _mask_slices(spark, sf_dir):
-    got = raster.labels(spark, sf_dir).groupBy("case_id", "z").agg(F.array_sort(F.collect_list(F.struct("y", "x", "gland"))).alias("m"))
-    return got.select("case_id", "z", F.lit(H).alias("height"), F.lit(W).alias("width"), F.col("m.gland").alias("px"))
+    return raster.mask_slices(spark, sf_dir).withColumnRenamed("gland", "px")
 
 
 @query()
 def contours(spark, sf_dir):
-    return outline.outlines(_mask_slices(spark, sf_dir)).select("z", "contour", "n_points", "area", "points")
+    return outline.outlines(_mask_slices(spark, sf_dir)).select("z", "contour", "parent", "n_points", "area", "points")
 
 
 @query()
@@ -388,13 +449,13 @@ def poly_bbox(spark, sf_dir):
 
 @query()
 def bspline_resample(spark, sf_dir):
-    out = outline.spline(raster.slices(spark, sf_dir), (1.0, 1.0), 1.6)
+    out = outline.spline(raster.slices(spark, sf_dir).withColumn("spacing", F.array(F.lit(1.0), F.lit(1.0), F.lit(3.0))), 1.6)
     return out.select("z", "height", "width", F.transform("px", lambda v: F.round(v, 9)).alias("px"))
 
 
 @query()
 def png_encode(spark, sf_dir):
-    out = patches.crop(raster.labels(spark, sf_dir), [raster.slices(spark, sf_dir)], NEG, H, W)
+    out = patches.crop(raster.mask_slices(spark, sf_dir), raster.slices(spark, sf_dir), NEG)
     return images.encode(out.select("z", "ordinal", "modality", "height", "width", "gray")).select("z", "ordinal", "modality", F.sha2("content", 256).alias("sha256"))
 
 

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEIGHT, WIDTH = 50, 64
 
 
-def _masks(df: DataFrame) -> DataFrame:
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    gland = z.between(1, F.col("z_max") - 1) & ((x - 32) * (x - 32) + (y - 25) * (y - 25) <= 20 + 60 * (z % 5))
+def _labels(x: Column, y: Column, z: Column, z_max: Column) -> dict[str, Column]:
+    gland = z.between(1, z_max - 1) & ((x - 32) * (x - 32) + (y - 25) * (y - 25) <= 20 + 60 * (z % 5))
     cx = x - (34 + 4 * (z % 4))
     lesion = (z % 2 == 0) & (cx * cx + (y - 28) * (y - 28) <= 4 + 9 * (z % 4))
-    return df.withColumns({"gland": gland.cast("int"), "lesion": lesion.cast("int")})
+    return {"gland": gland.cast("int"), "lesion": lesion.cast("int")}
+
+
+def _masks(df: DataFrame) -> DataFrame:
+    return df.withColumns(_labels(F.col("x"), F.col("y"), F.col("z"), F.col("z_max")))
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a line of a slice, without its values."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.lit("fixture").alias("case_id"), F.floor(F.col("vec_id") / HEIGHT).cast("int").alias("z"), (F.col("vec_id") % HEIGHT).cast("int").alias("y"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +41,21 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mask pixels only, computed per slice without reading values: what area, overlap and window operators need."""
-    return voxels(spark, sf_dir).select("case_id", "z", "y", "x", "gland", "lesion")
+    """Mask pixels only, made from places without reading values: what area, overlap and window operators need."""
+    rows = places(spark, sf_dir)
+    top = rows.agg(F.max("z").alias("z_max"))  # one row
+    long = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("x")).join(F.broadcast(top), how="cross")
+    return _masks(long).select("case_id", "z", "y", "x", "gland", "lesion")
+
+
+def mask_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a slice with its label arrays, made from places alone; lines that a slice lacks are empty."""
+    rows = places(spark, sf_dir).groupBy("case_id", "z").agg(F.count("*").cast("int").alias("height"))
+    top = rows.agg(F.max("z").alias("z_max"))  # one row
+    pixel = F.sequence(F.lit(0), F.col("height") * WIDTH - 1)
+    label = lambda k: lambda p: _labels(p % WIDTH, F.floor(p / WIDTH).cast("int"), F.col("z"), F.col("z_max"))[k]
+    out = rows.join(F.broadcast(top), how="cross").withColumns({k: F.transform(pixel, label(k)) for k in ("gland", "lesion")})
+    return out.select("case_id", "z", "height", F.lit(WIDTH).alias("width"), "gland", "lesion")
 
 
 def slices(spark: SparkSession, sf_dir: str, modality: str = "T2W") -> DataFrame:
@@ -41,3 +63,11 @@ def slices(spark: SparkSession, sf_dir: str, modality: str = "T2W") -> DataFrame
     line = F.col("line") if modality == "T2W" else F.transform("line", lambda v: v * v) if modality == "ADC" else F.transform("line", lambda v: F.lit(1.0) - v)
     got = lines(spark, sf_dir).groupBy("case_id", "z").agg(F.array_sort(F.collect_list(F.struct("y", line.alias("line")))).alias("r"))
     return got.select("case_id", "z", F.lit(modality).alias("modality"), F.size("r").alias("height"), F.lit(WIDTH).alias("width"), F.flatten(F.col("r.line")).alias("px"))
+
+
+def modalities(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """Slices of several modalities, made from one slice row each."""
+    of = {"T2W": lambda v: v, "ADC": lambda v: v * v, "HBV": lambda v: F.lit(1.0) - v}
+    made = F.array(*[F.struct(F.lit(n).alias("modality"), F.transform("px", of[n]).alias("px")) for n in names])
+    out = slices(spark, sf_dir).select("case_id", "z", "height", "width", F.explode(made).alias("m"))
+    return out.select("case_id", "z", "m.modality", "height", "width", "m.px")

@@ -1,3 +1,5 @@
+import io
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -5,8 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from patchwell.functions import kernels as K
-from patchwell.operators import crops, masks, windows
-from patchwell.params import Params, parse
+from patchwell.operators import crops, masks, outline, stacks, windows
+from patchwell.params import Params, parse, read_keywords
+from patchwell.plans import patches, run
 from patchwell.sources import images, nifti
 
 
@@ -70,6 +73,7 @@ def test_files_round_trip(spark, tmp_path):
 def test_grid_goldens(spark, lo, hi, expected):
     ext = spark.createDataFrame([("c", 1, lo[0], hi[0], lo[1], hi[1])], "case_id string, z int, y_min int, y_max int, x_min int, x_max int")
     r = windows.grid(ext, 128, 32).head()
+    assert windows.grid(ext, 128, 32).columns[:3] == ["case_id", "z", "start_i"]
     assert (r["start_i"], r["end_i"], r["steps_i"]) == expected
     t = windows.tiles(windows.grid(ext, 128, 32), 128, 32, 400, 400).orderBy("ordinal").collect()
     assert [x["ordinal"] for x in t] == list(range(1, expected[2] ** 2 + 1))
@@ -102,3 +106,173 @@ def test_params():
     assert parse(["--keep-all-slices", "false", "--crop-method", "stride"]).keep_all_slices is False
     with pytest.raises(ValueError):
         Params(crop_method="spiral")
+
+
+def mask_rows(spark, *slices):
+    """Mask slices of one case from (gland, lesion) arrays."""
+    rows = [("c", z, *g.shape, g.ravel().astype(int).tolist(), t.ravel().astype(int).tolist()) for z, (g, t) in enumerate(slices)]
+    return spark.createDataFrame(rows, "case_id string, z int, height int, width int, gland array<int>, lesion array<int>")
+
+
+def test_areas_count_voxels_of_a_level(spark):
+    gland = np.zeros((6, 8), int)
+    gland[1:4, 1:6] = 1
+    gland[2, 2] = 2
+    lesion = np.zeros((6, 8), int)
+    lesion[2, 2], lesion[2, 3] = 3, 1
+    v = spark.createDataFrame([("c", 0, y, x, int(gland[y, x]), int(lesion[y, x])) for y in range(6) for x in range(8)], "case_id string, z int, y int, x int, gland int, lesion int")
+    assert masks.areas(v, 2).head()[2:] == (15, 1) and masks.areas(v, 2, True).head()[2:] == (15, 1) and masks.areas(v).head()[2:] == (15, 2)
+    s = mask_rows(spark, (gland, lesion))
+    got = stacks.measured(s, Params(patient_status="positive")).head()
+    assert (got["gland_area"], got["lesion_area"], got["spot_area"], got["overlap_area"], got["percent"]) == (15, 1, 2, 2, 100.0)
+    got = stacks.measured(s, Params(patient_status="positive", gland_contains_lesion=True)).head()
+    assert (got["lesion_area"], got["spot_area"], got["overlap_area"]) == (1, 1, 1)
+    got = stacks.measured(mask_rows(spark, (gland, lesion * 0)), Params(patient_status="positive")).head()
+    assert got["percent"] is None
+
+
+def test_extents_are_of_the_largest_outline(spark):
+    gland = np.zeros((40, 48), int)
+    gland[10:20, 12:22] = 1
+    gland[30, 35] = 1
+    border = np.zeros((40, 48), int)
+    border[0:12, 0:15] = 1
+    s = mask_rows(spark, (gland, gland * 0), (border, border * 0), (gland * 0, gland * 0))
+    got = {r["z"]: r for r in outline.shapes(s, Params()).collect()}
+    assert tuple(got[0][k] for k in ("y_min", "y_max", "x_min", "x_max")) == (9, 19, 11, 21)
+    assert tuple(got[0][k] for k in ("g_top", "g_bottom", "g_left", "g_right")) == (10, 30, 12, 35)
+    ys, xs = np.nonzero(K.edges(K.box_blur(border * 255)))
+    assert tuple(got[1][k] for k in ("y_min", "y_max", "x_min", "x_max")) == (ys.min(), ys.max(), xs.min(), xs.max()) and got[1]["y_min"] >= 0
+    assert got[2]["contours"] == 0 and got[2]["y_min"] is None
+    # The stray pixel is outside of the window around the largest part; at the border the window starts outside, and slicing leaves nothing of it.
+    params = Params(pixel_spacing=2.0, crop_image_size=16, keep_all_slices=True, compat="strict")
+    log = patches.decisions(s, params).orderBy("z").collect()
+    assert [(r["z"], r["reason"]) for r in log] == [(0, "NOT_CONTAINED"), (1, "OUT_OF_BOUNDS")]
+
+
+def test_outline_tree_has_holes():
+    m = np.zeros((14, 16), int)
+    m[1:12, 1:14] = 1
+    m[3:10, 3:11] = 0
+    m[5:8, 5:9] = 1
+    m[12, 15] = 1
+    found, parent = K.outline_tree(m)
+    assert parent == [-1, 0, 1, -1]
+    assert K.rect(found[0]) == (1, 1, 13, 11) and K.rect(found[1]) == (2, 2, 10, 9) and K.rect(found[2]) == (5, 5, 4, 3)
+    assert K.biggest(found) == 0 and [p.tolist() for p in K.outlines(m)] == [p.tolist() for p, q in zip(found, parent, strict=True) if q in (-1, 1)]
+    assert K.outline_tree(np.zeros((4, 4), int)) == ([], [])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_window_sums_follow_array_slices(seed):
+    rng = np.random.default_rng(seed)
+    m = rng.random((9, 11)) < 0.4
+    rows, cols, size = rng.integers(-12, 14, 40), rng.integers(-12, 14, 40), int(rng.integers(1, 7))
+    assert K.window_sums(m, rows, cols, size).tolist() == [int(m[r : r + size, c : c + size].sum()) for r, c in zip(rows.tolist(), cols.tolist(), strict=True)]
+
+
+def test_nearest_takes_the_pixel_that_is_nearest(spark):
+    img = np.arange(35.0).reshape(5, 7)
+    s = spark.createDataFrame([("c", 0, 5, 7, [0.5, 1.0, 3.0], img.ravel().tolist())], "case_id string, z int, height int, width int, spacing array<double>, px array<double>")
+    got = outline.nearest(s, 0.8, fill=-1.0).head()
+    h, w = round(5 * 1.0 / 0.8), round(7 * 0.5 / 0.8)
+    want = [img[y, x] if y < 5 and x < 7 else -1.0 for y in (int(np.floor(i * 0.8 / 1.0 + 0.5)) for i in range(h)) for x in (int(np.floor(j * 0.8 / 0.5 + 0.5)) for j in range(w))]
+    assert (got["height"], got["width"], got["px"], got["spacing"]) == (h, w, want, [0.8, 0.8, 3.0])
+
+
+def test_random_windows_of_positives(spark):
+    gland, lesion = disc(60, 64, 30, 32, 500).astype(int), disc(60, 64, 34, 30, 60).astype(int)
+    s = stacks.measured(mask_rows(spark, (gland, lesion * 2)), Params(patient_status="positive"))
+    common = {"crop_method": "random", "patient_status": "positive", "crop_image_size": 16, "sample_number": 12}
+    for draws in ("acceptable", "attempts"):
+        got = windows.sampled(s, Params(**common, positive_draws=draws), 20).collect()
+        assert [r["ordinal"] for r in got] == list(range(int(gland.sum() / 256 * 12)))
+        assert got == windows.sampled(s, Params(**common, positive_draws=draws), 20).collect()
+        assert all(lesion[r["row0"] : r["row0"] + 16, r["col0"] : r["col0"] + 16].sum() >= 20 for r in got)
+        assert got != windows.sampled(s, Params(**common, positive_draws=draws, seed=1), 20).collect()
+    assert {r["attempts"] for r in got} > {1} and max(r["attempts"] for r in got) < 100
+    none = windows.sampled(s, Params(**common, positive_draws="attempts"), 10**6).collect()
+    assert {r["attempts"] for r in none} == {windows.ATTEMPTS} and windows.sampled(s, Params(**common), 10**6).count() == 0
+    other = s.withColumn("case_id", F.lit("d"))
+    assert [r["row0"] for r in windows.sampled(other, Params(**common), 20).collect()] != [r["row0"] for r in windows.sampled(s, Params(**common), 20).collect()]
+
+
+def test_image_files_open_elsewhere(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    smooth = (np.add.outer(np.arange(37), 2 * np.arange(50)) % 200 + rng.integers(0, 3, (37, 50))).astype(np.uint8)
+    for name, make in (("a.png", images.png), ("a.jpg", images.jpeg)):
+        (tmp_path / name).write_bytes(make(smooth))
+    got = {r["image"]["origin"].rpartition(".")[2]: r["image"] for r in spark.read.format("image").load(str(tmp_path)).collect()}
+    for kind, off in (("png", 0), ("jpg", 6)):
+        assert (got[kind]["height"], got[kind]["width"], got[kind]["nChannels"]) == (37, 50, 1)
+        assert np.abs(np.frombuffer(got[kind]["data"], np.uint8).reshape(37, 50).astype(int) - smooth).max() <= off
+
+
+@pytest.mark.parametrize("kind, status, method, sequence", [("npy", "positive", "stride", "bpMRI"), ("png", "negative", "center", "bpMRI"), ("jpg", "negative", "random", "T2W"), ("tiff", "positive", "center", "T2W")])
+def test_from_volume_files_to_crop_files(spark, tmp_path, kind, status, method, sequence):
+    rng = np.random.default_rng(6)
+    gland, lesion = np.zeros((5, 60, 64), np.uint8), np.zeros((5, 60, 64), np.uint8)
+    gland[1:4], lesion[2:4] = disc(60, 64, 30, 32, 144), 2 * disc(60, 64, 33, 30, 30)
+    vol = {m: rng.integers(0, 300, (5, 60, 64)).astype(np.int16) for m in ("T2W", "ADC", "HBV")}
+    for m, v in {**vol, "gland": gland, "lesion": lesion}.items():
+        (tmp_path / m).mkdir()
+        for case in ("101_7", "102_8"):
+            (tmp_path / m / f"{case}_{m}.nii.gz").write_bytes(nifti.encode_nifti(v, (2.0, 2.0, 3.0)))
+    params = Params(crop_method=method, patient_status=status, sequence_type=sequence, pixel_spacing=2.0, crop_image_size=30 if method == "center" else 16, crop_stride=8, saved_image_type=kind)
+    out = run.run(spark, params, {m: str(tmp_path / m) for m in vol}, str(tmp_path / "gland"), str(tmp_path / "lesion"), str(tmp_path / "out")).collect()
+    assert out and {r["modality"] for r in out} == set(params.modalities) and {r["case_id"] for r in out} == {"101", "102"}
+    assert {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*")} == {r["file"] for r in out}
+    for r in out:
+        order = (r["row0"], r["col0"]) if method == "stride" else (r["col0"], r["row0"])
+        number = "" if method == "center" else f"_{r['ordinal']}"
+        study = {"101": "7", "102": "8"}[r["case_id"]]
+        assert r["file"] == f"{r['case_id']}_{study}/{sequence}_slice_{r['z']}_of_5{number}_cord_{order[0]}_{order[1]}_{r['modality']}.{kind}"
+        want = vol[r["modality"]][r["z"], r["row0"] : r["row0"] + r["height"], r["col0"] : r["col0"] + r["width"]]
+        data = (tmp_path / "out" / r["file"]).read_bytes()
+        if kind == "npy":
+            assert np.allclose(np.load(io.BytesIO(data)), want)
+        elif kind == "png":
+            top = 242 if r["modality"] == "T2W" else np.percentile(vol[r["modality"]], 99.5)
+            assert (images.read_png(data) == np.clip(np.floor(256 * np.round(want.astype(float), 6) / top), 0, 255)).mean() > 0.99
+    assert all(r["z"] in ((2, 3) if status == "positive" else (2, 3)) for r in out)
+
+
+def test_command(spark, tmp_path, capsys):
+    from patchwell import __main__ as command
+
+    gland = np.zeros((4, 40, 40), np.uint8)
+    gland[1:3] = disc(40, 40, 20, 20, 100)
+    for name, v in (("t2", np.arange(6400).reshape(4, 40, 40).astype(np.int16)), ("seg", gland)):
+        (tmp_path / f"5_6_{name}.nii.gz").write_bytes(nifti.encode_nifti(v, (2.0, 2.0, 3.0)))
+    where = {"orig-img-path-t2w": "5_6_t2.nii.gz", "seg-img-path": "5_6_seg.nii.gz", "path-to-save": "out"}
+    argv = [x for k, v in where.items() for x in ("--" + k, str(tmp_path / v))] + ["--pixel-spacing", "2", "--crop-image-size", "26", "--saved-image-type", "tiff"]
+    assert command.main(argv) == 0 and "1 files" in capsys.readouterr().out
+    assert [p.suffix for p in (tmp_path / "out").rglob("*.*")] == [".tiff"]
+
+
+def test_keywords_of_an_ini_file(spark, tmp_path):
+    (tmp_path / "config.ini").write_text("[config]\nT2W = NormT2WI\nHBV = b1500\n")
+    assert read_keywords(str(tmp_path / "config.ini")) == {"T2W": "NormT2WI", "ADC": "ADC", "HBV": "b1500"}
+    assert parse(["--config", str(tmp_path / "config.ini")]).keywords["T2W"] == "NormT2WI"
+    df = spark.createDataFrame([("1_2_NormT2WI",), ("1_2_b1500",), ("1_2_x",)], "name string")
+    assert [r[0] for r in df.select(crops.route(F.col("name"), read_keywords(str(tmp_path / "config.ini")))).collect()] == ["T2W", "HBV", None]
+
+
+def test_strict_begins_with_the_first_filled_slice(spark):
+    g = disc(20, 20, 10, 10, 40).astype(int)
+    s = mask_rows(spark, (g * 0, g * 0), (g, g * 0), (g * 0, g * 0), (g, g * 0))
+    kept = lambda **p: [r["z"] for r in stacks.in_range(stacks.measured(s, Params(**p)), Params(**p)).orderBy("z").collect()]
+    assert kept() == [2, 3] and kept(compat="strict") == [1, 2, 3] and kept(keep_all_slices=False, compat="strict") == []
+
+
+def test_tiles_are_clipped_by_their_grid(spark):
+    g = np.zeros((50, 64), int)
+    g[30:49, 40:63] = 1
+    s = mask_rows(spark, *[(g, g * 0)] * 3)
+    base = {"crop_method": "stride", "pixel_spacing": 2.0, "crop_image_size": 16, "crop_stride": 8}
+    part = patches.kept_windows(s, Params(**base, sequence_type="bpMRI")).collect()
+    whole = patches.kept_windows(s, Params(**base)).collect()
+    assert any(r["height"] < 16 or r["width"] < 16 for r in part) and all((r["height"], r["width"]) == (16, 16) for r in whole) and len(whole) < len(part)
+    reasons = {r["reason"] for r in patches.decisions(s, Params(**base)).collect()}
+    assert reasons == {"CROPPED", "WRONG_SIZE"}
