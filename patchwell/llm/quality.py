@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import mapped, store, tree_sum
+from .scratch import mapped, squeezed, store, tree_sum
 
 FEATURES = 256
 FOLDS = 5
@@ -111,7 +111,7 @@ def _summed(rows: DataFrame, fn) -> np.ndarray | None:
                 x = fn(pdf)
                 total = x if total is None else total + x
         if total is not None:
-            yield pd.DataFrame({"slot": [TaskContext.get().partitionId()], "blob": [total.tobytes()]})
+            yield pd.DataFrame({"slot": [TaskContext.get().partitionId()], "blob": [squeezed(total)]})
 
     return tree_sum(store(rows.mapInPandas(run, "slot int, blob binary"), "sums"), "float64")
 

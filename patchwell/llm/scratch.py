@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset, one of our own."""
+    """The cluster's shared folder; one of our own only where it is unset and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -57,27 +61,37 @@ def crc(col: str):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
-def tree_sum(blobs: DataFrame, dtype: str, fan_in: int = 16, keep: int = 16) -> np.ndarray | None:
-    """Sum equal-shaped arrays, one ``(slot int, blob binary)`` row per partition.
+def squeezed(a: np.ndarray) -> bytes:
+    """An array's bytes, compressed plane by plane: counts are mostly small, so their upper bytes are alike."""
+    return zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes(), 1)
 
-    Levels of at most ``fan_in`` arrays a group run until ``keep`` groups are
-    left; only those reach the driver, so its memory depends on the array alone.
+
+def unsqueezed(data: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def tree_sum(blobs: DataFrame, dtype: str, fan_in: int = 16) -> np.ndarray | None:
+    """Sum equal-shaped arrays, ``(slot int, blob binary)`` rows of ``squeezed`` arrays, one a partition; a slot is a partition's number.
+
+    Levels of at most ``fan_in`` arrays a group run until ``fan_in`` are left;
+    only those reach the driver, so its memory depends on the array alone.
     """
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.frombuffer(pdf["blob"].iloc[0], dtype).copy()
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = unsqueezed(pdf["blob"].iloc[0], dtype)
         for b in pdf["blob"].iloc[1:]:
-            total += np.frombuffer(b, dtype)
-        return pd.DataFrame({"slot": [int(pdf["slot"].iloc[0]) // fan_in], "blob": [total.tobytes()]})
+            total += unsqueezed(b, dtype)
+        return pd.DataFrame({"slot": [key[0]], "blob": [squeezed(total)]})
 
-    n = max(1, blobs.rdd.getNumPartitions())
-    while n > keep:
-        blobs = blobs.groupBy((F.col("slot") / fan_in).cast("int").alias("g")).applyInPandas(lambda k, p: add(p), "slot int, blob binary")
+    n = (blobs.agg(F.max("slot")).head()[0] or 0) + 1
+    while n > fan_in:
+        blobs = blobs.groupBy((F.col("slot") / fan_in).cast("int").alias("g")).applyInPandas(add, "slot int, blob binary")
         n = -(-n // fan_in)
     total = None
     for row in blobs.toLocalIterator():
-        x = np.frombuffer(row["blob"], dtype)
-        total = x.copy() if total is None else total + x
+        x = unsqueezed(row["blob"], dtype)
+        total = x if total is None else total + x
     return total
 
 

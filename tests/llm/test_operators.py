@@ -89,8 +89,7 @@ def test_one_of_each_keeps_one_row_a_component(spark):
     assert {r["text"] for r in got} & {b, b + " tail"}
 
 
-def test_ngram_join_with_chains_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT", 4)
+def chains():
     rng, rows = random.Random(9), []
     for g in range(6):
         words = [f"g{g}w{rng.randrange(40)}" for _ in range(70)]
@@ -98,6 +97,48 @@ def test_ngram_join_with_chains_of_near_copies(spark, monkeypatch):
             for _ in range(rng.choice((0, 1, 2, 3))):
                 words[rng.randrange(len(words))] = f"e{rng.random()}"
             rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"CELL": 400, "WHOLE": 3}, {"HOT": 1, "CELL": 900}, {"FEW": 0, "WHOLE": 1}])
+def test_ngram_join_with_chains_of_near_copies(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(ngram_join, k, v)
+    rows = chains()
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
+def test_cells_hold_every_pair_of_different_components_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 60)
+    rng = random.Random(3)
+    rows = [(g, 100 * g + i, rng.randrange(1, 20), min(i, 100) if rng.random() < 0.4 else 0) for g in range(5) for i in range(30)]
+    cells = ngram_join.open_cells(spark.createDataFrame(rows, "grp long, cls long, n int, comp long")).collect()
+    held = collections.defaultdict(dict)
+    for r in cells:
+        held[r["grp"], r["cell"]["i"], r["cell"]["j"]][r["cls"]] = r["cell"]["side"]
+    met = collections.Counter((min(a, b), max(a, b)) for c in held.values() for a, x in c.items() for b, y in c.items() if a < b and (x < 0 or y < 0 or x != y))
+    want = {(a, b) for g, a, _, p in rows for h, b, _, q in rows if g == h and a < b and p != q}
+    assert want <= set(met) and all(met[p] == 1 for p in want)
+
+
+def test_packed_sets_come_back():
+    for n in (1, 2, 255, 4000, 9000):
+        s = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * 2)
+        assert (ngram_join.unpack(ngram_join.pack(s), len(s)) == (s >> np.uint64(24)).astype(np.int64)).all()
+        for width in (ngram_join.POINT, ngram_join.WIDE)[: 1 + (n >= ngram_join.WIDE)]:
+            assert (ngram_join.points([ngram_join.point(s)], width)[0] == np.bincount((s >> np.uint64(24)).astype(np.int64) % width, minlength=width)).all()
+
+
+def test_ngram_join_of_long_texts(spark):
+    rng, rows = random.Random(2), []
+    for g in range(3):
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(6000)]
+        for share in (0, 0, 0.01, 0.02, 0.05, 0.2):
+            again = [w if rng.random() > share else f"e{rng.random()}" for w in words]
+            rows.append((len(rows), " ".join(again[: len(words) - rng.randrange(3)])))
+    # A passage that all share ties their groups together, so the bounds are tried.
+    rows = [(i, t + " shared" * 3 + " ".join(f"p{k}" for k in range(4000))) for i, t in rows]
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
@@ -105,14 +146,15 @@ def test_ngram_join_with_chains_of_near_copies(spark, monkeypatch):
 @pytest.mark.parametrize("seed", range(30))
 def test_rtree_leaves_out_no_pair(seed):
     rng = np.random.default_rng(seed)
-    base = rng.poisson(rng.choice((0.3, 2)), (rng.integers(1, 6), ngram_join.GROUPS))
-    vec = np.maximum(0, base[rng.integers(0, len(base), 60)] + rng.integers(-1, 2, (60, ngram_join.GROUPS)) * (rng.random((60, ngram_join.GROUPS)) < 0.1)).astype(np.int32)
+    base = rng.poisson(rng.choice((0.3, 2)), (rng.integers(1, 6), 128))
+    vec = np.maximum(0, base[rng.integers(0, len(base), 60)] + rng.integers(-1, 2, (60, 128)) * (rng.random((60, 128)) < 0.1)).astype(np.int32)
     n = np.maximum(1, vec.sum(axis=1)).astype(np.int64)
-    a, b, _ = ngram_join.RTree(vec, n).pairs()
-    got = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    comp = rng.integers(0, rng.choice((2, 60)), 60)
+    runs = list(ngram_join.RTree(vec, n, comp).pairs())
+    got = {(min(p), max(p)) for a, b in runs for p in zip(a.tolist(), b.tolist(), strict=True)}
     for i in range(60):
         for j in range(i):
-            if 7 * np.minimum(vec[i], vec[j]).sum() >= 3 * (n[i] + n[j]) and 4 * n[i] >= 3 * n[j] and 4 * n[j] >= 3 * n[i]:
+            if comp[i] != comp[j] and 7 * np.minimum(vec[i], vec[j]).sum() >= 3 * (n[i] + n[j]) and 4 * n[i] >= 3 * n[j] and 4 * n[j] >= 3 * n[i]:
                 assert (j, i) in got
 
 
