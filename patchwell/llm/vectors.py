@@ -13,6 +13,8 @@ force over the whole table.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,6 +28,8 @@ PARTS, CODES = 16, 256
 #: Entries that a query's lists hold together at least.
 LEAST = 200
 TRIALS, RECALL = 200, 0.98
+#: Lists for each square root of the entries: finer ones are probed in a smaller share of the table.
+FINE = 4
 #: Entries of one list that a task holds, and components of their vectors; longer lists are dealt out.
 LIST_PART, LIST_VALUES = 50_000, 8_000_000
 
@@ -95,11 +99,22 @@ class Quantiser:
         return order[: max(probes or self.probes, enough)]
 
     def settle(self, qs: list[np.ndarray], truth: list[np.ndarray], size: np.ndarray) -> None:
-        """The fewest probes (a power of two) with which the lists of the true neighbours are probed to ``RECALL``; all lists lose none."""
-        probes, total = 1, sum(map(len, truth))
-        while probes < len(self.coarse) and sum(int(np.isin(t, self.probed(q, size, probes)).sum()) for q, t in zip(qs, truth, strict=True)) < RECALL * total:
-            probes *= 2
-        self.probes = min(probes, len(self.coarse))
+        """The fewest probes with which the lists of the true neighbours are probed to ``RECALL``; all lists lose none.
+
+        Vectors without any grouping need many; a warning says so where it is
+        more than half of the lists.
+        """
+        place = []
+        for q, t in zip(qs, truth, strict=True):
+            order = ((self.coarse - q) ** 2).sum(axis=1).argsort(kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            enough = int(np.searchsorted(np.cumsum(size[order]), LEAST)) + 1
+            place.append(np.where(rank[t] < enough, 0, rank[t]))
+        place = np.sort(np.concatenate(place)) if place else np.zeros(0, np.int64)
+        self.probes = int(place[min(len(place) - 1, int(np.ceil(RECALL * len(place))) - 1)]) + 1 if len(place) else len(self.coarse)
+        if self.probes > max(8, len(self.coarse) // 2):
+            warnings.warn(f"{self.probes} of {len(self.coarse)} lists are probed: these vectors have hardly any groups", stacklevel=2)
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -139,7 +154,7 @@ def search(table: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
     n = entries.count()
     drawn = entries.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(np.ceil(min(1.0, SAMPLE / n) * (1 << 20)))).select("vec").limit(2 * SAMPLE).toPandas()["vec"]
     sample = np.frombuffer(b"".join(drawn if len(drawn) else entries.limit(1000).toPandas()["vec"]), np.float64).reshape(-1, size["d"])
-    quant = Quantiser(sample, max(1, min(int(np.sqrt(n)), 8192, len(sample) // 4 or 1)))
+    quant = Quantiser(sample, max(1, min(FINE * int(np.sqrt(n)), 8192, len(sample) // 4 or 1)))
     shared = spark.sparkContext.broadcast(quant)  # bounded by the sample and 8192 lists
 
     def assign(batches):
@@ -155,7 +170,7 @@ def search(table: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
         sizes[r["list"]] = r["count"]
     held = max(1, min(LIST_PART, LIST_VALUES // size["d"]))
     parts = np.maximum(1, -(-sizes // held))
-    spread = max(8, int(sizes.sum()) // held)
+    spread = max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), int(sizes.sum()) // held)
     asked = good.filter(F.col("vec_id") % every == 0)
     trial = [np.asarray(r["embedding"], np.float64) for r in asked.orderBy(F.xxhash64("vec_id", "embedding")).limit(TRIALS).collect()]
 
@@ -203,9 +218,11 @@ def search(table: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
 
     # As many groups as the index needs, whatever the partitions: each returns its own best entries of a query.
     deal = lambda: F.pmod(F.xxhash64("list", "part"), F.lit(spread)).cast("int").alias("deal")
-    part_of = F.element_at(F.array(*[F.lit(int(p)) for p in sorted({*parts.tolist()})]), 1) if len({*parts.tolist()}) == 1 else F.create_map(*[F.lit(int(x)) for k, p in enumerate(parts) for x in (k, p)])[F.col("list")]
-    left = asked.mapInPandas(route, "query_id long, q binary, list int, part int").select("*", deal())
-    right = index.withColumn("part", F.pmod(F.xxhash64("cid"), part_of).cast("int")).select("*", deal())
+    long = {int(k): int(parts[k]) for k in np.flatnonzero(parts > 1)}
+    split = index.withColumn("parts", F.lit(1)) if not long else index.join(F.broadcast(spark.createDataFrame(list(long.items()), "list int, parts int")), "list", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # at most a row a list
+    # Explicit partitions: groups are few and small, but their work is not, so they are not put together.
+    left = asked.mapInPandas(route, "query_id long, q binary, list int, part int").select("*", deal()).repartition(spread, "deal")
+    right = split.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).drop("parts").select("*", deal()).repartition(spread, "deal")
     near = left.groupBy("deal").cogroup(right.groupBy("deal")).applyInPandas(rank, "query_id long, q binary, cid long, vec binary, score double")
     scored = near.join(entries.select("vec", "ids"), "vec")
     each = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
