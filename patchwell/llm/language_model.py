@@ -1,128 +1,120 @@
-"""Katz backoff scores of documents, with every count gathered from the corpus.
-
-Tokens are words and one end a document. Every bigram, those seen once included,
-keeps a Good-Turing discounted share of its context's count; the rest of a
-context's mass goes to the unigrams that do not follow it there, by a weight that
-makes the whole sum to one exactly: ``alpha = (1 - sum p(w|h)) / (1 - sum p(w))``
-over the ``w`` that do. Unigrams are discounted likewise, and what that frees is
-the probability of a word never seen.
-
-Counts, weights and probabilities are tables, partitioned by key. A shard of
-documents asks for the entries of its own distinct tokens and bigrams and gets
-those back, so no task holds a table and no entry is sent twice to a shard. A bit
-table of fixed size keeps most bigrams without an entry from being asked for.
+"""Katz backoff scores of documents by a trigram model, with every count gathered from the corpus.
+
+Tokens are words and one end a document; ``a b c`` is a token with the two before
+it. Counts of trigrams, bigrams and words are Good-Turing discounted, those of
+every size being kept. What discounting frees of a context goes to the tokens
+that do not follow it, in proportion to the next lower order, by a weight that
+makes the whole sum to one exactly: ``(1 - sum p(c|ab)) / (1 - sum p(c|b))`` over
+the ``c`` that do follow, and so on down to words, where it is the probability of
+a word never seen. A token's probability is evaluated by that recursion.
+
+1. *Words.* Every training word is counted. The commonest ``TOP`` have numbers by
+   rank, which a table of fixed size tells every task.
+2. *N-grams.* Every token goes with its context and its document to the shard of
+   its middle word ``b``, in compressed runs. A shard so holds every trigram and
+   bigram around its words, with all that their discounts, totals and backoff
+   weights are made of. Shards are a stored table, read for the frequencies of
+   frequencies and then once more to score.
+3. *What a shard lacks* is brought to it: the counts of rare words (a small part
+   of all tokens), and, as a middle word may hold a third of all tokens, shards
+   of words over ``HOT`` are split by ``a`` and get the bigram counts of the whole.
+4. *Scores.* A shard adds up each document's part; parts are summed by document.
+
+Equal texts are one document with a weight in each task's run.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, small_batches, split_batches, store
+from .scratch import drop, mapped, small_batches, split_batches, squeezed, store, unsqueezed
 from .words import SPACED, mix, word_hashes
 
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: Good-Turing discounts apply up to this count.
 K = 5
-#: What larger bigram counts lose, so that every context leaves some mass to backoff.
+#: What larger n-gram counts lose, so that every context leaves some mass to backoff.
 ABOVE = 0.1
-#: Tokens that a task counts before it sends them on.
-RUN = 4_000_000
-#: Rows of a file, or documents by hash, that are scored together.
-SHARD_ROWS = 1000
-BITS = 26
+#: Tokens that a task holds before it sends them on, and those of a shard.
+RUN, SHARD = 4_000_000, 5_000_000
+#: Words with a number of their own.
+TOP = 1 << 21
+#: A middle word of more training tokens is split.
+HOT = 8_000_000
 _U = np.uint64
+_I = np.int64
 
 
 def pair(ctx: np.ndarray, tok: np.ndarray) -> np.ndarray:
     return mix(ctx * _U(0x9E3779B97F4A7C15) + mix(tok))
 
 
-def tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens with ends, the token before each, and each text's first index (one more than texts)."""
+def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens with ends, and each text's first index (one more than texts)."""
     h, first = word_hashes(texts, SPACED)
     n = len(first) - 1
     out = np.full(len(h) + n, END, np.uint64)
-    doc = np.repeat(np.arange(n), np.diff(first))
-    out[np.arange(len(h)) + doc] = h
-    begins = first + np.arange(n + 1)
-    before = np.append(BEGIN, out[:-1]) if len(out) else out
-    before[begins[:-1]] = BEGIN
-    return out, before, begins
-
-
-def _dealt(keys: np.ndarray, buckets: int):
-    """``(bucket, indices in order)`` of every bucket that has keys."""
-    to = (keys.view(np.int64) % buckets).astype(np.int32)  # as pmod
-    order = np.argsort(to, kind="stable")
-    cut = np.flatnonzero(np.diff(to[order], prepend=-1))
-    for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
-        yield int(to[order[a]]), order[a:b]
+    out[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))] = h
+    return out, first + np.arange(n + 1)
+
+
+def runs(batches, size: int):
+    """Different texts of about ``size`` tokens together: tokens, first indices, keys, and how many of each are training rows."""
+    held: dict[int, list] = {}
+    parts, total = [], 0
+
+    def flush():
+        first = np.cumsum([0, *(len(p) for p in parts)])
+        return np.concatenate(parts), first, np.fromiter(held, _I, len(held)), np.array([held[k][0] for k in held], _I)
+
+    for pdf in split_batches(batches):
+        new = ~pdf["key"].duplicated() & ~pdf["key"].isin(list(held))
+        tok, first = tokens(pdf.loc[new, "text"])
+        for k, a, b in zip(pdf.loc[new, "key"].tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+            held[k] = [0]
+            parts.append(tok[a:b])
+            total += b - a
+        for k in pdf.loc[pdf["learns"], "key"].tolist():
+            held[k][0] += 1
+        if total >= size:
+            yield flush()
+            held, parts, total = {}, [], 0
+    if held:
+        yield flush()
+
+
+def _groups(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal keys begins and ends."""
+    if not len(sorted_keys):
+        return []
+    cut = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])).tolist()
+    return list(zip(cut, [*cut[1:], len(sorted_keys)], strict=True))
+
+
+def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """``(key, c)`` of every training word, ends included."""
 
+    def run(batches):
+        for tok, first, _, weight in runs(batches, RUN):
+            use = np.repeat(weight, np.diff(first))
+            voc, at = np.unique(tok, return_inverse=True)
+            n = np.bincount(at, use).astype(_I)
+            voc, n = voc[n > 0], n[n > 0]
+            to = (mix(voc) % _U(buckets)).astype(_I)
+            order = np.argsort(to, kind="stable")
+            rows = [(int(to[order[a]]), squeezed(np.diff(voc[order[a:b]], prepend=_U(0))), squeezed(n[order[a:b]])) for a, b in _groups(to[order])]
+            yield pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
 
-def counts(train: DataFrame, buckets: int) -> DataFrame:
-    """``(kind, key, ctx, tok, c)``: all unigrams (kind 0), all bigrams (1), and how many
-    unigrams (2) and bigrams (3) occur ``key`` times, for small ``key``."""
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.cumsum(unsqueezed(b, "uint64"), dtype=np.uint64) for b in pdf["keys"]])
+        voc, at = np.unique(keys, return_inverse=True)
+        return pd.DataFrame({"key": voc.view(_I), "c": np.bincount(at, np.concatenate([unsqueezed(b, "int64") for b in pdf["counts"]])).astype(_I)})
 
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            tok, ctx = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            voc, t = np.unique(tok, return_inverse=True)
-            n = np.bincount(t, minlength=len(voc))
-            for to, at in _dealt(voc, buckets):
-                yield 0, to, voc[at].tobytes() + n[at].astype(np.uint32).tobytes()
-            # Every segment begins with a text, so a token that is not first follows the one before it.
-            c = np.where(ctx == BEGIN, len(voc), np.append(0, t[:-1]))
-            both, n = np.unique(c * (len(voc) + 1) + t, return_counts=True)
-            c, t = np.divmod(both, len(voc) + 1)
-            voc = np.append(voc, BEGIN)
-            for to, at in _dealt(pair(voc[c], voc[t]), buckets):
-                used = np.unique(np.concatenate([c[at], t[at]]))
-                steps = np.diff(np.searchsorted(used, c[at]), prepend=0)  # contexts ascend
-                rest = np.concatenate([steps, np.searchsorted(used, t[at]), n[at]]).astype(np.uint32)
-                yield 1, to, np.uint64(len(used)).tobytes() + voc[used].tobytes() + rest.tobytes()
-
-        for pdf in split_batches(batches):
-            tok, ctx, _ = tokens(pdf["text"])
-            held.append((tok, ctx))
-            size += len(tok)
-            if size >= RUN:
-                yield pd.DataFrame(list(flush()), columns=["kind", "bucket", "blob"])
-                held, size = [], 0
-        if size:
-            yield pd.DataFrame(list(flush()), columns=["kind", "bucket", "blob"])
-
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, toks, ctxs, cs = key[0], [], [], []
-        for b in pdf["blob"]:
-            if kind == 0:
-                n = len(b) // 12
-                toks.append(np.frombuffer(b, np.uint64, n))
-                ctxs.append(toks[-1])
-                cs.append(np.frombuffer(b, np.uint32, n, 8 * n))
-            else:
-                used = int(np.frombuffer(b, np.uint64, 1)[0])
-                voc = np.frombuffer(b, np.uint64, used, 8)
-                steps, t, c = np.frombuffer(b, np.uint32, -1, 8 + 8 * used).reshape(3, -1)
-                toks.append(voc[t])
-                ctxs.append(voc[np.cumsum(steps)])
-                cs.append(c)
-        tok, ctx, c = np.concatenate(toks), np.concatenate(ctxs), np.concatenate(cs)
-        del toks, ctxs, cs
-        k = pair(ctx, tok) if kind else tok
-        _, at, inv = np.unique(k, return_index=True, return_inverse=True)
-        total = np.bincount(inv, c).astype(np.int64)
-        r = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2]
-        out = pd.DataFrame({"kind": kind, "key": k[at].view(np.int64), "ctx": ctx[at].view(np.int64), "tok": tok[at].view(np.int64), "c": total})
-        return pd.concat([out, pd.DataFrame({"kind": kind + 2, "key": np.arange(1, K + 2), "ctx": 0, "tok": 0, "c": r})])
-
-    small_batches(train.sparkSession)
-    blobs = train.select("text").mapInPandas(run, "kind int, bucket int, blob binary")
-    return store(blobs.groupBy("kind", "bucket").applyInPandas(merge, "kind int, key long, ctx long, tok long, c long"), "counts")
+    blobs = docs.select("text", "key", "learns").mapInPandas(run, "bucket int, keys binary, counts binary")
+    return store(blobs.groupBy("bucket").applyInPandas(merge, "key long, c long"), "words")
 
 
 def discounts(n: dict[int, int]) -> dict[int, float]:
@@ -136,183 +128,321 @@ def discounts(n: dict[int, int]) -> dict[int, float]:
     return out
 
 
-def _discounted(d: dict[int, float], above: float = 0.0):
+def discounted(c: np.ndarray, d: dict[int, float], above: float = 0.0) -> np.ndarray:
     """Discounted counts; those over ``K`` lose ``above``."""
-    c = F.col("c")
-    out = F.when(c == 1, F.lit(d[1]))
-    for r in range(2, K + 1):
-        out = out.when(c == r, F.lit(d[r]))
-    return F.when(c > K, c - above).otherwise(c * out.otherwise(F.lit(1.0)))
+    by = np.array([0.0] + [d[r] for r in range(1, K + 1)])
+    return np.where(c > K, c - above, c * by[np.minimum(c, K).astype(_I)])
 
 
-def _shares(c: np.ndarray, d: dict[int, float], above: float = 0.0) -> np.ndarray:
-    """``_discounted`` for arrays of counts of at least 1."""
-    by = np.array([1.0] + [d[r] for r in range(1, K + 1)])
-    return np.where(c > K, c - above, c * by[np.minimum(c, K).astype(np.int64)])
-
-
-class Model:
-    """Totals, discounts, and the two tables: ``words`` (key, c, lp, la) and ``pairs`` (key, lp).
-
-    Scoring moves counts only, ``kept`` (key, c) for bigrams: ``p = discounted(c) * scale``, ``q = discounted(c) / c(context)``.
-    """
+class Words:
+    """The commonest words by rank, and the totals that a word's probability is made of."""
 
-    def __init__(self, train: DataFrame):
-        spark = train.sparkSession
-        self.buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        got = counts(train, self.buckets)
-        total = got.filter("kind = 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("tok") == 1, F.col("c"))).alias("docs")).head()
-        self.n, self.v, docs = total["n"] or 0, total["v"], total["docs"] or 0
-        freq: dict[int, dict[int, int]] = {2: {}, 3: {}}
-        for r in got.filter("kind >= 2").groupBy("kind", "key").agg(F.sum("c").alias("c")).collect():  # K + 1 rows each
-            freq[r["kind"]][r["key"]] = r["c"]
-        d1, d2 = discounts(freq[2]), discounts(freq[3])
+    def __init__(self, table: DataFrame, top: int, hot: int):
+        total = table.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("key") == 1, F.col("c"))).alias("docs")).head()
+        self.n, self.v, self.docs = total["n"] or 0, total["v"], total["docs"] or 0
+        small = {r["c"]: r["count"] for r in table.filter(F.col("c") <= K + 1).groupBy("c").count().collect()}  # K + 1 rows
+        self.d1 = discounts(small)
         n = float(max(1, self.n))
-        free = sum(freq[2].get(r, 0) * r * (1 - d1[r]) for r in range(1, K + 1)) / n if self.n else 1.0
+        free = sum(small.get(r, 0) * r * (1 - self.d1[r]) for r in range(1, K + 1)) / n if self.n else 1.0
         # Without any count to discount, a word never seen gets half a count.
         self.unseen = free if free > 0 else 0.5 / (n + 0.5)
-        scale = (1 - self.unseen) / (1 - free) if free < 1 else 0.0
-        self.d1, self.d2, self.docs, self.scale = d1, d2, docs, scale / n
-        uni = got.filter("kind = 0").select("tok", "c", (_discounted(d1) * (scale / n)).alias("p"))
-        self.kept = got.filter("kind = 1").select("key", "c")
-        size = uni.select(F.col("tok").alias("ctx"), F.col("c").alias("h")).union(spark.range(1).select(F.lit(2).cast("long"), F.lit(docs).cast("long")))
-        bi = got.filter("kind = 1").select("ctx", "tok", _discounted(d2, ABOVE).alias("q")).join(uni.select("tok", "p"), "tok")
-        mass = bi.groupBy("ctx").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).join(size, "ctx")
-        weight = store(mass.select("ctx", F.log10(F.greatest((1 - F.col("q") / F.col("h")) / (1 - F.col("p")), F.lit(1e-300))).alias("la")), "weights")
-        begin = weight.filter("ctx = 2").head()
-        self.begin = begin["la"] if begin else 0.0
-        words = uni.join(weight, uni["tok"] == weight["ctx"], "left")
-        words = store(words.select(F.col("tok").alias("key"), "c", F.coalesce("la", F.lit(0.0)).alias("la")), "words")
-        drop(weight)
-        self.words = words.select("key", "c", F.log10(_discounted(d1) * (scale / n)).alias("lp"), "la")
-        self.pairs = got.filter("kind = 1").join(size, "ctx").select("key", F.log10(_discounted(d2, ABOVE) / F.col("h")).alias("lp"))
-        self.seen = self._bits()
-
-    def _bits(self) -> np.ndarray:
-        def mark(batches):
-            a = np.zeros(1 << (BITS - 3), np.uint8)
-            for pdf in batches:
-                at = (mix(pdf["key"].to_numpy(np.int64).view(np.uint64)) >> _U(64 - BITS)).astype(np.int64)
-                np.bitwise_or.at(a, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            yield pd.DataFrame({"blob": [a.tobytes()]})
-
-        out = np.zeros(1 << (BITS - 3), np.uint8)
-        for r in self.kept.select("key").coalesce(12).mapInPandas(mark, "blob binary").toLocalIterator():  # 8 MB each
-            out |= np.frombuffer(r["blob"], np.uint8)
-        return out
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` of every row; ``base_score`` is the add-half unigram one.
-
-    A null or empty text is its end alone. Repeated rows each have a row; other
-    columns are not used; no rows give no rows. Without training text every
-    token is one never seen.
+        self.scale = ((1 - self.unseen) / (1 - free) if free < 1 else 0.0) / n
+        # The least count that TOP words or fewer reach, from how many words lie between powers of two.
+        bands = {r["b"]: r["count"] for r in table.groupBy((F.length(F.bin("c")) - 1).alias("b")).count().collect()}
+        self.least, held = 1 << max(bands, default=0) + 1, 0
+        while self.least > 1 and held + bands.get(self.least.bit_length() - 2, 0) <= top:
+            self.least //= 2
+            held += bands.get(self.least.bit_length() - 1, 0)
+        known = table.filter(F.col("c") >= self.least).toPandas()  # at most TOP rows
+        by_key = np.argsort(known["key"].to_numpy(_I).view(np.uint64), kind="stable")
+        keys, c = known["key"].to_numpy(_I).view(np.uint64)[by_key], known["c"].to_numpy(_I)[by_key]
+        #: Sorted keys, their numbers, and counts by number: the beginning of a text comes after all words.
+        self.keys, self.number = keys, np.empty(len(keys), np.int32)
+        order = np.lexsort((keys, -c))
+        self.number[order] = np.arange(len(keys), dtype=np.int32)
+        self.count = np.append(c[order], self.docs)
+        self.key_of = np.append(keys[order], BEGIN)
+        self.begin = len(keys)
+        #: Into how many parts, by number, a middle word is split.
+        self.split = np.maximum(1, -(-2 * self.count // hot)) if hot else np.ones(len(self.count), _I)
+        self.split[self.count < hot] = 1
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of distinct keys, -1 for words without one."""
+        if not len(self.keys):
+            return np.where(keys == BEGIN, self.begin, -1).astype(_I)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.number[at], np.where(keys == BEGIN, self.begin, -1)).astype(_I)
+
+    def p(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, discounted(count, self.d1) * self.scale, self.unseen)
+
+    def floor(self, count: np.ndarray) -> np.ndarray:
+        """Log of the add-half probability."""
+        return np.log10((count + 0.5) / (self.n + 0.5 * (self.v + 1)))
+
+
+def trigrams(tok: np.ndarray, first: np.ndarray, words: Words, buckets: int):
+    """Distinct keys, their numbers, and of every token: ``a, b, c`` as places in them, the text, and the shard."""
+    voc, c = np.unique(tok, return_inverse=True)
+    at = int(np.searchsorted(voc, BEGIN))
+    if at == len(voc) or voc[at] != BEGIN:
+        voc = np.insert(voc, at, BEGIN)
+        c = c + (c >= at)
+    b = np.append(at, c[:-1])
+    b[first[:-1]] = at
+    a = np.append(at, b[:-1])
+    a[first[:-1]] = at
+    number = words.numbers(voc)
+    key = mix(voc)
+    # Only numbered words are split; the parts of one are told by a.
+    parts = np.where(number >= 0, words.split[number], 1)[b]
+    to = ((key[b] + (key[a] % parts.astype(np.uint64)) * _U(0xD1B54A32D192ED03)) % _U(buckets)).astype(np.int32)
+    return voc, number, a, b, c, np.repeat(np.arange(len(first) - 1), np.diff(first)), to
+
+
+def lacking(docs: DataFrame, words: Words, shared, table: DataFrame, buckets: int) -> DataFrame | None:
+    """``(bucket, kind, key, c)`` of what shards lack: counts of words without a number (kind 0), and of bigrams whose middle word is split (kind 1, ``key`` being the pair's)."""
+    rare, hot = words.v > len(words.keys), bool((words.split > 1).any())
+    least = words.least
+
+    def run(batches):
+        for tok, first, _, weight in runs(batches, RUN):
+            voc, number, a, b, c, text, to = trigrams(tok, first, shared.value, buckets)
+            out = []
+            if rare:
+                # With numbers from two occurrences on, a training word without one occurs once.
+                ask = (number[c] < 0) & ((weight[text] == 0) | (least > 2))
+                both = np.unique(np.stack([to[ask].astype(_I), c[ask]]), axis=1)
+                out.append(pd.DataFrame({"bucket": both[0], "kind": 0, "key": voc[both[1]].view(_I), "c": 0}))
+            if hot:
+                split = np.flatnonzero(shared.value.split[np.maximum(number[b], 0)] * (number[b] >= 0) > 1)
+                if len(split):
+                    three, inv = np.unique(np.stack([to[split].astype(_I), b[split], c[split]]), axis=1, return_inverse=True)
+                    out.append(pd.DataFrame({"bucket": three[0], "kind": 1, "key": pair(voc[three[1]], voc[three[2]]).view(_I), "c": np.bincount(inv.ravel(), weight[text[split]]).astype(_I)}))
+            if out:
+                yield pd.concat(out)
+
+    if not rare and not hot:
+        return None
+    asked = store(docs.select("text", "key", "learns").mapInPandas(run, "bucket int, kind int, key long, c long").groupBy("bucket", "kind", "key").agg(F.sum("c").alias("c")), "lacking")
+    few = asked.filter("kind = 0").select("bucket", "kind", "key").join(table.filter(F.col("c") < least), "key").select("bucket", "kind", "key", "c")
+    whole = asked.filter("kind = 1").groupBy("key").agg(F.sum("c").alias("whole"))
+    return few.unionByName(asked.filter("kind = 1").join(whole, "key").select("bucket", "kind", "key", F.col("whole").alias("c")))
+
+
+def split_pairs(docs: DataFrame, words: Words, shared) -> DataFrame:
+    """``(b, key, f)``: how often, in training, split middle words (by number) are followed by each word."""
+    split = np.flatnonzero(words.split > 1)
+
+    def run(batches):
+        for tok, first, _, weight in runs(batches, RUN):
+            voc, number, _, b, c, text, _ = trigrams(tok, first, shared.value, 1)
+            use = np.flatnonzero(np.isin(number[b], split) & (weight[text] > 0))
+            if len(use):
+                two, inv = np.unique(np.stack([b[use], c[use]]), axis=1, return_inverse=True)
+                yield pd.DataFrame({"b": number[two[0]], "key": voc[two[1]].view(_I), "f": np.bincount(inv.ravel(), weight[text[use]]).astype(_I)})
+
+    pairs = docs.select("text", "key", "learns").mapInPandas(run, "b int, key long, f long")
+    return pairs.groupBy("b", "key").agg(F.sum("f").alias("f"))
+
+
+def encoded(tok, first, keys, weight, words: Words, buckets: int) -> pd.DataFrame:
+    """A run's tokens by shard: words without a number have places after the numbered ones in the shard's own list."""
+    voc, number, a, b, c, text, to = trigrams(tok, first, words, buckets)
+    base = words.begin + 1
+    order = np.lexsort((number[a], number[b], to))
+    rows = []
+    for i, j in _groups(to[order]):
+        at = order[i:j]
+        three = np.stack([a[at], b[at], c[at]])
+        own = np.unique(three[number[three] < 0])
+        ids = np.where(number[three] >= 0, number[three], base + np.searchsorted(own, three)).astype(np.int32)
+        docs, of = np.unique(text[at], return_inverse=True)
+        rows.append((int(to[at[0]]), len(at), squeezed(ids[0]), squeezed(ids[1]), squeezed(ids[2]), squeezed(of.astype(np.int32)), squeezed(voc[own]), squeezed(keys[docs]), squeezed(weight[docs])))
+    return pd.DataFrame(rows, columns=["bucket", "n", *_COLUMNS])
+
+
+_COLUMNS = ("a", "b", "c", "text", "own", "keys", "weight")
+_TYPES = ("int32", "int32", "int32", "int32", "uint64", "int64", "int64")
+
+
+class Shard:
+    """The tokens of one shard in order of ``b, a, c``, and their n-grams."""
+
+    def __init__(self, rows: pd.DataFrame, base: int):
+        parts = [[unsqueezed(x, t) for x, t in zip(r, _TYPES, strict=True)] for r in rows[list(_COLUMNS)].itertuples(index=False)]
+        self.base, self.own = base, np.unique(np.concatenate([p[4] for p in parts]))
+        ends = np.cumsum([0, *(len(p[5]) for p in parts)])
+        place = [np.searchsorted(self.own, p[4]).astype(np.int32) + np.int32(base) for p in parts]
+        moved = [np.concatenate([np.where(p[k] < base, p[k], q[np.maximum(p[k] - base, 0)]) if len(q) else p[k] for p, q in zip(parts, place, strict=True)]) for k in range(3)]
+        self.text = np.concatenate([p[3] + np.int32(e) for p, e in zip(parts, ends, strict=False)])
+        self.keys, self.weight = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
+        del parts
+        order = np.lexsort((moved[2], moved[0], moved[1]))
+        self.a, self.b, self.c = (m[order] for m in moved)
+        self.text = self.text[order]
+
+    @classmethod
+    def stored(cls, row, base: int) -> "Shard":
+        s = cls.__new__(cls)
+        s.base = base
+        s.a, s.b, s.c, s.text, s.own, s.keys, s.weight = (unsqueezed(getattr(row, k), t) for k, t in zip(_COLUMNS, _TYPES, strict=True))
+        s.b = np.cumsum(s.b, dtype=np.int32)
+        return s
+
+    def count(self, rare: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], words: Words) -> None:
+        """Trigrams, their contexts and bigrams, with training counts. ``rare`` counts ``own``; ``pairs`` are sorted keys and counts of bigrams of split words."""
+        new_b = np.append(True, self.b[1:] != self.b[:-1])
+        new_a = new_b | np.append(True, self.a[1:] != self.a[:-1])
+        new_c = new_a | np.append(True, self.c[1:] != self.c[:-1])
+        self.tri = np.cumsum(new_c) - 1  # of each token
+        at = np.flatnonzero(new_c)
+        self.f3 = np.add.reduceat(self.weight[self.text], at)
+        self.ctx = (np.cumsum(new_a) - 1)[at]  # of each trigram
+        self.word = np.concatenate([words.count, rare])
+        tb, tc = self.b[at], self.c[at]
+        order = np.lexsort((tc, tb))
+        new = np.append(True, (tb[order][1:] != tb[order][:-1]) | (tc[order][1:] != tc[order][:-1]))
+        self.bi = np.empty(len(at), _I)  # of each trigram
+        self.bi[order] = np.cumsum(new) - 1
+        self.bb, self.bc = tb[order][new], tc[order][new]
+        self.f2 = np.bincount(self.bi, self.f3, len(self.bb)).astype(_I)
+        self.split = (self.bb < self.base) & (words.split[np.minimum(self.bb, self.base - 1)] > 1)
+        if self.split.any():
+            key_of = np.concatenate([words.key_of, self.own])
+            want = pair(key_of[self.bb[self.split]], key_of[self.bc[self.split]])
+            where = np.minimum(np.searchsorted(pairs[0], want), len(pairs[0]) - 1)
+            self.f2[self.split] = np.where(pairs[0][where] == want, pairs[1][where], 0)
+
+    def scores(self, words: Words, d2, d3, hot: dict[int, float]) -> np.ndarray:
+        """Log probability of every trigram by the recursion; ``hot`` has backoff weights of split words."""
+        one = words.p(self.word)
+        size, seen = len(self.word), self.f2 > 0
+        # All that follows a word is here, unless it is split: then it is as often followed as it occurs.
+        total = np.bincount(self.bb, self.f2, size)
+        total[self.bb[self.split]] = self.word[self.bb[self.split]]
+        q2 = discounted(self.f2, d2, ABOVE) / np.maximum(1, total[self.bb])
+        freed, taken = (np.bincount(self.bb[seen], x[seen], size) for x in (q2, one[self.bc]))
+        back = np.where(total > 0, np.maximum(1 - freed, 1e-300) / np.maximum(1 - taken, 1e-300), 1.0)
+        for b, w in hot.items():
+            back[b] = w
+        p2 = np.where(seen, q2, back[self.bb] * one[self.bc])
+        total = np.bincount(self.ctx, self.f3)
+        q3 = discounted(self.f3, d3, ABOVE) / np.maximum(1, total[self.ctx])
+        seen = self.f3 > 0
+        freed, taken = (np.bincount(self.ctx[seen], x[seen], len(total)) for x in (q3, p2[self.bi]))
+        back = np.where(total > 0, np.maximum(1 - freed, 1e-300) / np.maximum(1 - taken, 1e-300), 1.0)
+        return np.log10(np.where(seen, q3, back[self.ctx] * p2[self.bi]))
+
+    def sums(self, words: Words, log_p: np.ndarray) -> pd.DataFrame:
+        """Of each text: tokens, known ones, both scores, and how many ends, by which the texts of many runs are told."""
+        count, n = self.word[self.c], len(self.keys)
+        end = int(words.numbers(np.array([END]))[0])
+        end = end if end >= 0 else self.base + int(np.searchsorted(self.own, END)) if END in self.own else -1
+        add = lambda x: np.bincount(self.text, x, n)
+        out = {"key": self.keys, "n_tokens": add(None), "n_known": add(count > 0), "ends": add(self.c == end), "base_score": add(words.floor(count)), "score": add(log_p[self.tri])}
+        return pd.DataFrame(out).astype({"n_tokens": _I, "n_known": _I, "ends": _I})
+
+
+class Model:
+    """Counts of the rows of ``docs`` whose ``learns`` is true: words, the stored shards around all rows' tokens, and the discounts of each order."""
+
+    def __init__(self, docs: DataFrame, learns: Column, top: int = TOP, hot: int = HOT, shard: int = SHARD):
+        spark = docs.sparkSession
+        small_batches(spark)
+        rows = docs.select("text", F.xxhash64("text").alias("key"), F.coalesce(learns, F.lit(False)).alias("learns"))
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = word_counts(rows, least)
+        words = self.words = Words(table, top, hot)
+        self.table = table
+        shared = self.shared = spark.sparkContext.broadcast(words)  # TOP words, whatever the input
+        size = rows.agg(F.sum(F.length("text"))).head()[0] or 0
+        buckets = self.buckets = max(12, int(size // (5 * shard)) + 1)
+        lacks = lacking(rows, words, shared, table, buckets)
+        if lacks is None:
+            lacks = spark.createDataFrame([], "bucket int, kind int, key long, c long")
+        self.hot: dict[int, float] = {}
+
+        def run(batches):
+            for tok, first, keys, weight in runs(batches, RUN):
+                yield encoded(tok, first, keys, weight, shared.value, buckets)
+
+        def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            names = ["bucket", "n", *_COLUMNS, "rare", "pairs", "pair_counts", "n2", "n3"]
+            if not len(left):
+                return pd.DataFrame(columns=names)
+            w = shared.value
+            s = Shard(left, w.begin + 1)
+            few, two = (right[right["kind"] == k].sort_values("key", key=lambda x: x.to_numpy(_I).view(np.uint64)) for k in (0, 1))
+            rare = np.zeros(len(s.own), _I)
+            if len(few):
+                key = few["key"].to_numpy(_I).view(np.uint64)
+                at = np.minimum(np.searchsorted(key, s.own), len(key) - 1)
+                rare = np.where(key[at] == s.own, few["c"].to_numpy(_I)[at], 0)
+            if w.least <= 2:  # then a word without a number occurs once if a training text has it
+                use = (s.c >= s.base) & (s.weight[s.text] > 0)
+                rare[s.c[use] - s.base] = 1
+            key, c = two["key"].to_numpy(_I).view(np.uint64), two["c"].to_numpy(_I)
+            s.count(rare, (key, c), w)
+            f2 = s.f2[~s.split]
+            n2, n3 = (np.bincount(np.minimum(f, K + 2), minlength=K + 3)[1 : K + 2].tolist() for f in (f2, s.f3))
+            out = [squeezed(np.ascontiguousarray(x)) for x in (s.a, np.diff(s.b, prepend=np.int32(0)), s.c, s.text, s.own, s.keys, s.weight, rare, key, c)]
+            return pd.DataFrame([(int(left["bucket"].iloc[0]), len(s.a), *out, n2, n3)], columns=names)
+
+        blob = ", ".join(f"{c} binary" for c in _COLUMNS)
+        sent = rows.mapInPandas(run, f"bucket int, n int, {blob}")
+        shards = sent.groupBy("bucket").cogroup(lacks.groupBy("bucket")).applyInPandas(merge, f"bucket int, n int, {blob}, rare binary, pairs binary, pair_counts binary, n2 array<long>, n3 array<long>")
+        self.shards = store(shards, "ngrams")
+        freq = self.shards.select(*[F.sum(F.col(f"n{o}")[r]).alias(f"n{o}_{r + 1}") for o in (2, 3) for r in range(K + 1)]).head()
+        n2, n3 = ({r: freq[f"n{o}_{r}"] or 0 for r in range(1, K + 2)} for o in (2, 3))
+        split = self._split_words(rows) if (words.split > 1).any() else []
+        for r in split:
+            n2 = {k: n + r[f"f{k}"] for k, n in n2.items()}
+        self.d2, self.d3 = discounts(n2), discounts(n3)
+        for r in split:
+            kept = sum(self.d2[k] * k * r[f"f{k}"] for k in range(1, K + 1)) + (r["large"] or 0) - ABOVE * r["many"]
+            self.hot[r["b"]] = max(1 - kept / max(1, int(words.count[r["b"]])), 1e-300) / max(1 - r["p"], 1e-300)
+        drop(table)
+
+    def _split_words(self, rows: DataFrame) -> list:
+        """Counts that split words' backoff weights are made of: a row a word reaches the driver, and only words of ``HOT`` tokens are split."""
+        c = F.col("c")
+        d = F.when(c > K, c.cast("double"))
+        for r in range(1, K + 1):
+            d = d.when(c == r, F.lit(r * self.words.d1[r]))
+        few = [F.count_if(F.col("f") == r).alias(f"f{r}") for r in range(1, K + 2)]
+        joined = split_pairs(rows, self.words, self.shared).join(self.table, "key").withColumn("p", d * F.lit(self.words.scale))
+        return joined.groupBy("b").agg(*few, F.sum(F.when(F.col("f") > K, F.col("f"))).alias("large"), F.count_if(F.col("f") > K).alias("many"), F.sum("p").alias("p")).collect()
+
+    def scores(self) -> DataFrame:
+        """``key, n_tokens, n_known, base_score, score`` of every different text."""
+        shared, d2, d3, hot = self.shared, self.d2, self.d3, self.hot
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for row in pdf.itertuples(index=False):
+                w = shared.value
+                s = Shard.stored(row, w.begin + 1)
+                s.count(unsqueezed(row.rare, "int64"), (unsqueezed(row.pairs, "uint64"), unsqueezed(row.pair_counts, "int64")), w)
+                out.append(s.sums(w, s.scores(w, d2, d3, hot)))
+            return pd.concat(out)
+
+        parts = mapped(self.shards, run, "key long, n_tokens long, n_known long, ends long, base_score double, score double", column="a", limit=1)
+        whole = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "ends", "base_score", "score")])
+        each = lambda c: F.col(c) / F.col("ends")  # noqa: E731  every run that held the text has added it once
+        return whole.select("key", *[each(c).cast("long").alias(c) for c in ("n_tokens", "n_known")], *[each(c).alias(c) for c in ("base_score", "score")])
+
+
+def score(docs: DataFrame, learns: Column, **limits) -> tuple[DataFrame, Model]:
+    """``doc_id, n_tokens, n_known, base_score, score`` of every row, by a model of the rows for which ``learns`` holds; and that model.
+
+    ``base_score`` is the add-half unigram one. A null or empty text is its end
+    alone. Repeated rows each have a row, and count as often in training; other
+    columns are not used; no rows give no rows. Without training text every token
+    is one never seen.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets, begin, unseen = model.buckets, model.begin, float(np.log10(model.unseen))
-    d1, d2, scale, doc_count = model.d1, model.d2, model.scale, float(model.docs)
-    floor = model.n + 0.5 * (model.v + 1)
-    seen = spark.sparkContext.broadcast(model.seen)  # 2**BITS bits, whatever the input
-    if docs.inputFiles() and not docs.isStreaming:
-        shard = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / SHARD_ROWS))
-        try:
-            rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", shard.alias("shard"))
-            rows.schema  # noqa: B018  a table that is not read from files has no such columns
-        except Exception:
-            rows = None
-    else:
-        rows = None
-    if rows is None:
-        rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(256)).alias("shard"))
-
-    def ask(batches):
-        held: dict[int, list] = {}
-
-        def send(shard):
-            toks, keys = (np.unique(np.concatenate([x[i] for x in held[shard]])) for i in (0, 1))
-            for kind, k in ((0, toks), (1, keys)):
-                if not len(k):
-                    continue
-                for to, at in _dealt(k, buckets):
-                    yield kind, to, shard, k[at].tobytes()
-            del held[shard]
-
-        for pdf in split_batches(batches):
-            for s, g in pdf.groupby("shard", sort=False):
-                tok, ctx, _ = tokens(g["text"])
-                key = np.unique(pair(ctx, tok))
-                at = (mix(key) >> _U(64 - BITS)).astype(np.int64)
-                held.setdefault(s, []).append((np.unique(tok), key[(seen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]))
-            if len(held) > 4:
-                for s in list(held)[:-1]:
-                    yield pd.DataFrame(list(send(s)), columns=["kind", "bucket", "shard", "blob"])
-        for s in list(held):
-            yield pd.DataFrame(list(send(s)), columns=["kind", "bucket", "shard", "blob"])
-
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"shard": [], "kind": [], "blob": []})
-        right = right.sort_values("key")
-        key, c, la = right["key"].to_numpy(), right["c"].to_numpy(), right["la"].to_numpy()
-        out = []
-        for kind, s, b in zip(left["kind"], left["shard"], left["blob"], strict=True):
-            k = np.frombuffer(b, np.int64)
-            at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-            hit = key[at] == k
-            at = at[hit]
-            if len(at):
-                out.append((s, kind, k[hit].tobytes() + c[at].tobytes() + (la[at].tobytes() if kind == 0 else b"")))
-        return pd.DataFrame(out, columns=["shard", "kind", "blob"])
-
-    TYPES = (np.uint64, np.int64, np.float64)
-
-    def table(pdf: pd.DataFrame, kind: int, wide: int) -> list[np.ndarray]:
-        parts = [np.frombuffer(b, np.uint8).reshape(wide, -1) for b in pdf.loc[pdf["kind"] == kind, "blob"]]
-        if not parts:
-            return [np.zeros(0, t) for t in TYPES[:wide]]
-        cols = [np.concatenate([p[i] for p in parts]).view(TYPES[i]) for i in range(wide)]
-        order = np.argsort(cols[0], kind="stable")
-        return [x[order] for x in cols]
-
-    def find(keys, k):
-        if not len(keys):
-            return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        return at, keys[at] == k
-
-    def evaluate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        words, c, la = table(right, 0, 3)
-        pairs, pc = table(right, 1, 2)
-        lp = np.log10(_shares(c, d1) * scale)
-        out = []
-        for pdf in split_batches(iter([left.reset_index(drop=True)])):
-            tok, ctx, first = tokens(pdf["text"])
-            if not len(tok):
-                continue
-            at, known = find(words, tok)
-            one = np.full(len(tok), unseen)
-            one[known] = lp[at[known]]
-            count = np.zeros(len(tok))
-            count[known] = c[at[known]]
-            cat, cknown = find(words, ctx)
-            back = np.zeros(len(tok))
-            back[cknown] = la[cat[cknown]]
-            back[ctx == BEGIN] = begin
-            total = one + back
-            pat, phit = find(pairs, pair(ctx, tok))
-            h = np.full(len(tok), doc_count)
-            h[cknown] = c[cat[cknown]]
-            total[phit] = np.log10(_shares(pc[pat[phit]], d2, ABOVE) / h[phit])
-            add = lambda x: np.add.reduceat(x, first[:-1])
-            out.append(pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.diff(first), "n_known": add(known.astype(np.int64)), "base_score": add(np.log10((count + 0.5) / floor)), "score": add(total)}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
-
-    asked = rows.select("text", "shard").mapInPandas(ask, "kind int, bucket int, shard long, blob binary")
-    w = model.words.select(F.lit(0).alias("kind"), "key", "c", "la")
-    p = model.kept.select(F.lit(1).alias("kind"), "key", "c", F.lit(0.0).alias("la"))
-    known = w.unionByName(p).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
-    replies = asked.groupBy("kind", "bucket").cogroup(known.groupBy("kind", "bucket")).applyInPandas(answer, "shard long, kind int, blob binary")
-    scored = rows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(evaluate, "doc_id string, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+    model = Model(docs, learns, **limits)
+    got = model.scores()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
+    return ids.join(got, "key").select("doc_id", "n_tokens", "n_known", "base_score", "score"), model

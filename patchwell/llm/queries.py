@@ -42,9 +42,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = F.pmod(crc("doc_id"), F.lit(5)) == 1
-    model = language_model.Model(docs.filter(~held))
-    out = language_model.score(docs, model)
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    out, model = language_model.score(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.words.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -400,57 +400,87 @@ def test_nearest_in_a_dense_cluster(spark, monkeypatch, probe_all):
     assert n == 1000 and hit >= (1.0 if probe_all else 0.975) * n
 
 
-def test_katz(spark, docs, texts):
-    train = docs.filter("doc_id % 2 = 0")
-    model = language_model.Model(train)
-    got = language_model.score(docs, model).collect()
-    assert len(got) == docs.count()
-    toks = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b"\x00"]
-    seqs = [toks(r["text"]) for r in train.select("text").collect()]
-    c1 = collections.Counter(w for s in seqs for w in s)
-    n = sum(c1.values())
-    assert (model.n, model.v) == (n, len(c1))
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in got:
-        s = toks(text[r["doc_id"]])
-        assert r["n_tokens"] == len(s) and r["n_known"] == sum(w in c1 for w in s)
-        assert r["base_score"] == pytest.approx(sum(np.log10((c1[w] + 0.5) / (n + 0.5 * (len(c1) + 1))) for w in s))
-    # Exactly normalised: kept bigrams, backed-off words and the word never seen add up to one after every context.
-    words = {r["key"]: r for r in model.words.collect()}
-    pairs = {r["key"]: r["lp"] for r in model.pairs.collect()}
-    keys = np.array(list(words), np.int64).view(np.uint64)
-    for ctx in keys[:5]:
-        k = language_model.pair(np.full(len(keys), ctx), keys).view(np.int64).tolist()
-        la = words[int(ctx.view(np.int64))]["la"]
-        total = sum(10 ** (pairs[q] if q in pairs else la + words[int(w)]["lp"]) for q, w in zip(k, keys.view(np.int64), strict=True))
-        assert total + 10**la * model.unseen == pytest.approx(1.0)
-    empty = language_model.Model(docs.limit(0))
-    assert language_model.score(docs, empty).count() == docs.count() and language_model.score(docs.limit(0), model).count() == 0
-
-
-def test_katz_keeps_bigrams_seen_once(spark):
+class BruteKatz:
+    """The same model from plain counts: words, pairs and triples, each text framed by two beginnings and an end."""
+
+    def __init__(self, texts, d2, d3, words):
+        seqs = [brute_tokens(t) for t in texts]
+        self.c1 = collections.Counter(w for s in seqs for w in s[2:])
+        self.c2 = collections.Counter(p for s in seqs for p in zip(s[1:], s[2:], strict=False))
+        self.c3 = collections.Counter(p for s in seqs for p in zip(s, s[1:], s[2:], strict=False))
+        self.h2, self.h3 = collections.Counter(), collections.Counter()
+        for (b, _), c in self.c2.items():
+            self.h2[b] += c
+        for (a, b, _), c in self.c3.items():
+            self.h3[a, b] += c
+        self.d2, self.d3, self.w = d2, d3, words
+        self.after2, self.after3 = collections.defaultdict(list), collections.defaultdict(list)
+        for b, c in self.c2:
+            self.after2[b].append(c)
+        for a, b, c in self.c3:
+            self.after3[a, b].append(c)
+
+    def less(self, c, d):
+        return c - language_model.ABOVE if c > language_model.K else c * d[c]
+
+    def p1(self, c):
+        n = self.c1[c]
+        return (n if n > language_model.K else n * self.w.d1[n]) * self.w.scale if n else self.w.unseen
+
+    def p2(self, b, c):
+        if self.c2[b, c]:
+            return self.less(self.c2[b, c], self.d2) / self.h2[b]
+        after = self.after2[b]
+        return (1 - sum(self.p2(b, x) for x in after)) / (1 - sum(self.p1(x) for x in after)) * self.p1(c)
+
+    def p3(self, a, b, c):
+        if self.c3[a, b, c]:
+            return self.less(self.c3[a, b, c], self.d3) / self.h3[a, b]
+        after = self.after3[a, b]
+        return (1 - sum(self.p3(a, b, x) for x in after)) / (1 - sum(self.p2(b, x) for x in after)) * self.p2(b, c)
+
+
+def brute_tokens(t):
+    return [b"<", b"<", *re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""]
+
+
+@pytest.mark.parametrize("limits", [{}, {"top": 8}, {"top": 3}, {"top": 12, "hot": 60, "shard": 40}, {"hot": 20, "shard": 40}])
+def test_katz_is_the_recursion(spark, limits):
     rng = random.Random(6)
-    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)], [1 / (k + 1) for k in range(30)], k=25))) for i in range(40)]
-    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    model = language_model.Model(table.filter("doc_id < 20"))
-    seqs = {i: ["<s>", *t.split(), "</s>"] for i, t in rows}
-    c1 = collections.Counter(w for i in range(20) for w in seqs[i][1:])
-    c2 = collections.Counter(p for i in range(20) for p in zip(seqs[i], seqs[i][1:], strict=False))
-    h = c1 | {"<s>": 20}
-    less = lambda c, d, above: c - above if c > language_model.K else c * d[c]
-    p1 = {w: less(c, model.d1, 0.0) * model.scale for w, c in c1.items()}
-    q = {p: less(c, model.d2, language_model.ABOVE) / h[p[0]] for p, c in c2.items()}
-
-    def prob(u, w):
-        if (u, w) in q:
-            return q[u, w]
-        after = [x for v, x in q if v == u]
-        return (1 - sum(q[u, x] for x in after)) / (1 - sum(p1[x] for x in after)) * p1.get(w, model.unseen)
-
-    assert sum(c == 1 for c in c2.values()) > 50 and model.kept.count() == len(c2)
-    for r in language_model.score(table, model).collect():
-        s = seqs[r["doc_id"]]
-        assert r["score"] == pytest.approx(sum(np.log10(prob(u, w)) for u, w in zip(s, s[1:], strict=False)))
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)], [1 / (k + 1) for k in range(30)], k=rng.randrange(25)))) for i in range(60)]
+    rows += [(60, rows[0][1]), (61, rows[1][1].upper()), (62, None), (63, ""), (1, rows[1][1]), (None, "w1 new words"), (64, "only new ones")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x")).repartition(4)
+    learns = F.col("doc_id") % 3 != 1
+    got, model = language_model.score(table, learns, **limits)
+    train = [t for i, t in rows if i is not None and i % 3 != 1]
+    brute = BruteKatz(train, model.d2, model.d3, model.words)
+    n, v = sum(brute.c1.values()), len(brute.c1)
+    assert (model.words.n, model.words.v) == (n, v)
+    freq = lambda c, r: sum(x == r for x in c.values())
+    assert model.d3 == language_model.discounts({r: freq(brute.c3, r) for r in range(1, 7)}) and model.d2 == language_model.discounts({r: freq(brute.c2, r) for r in range(1, 7)})
+    assert not limits.get("hot") or (model.words.split > 1).any()
+    got = got.collect()
+    text = collections.defaultdict(list)
+    for i, t in rows:
+        text[i].append(t)
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    for r in got:
+        s = brute_tokens(text[r["doc_id"]][0])
+        assert r["n_tokens"] == len(s) - 2 and r["n_known"] == sum(brute.c1[w] > 0 for w in s[2:])
+        assert r["base_score"] == pytest.approx(sum(np.log10((brute.c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s[2:]))
+        assert r["score"] == pytest.approx(sum(np.log10(brute.p3(a, b, c)) for a, b, c in zip(s, s[1:], s[2:], strict=False)))
+    # Exactly normalised: all words and the one never seen add up to one after any context.
+    for a, b in [(b"<", b"<"), (b"<", b"w1"), (b"w0", b"w1"), (b"w1", b"new"), (b"w0", b"w29")]:
+        assert sum(brute.p3(a, b, c) for c in brute.c1) + brute.p3(a, b, b"never") == pytest.approx(1.0)
+
+
+def test_katz_of_odd_tables(spark, docs):
+    got, model = language_model.score(docs, F.col("doc_id") % 2 == 0)
+    assert got.count() == docs.count() and got.filter("score > 0 or score is null or n_tokens < 1").count() == 0
+    got, model = language_model.score(docs, F.lit(False))
+    assert got.count() == docs.count() and model.words.n == 0
+    assert all(r["score"] == pytest.approx(r["n_tokens"] * np.log10(model.words.unseen)) for r in got.collect())
+    assert language_model.score(docs.limit(0), F.lit(True))[0].count() == 0
 
 
 def test_warc(spark):
