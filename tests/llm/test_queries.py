@@ -1,0 +1,115 @@
+"""Every registered query, by its contract: against SQL where there is some, and on tables of odd rows."""
+
+import hashlib
+import os
+import re
+import zlib
+
+import duckdb
+import pytest
+
+from patchwell.llm import pii
+from patchwell.llm.queries import ORACLE_SQL, QUERIES
+
+#: Columns of each contract.
+COLUMNS = {
+    "op1_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+    "op2_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op3_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op4_ngram_join": ["doc_id", "n_shingles", "component_id"],
+    "op5_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op6_katz": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op7_token_file": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op8_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+    "op9_nearest": ["query_id", "rank", "vec_id", "score"],
+    "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+}
+TEXTS = [
+    "the quick brown fox jumps over the lazy dog near the old river bank today", None, "", " \n\t", "12345 67890", "the quick brown fox jumps over the lazy dog near the old river bank today",
+    "mail a.b@c.org or a.b@c.org from 10.0.0.1, call +1 (555) 010-4321", "der schnelle braune Fuchs springt über den faulen Hund am alten Flussufer", "word " * 3000, "x" * 40000,
+]
+
+
+def rows(df):
+    df = df[sorted(df.columns)]
+    return list(df.columns), sorted((tuple(r) for r in df.astype(object).itertuples(index=False)), key=str)
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_against_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in os.listdir(sf):
+        con.execute(f"create view {t.split('.')[0]} as select * from '{sf}/{t}'")
+    assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(ORACLE_SQL[name]).fetchdf())
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Tables of nulls, repeats, empty and long texts, and columns named like the results'."""
+    at = str(tmp_path_factory.mktemp("odd"))
+    docs = [(i, TEXTS[i % len(TEXTS)] and TEXTS[i % len(TEXTS)] + (f" number {i}" if i > 20 else ""), "de" if i % 10 == 7 else "en", 1.0, "x") for i in range(60)]
+    docs += [docs[0], docs[8], (None, TEXTS[0], None, None, None), (None, None, None, None, None)]
+    tables = {
+        "documents": (docs, "doc_id long, text string, lang string, score double, component_id string"),
+        "labels": ([(i, i % 2 if i < 50 else None, 0) for i in range(55)] + [(None, 1, 1)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(1, TEXTS[0]), (2, None), (3, ""), (4, "lazy dog"), (4, "lazy dog")], "item_id long, text string"),
+        "pages": ([(i, None if i == 3 else f"http://x/{i}", TEXTS[i % 10]) for i in range(25)] + [(None, "u", "h")], "page_id long, url string, html string"),
+        "embeddings": ([(i, None if i == 7 else [0.0] * 4 if i == 8 else [1.0, None, 0.0, 0.0] if i == 9 else [float("nan")] * 4 if i == 10 else [float(i % 37), float(i % 11), 1.0, float(i % 5)]) for i in range(350)] + [(None, [1.0] * 4)], "vec_id long, embedding array<double>"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{at}/{name}.parquet")
+        spark.createDataFrame([], schema).write.parquet(f"{at}/none/{name}.parquet")
+    return at, docs
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_contract_on_odd_tables(spark, odd, name):
+    at, docs = odd
+    got = QUERIES[name](spark, at)
+    assert set(COLUMNS[name]) <= set(got.columns)
+    got = got.collect()
+    if name == "op9_nearest":
+        assert {r["query_id"] for r in got} == {0, 100, 200, 300} and all(sorted(r["rank"] for r in got if r["query_id"] == q) == list(range(1, 11)) for q in (0, 100, 200, 300))
+        assert not {r["vec_id"] for r in got} & {7, 8, 9, 10}
+        return
+    if name == "op1_warc":
+        assert len(got) == 26 and all((r["refers_to"] is None) == (r["record_type"] == "response") for r in got)
+        return
+    if name == "op5_packing":
+        ends = {}
+        for r in sorted((r for r in got if r["doc_id"] is not None and r["doc_id"] not in (0, 8)), key=lambda r: r["start"]):
+            assert r["start"] == ends.get(r["doc_id"], 0) and r["offset"] + r["length"] <= 2048
+            ends[r["doc_id"]] = r["start"] + r["length"]
+        assert len(ends) == 58 and all(ends[r["doc_id"]] == r["doc_tokens"] for r in got if r["doc_id"] in ends)
+        return
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(d[0]) for d in docs)
+    fold = {"op3_quality": (5, 0), "op6_katz": (5, 1), "op8_language_id": (4, 2)}.get(name)
+    if fold:
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % fold[0] == fold[1]) for r in got if r["doc_id"] is not None)
+    text = {d[0]: d[1] or "" for d in docs if d[0] is not None}
+    by_id = [r for r in got if r["doc_id"] is not None]
+    if name == "op3_quality":
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    elif name == "op6_katz":
+        learned = [t for i, t in text.items() if zlib.crc32(str(i).encode()) % 5 != 1] + [d[1] or "" for d in docs[60:62] if zlib.crc32(str(d[0]).encode()) % 5 != 1]
+        assert {r["train_tokens"] for r in got} == {sum(len(re.findall(r"[^\x20\x09-\x0D]+", t)) + 1 for t in learned)}
+    elif name == "op7_token_file":
+        start = 0
+        for r in sorted(got, key=lambda r: r["start"]):
+            assert r["start"] == start
+            start += r["n_tokens"]
+        ids = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+        assert ids == sorted(ids, key=lambda i: -1 if i is None else i)
+    elif name == "op8_language_id":
+        assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in text[r["doc_id"]])) for r in by_id) and all(0 <= r["score"] <= 1 for r in got)
+    elif name == "op10_pii":
+        for r in by_id:
+            base = pii.base_spans(text[r["doc_id"]])
+            assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+            assert set(filter(None, pii.joined(base).split(","))) <= set(filter(None, r["spans"].split(",")))
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_no_rows_of_empty_tables(spark, odd, name):
+    got = QUERIES[name](spark, f"{odd[0]}/none")
+    assert set(COLUMNS[name]) <= set(got.columns) and got.count() == 0
