@@ -5,20 +5,24 @@ built over word ids by prefix doubling; every test suffix is looked up by binary
 search, which gives all places where its window occurs, and neighbouring places
 on one diagonal join into the longest verbatim matches.
 
-The test set is read in blocks of bounded size, each broadcast once, so neither
-the driver nor a task ever holds more of it than a few blocks.
+The test set is read in blocks of bounded size. One block is looked up while the
+result is made; more of them are broadcast in turn, each for a pass of its own
+that leaves only the matches, so neither the driver nor a task holds two. A
+block takes about 100 bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import mapped
+from .scratch import mapped, store
 from .words import ALNUM, word_hashes
 
 WINDOW = 10
@@ -135,23 +139,51 @@ def matches(block: TestBlock, h: np.ndarray, first: np.ndarray) -> tuple[np.ndar
     return d[cut], dpos[cut], item[cut], pos[cut], dpos[last] + n[last] - dpos[cut]
 
 
-def test_blocks(benchmark: DataFrame, window: int = WINDOW, words: int = BLOCK_WORDS) -> list:
-    """Broadcasts of at most ``words`` words of items each (an item is never cut)."""
-    sc = benchmark.sparkSession.sparkContext
-    out, ids, texts, size = [], [], [], 0
+def test_blocks(benchmark: DataFrame, window: int = WINDOW, words: int = BLOCK_WORDS) -> Iterator[TestBlock]:
+    """Blocks of at most ``words`` words of items each (an item is never cut)."""
+    ids, texts, size = [], [], 0
     for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
         if ids and size + len(row["t"]) // 2 > words:
-            out.append(sc.broadcast(TestBlock(ids, texts, window)))
+            yield TestBlock(ids, texts, window)
             ids, texts, size = [], [], 0
         ids.append(row["i"])
         texts.append(row["t"])
         size += len(row["t"]) // 2
     if ids:
-        out.append(sc.broadcast(TestBlock(ids, texts, window)))
+        yield TestBlock(ids, texts, window)
+
+
+_MATCHES = "array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
+
+
+def found(block: TestBlock | None, h: np.ndarray, first: np.ndarray) -> list[list]:
+    """The longest matches of each text."""
+    out: list[list] = [[] for _ in first[1:]]
+    if block is not None:
+        for d, dpos, item, pos, size in zip(*(x.tolist() for x in matches(block, h, first)), strict=True):
+            out[d].append({"item_id": block.ids[item], "item_word": pos, "doc_word": dpos, "n_words": size})
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def block_matches(docs: DataFrame, block: TestBlock) -> DataFrame:
+    """``(k1, k2, matches)`` of the different texts that hold a window of the block; two hashes stand for a text."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["k1", "k2"])
+        pdf = pdf.assign(matches=found(shared.value, *word_hashes(pdf["text"], ALNUM)))
+        return pdf.loc[pdf["matches"].map(len) > 0, ["k1", "k2", "matches"]]
+
+    out = store(mapped(docs.select("text", *_text_keys()), run, f"k1 long, k2 int, matches {_MATCHES}").dropDuplicates(["k1", "k2"]), "matches")
+    shared.destroy()
+    return out
+
+
+def _text_keys() -> list[Column]:
+    return [F.xxhash64("text").alias("k1"), F.hash("text").alias("k2")]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated, matches``.
 
     A word is hit if it lies in any occurrence of a window of ``window`` words of
@@ -161,34 +193,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     an empty benchmark leaves all documents clean. Rows stay as they are,
     repeated ones and other columns included; result names replace clashing ones.
     """
-    blocks = test_blocks(benchmark, window)
     own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches"]
     keep = [c for c in docs.columns if c not in own]
-    base = docs.select(*keep)
-    kept = base.select(F.struct(*keep).alias("row"), F.col("text"))
+    kept = docs.select(F.struct(*keep).alias("row"), "text")
+    blocks = test_blocks(benchmark, window, words)
+    one, two = next(blocks, None), next(blocks, None)
+    before = None
+    if two is None:
+        shared = docs.sparkSession.sparkContext.broadcast(one)  # of bounded size
+        kept = kept.withColumn("before", F.lit(None).cast(_MATCHES))
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(None)
+        for b in chain([one, two], blocks):
+            got = block_matches(docs, b)
+            before = got if before is None else before.unionByName(got)
+        before = before.groupBy("k1", "k2").agg(F.flatten(F.collect_list("matches")).alias("before"))
+        kept = kept.select("*", *_text_keys()).join(before, ["k1", "k2"], "left").select("row", "text", "before")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h, first = word_hashes(pdf["text"], ALNUM)
-        n = np.diff(first)
+        every = [list(b) + f if b is not None else f for b, f in zip(pdf["before"], found(shared.value, h, first), strict=True)]
         mark = np.zeros(len(h) + 1, np.int64)
-        items: list[set] = [set() for _ in n]
-        found: list[list] = [[] for _ in n]
-        for b in blocks:
-            b = b.value
-            for d, dpos, item, pos, size in zip(*(x.tolist() for x in matches(b, h, first)), strict=True):
-                mark[first[d] + dpos] += 1
-                mark[first[d] + dpos + size] -= 1
-                items[d].add(b.ids[item])
-                found[d].append({"item_id": b.ids[item], "item_word": pos, "doc_word": dpos, "n_words": size})
+        for d, ms in enumerate(every):
+            for m in ms:
+                mark[first[d] + m["doc_word"]] += 1
+                mark[first[d] + m["doc_word"] + m["n_words"]] -= 1
         hit = np.append(0, np.cumsum(np.cumsum(mark[:-1]) > 0))
-        hits = hit[first[1:]] - hit[first[:-1]]
+        hits, items = hit[first[1:]] - hit[first[:-1]], [{m["item_id"] for m in ms} for ms in every]
         return pd.DataFrame({
-            "row": pdf["row"], "n_words": n, "n_hit": hits, "n_items": [len(x) for x in items],
-            "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], "contaminated": hits > 0, "matches": found,
+            "row": pdf["row"], "n_words": np.diff(first), "n_hit": hits, "n_items": [len(x) for x in items],
+            "items_sha256": [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], "contaminated": hits > 0, "matches": every,
         })
 
     row = kept.schema["row"].dataType.simpleString()
-    schema = f"row {row}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
+    schema = f"row {row}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches {_MATCHES}"
     out = mapped(kept, run, schema)
     return out.select(*[F.col("row")[c].alias(c) for c in keep], *own)
 

@@ -173,11 +173,10 @@ def brute_hits(text, items):
 
 
 @pytest.mark.parametrize("block_words", [10, 10**6])
-def test_decontaminate(spark, docs, texts, monkeypatch, block_words):
+def test_decontaminate(spark, docs, texts, block_words):
     items = [(1, " ".join(texts[0].split()[5:30])), (20, texts[3]), (3, "two words"), (4, None), (5, "..."), (6, texts[0][:30])]
-    monkeypatch.setattr(decontaminate.test_blocks, "__defaults__", (10, block_words))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate(docs.withColumn("n_hit", F.lit("clash")), bench).collect()
+    got = decontaminate.decontaminate(docs.withColumn("n_hit", F.lit("clash")), bench, words=block_words).collect()
     for r in got:
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == brute_hits(r["text"], [(str(i), t) for i, t in items])
         for m in r["matches"]:
@@ -532,3 +531,86 @@ def test_isotonic():
 def test_shingles_of_short_texts():
     a, b, c, d = shingle_sets(["one two", "ONE  two", "one", None])
     assert a.tolist() == b.tolist() and len(a) == len(c) == 1 and a[0] != c[0] and not len(d)
+
+
+def test_quality_weights_are_those_of_the_whole_table(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(VOCAB, k=rng.randrange(5, 60))) + ("!!! 111 " * rng.randrange(4) if i % 2 else "")) for i in range(200)]
+    measured = quality.measure(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    labels = spark.createDataFrame([(i, int(rng.random() < (0.9 if i % 2 else 0.2))) for i in range(160)], "doc_id long, quality int")
+    model = quality.fit(measured, labels)
+    x = {r["doc_id"]: np.frombuffer(r["x"]) for r in measured.collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    table = np.stack([x[i] for i in y])
+    assert np.allclose(model.features.mean, table.mean(axis=0)) and np.allclose(model.features.scale, table.std(axis=0) + 1e-3, atol=1e-6)
+    z, t = model.features(table), np.array([y[i] for i in y], float)
+    # The weights solve the ridge equations of all rows for one of the penalties.
+    d = z.shape[1]
+    solved = [np.linalg.solve(z.T @ z + p * len(z) * np.eye(d) / d, z.T @ t) for p in quality.PENALTIES]
+    assert min(np.abs(model.weights - w).max() for w in solved) < 1e-6
+    # Features approximate the Gaussian kernel: of equal points 1, and falling with the distance.
+    k = z[:, :-1] @ z[:, :-1].T
+    near = ((table[:, None] - table[None]) / model.features.scale) ** 2
+    assert np.abs(np.diag(k) - 1).max() < 0.3 and np.corrcoef(k.ravel(), -near.sum(axis=2).ravel())[0, 1] > 0.5
+    assert (np.diff(model.value) > 0).all() and (np.diff(model.ends) > 0).all()
+
+
+def test_isotonic_is_the_closest_rising_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        w = rng.integers(1, 5, 12).astype(float)
+        g = np.minimum(w, rng.integers(0, 5, 12))
+        s = np.sort(rng.random(12))
+        ends, value = quality.isotonic(s, g, w)
+        got = value[np.searchsorted(ends, s)]
+        # The largest over what begins here or before of the smallest mean over what ends here or after.
+        mean = lambda i, j: g[i : j + 1].sum() / w[i : j + 1].sum()
+        assert np.allclose(got, [max(min(mean(i, j) for j in range(k, 12)) for i in range(k + 1)) for k in range(12)])
+
+
+def test_language_models_are_interpolated_kneser_ney():
+    words = collections.Counter({"haus": 3, "maus": 2, "hauses": 1, "aus": 4, "ums": 1, "häusle": 2})
+    other = collections.Counter({"house": 3, "mouse": 1, "us": 2, "sum": 5})
+    order = language_id.ORDER
+    model = language_id.Model(["a", "b"], {"a": language_id.fit_language(words), "b": language_id.fit_language(other)})
+
+    def grams(bag, n):
+        out = collections.Counter()
+        for w, c in bag.items():
+            s = "^" * (n - 1) + w + "$"
+            for i in range(len(w) + 1):
+                out[s[i : i + n].replace("^", "$")] += c
+        return out
+
+    def brute(bag):
+        count = {order: grams(bag, order)}
+        for n in range(order - 1, 0, -1):
+            count[n] = collections.Counter(g[1:] for g in grams(bag, n + 1))
+        level = {}
+        for n, c in count.items():
+            n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+            d = n1 / (n1 + 2 * n2) if n1 and n1 + 2 * n2 else 0.5
+            total, kinds = collections.Counter(), collections.Counter()
+            for g, v in c.items():
+                total[g[:-1]] += v
+                kinds[g[:-1]] += 1
+            level[n] = (c, d, total, kinds)
+
+        def p(g, n):
+            if n == 0:
+                return 1 / model.alphabet
+            c, d, total, kinds = level[n]
+            g = g[-n:]
+            h = g[:-1]
+            lower = p(g, n - 1)
+            return max(c[g] - d, 0) / total[h] + d * kinds[h] / total[h] * lower if total[h] else lower
+
+        return p
+
+    seen = ["haus", "sum", "xyz", "a", "mausoleum"]
+    got = model.score(seen)
+    for i, bag in enumerate((words, other)):
+        p = brute(bag)
+        for w, row in zip(seen, got, strict=True):
+            s = "$" * (order - 1) + w + "$"
+            assert row[i] == pytest.approx(sum(np.log(p(s[k : k + order], order)) for k in range(len(w) + 1)), rel=1e-5)
