@@ -43,7 +43,7 @@ RUN, SHARD = 4_000_000, 5_000_000
 #: Words with a number of their own.
 TOP = 1 << 21
 #: A middle word of more training tokens is split.
-HOT = 8_000_000
+HOT = 3_000_000
 _U = np.uint64
 _I = np.int64
 
@@ -153,9 +153,10 @@ class Words:
         while self.least > 1 and held + bands.get(self.least.bit_length() - 2, 0) <= top:
             self.least //= 2
             held += bands.get(self.least.bit_length() - 1, 0)
-        known = table.filter(F.col("c") >= self.least).toPandas()  # at most TOP rows
-        by_key = np.argsort(known["key"].to_numpy(_I).view(np.uint64), kind="stable")
-        keys, c = known["key"].to_numpy(_I).view(np.uint64)[by_key], known["c"].to_numpy(_I)[by_key]
+        known = table.filter(F.col("c") >= self.least).select("key", "c").toArrow()  # at most TOP rows of 16 bytes
+        keys, c = (known[k].to_numpy() for k in ("key", "c"))
+        by_key = np.argsort(keys.view(np.uint64), kind="stable")
+        keys, c = keys.view(np.uint64)[by_key], c[by_key]
         #: Sorted keys, their numbers, and counts by number: the beginning of a text comes after all words.
         self.keys, self.number = keys, np.empty(len(keys), np.int32)
         order = np.lexsort((keys, -c))
@@ -185,20 +186,22 @@ class Words:
 def trigrams(tok: np.ndarray, first: np.ndarray, words: Words, buckets: int):
     """Distinct keys, their numbers, and of every token: ``a, b, c`` as places in them, the text, and the shard."""
     voc, c = np.unique(tok, return_inverse=True)
+    c = c.astype(np.int32)
     at = int(np.searchsorted(voc, BEGIN))
     if at == len(voc) or voc[at] != BEGIN:
         voc = np.insert(voc, at, BEGIN)
-        c = c + (c >= at)
-    b = np.append(at, c[:-1])
+        c += c >= at
+    b, a = np.empty_like(c), np.empty_like(c)
+    b[1:] = c[:-1]
     b[first[:-1]] = at
-    a = np.append(at, b[:-1])
+    a[1:] = b[:-1]
     a[first[:-1]] = at
     number = words.numbers(voc)
     key = mix(voc)
     # Only numbered words are split; the parts of one are told by a.
     parts = np.where(number >= 0, words.split[number], 1)[b]
     to = ((key[b] + (key[a] % parts.astype(np.uint64)) * _U(0xD1B54A32D192ED03)) % _U(buckets)).astype(np.int32)
-    return voc, number, a, b, c, np.repeat(np.arange(len(first) - 1), np.diff(first)), to
+    return voc, number, a, b, c, np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first)), to
 
 
 def lacking(docs: DataFrame, words: Words, shared, table: DataFrame, buckets: int) -> DataFrame | None:
@@ -271,17 +274,40 @@ class Shard:
     """The tokens of one shard in order of ``b, a, c``, and their n-grams."""
 
     def __init__(self, rows: pd.DataFrame, base: int):
-        parts = [[unsqueezed(x, t) for x, t in zip(r, _TYPES, strict=True)] for r in rows[list(_COLUMNS)].itertuples(index=False)]
-        self.base, self.own = base, np.unique(np.concatenate([p[4] for p in parts]))
-        ends = np.cumsum([0, *(len(p[5]) for p in parts)])
-        place = [np.searchsorted(self.own, p[4]).astype(np.int32) + np.int32(base) for p in parts]
-        moved = [np.concatenate([np.where(p[k] < base, p[k], q[np.maximum(p[k] - base, 0)]) if len(q) else p[k] for p, q in zip(parts, place, strict=True)]) for k in range(3)]
-        self.text = np.concatenate([p[3] + np.int32(e) for p, e in zip(parts, ends, strict=False)])
-        self.keys, self.weight = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
-        del parts
-        order = np.lexsort((moved[2], moved[0], moved[1]))
-        self.a, self.b, self.c = (m[order] for m in moved)
-        self.text = self.text[order]
+        self.base = base
+        own = [unsqueezed(x, "uint64") for x in rows["own"]]
+        self.own = np.unique(np.concatenate(own))
+        keys = [unsqueezed(x, "int64") for x in rows["keys"]]
+        self.keys, self.weight = np.concatenate(keys), np.concatenate([unsqueezed(x, "int64") for x in rows["weight"]])
+        n, at, texts = rows["n"].tolist(), 0, 0
+        self.a, self.b, self.c, self.text = (np.empty(sum(n), np.int32) for _ in range(4))
+        for i, k in enumerate(n):
+            place = np.append(np.searchsorted(self.own, own[i]), 0).astype(np.int32) + np.int32(base)
+            for name in "abc":
+                x = unsqueezed(rows[name].iloc[i], "int32")
+                getattr(self, name)[at : at + k] = np.where(x < base, x, place[np.maximum(x - base, 0)])
+            self.text[at : at + k] = unsqueezed(rows["text"].iloc[i], "int32") + texts
+            at, texts = at + k, texts + len(keys[i])
+        self._sort()
+
+    def _sort(self) -> None:
+        """In order of ``b, a, c``: by one packed number where their bits fit, which takes the least memory."""
+        middle, b = np.unique(self.b, return_inverse=True)
+        bits = int(max(self.a.max(), self.c.max())).bit_length()
+        if len(middle).bit_length() + 2 * bits > 63:
+            order = np.lexsort((self.c, self.a, self.b))
+            self.a, self.b, self.c, self.text = (x[order] for x in (self.a, self.b, self.c, self.text))
+            return
+        key = b.astype(_I).ravel() << bits
+        del b
+        key |= self.a
+        key <<= bits
+        key |= self.c
+        order = np.argsort(key)
+        self.text, key = self.text[order], key[order]
+        del order
+        low = (1 << bits) - 1
+        self.c, self.a, self.b = (key & low).astype(np.int32), (key >> bits & low).astype(np.int32), middle[key >> 2 * bits]
 
     @classmethod
     def stored(cls, row, base: int) -> "Shard":
@@ -293,20 +319,24 @@ class Shard:
 
     def count(self, rare: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], words: Words) -> None:
         """Trigrams, their contexts and bigrams, with training counts. ``rare`` counts ``own``; ``pairs`` are sorted keys and counts of bigrams of split words."""
-        new_b = np.append(True, self.b[1:] != self.b[:-1])
-        new_a = new_b | np.append(True, self.a[1:] != self.a[:-1])
-        new_c = new_a | np.append(True, self.c[1:] != self.c[:-1])
-        self.tri = np.cumsum(new_c) - 1  # of each token
-        at = np.flatnonzero(new_c)
-        self.f3 = np.add.reduceat(self.weight[self.text], at)
-        self.ctx = (np.cumsum(new_a) - 1)[at]  # of each trigram
+        new = np.append(True, self.b[1:] != self.b[:-1])
+        new[1:] |= self.a[1:] != self.a[:-1]
+        ctx = np.cumsum(new, dtype=np.int32) - 1
+        new[1:] |= self.c[1:] != self.c[:-1]
+        self.tri = np.cumsum(new, dtype=np.int32) - 1  # of each token
+        at = np.flatnonzero(new)
+        self.f3 = np.add.reduceat(self.weight.astype(np.int32)[self.text], at)
+        self.ctx = ctx[at]  # of each trigram
+        del ctx, new
         self.word = np.concatenate([words.count, rare])
         tb, tc = self.b[at], self.c[at]
-        order = np.lexsort((tc, tb))
-        new = np.append(True, (tb[order][1:] != tb[order][:-1]) | (tc[order][1:] != tc[order][:-1]))
-        self.bi = np.empty(len(at), _I)  # of each trigram
-        self.bi[order] = np.cumsum(new) - 1
-        self.bb, self.bc = tb[order][new], tc[order][new]
+        del at
+        key = tb.astype(_I) << 32
+        key |= tc
+        key, self.bi = np.unique(key, return_inverse=True)  # of each trigram
+        self.bi = self.bi.astype(np.int32)
+        self.bb, self.bc = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
+        del tb, tc, key
         self.f2 = np.bincount(self.bi, self.f3, len(self.bb)).astype(_I)
         self.split = (self.bb < self.base) & (words.split[np.minimum(self.bb, self.base - 1)] > 1)
         if self.split.any():
