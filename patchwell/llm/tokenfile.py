@@ -2,23 +2,23 @@
 
 An id is coded as a *case*: the id that last followed the same two ids (order 2),
 the one that last followed the same id (order 1), an id of a table of recent ones
-(order 0), or any id. The case's distribution mixes adaptive counts of the block,
-of how well order 1 has done in its context, of how well order 2 has, and of
-both; the closer the context, the more its counts weigh. The mix is renewed every
-``RENEW`` ids. Cases go through a range coder with 32-bit range and 16-bit digits,
-whose carries are added to the digits when the block is done. An order-0 slot (8
-bits) and an id that nothing predicts (16 or 32) are uniform, so coding would not
-shorten them: they stand as they are, in streams of their own behind the digits.
+(order 0), or a new one. The case's distribution mixes adaptive counts of the
+block, of how well order 1 has done in its context, of how well order 2 has, and
+of both; the closer the context, the more its counts weigh. An order-0 id follows
+by its place in the table, under adaptive counts of places, and a new id by how
+many bits it has, under adaptive counts, and those bits. Everything goes through
+one range coder with 32-bit range and 16-bit digits, whose carries are added to
+the digits when the block is done. Shares are renewed from the counts every
+``RENEW`` ids, and sooner in the beginning.
 
 Every block of ``BLOCK`` ids starts from nothing and has its own checksums, so
 one can be decoded, or found damaged, alone. For the same reason all blocks of a
 segment advance together, one id a step, as NumPy lanes.
 
-A segment is: ``PWT2``, bytes of it, documents, ids, raw bits (16 or 32), CRC of
+A segment is: ``PWT3``, bytes of it, documents, ids, raw bits (16 or 32), CRC of
 the index; the index (doc ids, a null flag, ids of each document); each block's
-ids, bytes, CRC of the bytes and CRC of the ids; the blocks. A file is its
-segments, a line feed after each. A block is the number of digits, of slots and
-of raw ids (16 bits each), then these three.
+ids, bytes, CRC of the bytes and CRC of the ids; the blocks, which are digits. A
+file is its segments, a line feed after each.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ BLOCK = 2048
 LANES = 1536
 SEGMENT = 3_000_000
 END_ID = 0
-MAGIC = b"PWT2"
+MAGIC = b"PWT3"
 _HEAD = "<4sQQQBI"
 #: Bits of a distribution's total, of a context table and of the order-0 table.
 _TOTAL, _KEYS, _SLOTS = 12, 10, 8
@@ -51,24 +51,44 @@ def slot_of(ids):
     return (ids * 40503 >> 7) & ((1 << _SLOTS) - 1)
 
 
+def bits_of(ids: np.ndarray) -> np.ndarray:
+    """How many bits each id has, 0 for 0."""
+    return np.frexp(ids.astype(np.float64))[1].astype(np.int32)
+
+
+def _shares(counts: np.ndarray, symbols: int) -> np.ndarray:
+    """For each lane, where a symbol's share begins, and its size 16 bits up; no share is below 8."""
+    n = len(counts)
+    room = (1 << _TOTAL) - 8 * symbols
+    size = np.zeros(counts.shape, np.int32)
+    size[:, :symbols] = counts[:, :symbols] * (room / np.maximum(1, counts.sum(axis=1, dtype=np.int32)).astype(np.float32))[:, None].astype(np.float32) + 8
+    begin = np.full((n, counts.shape[1]), 1 << _TOTAL, np.uint32)  # where symbols that are not used would begin
+    begin[:, 0] = 0
+    np.cumsum(size[:, : symbols - 1], axis=1, out=begin[:, 1:symbols])
+    size[:, symbols - 1] = (1 << _TOTAL) - begin[:, symbols - 1]
+    return begin | size.astype(np.uint32) << 16
+
+
 class Lanes:
     """The model's state for ``n`` blocks, flat by block. A table's entry is its id times 4, plus how well it has done."""
 
     def __init__(self, n: int, width: int, bits: int):
         self.kind = kind = np.int32 if bits == 16 else np.int64  # products may wrap, the same way in both directions
         row = np.arange(n)
-        self.n, self.keys, self.recent, self.mixes = n, row << _KEYS, row << _SLOTS, row << 6
+        self.n, self.keys, self.recent, self.mixes, self.classes = n, row << _KEYS, row << _SLOTS, row << 6, row << 6
         self.one, self.two = np.full(n << _KEYS, -4, kind), np.full(n << _KEYS, -4, kind)
         self.slots = np.full(n << _SLOTS, -1, kind)
         self.next = _NEXT.astype(kind)
         #: Of each step: by block, order 2's state, order 1's state and case.
         self.coded = np.zeros((width, n), np.int64)
         self.counts = np.zeros(n << 6, np.int64)
+        #: How often a place of the order-0 table, and a number of bits, came up.
+        self.places, self.sizes, self.most = np.zeros((n, 1 << _SLOTS), np.int32), np.zeros((n, 64), np.int32), bits + 1
         self.h = self.g = np.zeros(n, kind)
         self.t = self.renewed = 0
 
     def renew(self) -> None:
-        """Shares of the cases for each pair of states: where one begins, and its size 16 bits up."""
+        """Shares of the cases for each pair of states, of places and of numbers of bits."""
         self.counts += np.bincount(self.coded[self.renewed : self.t].ravel(), minlength=self.n << 6)
         self.renewed = self.t
         c = self.counts.astype(np.int32).reshape(self.n, 4, 4, 4)
@@ -82,6 +102,7 @@ class Lanes:
         size[..., 3] = (1 << _TOTAL) - begin[..., 3]
         self.shares = (begin | size << 16).ravel()
         self.begin = begin.ravel()
+        self.place_shares, self.size_shares = _shares(self.places, 1 << _SLOTS).ravel(), _shares(self.sizes, self.most).ravel()
 
     def predict(self) -> None:
         if self.t % RENEW == 0 or self.t in (4, 8, 16, 32):
@@ -103,86 +124,145 @@ class Lanes:
         self.t += 1
 
 
+class Encoder:
+    """A range coder for each lane, and the digits so far."""
+
+    def __init__(self, n: int, digits: int):
+        self.low, self.rng = np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
+        self.out, self.size = np.zeros((n, digits), np.int64), np.zeros(n, np.int64)
+
+    def put(self, at, share) -> None:
+        """Shares, of a total of ``2 ** _TOTAL``, of the lanes ``at`` (a slice for all)."""
+        r = self.rng[at] >> _TOTAL
+        self.low[at] += r * (share & 0xFFFF)
+        r *= share >> 16
+        self.rng[at] = r
+        self.flush(at, r)
+
+    def put_bits(self, at, value, k) -> None:
+        r = self.rng[at] >> k
+        self.low[at] += r * value
+        self.rng[at] = r
+        self.flush(at, r)
+
+    def flush(self, at, rng) -> None:
+        full = np.flatnonzero(rng < 1 << 16)
+        if len(full):
+            at = full if isinstance(at, slice) else at[full]
+            low = self.low[at]
+            self.out[at, self.size[at]] = low >> 16
+            self.size[at] += 1
+            self.low[at] = (low & 0xFFFF) << 16
+            self.rng[at] <<= 16
+
+    def end(self) -> list[bytes]:
+        for _ in range(2):
+            self.out[np.arange(len(self.size)), self.size] = self.low >> 16
+            self.size += 1
+            self.low = (self.low & 0xFFFF) << 16
+        for k in range(int(self.size.max()) - 1, 0, -1):
+            self.out[:, k - 1] += self.out[:, k] >> 16
+        out = self.out.astype("<u2")
+        return [out[i, :n].tobytes() for i, n in enumerate(self.size.tolist())]
+
+
+class Decoder:
+    def __init__(self, blobs: list[bytes]):
+        n, most = len(blobs), max(map(len, blobs)) // 2 + 4
+        words = np.zeros((n, most), np.uint32)
+        for i, b in enumerate(blobs):
+            words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
+        self.rng, self.code = np.full(n, (1 << 32) - 1, np.uint32), words[:, 0] << 16 | words[:, 1]
+        self.words, self.at = words.ravel(), np.arange(n) * most + 2
+
+    def take(self, at, r, share) -> None:
+        self.code[at] -= r * (share & 0xFFFF)
+        r = r * (share >> 16)
+        self.rng[at] = r
+        self.fill(at, r)
+
+    def fill(self, at, rng) -> None:
+        full = np.flatnonzero(rng < 1 << 16)
+        if len(full):
+            at = full if isinstance(at, slice) else at[full]
+            self.code[at] = self.code[at] << 16 | self.words[self.at[at]]
+            self.at[at] += 1
+            self.rng[at] <<= 16
+
+    def symbol(self, at, shares, row, steps: int):
+        """The symbol of each lane ``at``, by binary search in its row of shares of ``2 ** steps`` symbols."""
+        r, code = self.rng[at] >> _TOTAL, self.code[at]
+        base = row.copy()
+        for k in range(steps - 1, -1, -1):
+            base += (code >= r * (shares.take(base + (1 << k)) & 0xFFFF)).astype(np.int64) << k
+        self.take(at, r, shares.take(base))
+        return base - row
+
+    def bits(self, at, k):
+        r = self.rng[at] >> k
+        value = self.code[at] // r
+        self.code[at] -= value * r
+        self.rng[at] = r
+        self.fill(at, r)
+        return value
+
+
 def encode_blocks(ids: np.ndarray, lengths: np.ndarray, bits: int) -> list[bytes]:
     """``ids`` (blocks, BLOCK) with each block's length. Shorter blocks go on with what fills them."""
     n, width = len(ids), int(lengths.max(initial=0))
-    m, low, rng = Lanes(n, width, bits), np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
-    out, size = np.zeros((n, width // 2 + 8), np.int64), np.zeros(n, np.int64)  # a case takes 8 bits at most
+    m, e = Lanes(n, width, bits), Encoder(n, width * (2 if bits == 16 else 4) + 8)
     steps = np.ascontiguousarray(ids[:, :width].T, m.kind)
-    slots = slot_of(steps)
+    slots, sizes, every = slot_of(steps), bits_of(steps), slice(None)
     for t in range(width):
         m.predict()
         x, slot = steps[t], slots[t] + m.recent
         case = np.where(x == m.p2, 0, np.where(x == m.p1, 1, 3 - (m.slots.take(slot) == x)))
-        case += m.mix
-        share = m.shares.take(case)
-        r = rng >> _TOTAL
-        low += r * (share & 0xFFFF)
-        rng = r * (share >> 16)
-        full = np.flatnonzero(rng < 1 << 16)
-        if len(full):
-            out[full, size[full]] = low[full] >> 16
-            size[full] += 1
-            low[full] = (low[full] & 0xFFFF) << 16
-            rng[full] <<= 16
-        m.update(x, case, slot)
-    for _ in range(2):
-        out[np.arange(n), size] = low >> 16
-        size += 1
-        low = (low & 0xFFFF) << 16
-    for k in range(out.shape[1] - 1, 0, -1):
-        out[:, k - 1] += out[:, k] >> 16
-    out = out.astype("<u2")
-    cases = m.coded & 3
-    short, raw = (cases == 2).T, (cases == 3).T
-    short_ends, raw_ends = np.cumsum(short.sum(axis=1)), np.cumsum(raw.sum(axis=1))
-    short, raw = slots.T[short].astype(np.uint8), ids[:, :width][raw].astype(f"<u{bits // 8}")
-    blobs, s, w = [], 0, 0
-    for i, (e, f) in enumerate(zip(short_ends.tolist(), raw_ends.tolist(), strict=True)):
-        blobs.append(struct.pack("<HHH", size[i], e - s, f - w) + out[i, : size[i]].tobytes() + short[s:e].tobytes() + raw[w:f].tobytes())
-        s, w = e, f
-    return blobs
+        coded = case + m.mix
+        e.put(every, m.shares.take(coded))
+        at = np.flatnonzero(case == 2)
+        if len(at):
+            e.put(at, m.place_shares.take(slot[at]))
+            m.places[at, slots[t, at]] += 1
+        at = np.flatnonzero(case == 3)
+        if len(at):
+            k = sizes[t, at]
+            e.put(at, m.size_shares.take(m.classes[at] + k))
+            m.sizes[at, k] += 1
+            k = np.maximum(k - 1, 0)
+            rest = x[at].astype(np.int64) & ((1 << k.astype(np.int64)) - 1)
+            if bits > 16:
+                e.put_bits(at, rest >> 16, np.maximum(k - 16, 0))
+            e.put_bits(at, rest & 0xFFFF, np.minimum(k, 16))
+        m.update(x, coded, slot)
+    return e.end()
 
 
 def decode_blocks(blobs: list[bytes], lengths: np.ndarray, bits: int) -> np.ndarray:
     n, width = len(blobs), int(lengths.max(initial=0))
-    heads = [struct.unpack_from("<HHH", b) for b in blobs]
-    most = np.array(heads).max(axis=0) + 4
-    words, short, raw = np.zeros((n, most[0]), np.uint32), np.zeros((n, most[1]), np.uint8), np.zeros((n, most[2]), np.int32 if bits == 16 else np.int64)
-    for i, (b, (d, s, w)) in enumerate(zip(blobs, heads, strict=True)):
-        words[i, :d] = np.frombuffer(b, "<u2", d, 6)
-        short[i, :s] = np.frombuffer(b, np.uint8, s, 6 + 2 * d)
-        raw[i, :w] = np.frombuffer(b, f"<u{bits // 8}", w, 6 + 2 * d + s)
-    m, rng = Lanes(n, width, bits), np.full(n, (1 << 32) - 1, np.uint32)
-    code = (words[:, 0] << 16) | words[:, 1]
-    # Each lane's place in its flat stream.
-    row = np.arange(n)
-    at_word, at_short, at_raw = row * most[0] + 2, row * most[1], row * most[2]
-    words, short, raw = words.ravel(), short.ravel(), raw.ravel()
+    m, d, every = Lanes(n, width, bits), Decoder(blobs), slice(None)
     steps = np.zeros((width, n), m.kind)
     for t in range(width):
         m.predict()
-        r = rng >> _TOTAL
-        base = m.mix + ((code >= r * m.begin.take(m.mix + 2)).astype(np.int64) << 1)
-        base += code >= r * m.begin.take(base + 1)
-        share = m.shares.take(base)
-        code -= r * (share & 0xFFFF)
-        rng = r * (share >> 16)
+        r = d.rng >> _TOTAL
+        base = m.mix + ((d.code >= r * m.begin.take(m.mix + 2)).astype(np.int64) << 1)
+        base += d.code >= r * m.begin.take(base + 1)
+        d.take(every, r, m.shares.take(base))
         case = base & 3
-        full = np.flatnonzero(rng < 1 << 16)
-        if len(full):
-            code[full] = (code[full] << 16) | words[at_word[full]]
-            at_word[full] += 1
-            rng[full] <<= 16
         x = np.where(case == 0, m.p2, m.p1)
         at = np.flatnonzero(case == 2)
         if len(at):
-            x[at] = m.slots[m.recent[at] + short[at_short[at]]]
-            at_short[at] += 1
+            place = d.symbol(at, m.place_shares, m.recent[at], _SLOTS)
+            x[at] = m.slots[m.recent[at] + place]
+            m.places[at, place] += 1
         at = np.flatnonzero(case == 3)
         if len(at):
-            x[at] = raw[at_raw[at]]
-            at_raw[at] += 1
+            k = d.symbol(at, m.size_shares, m.classes[at], 6)
+            m.sizes[at, k] += 1
+            low = np.maximum(k - 1, 0)
+            new = np.where(k > 0, np.int64(1) << low, 0)
+            if bits > 16:
+                new = new | d.bits(at, np.maximum(low - 16, 0).astype(np.uint32)).astype(np.int64) << 16
+            x[at] = new | d.bits(at, np.minimum(low, 16).astype(np.uint32))
         steps[t] = x
         m.update(x, base, slot_of(x) + m.recent)
     return steps.T
