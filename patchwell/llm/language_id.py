@@ -30,8 +30,8 @@ from .words import mix
 ORDER = 4
 MAX_DOCS = 8_000
 UNKNOWN = "und"
-#: Rejection: standard deviations of held-out cross-entropy beyond the language's mean.
-FAR = 12.0
+#: Rejection: a text lies ``FAR`` times as far out as all but ``SHARE`` of the held-out texts of its language, for its length.
+SHARE, FAR = 0.01, 3.0
 _U = np.uint64
 _scorers: dict[str, "Scorer"] = {}
 _word = re.compile(r"[^\W\d_]+").findall
@@ -107,6 +107,22 @@ def fit_language(words: Counter) -> list[tuple[str, int, np.ndarray, np.ndarray]
     return out
 
 
+def calibrated(h: np.ndarray, n: np.ndarray) -> tuple[float, float, float, float]:
+    """From cross-entropies of held-out texts and their lengths: the mean, the two parts of the variance, and the largest distance in deviations.
+
+    The parts are fitted twice, the second time without the ``SHARE`` farthest out.
+    """
+    mean = float((h * n).sum() / n.sum())
+    use = np.ones(len(h), bool)
+    for _ in range(2):
+        x = np.stack([np.ones(use.sum()), 1 / n[use]], axis=1)
+        a, b = np.linalg.lstsq(x * n[use, None] ** 0.5, (h[use] - mean) ** 2 * n[use] ** 0.5, rcond=None)[0]
+        a, b = max(float(a), 0.02**2), max(float(b), 0.0)
+        z = np.abs(h - mean) / np.sqrt(a + b / n)
+        use = z <= np.quantile(z, 1 - SHARE)
+    return mean, a, b, FAR * max(1.0, float(np.quantile(z, 1 - SHARE)))
+
+
 class Model:
     """Merged sorted arrays of all languages."""
 
@@ -212,10 +228,10 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
         total, n = Scorer(model).texts(pdf["text"])
         i = pdf["lang"].map({x: k for k, x in enumerate(model.langs)}).fillna(-1).astype(int).to_numpy()
         ok = (n > 0) & (i >= 0)
-        return pd.DataFrame({"lang": pdf["lang"][ok], "h": -total[ok, i[ok]] / n[ok]})
+        return pd.DataFrame({"lang": pdf["lang"][ok], "h": -total[ok, i[ok]] / n[ok], "n": n[ok]})
 
-    held = mapped(part.filter("held"), entropy, "lang string, h double")
-    model.limit = {r["lang"]: r["m"] + FAR * max(r["s"] or 0.0, 0.05) for r in held.groupBy("lang").agg(F.avg("h").alias("m"), F.stddev("h").alias("s")).collect()}
+    held = mapped(part.filter("held"), entropy, "lang string, h double, n double").toPandas()  # a tenth of the bounded sample, without its texts
+    model.limit = {lang: calibrated(g["h"].to_numpy(), g["n"].to_numpy()) for lang, g in held.groupby("lang")}
     return model
 
 
@@ -243,7 +259,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         # Posterior over languages, each text counted as at most 50 independent letters.
         x = np.exp(-(h - least[:, None]) * np.minimum(n, 50)[:, None])
         name = np.array(m.langs, object)[best]
-        limit = np.array([m.limit.get(x, np.inf) for x in m.langs])[best]
+        mean, a, b, z = np.array([m.limit.get(x, (0.0, np.inf, 0.0, 1.0)) for x in m.langs])[best].T
+        limit = mean + z * np.sqrt(a + b / np.maximum(n, 1))
         some = n > 0
         return pd.DataFrame({
             "row": pdf["row"], "lang_pred": np.where(some, name, UNKNOWN), "score": np.where(some, 1 / x.sum(axis=1), 0.0),

@@ -304,7 +304,18 @@ def test_language_id_learns_from_whole_texts(spark):
     assert [got[i]["lang_pred"] for i in (1, 2)] == ["en", "no"] and all(got[i]["score"] > 0.99 for i in (1, 2))
     # Limits are set on whole texts too: they are what prediction measures on the same documents.
     h = language_id.identify(table, model).groupBy("lang").agg(F.avg("cross_entropy").alias("h")).collect()
-    assert all(model.limit[r["lang"]] == pytest.approx(r["h"] + language_id.FAR * 0.05, abs=0.01) for r in h)
+    assert all(model.limit[r["lang"]][0] == pytest.approx(r["h"], abs=0.01) for r in h)
+
+
+def test_rejection_follows_the_spread_for_a_length():
+    rng = np.random.default_rng(5)
+    n = rng.integers(2, 3000, 2000).astype(float)
+    h = 1.5 + rng.normal(size=2000) * np.sqrt(0.03**2 + 1.2 / n)
+    h[:10] += 3  # a few are of no language
+    mean, a, b, z = language_id.calibrated(h, n)
+    assert abs(mean - 1.5) < 0.05 and 0.5 < b < 2 and a < 0.05**2 and 5 < z < 12
+    limit = mean + z * np.sqrt(a + b / n)
+    assert (h[10:] > limit[10:]).sum() == 0 and (h[:10] > limit[:10])[n[:10] > 30].all()
 
 
 def test_pii_base_spans_are_the_patterns():
