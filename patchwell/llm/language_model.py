@@ -25,6 +25,8 @@ Equal texts are one document with a weight in each task's run.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,11 +41,13 @@ K = 5
 #: What larger n-gram counts lose, so that every context leaves some mass to backoff.
 ABOVE = 0.1
 #: Tokens that a task holds before it sends them on, and those of a shard.
-RUN, SHARD = 4_000_000, 5_000_000
+RUN, SHARD = 4_000_000, 6_000_000
 #: Words with a number of their own.
-TOP = 1 << 21
+TOP = 3_000_000
 #: A middle word of more training tokens is split.
-HOT = 3_000_000
+HOT = 4_000_000
+#: Words whose shards are chosen so that these hold about equally many tokens.
+HEAVY = 4096
 _U = np.uint64
 _I = np.int64
 
@@ -167,6 +171,18 @@ class Words:
         #: Into how many parts, by number, a middle word is split.
         self.split = np.maximum(1, -(-2 * self.count // hot)) if hot else np.ones(len(self.count), _I)
         self.split[self.count < hot] = 1
+        self.home = np.zeros(0, np.int32)
+
+    def place(self, shards: int) -> None:
+        """Shards of the commonest words: each goes to the one that has the fewest tokens by then, the rest being spread by hash."""
+        heavy = self.count[: min(HEAVY, self.begin)]
+        load = [((self.n - int(heavy.sum())) / shards, i) for i in range(shards)]
+        heapq.heapify(load)
+        self.home = np.zeros(len(heavy), np.int32)
+        for k, c in enumerate(heavy.tolist()):
+            have, i = load[0]
+            self.home[k] = i
+            heapq.heapreplace(load, (have + c, i))
 
     def numbers(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of distinct keys, -1 for words without one."""
@@ -201,6 +217,9 @@ def trigrams(tok: np.ndarray, first: np.ndarray, words: Words, buckets: int):
     # Only numbered words are split; the parts of one are told by a.
     parts = np.where(number >= 0, words.split[number], 1)[b]
     to = ((key[b] + (key[a] % parts.astype(np.uint64)) * _U(0xD1B54A32D192ED03)) % _U(buckets)).astype(np.int32)
+    own = number[b]
+    own = np.where((own >= 0) & (own < len(words.home)) & (parts == 1), own, -1)
+    to = np.where(own >= 0, words.home[own], to) if len(words.home) else to
     return voc, number, a, b, c, np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first)), to
 
 
@@ -333,10 +352,15 @@ class Shard:
         del at
         key = tb.astype(_I) << 32
         key |= tc
-        key, self.bi = np.unique(key, return_inverse=True)  # of each trigram
-        self.bi = self.bi.astype(np.int32)
+        del tb, tc
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        self.bi = np.empty(len(key), np.int32)  # of each trigram
+        self.bi[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        key = key[new]
         self.bb, self.bc = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32)
-        del tb, tc, key
         self.f2 = np.bincount(self.bi, self.f3, len(self.bb)).astype(_I)
         self.split = (self.bb < self.base) & (words.split[np.minimum(self.bb, self.base - 1)] > 1)
         if self.split.any():
@@ -386,9 +410,10 @@ class Model:
         table = word_counts(rows, least)
         words = self.words = Words(table, top, hot)
         self.table = table
-        shared = self.shared = spark.sparkContext.broadcast(words)  # TOP words, whatever the input
         size = rows.agg(F.sum(F.length("text"))).head()[0] or 0
         buckets = self.buckets = max(12, int(size // (5 * shard)) + 1)
+        words.place(buckets)
+        shared = self.shared = spark.sparkContext.broadcast(words)  # TOP words, whatever the input
         lacks = lacking(rows, words, shared, table, buckets)
         if lacks is None:
             lacks = spark.createDataFrame([], "bucket int, kind int, key long, c long")

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +63,12 @@ def crc(col: str):
 
 def squeezed(a: np.ndarray) -> bytes:
     """An array's bytes, compressed plane by plane: counts are mostly small, so their upper bytes are alike."""
-    return zlib.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
 
 
 def unsqueezed(data: bytes, dtype: str) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def tree_sum(blobs: DataFrame, dtype: str, fan_in: int = 16) -> np.ndarray | None:
