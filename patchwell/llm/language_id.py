@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import crc, mapped
+from .scratch import crc, mapped, owned, release
 from .words import mix
 
 ORDER = 4
@@ -33,7 +33,6 @@ UNKNOWN = "und"
 #: Rejection: a text lies ``FAR`` times as far out as all but ``SHARE`` of the held-out texts of its language, for its length.
 SHARE, FAR = 0.01, 3.0
 _U = np.uint64
-_scorers: dict[str, "Scorer"] = {}
 _word = re.compile(r"[^\W\d_]+").findall
 _EDGE = 1
 
@@ -186,10 +185,7 @@ class Scorer:
 
 def worker_scorer(model: Model) -> Scorer:
     """The worker's own scorer of a model; a Python worker keeps its words between tasks."""
-    if model.ident not in _scorers:
-        _scorers.clear()
-        _scorers[model.ident] = Scorer(model)
-    return _scorers[model.ident]
+    return owned(("scorer", model.ident), lambda: Scorer(model))
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
@@ -214,6 +210,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
     words = mapped(part.filter(~F.col("held") | F.col("lang").isin(few)), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
         parts = fit_language(Counter(dict(zip(pdf["word"], pdf["n"].tolist(), strict=True)))) if len(pdf) else []
         return pd.DataFrame([(key[0], k, n, h.tobytes(), v.tobytes()) for k, n, h, v in parts], columns=["lang", "kind", "n", "hash", "value"])
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, mapped, small_batches, split_batches, squeezed, store, unsqueezed
+from .scratch import drop, mapped, release, small_batches, split_batches, squeezed, store, unsqueezed
 from .words import SPACED, mix, word_hashes
 
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -424,6 +424,7 @@ class Model:
                 yield encoded(tok, first, keys, weight, shared.value, buckets)
 
         def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            release()
             names = ["bucket", "n", *_COLUMNS, "rare", "pairs", "pair_counts", "n2", "n3"]
             if not len(left):
                 return pd.DataFrame(columns=names)

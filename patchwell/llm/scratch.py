@@ -17,6 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_owned: dict[tuple, object] = {}
+
+
+def owned(key: tuple, make: Callable[[], object]):
+    """An object that a Python worker keeps between tasks. It keeps one: a worker lives on from operator to operator, and their caches would add up."""
+    if key not in _owned:
+        _owned.clear()
+        _owned[key] = make()
+    return _owned[key]
+
+
+def release() -> None:
+    """Drop what the worker keeps, where a task needs the memory."""
+    _owned.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; one of our own only where it is unset and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)

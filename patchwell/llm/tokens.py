@@ -16,7 +16,8 @@ from array import array
 import numpy as np
 import regex
 
-_kept: dict[tuple, "Encoder"] = {}
+from .scratch import owned
+
 #: Set on the last id of a word that ends a sentence, in ``encode_marked``.
 MARK = np.uint32(1 << 31)
 
@@ -45,7 +46,7 @@ class _Words(dict):
 class Encoder:
     """Ids of texts by one tokenizer file. ``lowered``: its words are lower-cased and lose white space."""
 
-    LIMIT = 700_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -131,6 +132,4 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's own encoder of a file; a Python worker keeps it between tasks."""
-    if path not in _kept:
-        _kept[path] = Encoder(path)
-    return _kept[path]
+    return owned(("encoder", path), lambda: Encoder(path))

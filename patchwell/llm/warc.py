@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import mapped, new_path
+from .scratch import mapped, new_path, store
 
 #: Fields of the header lines of both ARC versions, as their version blocks name them.
 FIELDS = {
@@ -32,6 +32,8 @@ KEY = b"X-Record-Key"
 DATE = "20240101000000"
 #: Records of fewer payload bytes are never revisits.
 LEAST_BYTES = 0
+#: Records of a file, and revisits that may be broadcast (about 100 bytes each).
+PER_FILE, FEW = 1000, 200_000
 
 
 def sha1(b: bytes) -> str:
@@ -125,8 +127,8 @@ def parse_warc(data: bytes) -> list[dict]:
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    """Bytes as they are, a line feed after each row, gzipped."""
-    rows.select(F.col("value").cast("string")).write.option("compression", "gzip").text(path)
+    """Bytes as they are, a line feed after each row, gzipped, ``PER_FILE`` rows a file: one is read back as a whole."""
+    rows.select(F.col("value").cast("string")).write.option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -134,18 +136,21 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
-    """``(page_id, url, html)`` as ARC files, one a partition, versions 1 and 2 in turn. A null html is empty."""
+    """``(page_id, url, html)`` as ARC files, versions 1 and 2 in turn by partition. A null html is empty."""
     from pyspark import TaskContext
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        version, name = 1 + part % 2, f"part-{part}.arc"
-        yield pd.DataFrame({"value": [version_block(version, name)]})
+        version, name, row = 1 + part % 2, f"part-{part}.arc", 0
         for pdf in batches:
-            yield pd.DataFrame({"value": [
-                arc_record(version, u if isinstance(u, str) else "", None if k is None else int(k), h.encode("utf-8", "surrogatepass") if isinstance(h, str) else b"", name)
-                for k, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True)
-            ]})
+            out = []
+            for k, u, h in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+                if row % PER_FILE == 0:  # every file begins with its own version block
+                    out.append(version_block(version, name))
+                    row += 1
+                out.append(arc_record(version, u if isinstance(u, str) else "", None if k is None else int(k), h.encode("utf-8", "surrogatepass") if isinstance(h, str) else b"", name))
+                row += 1
+            yield pd.DataFrame({"value": out})
 
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")
     _write(rows.mapInPandas(run, "value binary"), path)
@@ -181,15 +186,18 @@ def convert(spark: SparkSession, source: str, target: str, least: int = LEAST_BY
     payload; a record with no key is a revisit where one with a key exists.
     """
     records = read_arc(spark, source)
-    roles = records.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("key").alias("keeper"))
-    mine = records.filter(F.col("bytes") >= least).select("key", "digest").distinct().join(roles, "digest").select(F.col("key").alias("k"), F.col("digest").alias("d"), "keeper")
-    # By key and digest together: no payload has to meet its copies in one task.
-    both = records.join(mine, records["key"].eqNullSafe(mine["k"]) & (records["digest"] == mine["d"]), "left")
+    index = store(records.filter(F.col("bytes") >= least).select("key", "digest"), "digests")
+    roles = index.groupBy("digest").agg(F.max("key").alias("keeper"), F.count("*").alias("n")).filter("n > 1 and keeper is not null")
+    again = index.distinct().join(roles, "digest").filter(~F.col("key").eqNullSafe(F.col("keeper"))).select(F.col("key").alias("k"), F.col("digest").alias("d"), "keeper")
+    again = store(again, "revisits")
+    # By key and digest together: no payload has to meet its copies in one task. Few revisits leave the records where they are.
+    again = F.broadcast(again) if again.count() <= FEW else again
+    both = records.join(again, records["key"].eqNullSafe(again["k"]) & (records["digest"] == again["d"]), "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k, keeper, u, t, m, d, b in zip(pdf["key"], pdf["keeper"], pdf["url"], pdf["date"], pdf["media"], pdf["digest"], pdf["block"], strict=True):
-            again = keeper is not None and k != keeper
+            again = keeper is not None
             kind = "revisit" if again else "response" if m.startswith("application/http") else "resource"
             out.append(warc_record(u, t, kind, http_parts(b)[1] if again else b, d, int(keeper) if again else None, m))
         return pd.DataFrame({"value": out})
