@@ -32,6 +32,8 @@ MAX_DOCS = 8_000
 UNKNOWN = "und"
 #: Rejection: a text lies ``FAR`` times as far out as all but ``SHARE`` of the held-out texts of its language, for its length.
 SHARE, FAR = 0.01, 3.0
+#: Nats a letter beyond the mean up to which none is rejected: few held-out texts say little about the spread.
+NEAR = 0.6
 _U = np.uint64
 _word = re.compile(r"[^\W\d_]+").findall
 _EDGE = 1
@@ -257,7 +259,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         x = np.exp(-(h - least[:, None]) * np.minimum(n, 50)[:, None])
         name = np.array(m.langs, object)[best]
         mean, a, b, z = np.array([m.limit.get(x, (0.0, np.inf, 0.0, 1.0)) for x in m.langs])[best].T
-        limit = mean + z * np.sqrt(a + b / np.maximum(n, 1))
+        limit = mean + np.maximum(NEAR, z * np.sqrt(a + b / np.maximum(n, 1)))
         some = n > 0
         return pd.DataFrame({
             "row": pdf["row"], "lang_pred": np.where(some, name, UNKNOWN), "score": np.where(some, 1 / x.sum(axis=1), 0.0),

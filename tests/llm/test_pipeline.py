@@ -19,3 +19,34 @@ def test_stages(spark, sf):
     assert safe.filter(F.col("text").rlike("[a-z0-9]@[a-z0-9]+[.][a-z]")).count() == 0
     packed = stage["pack"](spark, safe, sf)
     assert packed.select("doc_id").distinct().count() == safe.count()
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeats, empty and long texts, columns named like an operator's own, and empty tables."""
+    usual = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").filter("length(text) between 200 and 2000").limit(60).collect()]
+    rows = [(i, t, "en", "s", len(t), 0.5, "x", 1) for i, t in enumerate(usual)]
+    rows += [rows[0], rows[1], (None, usual[2] + " tail", None, None, None, None, None, None), (None, None, "en", "s", 0, 0.1, "x", 1), (100, "", "en", "s", 0, 0.1, "x", 1), (101, " \n", None, "s", 2, 0.1, "x", 1), (102, (" ".join(usual[3].split()[::-1]) + " ") * 400, "en", "s", 1, 0.1, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, row string, component_id int").repartition(3)
+    bench = [(1, " ".join(usual[5].split()[:30])), (2, None), (3, "")]
+    for name, data in (("some", bench), ("none", [])):
+        spark.createDataFrame(data, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    told = stage["language_id"](spark, docs, sf)
+    assert told.columns == docs.columns
+    kept = told.collect()
+    assert not {r["doc_id"] for r in kept} & {100, 101} and len(kept) >= 55
+    one = stage["near_duplicates"](spark, docs, sf)
+    ids = [r["doc_id"] for r in one.collect()]
+    assert one.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({i for i in ids if i is not None}) and {100, 101, 102} <= set(ids)
+    clean = stage["decontaminate"](spark, docs, f"{tmp_path}/some")
+    left = [r["doc_id"] for r in clean.collect()]
+    assert clean.columns == docs.columns and 5 not in left and left.count(0) == 2 and left.count(None) == 2 and {100, 101} <= set(left)
+    assert stage["decontaminate"](spark, docs, f"{tmp_path}/none").count() == docs.count()
+    safe = stage["pii"](spark, docs, sf)
+    assert safe.columns == docs.columns and safe.count() == docs.count() and safe.filter("text is null").count() == 1
+    packed = stage["pack"](spark, docs, sf)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+    assert packed.filter("doc_id in (100, 101) and doc_tokens != 1").count() == 0
+    for name, f in stage.items():
+        got = f(spark, docs.limit(0), f"{tmp_path}/some")
+        assert got.count() == 0 and (name == "pack" or got.columns == docs.columns)
