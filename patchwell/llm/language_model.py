@@ -41,7 +41,7 @@ K = 5
 #: What larger n-gram counts lose, so that every context leaves some mass to backoff.
 ABOVE = 0.1
 #: Tokens that a task holds before it sends them on, and those of a shard.
-RUN, SHARD = 4_000_000, 6_000_000
+RUN, SHARD = 4_000_000, 3_500_000
 #: Words with a number of their own.
 TOP = 3_000_000
 #: A middle word of more training tokens is split.
@@ -344,7 +344,7 @@ class Shard:
         new[1:] |= self.c[1:] != self.c[:-1]
         self.tri = np.cumsum(new, dtype=np.int32) - 1  # of each token
         at = np.flatnonzero(new)
-        self.f3 = np.add.reduceat(self.weight.astype(np.int32)[self.text], at)
+        self.f3 = np.add.reduceat(self.weight.astype(np.int32)[self.text], at, dtype=np.int32)
         self.ctx = ctx[at]  # of each trigram
         del ctx, new
         self.word = np.concatenate([words.count, rare])
