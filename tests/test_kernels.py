@@ -276,3 +276,24 @@ def test_tiles_are_clipped_by_their_grid(spark):
     assert any(r["height"] < 16 or r["width"] < 16 for r in part) and all((r["height"], r["width"]) == (16, 16) for r in whole) and len(whole) < len(part)
     reasons = {r["reason"] for r in patches.decisions(s, Params(**base)).collect()}
     assert reasons == {"CROPPED", "WRONG_SIZE"}
+
+
+def test_masks_of_unequal_stacks_are_left_out(spark, tmp_path):
+    gland = np.stack([disc(20, 20, 10, 10, 40)] * 4)
+    for name, v in (("g/1_1_g", gland), ("g/2_2_g", gland), ("l/1_1_l", gland[:3]), ("l/2_2_l", 2 * gland)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{name}.nii.gz").write_bytes(nifti.encode_nifti(v.astype(np.uint8), (1.0, 1.0, 3.0)))
+    params = Params(patient_status="positive", pixel_spacing=2.0)
+    got = run.masks(spark, str(tmp_path / "g"), str(tmp_path / "l"), params).collect()
+    assert {r["case_id"] for r in got} == {"2"} and len(got) == 4
+    want = gland[0][::2, ::2].ravel().tolist()
+    assert all((r["height"], r["width"]) == (10, 10) and r["gland"] == want and r["lesion"] == [2 * v for v in want] for r in got)
+    with pytest.raises(ValueError):
+        run.masks(spark, str(tmp_path / "g"), None, params)
+
+
+def test_a_slice_needs_both_masks(spark):
+    empty = np.zeros((8, 8), int)
+    params = Params(patient_status="positive", c_min_positive=0.0, min_overlap_percent=0.0)
+    s = stacks.measured(mask_rows(spark, (disc(8, 8, 4, 4, 4).astype(int), empty + 2), (empty, empty + 2)), params)
+    assert [r[0] for r in s.orderBy("z").select(stacks.reason(params)).collect()] == [None, "EMPTY_MASK"]
