@@ -515,8 +515,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and text, so a null or repeated id on different
     texts loses none. A text without shingles stays once for each id it has.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key")
-    least = grouped(docs).groupBy("comp", F.when(F.col("n") == 0, row).alias("alone")).agg(F.min(row).alias("row"))
-    keep = least.select(F.col("row.id").alias("_id"), F.col("row.key").alias("_key"))
+    alone = F.col("n") == 0
+    row = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("key").alias("_key")]
+    names = ["none", "_id", "_key"]
+    # What is one of its kind: a component, or a row without shingles.
+    kind = [F.col("comp"), *[F.when(alone, c).otherwise(F.lit(0).cast(t)).alias(f"g{i}") for i, (c, t) in enumerate(zip(row, ("boolean", "long", "long"), strict=True))]]
+    each = store(grouped(docs).select(*kind, *row).groupBy("comp", "g0", "g1", "g2", *names).agg(F.count("*").alias("c")), "rows")
+    least = each.groupBy("comp", "g0", "g1", "g2").agg(F.min(F.struct(*names)).alias("row")).select("comp", "g0", "g1", "g2", "row.*")
+    gone = store(each.join(least, ["comp", "g0", "g1", "g2", *names], "left_anti").select("_id", "_key"), "gone")
+    twice = store(each.filter("c > 1").select("_id", "_key"), "twice")
+    few = lambda t: F.broadcast(t) if t.count() <= FEW else t
+    # Texts stay where they are if the rows that go are few; only rows that came more than once have to meet.
     marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", F.xxhash64("text"))
-    return marked.join(keep, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    left, twice = marked.join(few(gone), ["_id", "_key"], "left_anti"), few(twice)
+    once, again = left.join(twice, ["_id", "_key"], "left_anti"), left.join(twice, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return once.unionByName(again).select(*docs.columns)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import split_batches
+from .scratch import release, split_batches
 from .tokens import MARK, encoder
 
 SIZE = 2048
@@ -157,6 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
                 yield flush(False)
         if (out := flush(True)) is not None:
             yield out
+        release()
 
     # As text, ids keep all their digits where some are null.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import new_path, small_batches, split_batches, store
+from .scratch import new_path, release, small_batches, split_batches, store
 from .tokens import encoder
 
 BLOCK = 2048
@@ -334,6 +334,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, parts: int, end_id: int =
                 names, parts, sizes, total = [], [], [], 0
         if names:
             yield pd.DataFrame({"value": [write_segment(names, np.concatenate(parts), np.array(sizes))]})
+        release()
 
     rows = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")

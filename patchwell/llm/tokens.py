@@ -131,5 +131,5 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder of a file; a Python worker keeps it between tasks."""
+    """The worker's own encoder of a file, until a task releases it: its words take some 200 MB."""
     return owned(("encoder", path), lambda: Encoder(path))
