@@ -84,13 +84,20 @@ class Quantiser:
             rest[:, a:b] -= m[codes[:, i]]
         return at, codes, np.sqrt((rest * rest).sum(axis=1))
 
-    def far(self, q: np.ndarray, lists: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of one list's codes to a query, by its distance tables."""
-        r = q - self.coarse[lists]
-        total = np.zeros(len(codes))
+    def terms(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What an entry adds to any query's squared distance: of its decoded residual ``m`` and centroid ``c``, ``m.m + 2 c.m``."""
+        out = np.zeros(len(codes))
         for i, ((a, b), m) in enumerate(zip(self.cut, self.books, strict=True)):
-            total += ((m - r[a:b]) ** 2).sum(axis=1)[codes[:, i]]
-        return total
+            own = m[codes[:, i]]
+            out += (own * own).sum(axis=1) + 2 * (self.coarse[lists, a:b] * own).sum(axis=1)
+        return out
+
+    def far(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Squared distances of entries' codes to a query, by its distance tables: ``|q - c|^2 + terms - 2 q.m``."""
+        near = ((self.coarse - q) ** 2).sum(axis=1)[lists] + terms
+        for i, ((a, b), m) in enumerate(zip(self.cut, self.books, strict=True)):
+            near -= 2 * (m @ q[a:b])[codes[:, i]]
+        return np.maximum(near, 0)
 
     def probed(self, q: np.ndarray, size: np.ndarray, probes: int | None = None) -> np.ndarray:
         """The nearest ``probes`` lists, and as many more as hold ``LEAST`` entries."""
@@ -198,17 +205,23 @@ def search(table: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        lists = {k: (g["cid"].to_numpy(), np.frombuffer(b"".join(g["codes"]), np.uint8).reshape(len(g), -1), g["off"].to_numpy(), np.frombuffer(b"".join(g["vec"]), np.float64).reshape(len(g), -1)) for k, g in right.groupby("list")}
+        if not len(right):
+            return pd.DataFrame({"query_id": [], "q": [], "cid": [], "vec": [], "score": []})
+        right = right.sort_values("list", kind="stable")
+        own, cid, off = (right[k].to_numpy() for k in ("list", "cid", "off"))
+        codes, vec = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1), np.frombuffer(b"".join(right["vec"]), np.float64).reshape(len(right), -1)
+        terms = shared.value.terms(own, codes)
         for (i, q), g in left.groupby(["query_id", "q"]):
-            v = np.frombuffer(q, np.float64)
-            have = [k for k in g["list"].unique() if k in lists]
-            if have:
-                c, off = (np.concatenate([lists[k][j] for k in have]) for j in (0, 2))
-                d = np.sqrt(np.concatenate([shared.value.far(v, k, lists[k][1]) for k in have]))
-                most = cutoff(d + off, c, top + 1)
-                can = d - off <= most + 1e-9 * (most + np.sqrt((v * v).sum()))
-                ends = np.cumsum([len(lists[k][0]) for k in have])[:-1]
-                x = np.concatenate([lists[k][3][m] for k, m in zip(have, np.split(can, ends), strict=True)])
+            v, want = np.frombuffer(q, np.float64), np.unique(g["list"])
+            ends = zip(np.searchsorted(own, want).tolist(), np.searchsorted(own, want, side="right").tolist(), strict=True)
+            at = np.concatenate([np.arange(a, b) for a, b in ends])
+            if len(at):
+                c, off_at = cid[at], off[at]
+                d = np.sqrt(shared.value.far(v, own[at], codes[at], terms[at]))
+                most = cutoff(d + off_at, c, top + 1)
+                # Differences of squares are less exact than distances: what they may be off by is left open too.
+                can = d - off_at <= most + 1e-6 * (most + np.sqrt((v * v).sum()))
+                x = vec[at[can]]
                 c, d = c[can], np.sqrt(((v - x) ** 2).sum(axis=1))
                 best = np.lexsort((c, d))
                 # As many as have top + 1 different ids: ids repeat only where one stands for several vectors.
