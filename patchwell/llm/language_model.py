@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, mapped, release, small_batches, split_batches, squeezed, store, unsqueezed
+from .scratch import drop, mapped, release, small_batches, split_batches, squeezed, store, tidy, unsqueezed
 from .words import SPACED, mix, word_hashes
 
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -422,6 +422,7 @@ class Model:
         def run(batches):
             for tok, first, keys, weight in runs(batches, RUN):
                 yield encoded(tok, first, keys, weight, shared.value, buckets)
+            tidy()
 
         def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             release()

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import drop, mapped, split_batches, squeezed, store, tree_sum
+from .scratch import drop, mapped, release, split_batches, squeezed, store, tidy, tree_sum
 from .words import mix, shingle_sets
 
 #: Slots of the count table, a power of two: 16 MB.
@@ -225,6 +225,7 @@ def members(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     from pyspark import TaskContext
 
     def run(batches):
+        release()
         table, seen = np.zeros(TABLE, np.int32), set()
         for pdf in split_batches(batches):
             sets = shingle_sets(pdf["text"])
@@ -241,6 +242,8 @@ def members(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "cls": ids, "n": [len(s) for s in sets], "slot": -1, "blob": None})
         if table.any():
             yield pd.DataFrame({"doc_id": [NO_ID], "key": 0, "cls": 0, "n": 0, "slot": TaskContext.get().partitionId(), "blob": [squeezed(table)]})
+        del table, seen
+        tidy()
 
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     out = store(docs.mapInPandas(run, "doc_id long, key long, cls long, n int, slot int, blob binary"), "members")
@@ -354,6 +357,7 @@ def sets_of(docs: DataFrame, member: DataFrame, wanted: DataFrame, make, schema:
             if len(seen) > 1_000_000:
                 seen.clear()
             yield pd.DataFrame(rows, columns=["cls", "n", "made"])
+        tidy()
 
     rows = docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))).alias("hid"), "text")
     return rows.mapInPandas(run, schema)
@@ -452,6 +456,7 @@ def links(cells: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
             n, cls, side = g["n"].to_numpy(np.int64), g["cls"].to_numpy(np.int64), g["side"].to_numpy()
             cell = Cell([unpack(b, k) for b, k in zip(g["made"], n.tolist(), strict=True)], n, comp)
             out += [(cls[a], cls[b]) for a, b in cell.link(None if (side < 0).all() else side)]
+        tidy()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     flat = cells.select("grp", "cls", "comp", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.side").alias("side"))

@@ -6,12 +6,14 @@ executor can read, so a lost executor costs a re-read and never a restart.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,19 @@ def owned(key: tuple, make: Callable[[], object]):
     return _owned[key]
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: a Python worker lives on, and what it once took would stay with it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def release() -> None:
     """Drop what the worker keeps, where a task needs the memory."""
     _owned.clear()
+    tidy()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -128,6 +140,7 @@ def mapped(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: st
     def run(batches):
         for pdf in split_batches(batches, column, limit):
             yield fn(pdf)
+        tidy()
 
     small_batches(df.sparkSession)
     return df.mapInPandas(run, schema)
