@@ -371,17 +371,20 @@ class Shard:
 
     def scores(self, words: Words, d2, d3, hot: dict[int, float]) -> np.ndarray:
         """Log probability of every trigram by the recursion; ``hot`` has backoff weights of split words."""
-        one = words.p(self.word)
-        size, seen = len(self.word), self.f2 > 0
+        one, seen = words.p(self.word[self.bc]), self.f2 > 0
+        new = np.append(True, self.bb[1:] != self.bb[:-1])
+        middle, at = self.bb[new], np.cumsum(new, dtype=np.int32) - 1  # of each bigram
         # All that follows a word is here, unless it is split: then it is as often followed as it occurs.
-        total = np.bincount(self.bb, self.f2, size)
-        total[self.bb[self.split]] = self.word[self.bb[self.split]]
-        q2 = discounted(self.f2, d2, ABOVE) / np.maximum(1, total[self.bb])
-        freed, taken = (np.bincount(self.bb[seen], x[seen], size) for x in (q2, one[self.bc]))
+        total = np.bincount(at, self.f2, len(middle))
+        split = self.split[new]
+        total[split] = self.word[middle[split]]
+        q2 = discounted(self.f2, d2, ABOVE) / np.maximum(1, total[at])
+        freed, taken = (np.bincount(at[seen], x[seen], len(middle)) for x in (q2, one))
         back = np.where(total > 0, np.maximum(1 - freed, 1e-300) / np.maximum(1 - taken, 1e-300), 1.0)
         for b, w in hot.items():
-            back[b] = w
-        p2 = np.where(seen, q2, back[self.bb] * one[self.bc])
+            back[middle == b] = w
+        p2 = np.where(seen, q2, back[at] * one)
+        del one, q2, at, back, freed, taken
         total = np.bincount(self.ctx, self.f3)
         q3 = discounted(self.f3, d3, ABOVE) / np.maximum(1, total[self.ctx])
         seen = self.f3 > 0
@@ -482,6 +485,7 @@ class Model:
                 w = shared.value
                 s = Shard.stored(row, w.begin + 1)
                 s.count(unsqueezed(row.rare, "int64"), (unsqueezed(row.pairs, "uint64"), unsqueezed(row.pair_counts, "int64")), w)
+                s.a = s.b = None  # counted
                 out.append(s.sums(w, s.scores(w, d2, d3, hot)))
             return pd.concat(out)
 
