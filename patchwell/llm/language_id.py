@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import crc, mapped, owned, release
+from .scratch import crc, mapped, owned, release, tidy
 from .words import mix
 
 ORDER = 4
@@ -103,6 +103,9 @@ def fit_language(words: Counter) -> list[tuple[str, int, np.ndarray, np.ndarray]
         d = n1 / (n1 + 2 * n2) if n1 and n1 + 2 * n2 else 0.5
         c, back = np.unique(ctx, return_inverse=True)
         total, kinds = np.bincount(back, count), np.bincount(back)
+        if n < ORDER:
+            grams[n + 1] = None  # done with
+        contexts[n - 1] = None
         out.append(("gram", n, g, np.maximum(count - d, 0) / total[back]))
         out.append(("context", n, c, d * kinds / total))
     return out
@@ -214,6 +217,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model | None:
     def learn(key, pdf: pd.DataFrame) -> pd.DataFrame:
         release()
         parts = fit_language(Counter(dict(zip(pdf["word"], pdf["n"].tolist(), strict=True)))) if len(pdf) else []
+        tidy()
         return pd.DataFrame([(key[0], k, n, h.tobytes(), v.tobytes()) for k, n, h, v in parts], columns=["lang", "kind", "n", "hash", "value"])
 
     parts: dict[str, list] = {}

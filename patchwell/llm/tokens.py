@@ -46,7 +46,7 @@ class _Words(dict):
 class Encoder:
     """Ids of texts by one tokenizer file. ``lowered``: its words are lower-cased and lose white space."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -131,5 +131,5 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder of a file, until a task releases it: its words take some 200 MB."""
+    """The worker's own encoder of a file, until a task releases it: its words take some 100 MB."""
     return owned(("encoder", path), lambda: Encoder(path))
