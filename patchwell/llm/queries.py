@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, ngram_join, packing, pii, quality, tokenfile, vectors, warc
+from . import decontaminate, language_id, language_model, ngram_join, packing, pii, quality, repair, tokenfile, vectors, warc
 from .scratch import crc
 
 
@@ -66,11 +66,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_ngram_join, op5_packing, op6_katz, op7_token_file, op8_language_id, op9_nearest, op10_pii)}
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations with their faults and the cheapest repair; nulls, ties and empties as ``repair.repair`` says."""
+    return repair.repair(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_ngram_join, op5_packing, op6_katz, op7_token_file, op8_language_id, op9_nearest, op10_pii, op12_repair)}
 
 #: Words as the contracts cut them, A-Z lowered and no other letter.
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _crc_sql(s: str) -> str:
+    """CRC-32 of a string of ASCII characters, bit by bit."""
+    bit = "list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: {bit}), 4294967295)"
+
+
 #: DuckDB SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": rf"""
@@ -94,4 +107,28 @@ links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT r.a, l.b FROM reach r JOIN ways l ON l.a = r.b)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = words.doc_id) AS component_id FROM words LEFT JOIN sizes USING (doc_id)""",
+    "op12_repair": rf"""
+WITH RECURSIVE kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM hurt),
+judged AS (SELECT *, left(role, 1) AS first, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(body, 1) NOT IN ('.', '!', '?') AS cut FROM placed),
+r AS (SELECT *, blank OR again AS must, cut AND NOT blank AND NOT again AS short FROM judged),
+edits(q, letter, role, q2, cost) AS (SELECT q, 'D', CAST(NULL AS VARCHAR), q, 2 FROM range(4) t(q) UNION ALL VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0),
+  (0, 'R', NULL, 2, 1), (1, 'R', NULL, 2, 1), (2, 'R', NULL, 3, 1), (3, 'R', NULL, 2, 1)),
+put(q, m, q2) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+sizes AS (SELECT conv_id, max(i) AS n FROM r GROUP BY conv_id),
+best AS (SELECT conv_id, 0::BIGINT AS i, q2 AS q, printf('%09d', 5 * m) || repeat('I', m) AS way FROM sizes, put WHERE q = 0
+  UNION ALL SELECT * FROM (SELECT b.conv_id, b.i + 1 AS i, p.q2 AS q, min(printf('%09d', CAST(left(b.way, 9) AS BIGINT) + e.cost + CASE WHEN e.letter <> 'D' AND r.short THEN 5 ELSE 0 END + 5 * p.m) || substr(b.way, 10) || e.letter || repeat('I', p.m)) AS way
+    FROM best b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1 JOIN edits e ON e.q = b.q AND (e.letter = 'D' OR (NOT r.must AND coalesce(e.role = r.first, true))) JOIN put p ON p.q = e.q2 GROUP BY ALL)),
+won AS (SELECT b.conv_id, min(way) AS way FROM best b JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = s.n WHERE q IN (0, 3) GROUP BY ALL),
+letters AS (SELECT conv_id, p, substr(way, 9 + p, 1) AS letter FROM (SELECT *, unnest(range(1, length(way) - 8)) AS p FROM won)),
+steps AS (SELECT *, sum(CASE letter WHEN 'I' THEN 0 ELSE 1 END) OVER w AS i, sum(CASE letter WHEN 'D' THEN 0 ELSE 1 END) OVER w AS k, sum(CASE letter WHEN 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id) AS n FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+fixed AS (SELECT s.conv_id, string_agg(CASE letter WHEN 'K' THEN r.role ELSE CASE (k - n % 2) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE letter WHEN 'I' THEN '' ELSE r.text END, chr(10) ORDER BY p) AS text
+  FROM steps s LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i WHERE letter <> 'D' GROUP BY s.conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (short) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(first) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(way, 9) AS BIGINT), 0) AS cost, coalesce(substr(way, 10), '') AS audit, sha256(coalesce(f.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
