@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, ngram_join, packing, pii, quality, repair, tokenfile, vectors, warc
+from . import decontaminate, language_id, language_model, ngram_join, packing, pii, quality, repair, tokenfile, trie, vectors, warc
 from .scratch import crc
 
 
@@ -71,7 +71,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_ngram_join, op5_packing, op6_katz, op7_token_file, op8_language_id, op9_nearest, op10_pii, op12_repair)}
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations; nulls, ties and empties as ``trie.prefix_trie`` says."""
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_ngram_join, op5_packing, op6_katz, op7_token_file, op8_language_id, op9_nearest, op10_pii, op12_repair, op13_trie)}
 
 #: Words as the contracts cut them, A-Z lowered and no other letter.
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,4 +136,14 @@ counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT t
   count(*) FILTER (before IS NOT NULL AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(first) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r) GROUP BY conv_id)
 SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(CAST(left(way, 9) AS BIGINT), 0) AS cost, coalesce(substr(way, 10), '') AS audit, sha256(coalesce(f.text, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN fixed f ON f.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op13_trie": rf"""
+WITH turns AS (SELECT conv_id, list({{'k': md5(coalesce(role, '')) || md5(coalesce(text, '')), 'b': octet_length(encode(coalesce(text, '')))::BIGINT}} ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, CAST({_crc_sql("CAST(conv_id AS VARCHAR)")} % 9 AS INT) AS h FROM turns),
+whole AS (SELECT a.conv_id, list_concat(coalesce(b.own, [])[1 : a.h], a.own[a.h + 1 : len(a.own)]) AS t FROM h a LEFT JOIN turns b ON b.conv_id = a.conv_id - a.conv_id % 5),
+prefixes AS (SELECT conv_id, d, len(t) = d AS ends, sha256(array_to_string(list_transform(t[1 : d], lambda x: x.k), ',')) AS p, sha256(array_to_string(list_transform(t[1 : d - 1], lambda x: x.k), ',')) AS up, CASE WHEN d > 0 THEN t[d].b ELSE 0 END AS b FROM (SELECT *, unnest(range(len(t) + 1)) AS d FROM whole)),
+nodes AS (SELECT d, p, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(b) AS saved, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY d, p),
+tops AS (SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.up = n.p) AS kids FROM nodes n),
+above AS (SELECT a.d, a.p, sum(CASE WHEN t.kids = 0 THEN 1 ELSE 0 END)::BIGINT AS leaves, sum(t.saved)::BIGINT AS saved FROM tops t JOIN prefixes a ON a.conv_id = t.conv_id AND a.d <= t.d GROUP BY ALL)
+SELECT t.conv_id, t.d AS depth, o.conv_id AS parent_conv_id, t.n AS n_convs, t.kids AS n_children, a.leaves AS n_leaves, a.saved AS saved_tokens, t.ends_sha256
+FROM tops t JOIN above a USING (d, p) LEFT JOIN nodes o ON o.d = t.d - 1 AND o.p = t.up""",
 }
