@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, language_model, ngram_join, packing, pii, quality, repair, tokenfile, trie, vectors, warc
+from . import decontaminate, fingerprint, language_id, language_model, ngram_join, packing, pii, quality, repair, tokenfile, trie, vectors, warc
 from .scratch import crc
 
 
@@ -66,6 +66,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole documents and of their edited texts; nulls, ties and empties as ``fingerprint.fingerprints`` says."""
+    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations with their faults and the cheapest repair; nulls, ties and empties as ``repair.repair`` says."""
     return repair.repair(_read(spark, sf_dir, "conversations"))
@@ -76,7 +81,7 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_ngram_join, op5_packing, op6_katz, op7_token_file, op8_language_id, op9_nearest, op10_pii, op12_repair, op13_trie)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontaminate, op3_quality, op4_ngram_join, op5_packing, op6_katz, op7_token_file, op8_language_id, op9_nearest, op10_pii, op11_fingerprint, op12_repair, op13_trie)}
 
 #: Words as the contracts cut them, A-Z lowered and no other letter.
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -58,7 +58,7 @@ def test_small_and_odd_tables(spark):
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_long_conversation_over_many_tasks(spark, partitions):
     """One conversation holds most rows; its family takes its first turns; many are copies of each other."""
-    rows = [(5, t, "user", f"turn {t % 40}") for t in range(1000)] + [(6, t, "user", f"turn {t % 40}") for t in range(700)]
+    rows = [(5, t, "user", f"turn {t % 40}") for t in range(240)] + [(6, t, "user", f"turn {t % 40}") for t in range(170)]
     rows += [(c, t, "user", f"turn {t}") for c in range(7, 80) for t in range(5 + c % 3)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
