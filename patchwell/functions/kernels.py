@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 
@@ -30,61 +32,116 @@ def edges(img: np.ndarray, low: float = 100, high: float = 200) -> np.ndarray:
         flat, (mag > near(0, -1)) & (mag >= near(0, 1)),
         np.where(steep, (mag > near(-1, 0)) & (mag >= near(1, 0)), np.where(down, (mag > near(-1, -1)) & (mag > near(1, 1)), (mag > near(-1, 1)) & (mag > near(1, -1)))),
     )
-    weak, out = best & (mag > low), best & (mag > high)
-    while True:
-        grown = np.pad(out, 1)
-        wide = weak & np.any([grown[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
-        if (wide == out).all():
-            return out.astype(np.uint8) * 255
-        out = wide
+    weak = best & (mag > low)
+    lines = runs(weak)
+    number = connected(lines, diagonal=True)
+    strong = np.concatenate([[0], np.cumsum((best & (mag > high)).ravel())])
+    held = strong[lines.row * w + lines.end] > strong[lines.row * w + lines.start]
+    keep = np.zeros(number.max(initial=-1) + 1, bool)
+    keep[number[held]] = True
+    return painted(lines, keep[number], (h, w)).astype(np.uint8) * 255
+
+
+class Runs(NamedTuple):
+    """Stretches of true pixels in scan order: columns from ``start`` up to ``end`` of a row."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    width: int
+
+    def holding(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Which run each pixel lies in."""
+        return np.searchsorted(self.row * self.width + self.start, np.asarray(y) * self.width + np.asarray(x), side="right") - 1
+
+
+def runs(mask: np.ndarray) -> Runs:
+    h, w = mask.shape
+    wide = np.zeros((h, w + 1), bool)
+    wide[:, :w] = mask
+    # A row ends with a false pixel, so no run crosses into the next one.
+    change = np.flatnonzero(np.diff(wide.ravel(), prepend=False))
+    row, start = np.divmod(change[::2], w + 1)
+    return Runs(row, start, change[1::2] - row * (w + 1), w)
+
+
+def connected(lines: Runs, diagonal: bool) -> np.ndarray:
+    """Of each run the number of its component, from 0, in scan order of their first pixels.
+
+    Runs touch those of the row below that begin before they end; both ends of
+    that range are found by bisection. Each component then takes its least run's
+    place: places sink to the least neighbour's, and pointers are halved, until
+    nothing changes.
+    """
+    n, reach, step = len(lines.row), int(diagonal), lines.width + 2
+    first = np.searchsorted(lines.row * step + lines.end, (lines.row + 1) * step + lines.start + 1 - reach)
+    after = np.searchsorted(lines.row * step + lines.start, (lines.row + 1) * step + lines.end + reach)
+    count = np.maximum(after - first, 0)
+    a = np.repeat(np.arange(n), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    place = np.arange(n)
+    while len(a):
+        low, high = np.minimum(place[a], place[b]), np.maximum(place[a], place[b])
+        open_ = low < high
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+        np.minimum.at(place, high[open_], low[open_])
+        while (place[place] != place).any():
+            place = place[place]
+    return np.unique(place, return_inverse=True)[1].reshape(-1)
+
+
+def painted(lines: Runs, keep: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """A mask of the runs that are kept."""
+    marks = np.zeros(shape[0] * shape[1] + 1, np.int8)
+    np.add.at(marks, lines.row[keep] * lines.width + lines.start[keep], 1)
+    np.add.at(marks, lines.row[keep] * lines.width + lines.end[keep], -1)
+    return np.cumsum(marks[:-1], dtype=np.int8).reshape(shape) > 0
 
 
 #: Eight neighbours in clockwise order, (row, column), from the left one.
 RING = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
 
 
-def _followed(m: np.ndarray, y: int, x: int, back: int) -> np.ndarray:
-    """The border through (y, x), clockwise, from the neighbour that ``back`` names; corners where the direction changes."""
-    path, at, first = [(x, y)], (y, x), None
-    while True:
-        for k in range(1, 9):
-            d = (back + k) % 8
-            nxt = (at[0] + RING[d][0], at[1] + RING[d][1])
-            if m[nxt]:
+def _turns() -> bytes:
+    """By direction and neighbours (a bit each): the first neighbour clockwise after that direction; 8 for none."""
+    return bytes(next((d % 8 for d in range(back + 1, back + 9) if near >> d % 8 & 1), 8) for back in range(8) for near in range(256))
+
+
+TURNS = _turns()
+
+
+class Borders:
+    """Borders of a mask that has one pixel of nothing around it, followed by a table: only their pixels are touched."""
+
+    def __init__(self, m: np.ndarray):
+        h, w = m.shape
+        near = np.zeros((h, w), np.uint8)
+        for k, (dy, dx) in enumerate(RING):
+            near[1:-1, 1:-1] |= m[1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx].astype(np.uint8) << np.uint8(k)
+        self.near, self.width, self.step = near.tobytes(), w, [dy * w + dx for dy, dx in RING]
+
+    def follow(self, y: int, x: int, back: int) -> np.ndarray:
+        """The border through (y, x), clockwise, from the neighbour that ``back`` names; (x, y) corners where the direction changes."""
+        near, step, at = self.near, self.step, y * self.width + x
+        first, path, took = at, [], []
+        d = TURNS[back << 8 | near[at]]
+        if d == 8:
+            return np.array([(x - 1, y - 1)])
+        begin = d
+        while True:
+            path.append(at)
+            took.append(d)
+            at += step[d]
+            d = TURNS[(d + 4 & 7) << 8 | near[at]]
+            if at == first and d == begin:
                 break
-        else:
-            break
-        if first is None:
-            first = (at, d)
-        elif (at, d) == first:
-            break
-        path.append((nxt[1], nxt[0]))
-        at, back = nxt, (d + 4) % 8
-    pts = np.array(path[:-1] if len(path) > 1 and path[-1] == path[0] else path)
-    if len(pts) > 2:
-        step = np.roll(pts, -1, axis=0) - pts
-        pts = pts[(step != np.roll(step, 1, axis=0)).any(axis=1)]
-    return pts - 1
-
-
-def parts(mask: np.ndarray, ring=RING) -> np.ndarray:
-    """Numbers from 1 of connected components, in scan order of their first pixel."""
-    number = np.zeros(mask.shape, np.int64)
-    count = 0
-    for y, x in np.argwhere(mask):
-        if number[y, x]:
-            continue
-        count += 1
-        stack = [(y, x)]
-        number[y, x] = count
-        while stack:
-            a, b = stack.pop()
-            for i, j in ring:
-                c, d = a + i, b + j
-                if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not number[c, d]:
-                    number[c, d] = count
-                    stack.append((c, d))
-    return number
+        path, took = np.array(path), np.array(took)
+        if len(path) > 2:
+            path = path[took != np.roll(took, 1)]
+        rows, cols = np.divmod(path, self.width)
+        return np.stack([cols, rows], axis=1) - 1
 
 
 def outline_tree(mask: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
@@ -93,37 +150,52 @@ def outline_tree(mask: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
     Every 8-connected component has an outer outline, and one around each of its
     holes, whose points are the component's own. All come in scan order of their
     first pixel. A hole's parent is its component, an outer outline's the hole
-    that it lies in.
+    that it lies in. Components are of runs, so their cost is that of the runs,
+    and following touches border pixels alone.
     """
     m = np.pad(mask > 0, 1)
-    inside, outside = parts(m), parts(~m, RING[::2])
-    begins = [(*np.argwhere(inside == k)[0], 0, k, 0) for k in range(1, inside.max() + 1)]
-    for k in range(2, outside.max() + 1):  # 1 is what lies around everything
-        y, x = np.argwhere(outside == k)[0]
-        begins.append((y, x - 1, 4, inside[y, x - 1], k))
-    begins.sort(key=lambda b: (b[0], b[1], b[2]))
-    outer = {k: i for i, (_, _, back, k, _) in enumerate(begins) if back == 0}
-    hole = {k: i for i, (_, _, back, _, k) in enumerate(begins) if back == 4}
-    found, parent = [], []
-    for y, x, back, k, _ in begins:
-        found.append(_followed(m, y, x, back))
-        parent.append(outer[k] if back else hole.get(int(outside[y, x - 1]), -1))
-    return found, parent
+    full, bare = runs(m), runs(~m)
+    if not len(full.row):
+        return [], []
+    inside, outside = connected(full, diagonal=True), connected(bare, diagonal=False)
+    first = lambda number: np.unique(number, return_index=True)[1]
+    a, b = first(inside), first(outside)[1:]  # what lies around everything comes first
+    around = outside[bare.holding(full.row[a], full.start[a] - 1)]
+    owner = inside[full.holding(bare.row[b], bare.start[b] - 1)]
+    begins = [(y, x, 0, k, o) for k, (y, x, o) in enumerate(zip(full.row[a].tolist(), full.start[a].tolist(), around.tolist(), strict=True))]
+    begins += [(y, x - 1, 4, k, o) for k, (y, x, o) in enumerate(zip(bare.row[b].tolist(), bare.start[b].tolist(), owner.tolist(), strict=True), 1)]
+    begins.sort()
+    place = {(back, k): i for i, (_, _, back, k, _) in enumerate(begins)}
+    follow = Borders(m).follow
+    found = [follow(y, x, back) for y, x, back, _, _ in begins]
+    return found, [place[0, o] if back else place.get((4, o), -1) for _, _, back, _, o in begins]
 
 
 def outlines(mask: np.ndarray) -> list[np.ndarray]:
     """Outer outlines alone, in scan order."""
     m = np.pad(mask > 0, 1)
-    number = parts(m)
-    return [_followed(m, *np.argwhere(number == k)[0], 0) for k in range(1, number.max() + 1)]
+    lines = runs(m)
+    begin = np.unique(connected(lines, diagonal=True), return_index=True)[1]
+    follow = Borders(m).follow
+    return [follow(y, x, 0) for y, x in zip(lines.row[begin].tolist(), lines.start[begin].tolist(), strict=True)]
+
+
+def mask_edges(mask: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Edges of a blurred byte mask where it has any pixels, with the row and column of that part; all else has none."""
+    rows, cols = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    if not len(rows):
+        return np.zeros((1, 1), np.uint8), 0, 0
+    top, left = max(0, int(rows[0]) - 4), max(0, int(cols[0]) - 4)
+    return edges(box_blur(mask[top : rows[-1] + 5, left : cols[-1] + 5] * 255 % 256)), top, left
 
 
 def shape(mask: np.ndarray) -> tuple[int, tuple[int, int, int, int], tuple[int, int, int, int]] | None:
     """Of a mask's edges: how many outlines, the extents (top, bottom, left, right) of the largest, and the rectangle around it simplified."""
-    found, _ = outline_tree(edges(box_blur(mask * 255 % 256)))
+    drawn, dy, dx = mask_edges(mask)
+    found, _ = outline_tree(drawn)
     if not found:
         return None
-    top = found[biggest(found)]
+    top = found[biggest(found)] + (dx, dy)
     x, y = top[:, 0], top[:, 1]
     return len(found), (int(y.min()), int(y.max()), int(x.min()), int(x.max())), rect(simplified(top))
 
@@ -150,25 +222,68 @@ def biggest(found: list[np.ndarray]) -> int:
     return int(np.argmax([area(p) for p in found]))
 
 
+def _split(points: np.ndarray, first: int, last: int, eps: float) -> list[int]:
+    """Corners from ``first`` up to ``last`` (which may run past the end of the polygon), without the last: a stretch is cut at its farthest point until none is farther from its chord than ``eps``."""
+    kept, todo, n = [], [(first, last)], len(points)
+    while todo:
+        a, b = todo.pop()
+        p, chord = points[a % n], points[b % n] - points[a % n]
+        inner = points[np.arange(a + 1, b) % n] - p
+        off = np.abs(inner[:, 1] * chord[0] - inner[:, 0] * chord[1])
+        if not len(off) or float(off.max()) ** 2 <= eps**2 * float(chord @ chord):
+            kept.append(a % n)
+        else:
+            k = a + 1 + int(off.argmax())
+            todo += [(k, b), (a, k)]
+    return kept
+
+
 def simplified(points: np.ndarray, eps: float = 3.0) -> np.ndarray:
-    """Douglas-Peucker on a closed polygon, split at its first point and the one farthest from it."""
-    if len(points) < 3:
+    """A closed polygon with fewer corners, none of those left out farther than ``eps`` from a side.
+
+    It is split at two corners far apart, found by going three times from a corner
+    to the one farthest from it, starting at the first. Both halves are cut at
+    their farthest points (Douglas and Peucker). At last every corner that lies
+    near the slanted line between its neighbours (half of ``eps`` squared) and
+    does not turn back is left out. If all points are within ``eps`` of the corner
+    that was reached, it alone stays.
+    """
+    points = np.asarray(points, np.int64)
+    n = len(points)
+    if n < 2:
         return points
-    far = int(((points - points[0]) ** 2).sum(axis=1).argmax())
-
-    def cut(a: int, b: int) -> list[int]:
-        p, q = points[a % len(points)].astype(float), points[b % len(points)].astype(float)
-        inner = np.arange(a + 1, b)
-        if not len(inner):
-            return [a]
-        d = points[inner % len(points)] - p
-        line = q - p
-        n = np.hypot(*line)
-        dist = np.abs(d[:, 0] * line[1] - d[:, 1] * line[0]) / n if n else np.hypot(d[:, 0], d[:, 1])
-        k = int(dist.argmax())
-        return [a] if dist[k] <= eps else cut(a, a + 1 + k) + cut(a + 1 + k, b)
-
-    return points[[i % len(points) for i in cut(0, far) + cut(far, len(points))]]
+    at = far = 0
+    for _ in range(3):
+        at = (at + far) % n
+        away = ((np.roll(points, -at, axis=0) - points[at]) ** 2).sum(axis=1)
+        far = int(away.argmax()) if away.max() > 0 else far
+    if away.max() <= eps**2:
+        return points[[at]]
+    kept = [points[i] for i in [*_split(points, at, at + far, eps), *_split(points, at + far, at + n, eps)]]
+    return _straightened(kept, eps)
+
+
+def _straightened(corners: list[np.ndarray], eps: float) -> np.ndarray:
+    """``corners`` without those that are nearly on the way from the corner before to the one after; after one is left out, the next stays.
+
+    What stays is moved up in place, so the last corner is judged against what
+    stands first by then. At least two are left.
+    """
+    corners, n = np.array(corners), len(corners)
+    left, to, i = n, 0, 0
+    before, corner = corners[-1].copy(), corners[0].copy()
+    while i < n and left > 2:
+        after = corners[(i + 1) % n].copy()
+        way, into, on = after - before, corner - before, after - corner
+        off = float(abs(into[0] * way[1] - into[1] * way[0]))
+        straight = off**2 <= 0.5 * eps**2 * float(way @ way) and way[0] and way[1] and into @ on >= 0
+        before = after if straight else corner
+        corners[to % n] = before
+        to += 1
+        corner = corners[(i + 2) % n].copy() if straight else after
+        left -= bool(straight)
+        i += 2 if straight else 1
+    return corners[:left]
 
 
 def rect(points: np.ndarray) -> tuple[int, int, int, int]:

@@ -24,10 +24,11 @@ def outlines(masks: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for case, z, h, w, px in zip(*(pdf[c] for c in ("case_id", "z", "height", "width", "px")), strict=True):
-                img = np.asarray(px, float).astype(int).reshape(h, w) * 255 % 256
-                found, parent = kernels.outline_tree(kernels.edges(kernels.box_blur(img)))
+                drawn, dy, dx = kernels.mask_edges(np.asarray(px, float).astype(int).reshape(h, w))
+                found, parent = kernels.outline_tree(drawn)
                 if not found:
                     continue
+                found = [p + (dx, dy) for p in found]
                 top = kernels.biggest(found)
                 rows = [(case, z, i, parent[i], len(p), kernels.area(p), i == top, *kernels.rect(kernels.simplified(p)), p.ravel().tolist()) for i, p in enumerate(found)]
                 yield pd.DataFrame(rows, columns=["case_id", "z", "contour", "parent", "n_points", "area", "biggest", "x", "y", "w", "h", "points"])

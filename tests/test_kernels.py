@@ -1,4 +1,5 @@
 import io
+import time
 
 import numpy as np
 import pytest
@@ -163,6 +164,112 @@ def test_outline_tree_has_holes():
     assert K.outline_tree(np.zeros((4, 4), int)) == ([], [])
 
 
+def flooded(mask, ring):
+    """Components pixel by pixel."""
+    number, count = np.zeros(mask.shape, int), 0
+    for y, x in np.argwhere(mask):
+        if number[y, x]:
+            continue
+        count += 1
+        todo, number[y, x] = [(y, x)], count
+        while todo:
+            a, b = todo.pop()
+            for i, j in ring:
+                if 0 <= a + i < mask.shape[0] and 0 <= b + j < mask.shape[1] and mask[a + i, b + j] and not number[a + i, b + j]:
+                    number[a + i, b + j] = count
+                    todo.append((a + i, b + j))
+    return number, count
+
+
+def drawn(points):
+    """Pixels of a closed path whose corners lie on rows, columns and diagonals."""
+    out = set()
+    for (x, y), (u, v) in zip(points.tolist(), np.roll(points, -1, axis=0).tolist(), strict=True):
+        n = max(abs(u - x), abs(v - y), 1)
+        out |= {(x + (u - x) * k // n, y + (v - y) * k // n) for k in range(n + 1)}
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([0.1, 0.4, 0.6, 0.9]))
+def test_outlines_run_along_their_part_of_the_background(seed, share):
+    """Of each pair of a component and a part of the background beside it there is one outline, through the pixels that touch it, and its parent is what lies around it."""
+    rng = np.random.default_rng(seed)
+    m = np.pad(rng.random(rng.integers(1, 18, 2)) < share, 1)
+    inside, n_inside = flooded(m, K.RING)
+    outside, n_outside = flooded(~m, K.RING[::2])
+    found, parent = K.outline_tree(m[1:-1, 1:-1].astype(int))
+    assert len(found) == n_inside + n_outside - 1
+    touching = {}
+    for y, x in np.argwhere(m):
+        for i, j in K.RING[::2]:
+            if not m[y + i, x + j]:
+                touching.setdefault((inside[y, x], outside[y + i, x + j]), set()).add((int(x) - 1, int(y) - 1))
+    pair = {frozenset(v): k for k, v in touching.items()}
+    own = [pair[frozenset(drawn(p))] for p in found]
+    assert sorted(own) == sorted(touching) or len(pair) < len(touching)
+    if len(pair) == len(touching):
+        for (k, o), up in zip(own, parent, strict=True):
+            if up >= 0:
+                assert own[up][1] != o and (own[up][0] == k or own[up][0] != k and any(q[0] == own[up][0] and q[1] == o for q in touching))
+    lines = K.runs(m)
+    for diagonal, want in ((True, inside), (False, flooded(m, K.RING[::2])[0])):
+        number = K.connected(lines, diagonal)
+        assert all(want[y, a] == k + 1 for y, a, k in zip(lines.row, lines.start, number, strict=True))
+    assert (K.painted(lines, np.ones(len(lines.row), bool), m.shape) == m).all()
+
+
+def test_outlines_of_a_large_slice_are_cheap():
+    y, x = np.ogrid[:900, :900]
+    mask = ((y - 450) ** 2 + (x - 450) ** 2 <= 400**2).astype(int)
+    K.shape(mask)
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        K.shape(mask)
+        took.append(time.process_time() - began)
+    assert min(took) < 0.5  # a tenth of a second on a machine of its own
+
+
+def test_edges_grow_along_weak_ones_from_strong_ones():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        img = rng.integers(0, 256, rng.integers(1, 30, 2))
+        got, strong, weak = K.edges(img) > 0, K.edges(img, 200, 200) > 0, K.edges(img, 100, 100) > 0
+        number, _ = flooded(weak, K.RING)
+        assert (got == np.isin(number, np.unique(number[strong & weak])[np.unique(number[strong & weak]) > 0])).all()
+
+
+@pytest.mark.parametrize("points, want", [
+    ([(0, 0), (10, 0), (20, 0), (20, 30), (0, 30)], [(0, 0), (20, 0), (20, 30), (0, 30)]),  # a corner on a side goes
+    ([(0, 0), (10, 2), (20, 0), (20, 30), (0, 30)], [(0, 0), (20, 0), (20, 30), (0, 30)]),  # so does one within 3 of it
+    ([(0, 0), (10, -9), (20, 0), (20, 30), (0, 30)], [(0, 0), (10, -9), (20, 0), (20, 30), (0, 30)]),
+    ([(5, 5), (6, 5), (6, 6), (5, 6)], [(5, 5)]),  # all within 3 of the last corner reached
+    ([(0, 0), (40, 40), (80, 80), (80, 0)], [(0, 0), (80, 80), (80, 0)]),  # nearly straight and slanted
+    ([(7, 7)], [(7, 7)]),
+    ([(0, 0), (50, 1)], [(0, 0), (50, 1)]),
+])
+def test_simplified_by_hand(points, want):
+    assert sorted(map(tuple, K.simplified(np.array(points)).tolist())) == sorted(want)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_simplified_stays_near(seed):
+    """Corners are the polygon's own, and all others lie within reach of the sides that replace them (3, and the clean-up's 2.2)."""
+    rng = np.random.default_rng(seed)
+    angle = np.sort(rng.random(rng.integers(3, 60))) * 2 * np.pi
+    r = rng.integers(10, 60, len(angle))
+    p = np.stack([np.rint(100 + r * np.cos(angle)), np.rint(100 + r * np.sin(angle))], axis=1).astype(int)
+    q = K.simplified(p)
+    assert {tuple(c) for c in q.tolist()} <= {tuple(c) for c in p.tolist()}
+    if len(q) > 2:
+        a, b = q.astype(float), np.roll(q, -1, axis=0).astype(float)
+        for c in p.astype(float):
+            t = np.clip(((c - a) * (b - a)).sum(axis=1) / np.maximum(((b - a) ** 2).sum(axis=1), 1e-9), 0, 1)
+            assert np.hypot(*(a + t[:, None] * (b - a) - c).T).min() < 9
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 2**32 - 1))
 def test_window_sums_follow_array_slices(seed):
