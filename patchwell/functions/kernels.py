@@ -200,13 +200,14 @@ def shape(mask: np.ndarray) -> tuple[int, tuple[int, int, int, int], tuple[int,
     return len(found), (int(y.min()), int(y.max()), int(x.min()), int(x.max())), rect(simplified(top))
 
 
-def window_sums(spots: np.ndarray, rows: np.ndarray, cols: np.ndarray, size: int) -> np.ndarray:
-    """How many true pixels lie in each window, by a table of running sums; windows are cut to the slice as array slices are."""
+def window_sums(spots: np.ndarray, rows: np.ndarray, cols: np.ndarray, height: int | np.ndarray, width: int | np.ndarray | None = None) -> np.ndarray:
+    """How many true pixels lie in each window (of ``height`` by ``width``, or square), by a table of running sums; windows are cut to the slice as array slices are."""
+    width = height if width is None else width
     h, w = spots.shape
     table = np.zeros((h + 1, w + 1), np.int64)
     table[1:, 1:] = spots.cumsum(axis=0).cumsum(axis=1)
     cut = lambda v, n: np.clip(np.where(v < 0, v + n, v), 0, n)
-    a, b, c, d = cut(rows, h), cut(rows + size, h), cut(cols, w), cut(cols + size, w)
+    a, b, c, d = cut(rows, h), cut(rows + height, h), cut(cols, w), cut(cols + width, w)
     b, d = np.maximum(a, b), np.maximum(c, d)
     return table[b, d] - table[a, d] - table[b, c] + table[a, c]
 
@@ -322,6 +323,15 @@ def _sampled(c: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest_resampled(img: np.ndarray, spacing: tuple[float, float], target: float, fill: float = 0.0) -> np.ndarray:
+    """The nearest pixel of each place; places outside of the input get ``fill``."""
+    at = [np.floor(np.arange(int(np.rint(n * (s / target)))) * target / s + 0.5).astype(int) for n, s in zip(img.shape, spacing, strict=True)]
+    out = img[np.ix_(*(a.clip(0, n - 1) for a, n in zip(at, img.shape, strict=True)))].astype(float)
+    out[at[0] >= img.shape[0], :] = fill
+    out[:, at[1] >= img.shape[1]] = fill
+    return out
+
+
 def spline_resampled(img: np.ndarray, spacing: tuple[float, float], target: float, fill: float = 0.0) -> np.ndarray:
     """Cubic B-spline interpolation of one slice; places outside of the input get ``fill``."""
     out, outside = img.astype(float), []

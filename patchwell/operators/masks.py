@@ -12,6 +12,19 @@ SLICE = ("case_id", "z")
 PIXEL = ("case_id", "z", "y", "x")
 
 
+def by_slice(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``left`` with the columns of ``right`` of the same slice.
+
+    Tables of one slice store are bucketed by case and block. The slice itself is
+    compared beside that, not as a third key, so the planner takes the buckets as
+    they are and moves no pixels.
+    """
+    if "block" not in left.columns or "block" not in right.columns:
+        return left.join(right, list(SLICE))
+    same = (F.col("l.case_id") == F.col("r.case_id")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.z") - F.col("r.z") == 0)
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *[F.col(f"r.`{c}`") for c in right.columns if c not in (*SLICE, "block")])
+
+
 def areas(voxels: DataFrame, level: int = 1, combined: bool = False) -> DataFrame:
     """Voxels of each slice whose gland label is at least 1, and whose lesion label is at least ``level``.
 
@@ -29,9 +42,10 @@ def nonempty(voxels: DataFrame) -> DataFrame:
 
 def slice_range(voxels: DataFrame, exclude: int = 0) -> DataFrame:
     """Slices that are processed: from after the ``exclude``-th filled slice to the one as far from the end, gaps included."""
-    filled = nonempty(voxels).groupBy("case_id").agg(F.sort_array(F.collect_list("z")).alias("g")).filter(F.size("g") > 2 * exclude)
-    lo, hi = F.element_at("g", exclude + 1) + 1, F.element_at("g", -(exclude + 1))
-    return filled.select("case_id", lo.alias("lo"), hi.alias("hi")).filter("lo <= hi").select("case_id", F.explode(F.sequence("lo", "hi")).alias("z"))
+    from .stacks import ends
+
+    found = ends(nonempty(voxels), exclude).filter("lo < hi")
+    return found.select("case_id", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("z"))
 
 
 def large_enough(areas: DataFrame, params: Params) -> DataFrame:
@@ -84,9 +98,3 @@ def extents(voxels: DataFrame) -> DataFrame:
     return voxels.filter("gland >= 1").groupBy(*SLICE).agg(
         (F.min("y") - 1).alias("y_min"), F.max("y").alias("y_max"), (F.min("x") - 1).alias("x_min"), F.max("x").alias("x_max")
     )
-
-
-def stack_check(slices: DataFrame) -> DataFrame:
-    """Whether all volumes of a case have equally many slices of one size."""
-    per = slices.groupBy("case_id", "role").agg(F.count("*").alias("n"), F.count_distinct("height", "width").alias("sizes"))
-    return per.groupBy("case_id").agg(F.max("n").alias("n_slices"), ((F.min("n") == F.max("n")) & (F.max("sizes") == 1)).alias("consistent"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.numeric import resized, source_index
-from ..params import Params
+from ..params import PIXEL_TYPES, Params
 from .masks import SLICE
 
 
@@ -43,6 +43,7 @@ def shapes(slices: DataFrame, params: Params) -> DataFrame:
     ``contours`` counts the outlines of the gland's edges (0: none, the rest is
     null); ``y_min`` to ``x_max`` are the extents of the largest outline, ``box_*``
     the rectangle around it simplified; ``g_*`` are the extents of all gland pixels.
+    Slices with a ``slice_reason`` are not followed.
     """
     names = ["contours", "y_min", "y_max", "x_min", "x_max", "box_x", "box_y", "box_w", "box_h", "g_top", "g_bottom", "g_left", "g_right"]
     binary = params.positive and params.gland_contains_lesion
@@ -50,9 +51,10 @@ def shapes(slices: DataFrame, params: Params) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = []
-            for px, h, w in zip(pdf["gland"], pdf["height"], pdf["width"], strict=True):
+            failed = pdf["slice_reason"].notna() if "slice_reason" in pdf else [False] * len(pdf)
+            for px, h, w, out in zip(pdf["gland"], pdf["height"], pdf["width"], failed, strict=True):
                 m = np.asarray(px, int).reshape(h, w)
-                got = kernels.shape((m > 0).astype(int) if binary else m)
+                got = None if out else kernels.shape((m > 0).astype(int) if binary else m)
                 y, x = np.nonzero(m >= 1)
                 if got is None or not len(y):
                     rows.append((0, *[None] * 12))
@@ -66,8 +68,9 @@ def shapes(slices: DataFrame, params: Params) -> DataFrame:
     return keep.mapInPandas(run, schema)
 
 
-def nearest(slices: DataFrame, target: float, columns: tuple[str, ...] = ("px",), fill: float = 0.0) -> DataFrame:
+def nearest(slices: DataFrame, target: float, columns: tuple[str, ...] = ("px",), fill: float | Column = 0.0) -> DataFrame:
     """Slices with ``spacing`` (x, y, z) resampled in-plane by the nearest pixel; what lies outside gets ``fill``. Array expressions alone."""
+    fill = fill if isinstance(fill, Column) else F.lit(fill)
     sx, sy = F.col("spacing")[0], F.col("spacing")[1]
     t = F.lit(float(target))
     h, w = resized(F.col("height"), sy, t), resized(F.col("width"), sx, t)
@@ -76,9 +79,16 @@ def nearest(slices: DataFrame, target: float, columns: tuple[str, ...] = ("px",)
     return both.withColumns({"height": F.col("new_h"), "width": F.col("new_w"), "spacing": F.array(t, t, F.col("spacing")[2])}).drop("new_h", "new_w")
 
 
-def _pixel(column: str, y, x, fill: float):
+def filled(params: Params) -> Column:
+    """What lies outside of a slice, by its ``src_dtype``."""
+    if params.fill is not None or params.compat != "reference":
+        return F.lit(params.fill or 0.0)
+    return F.coalesce(F.create_map(*[F.lit(x) for k, v in PIXEL_TYPES.items() for x in (k, float(v))])[F.col("src_dtype")], F.lit(0.0))
+
+
+def _pixel(column: str, y, x, fill: Column):
     inside = (y < F.col("height")) & (x < F.col("width"))
-    return F.coalesce(F.try_element_at(F.col(column), F.when(inside, y * F.col("width") + x + 1)), F.lit(fill).cast("double"))
+    return F.coalesce(F.try_element_at(F.col(column), F.when(inside, y * F.col("width") + x + 1)), fill.cast("double"))
 
 
 def spline(slices: DataFrame, target: float, fill: float = 0.0) -> DataFrame:

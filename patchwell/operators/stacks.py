@@ -7,11 +7,12 @@ and nothing is shuffled but one small row a slice where a case's slices meet.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import least_area
 from ..params import Params
-from .masks import SLICE
+from .masks import SLICE, by_slice
 
 
 def tumor(params: Params) -> Column:
@@ -37,15 +38,31 @@ def measured(slices: DataFrame, params: Params) -> DataFrame:
     return out.withColumn("percent", F.try_divide(F.col("overlap_area") * 100.0, F.col("spot_area")))
 
 
+def ends(filled: DataFrame, k: int) -> DataFrame:
+    """Of each case the slices ``lo`` and ``hi`` that ``k`` filled slices (``case_id, z``, each once) lie before and behind; cases of too few have none.
+
+    Tasks keep the ``k + 1`` rows at either end of a case and no others before
+    they are shuffled, however many slices a case has.
+    """
+    if k == 0:
+        return filled.groupBy("case_id").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+
+    def side(order: Column, pick, name: str) -> DataFrame:
+        near = filled.select(*SLICE, F.row_number().over(W.partitionBy("case_id").orderBy(order)).alias("place")).filter(F.col("place") <= k + 1)
+        return near.groupBy("case_id").agg(pick("z").alias(name), F.count("*").alias("n")).filter(F.col("n") == k + 1).drop("n")
+
+    return side(F.col("z").asc(), F.max, "lo").join(side(F.col("z").desc(), F.min, "hi"), "case_id").filter("lo <= hi")
+
+
 def in_range(measures: DataFrame, params: Params) -> DataFrame:
     """Slices from one filled slice to another, gaps included: ``exclude_slices`` are left out at either end, unless all are kept.
 
-    The original range begins one slice late; ``compat="strict"`` begins with the filled slice itself.
+    The original range begins one slice late; ``compat="strict"`` begins with the
+    filled slice itself. ``measures`` is read again for the ends: small rows that
+    were stored once.
     """
-    k = 0 if params.keep_all_slices else params.exclude_slices
-    filled = measures.filter("gland_area > 0").groupBy("case_id").agg(F.sort_array(F.collect_list("z")).alias("g")).filter(F.size("g") > 2 * k)
-    late = 0 if params.compat == "strict" else 1
-    return measures.join(filled.select("case_id", (F.element_at("g", k + 1) + late).alias("lo"), F.element_at("g", -(k + 1)).alias("hi")), "case_id").filter("z between lo and hi").drop("lo", "hi")
+    k, late = 0 if params.keep_all_slices else params.exclude_slices, int(params.compat != "strict")
+    return measures.join(ends(measures.filter("gland_area > 0").select(*SLICE), k), "case_id").filter((F.col("z") >= F.col("lo") + late) & (F.col("z") <= F.col("hi"))).drop("lo", "hi")
 
 
 def reason(params: Params) -> Column:
@@ -81,12 +98,6 @@ def contained(size: int) -> Column:
     return (F.col("row0") <= top) & (bottom < F.col("row0") + size) & (F.col("col0") <= left) & (right < F.col("col0") + size)
 
 
-def spots_in(row0: Column, col0: Column, height: Column, width: Column, params: Params) -> Column:
-    """Lesion voxels of a window that lies in its slice."""
-    rows = F.transform(F.sequence(row0, row0 + height - 1), lambda r: F.slice(tumor(params), r * F.col("width") + col0 + 1, width))
-    return F.when((height > 0) & (width > 0), F.size(F.filter(F.flatten(rows), lambda v: v >= spot_level(params)))).otherwise(0).cast("long")
-
-
 def same_stacks(slices: DataFrame) -> DataFrame:
     """Whether a case's stacks (``role``) have equally many slices of one size: masks that do not are not compared."""
     per = slices.groupBy("case_id", "role").agg(F.count("*").alias("n"), F.min(F.struct("height", "width")).alias("a"), F.max(F.struct("height", "width")).alias("b"))
@@ -95,7 +106,8 @@ def same_stacks(slices: DataFrame) -> DataFrame:
 
 def paired(gland: DataFrame, lesion: DataFrame | None) -> DataFrame:
     """Mask slices of the two stacks (``case_id, z, height, width, px``) side by side; without lesions, zeros stand for them."""
-    g = gland.select(*SLICE, "n_slices", "height", "width", F.transform("px", lambda v: v.cast("int")).alias("gland"))
+    block = ["block"] if "block" in gland.columns else []
+    g = gland.select(*SLICE, *block, "n_slices", "height", "width", F.transform("px", lambda v: v.cast("int")).alias("gland"))
     if lesion is None:
         return g.withColumn("lesion", F.transform("gland", lambda v: F.lit(0)))
-    return g.join(lesion.select(*SLICE, F.transform("px", lambda v: v.cast("int")).alias("lesion")), list(SLICE))
+    return by_slice(g, lesion.select(*SLICE, *block, F.transform("px", lambda v: v.cast("int")).alias("lesion")))

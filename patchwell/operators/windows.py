@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,18 +61,14 @@ def _tile(si: Column, sj: Column, size: int, stride: int, height: Column, width:
     return out
 
 
-def tile_structs(grid: DataFrame, size: int, stride: int, lesion) -> DataFrame:
-    """Slices of a kept grid with each window as ``tile`` (ordinals count from 1, row by row, before any filter), and ``lesion(tile)`` in it.
+def tile_list(size: int, stride: int) -> Column:
+    """Windows of a kept grid's row, as structs; ordinals count from 1, row by row, before any filter."""
 
-    Windows are made and counted within the row, so its arrays are not repeated.
-    """
     def one(si, sj):
-        t = _tile(si, sj, size, stride, F.col("height"), F.col("width"))
-        return F.struct(*[c.cast("int").alias(k) for k, c in t.items()], lesion(t).alias("lesion"))
+        return F.struct(*[c.cast("int").alias(k) for k, c in _tile(si, sj, size, stride, F.col("height"), F.col("width")).items()])
 
     steps = lambda k: F.sequence(F.lit(1), F.col(f"steps_{k}"))
-    every = F.when((F.col("steps_i") > 0) & (F.col("steps_j") > 0), F.flatten(F.transform(steps("i"), lambda si: F.transform(steps("j"), lambda sj: one(si, sj)))))
-    return grid.select(*SLICE, F.explode(every).alias("tile"))
+    return F.when((F.col("steps_i") > 0) & (F.col("steps_j") > 0), F.flatten(F.transform(steps("i"), lambda si: F.transform(steps("j"), lambda sj: one(si, sj)))))
 
 
 def tiles(grid: DataFrame, size: int, stride: int, height: int, width: int) -> DataFrame:
@@ -106,10 +101,14 @@ def random_windows(pixels: DataFrame, draws: DataFrame, size: int, seed: int) ->
     return out.select(*SLICE, "ordinal", whole(F.col("y") - F.lit(size) / 2).alias("row0"), whole(F.col("x") - F.lit(size) / 2).alias("col0"))
 
 
+def left_of(start: Column, size: int, n: int | Column) -> Column:
+    """How much of a window slicing leaves along an axis of ``n``."""
+    return F.greatest(sliced(start + size, F.lit(n)) - sliced(start, F.lit(n)), F.lit(0))
+
+
 def bounded(windows: DataFrame, size: int, height: int | Column, width: int | Column) -> DataFrame:
     """Windows with the rows and columns that slicing leaves of them."""
-    kept = lambda a, n: F.greatest(sliced(a + size, F.lit(n)) - sliced(a, F.lit(n)), F.lit(0))
-    return windows.withColumns({"height": kept(F.col("row0"), height), "width": kept(F.col("col0"), width)})
+    return windows.withColumns({"height": left_of(F.col("row0"), size, height), "width": left_of(F.col("col0"), size, width)})
 
 
 def lesion_counts(windows: DataFrame, voxels: DataFrame, size: int) -> DataFrame:
@@ -121,15 +120,32 @@ def lesion_counts(windows: DataFrame, voxels: DataFrame, size: int) -> DataFrame
     return windows.alias("w").join(lesion.alias("l"), same & inside, "left").groupBy(*names).agg(F.count("l.y").alias("lesion"))
 
 
-def acceptable(pixels: DataFrame, voxels: DataFrame, size: int, least: Column) -> DataFrame:
-    """Pixels whose window starts inside the slice and holds lesion enough: what rejection sampling draws from."""
-    around = pixels.select(*SLICE, "y", "x", whole(F.col("y") - F.lit(size) / 2).alias("row0"), whole(F.col("x") - F.lit(size) / 2).alias("col0"))
-    around = around.filter((F.col("row0") >= 0) & (F.col("col0") >= 0))
-    return lesion_counts(around, voxels, size).filter(F.col("lesion") >= least).select(*SLICE, "y", "x")
+def with_lesion(slices: DataFrame, label: Column, level: int) -> DataFrame:
+    """Mask slices whose ``windows`` (structs with ``row0, col0, height, width``) have the ``lesion`` voxels that lie in each, in place of the label arrays: a table of running sums serves all windows of a slice."""
+    names = [c for c in slices.columns if c not in ("gland", "lesion")]
+    sides = ("row0", "col0", "height", "width")
 
+    def run(batches):
+        for pdf in batches:
+            counts = []
+            for px, h, w, *at in zip(pdf["_label"], pdf["height"], pdf["width"], *(pdf[f"_{c}"] for c in sides), strict=True):
+                counts.append(None if at[0] is None else kernels.window_sums(np.asarray(px).reshape(h, w) >= level, *(np.asarray(a, np.int64) for a in at)))
+            yield pdf[["_row"]].assign(_counts=counts)
+
+    every = [F.col(c) for c in names]
+    held = slices.select(F.struct(*every).alias("_row"), "height", "width", label.alias("_label"), *[F.col(f"windows.{c}").alias(f"_{c}") for c in sides])
+    kind = slices.select(F.struct(*every).alias("_row")).schema["_row"].dataType.simpleString()
+    out = held.mapInPandas(run, f"_row {kind}, _counts array<long>").select("_row.*", "_counts")
+    one = lambda t, i: F.struct(*[t[f].alias(f) for f in _fields(slices)], F.get("_counts", i).alias("lesion"))
+    return out.withColumn("windows", F.transform("windows", one)).drop("_counts")
+
+
+def _fields(slices: DataFrame) -> list[str]:
+    return [f.name for f in slices.schema["windows"].dataType.elementType.fields]
 
-def sampled(slices: DataFrame, params: Params, least: int) -> DataFrame:
-    """Random windows of mask slices with ``gland_area``: ``case_id, z, ordinal, attempts, row0, col0, slice_h, slice_w``.
+
+def drawn_lists(slices: DataFrame, params: Params, least: int) -> DataFrame:
+    """Mask slices with ``gland_area`` and, in place of their label arrays, random ``windows``: structs of ``ordinal, attempts, row0, col0``.
 
     A draw is a number made of case, slice, ordinal and seed (``draw="hash"``), or
     of slice, ordinal and seed by a linear congruence that SQL can repeat
@@ -137,48 +153,84 @@ def sampled(slices: DataFrame, params: Params, least: int) -> DataFrame:
     draw picks a gland pixel. Of positives it picks among the pixels whose window
     starts inside the slice and holds ``least`` lesion voxels, as redrawing until
     then would (``positive_draws="acceptable"``; ``attempts`` is 1), or it is
-    redrawn as the original does (``"attempts"``): until the lesion is enough, a
-    coordinate is negative, or ``ATTEMPTS`` are used up, and the last pixel stays.
+    what the original's redrawing comes to (``"attempts"``): until the lesion is
+    enough, a coordinate is negative, or ``ATTEMPTS`` are used up, and the last
+    pixel stays. Slices with a ``slice_reason`` get no windows.
     """
     size, label = params.crop_image_size, "gland" if params.gland_contains_lesion else "lesion"
     level = params.tumor_label_level if params.gland_contains_lesion else 1
     positive, redraw = params.positive, params.positive_draws == "attempts"
     count = sample_count(F.col("gland_area"), size, params.sample_number)
     number = (lambda i: i * DRAW + F.col("z") * LAYER + params.seed) if params.draw == "lcg" else (lambda i: F.xxhash64("case_id", "z", i, F.lit(params.seed)))
-    drawn = slices.select(*SLICE, "height", "width", "gland", F.col(label).alias("label"), F.transform(F.sequence(F.lit(0), count - 1), lambda i: number(i).cast("long")).alias("draws"))
+    draws = F.transform(F.sequence(F.lit(0), count - 1), lambda i: number(i).cast("long"))
+    if "slice_reason" in slices.columns:
+        draws = F.when(F.col("slice_reason").isNull(), draws).otherwise(F.array().cast("array<long>"))
+    names = [c for c in slices.columns if c not in ("gland", "lesion")]
+    every = F.struct(*[F.col(c) for c in names])
+    held = slices.select(every.alias("_row"), "height", "width", "gland", F.col(label).alias("label"), draws.alias("draws"))
 
     def run(batches):
         for pdf in batches:
-            for case, z, h, w, gland, lab, draws in zip(*(pdf[c] for c in ("case_id", "z", "height", "width", "gland", "label", "draws")), strict=True):
+            out = {"attempts": [], "row0": [], "col0": []}
+            for h, w, gland, lab, draws in zip(*(pdf[c] for c in ("height", "width", "gland", "label", "draws")), strict=True):
+                draws = np.asarray(draws, np.int64)
                 y, x = np.divmod(np.flatnonzero(np.asarray(gland) >= 1), w)
                 row, col = np.trunc(y - size / 2).astype(np.int64), np.trunc(x - size / 2).astype(np.int64)
-                held = kernels.window_sums(np.asarray(lab).reshape(h, w) >= level, row, col, size) if positive else None
                 tries = np.ones(len(draws), np.int64)
-                if positive and redraw:
-                    stop = (held >= least) | (row < 0) | (col < 0)
-                    pick, tries = _redrawn(np.asarray(draws, np.int64), stop)
-                else:
-                    if positive:
+                if positive and len(draws):
+                    held = kernels.window_sums(np.asarray(lab).reshape(h, w) >= level, row, col, size)
+                    if redraw:
+                        pick, tries = redrawn(draws, (held >= least) | (row < 0) | (col < 0))
+                        row, col = row[pick], col[pick]
+                    else:
                         ok = (held >= least) & (row >= 0) & (col >= 0)
                         row, col = row[ok], col[ok]
-                    if not len(row):
-                        continue
-                    pick = np.asarray(draws, np.int64) % len(row)
-                yield pd.DataFrame({"case_id": case, "z": z, "ordinal": np.arange(len(pick)), "attempts": tries, "row0": row[pick], "col0": col[pick], "slice_h": h, "slice_w": w})
-
-    return drawn.mapInPandas(run, "case_id string, z int, ordinal int, attempts int, row0 int, col0 int, slice_h int, slice_w int")
-
-
-def _redrawn(draws: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each draw the first pixel of its own sequence that stops the search, and how many it took."""
-    pick, tries = np.zeros(len(draws), np.int64), np.full(len(draws), ATTEMPTS, np.int64)
-    for i, d in enumerate(draws.tolist()):
-        rng = np.random.default_rng(d & (1 << 64) - 1)
-        for begin in range(1, ATTEMPTS, 1000):
-            got = rng.integers(0, len(stop), min(1000, ATTEMPTS - begin))
-            hit = np.flatnonzero(stop[got])
-            pick[i] = got[hit[0] if len(hit) else -1]
-            if len(hit):
-                tries[i] = begin + hit[0]
-                break
-    return pick, tries
+                if not (positive and redraw):
+                    pick = draws % len(row) if len(row) else np.zeros(0, np.int64)
+                    row, col, tries = row[pick], col[pick], tries[: len(pick)]
+                for k, v in (("attempts", tries), ("row0", row), ("col0", col)):
+                    out[k].append(v if len(draws) else v[:0])
+            yield pdf[["_row"]].assign(**out)
+
+    kind = slices.select(every.alias("_row")).schema["_row"].dataType.simpleString()
+    got = held.mapInPandas(run, f"_row {kind}, attempts array<int>, row0 array<int>, col0 array<int>")
+    one = lambda r, i: F.struct(i.alias("ordinal"), F.get("attempts", i).alias("attempts"), r.alias("row0"), F.get("col0", i).alias("col0"))
+    return got.select("_row.*", F.transform("row0", one).alias("windows"))
+
+
+def sampled(slices: DataFrame, params: Params, least: int) -> DataFrame:
+    """``drawn_lists`` as rows: ``case_id, z, ordinal, attempts, row0, col0, slice_h, slice_w``."""
+    out = drawn_lists(slices, params, least).select(*SLICE, F.col("height").alias("slice_h"), F.col("width").alias("slice_w"), F.explode("windows").alias("w"))
+    return out.select(*SLICE, "w.*", "slice_h", "slice_w")
+
+
+def redrawn(draws: np.ndarray, stop: np.ndarray, limit: int = ATTEMPTS) -> tuple[np.ndarray, np.ndarray]:
+    """For each draw the pixel that a search stops at, and how many draws it took, without the draws between.
+
+    Drawing with replacement until a pixel of ``stop`` comes takes a geometric
+    number of draws, whatever pixel it is, and all of them are equally likely.
+    A search that finds none in ``limit`` - 1 draws ends at ``limit`` with any
+    other pixel. Each draw seeds two numbers: one for the count and one for the pixel.
+    """
+    share = stop.mean() if len(stop) else 0.0
+    first, second = _uniform(draws, 1), _uniform(draws, 2)
+    if share == 0:
+        tries = np.full(len(draws), limit)
+    elif share == 1:
+        tries = np.ones(len(draws), np.int64)
+    else:
+        tries = np.minimum(np.floor(np.log1p(-first) / np.log1p(-share)) + 1, limit).astype(np.int64)
+    yes, no = np.flatnonzero(stop), np.flatnonzero(~stop)
+    pick = np.zeros(len(draws), np.int64)
+    for some, at in ((yes, tries < limit), (no if len(no) else yes, tries >= limit)):
+        if len(some):
+            pick[at] = some[np.minimum((second[at] * len(some)).astype(np.int64), len(some) - 1)]
+    return pick, tries.astype(np.int64)
+
+
+def _uniform(draws: np.ndarray, stream: int) -> np.ndarray:
+    """Numbers from 0 up to 1, told by draw and stream: a finaliser that spreads every bit over all."""
+    x = draws.astype(np.int64).view(np.uint64) + np.uint64(stream * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53

@@ -13,6 +13,10 @@ SEQUENCES = ("T2W", "bpMRI")
 FORMATS = {"npy": "npy", "nmp": "npy", "npm": "npy", "jpg": "jpg", "png": "png", "tiff": "tiff", "parquet": "parquet"}
 
 
+#: The numbers of pixel types that the original's reader fills with.
+PIXEL_TYPES = {"i1": 0, "u1": 1, "i2": 2, "u2": 3, "i4": 4, "u4": 5, "f4": 8, "f8": 9}
+
+
 @dataclass(frozen=True)
 class Params:
     crop_method: str = "center"
@@ -34,7 +38,8 @@ class Params:
     min_overlap_percent: float = 50.0
     exclude_slices: int = 1
     keep_all_slices: bool = True
-    fill: float = 0.0
+    #: What lies outside of a slice after resampling: a number, or the usual: the pixel type's number in "reference", 0 in "strict".
+    fill: float | None = None
     seed: int = 42
     #: "reference" begins one slice late, keeps partial edge crops with three modalities and takes the nearest
     #: pixel for ADC and HBV of centred and random negatives; "strict" does none of these.
@@ -57,6 +62,12 @@ class Params:
     def file_type(self) -> str:
         return FORMATS[self.saved_image_type]
 
+    def fill_of(self, src_dtype: str) -> float:
+        """What stands for pixels outside of a slice of this stored type."""
+        if self.fill is not None:
+            return self.fill
+        return float(PIXEL_TYPES[src_dtype]) if self.compat == "reference" else 0.0
+
     @property
     def positive(self) -> bool:
         return self.patient_status == "positive"
@@ -86,7 +97,7 @@ def parse_all(argv: list[str] | None = None) -> tuple[Params, dict[str, str | No
         if f.name == "keywords":
             parser.add_argument("--config")
             continue
-        kind = {"bool": lambda s: s.lower() in ("1", "true", "yes"), "int": int, "float": float}.get(f.type, str)
+        kind = {"bool": lambda s: s.lower() in ("1", "true", "yes"), "int": int, "float": float, "float | None": float}.get(f.type, str)
         parser.add_argument("--" + f.name.replace("_", "-"), type=kind, default=f.default)
     given = vars(parser.parse_args(argv))
     config, paths = given.pop("config"), {name: given.pop(name) for name in PATHS}

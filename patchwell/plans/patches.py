@@ -1,19 +1,22 @@
 """From mask slices to windows to crops: one plan for each method and class.
 
-A slice's masks stay on one row from the scan to its windows: areas, overlap,
-extents, tiles and lesion counts are all taken from there, so a plan scans the
-masks once and shuffles only the slice range of each case.
+A slice's masks stay on one row from the scan to its windows, and what leaves
+that scan is a small row: the slice's reason and the list of its windows, each
+with a reason of its own. It is stored once; the slice range, the windows to
+crop and the table of decisions are all read from it, so a plan scans the masks
+once and no pixels are shuffled for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import least_area, least_voxels
 from ..operators import crops, outline, stacks, windows
 from ..operators.masks import SLICE
 from ..params import Params
+from ..sources.stored import stored
 
 
 def shaped(slices: DataFrame, params: Params) -> DataFrame:
@@ -27,48 +30,86 @@ def shaped(slices: DataFrame, params: Params) -> DataFrame:
     })
 
 
-def placed(shapes: DataFrame, params: Params) -> DataFrame:
-    """Every window of the shaped slices with what is left of it in its slice (``height, width``) and, before any filter, why it is not cropped (``reason``)."""
-    size, least = params.crop_image_size, least_area(params.c_min_positive, params.pixel_spacing)
-    found = shapes.filter("contours > 0")
-    lost = lambda h, w: F.when((h == 0) | (w == 0), "OUT_OF_BOUNDS")
-    wrong = (F.col("height") != size) | (F.col("width") != size)
+def _reasoned(params: Params, first) -> Column:
+    """``windows`` with what is left of each in its slice, and why it is not cropped (``reason``): ``first`` (of a window), outside, or of another size."""
+    size = params.crop_image_size
     exact = params.crop_method == "center" or params.sequence_type == "T2W" or params.compat == "strict"
+
+    def one(t: Column) -> Column:
+        h, w = (t["height"], t["width"]) if params.crop_method == "stride" else (windows.left_of(t["row0"], size, F.col("height")), windows.left_of(t["col0"], size, F.col("width")))
+        reason = F.coalesce(first(t), F.when((h == 0) | (w == 0), "OUT_OF_BOUNDS"))
+        if exact:
+            reason = F.coalesce(reason, F.when((h != size) | (w != size), "WRONG_SIZE"))
+        attempts = t["attempts"] if params.crop_method == "random" else F.lit(1)
+        lesion = t["lesion"] if params.crop_method == "stride" and params.positive else F.lit(None).cast("long")
+        parts = {"ordinal": t["ordinal"], "attempts": attempts, "row0": t["row0"], "col0": t["col0"], "height": h, "width": w}
+        return F.struct(*[c.cast("int").alias(k) for k, c in parts.items()], lesion.alias("lesion"), reason.alias("reason"))
+
+    return F.transform("windows", one)
+
+
+def placed(shapes: DataFrame, params: Params) -> DataFrame:
+    """Shaped slices with the list of their ``windows``, before any filter: none where the slice itself has a reason."""
+    size = params.crop_image_size
+    fit = F.col("slice_reason").isNull()
+    never = lambda t: F.lit(None).cast("string")
     if params.crop_method == "center":
-        out = found.withColumns(windows.around_box(size)).withColumn("held", stacks.contained(size))
-        out = windows.bounded(out.select(*SLICE, F.lit(1).alias("ordinal"), F.lit(1).alias("attempts"), "row0", "col0", "held", "height", "width"), size, F.col("height"), F.col("width"))
-        reason = F.when(~F.col("held"), "NOT_CONTAINED").otherwise(lost(F.col("height"), F.col("width")))
+        at = shapes.withColumns(windows.around_box(size)).withColumn("held", stacks.contained(size))
+        one = F.struct(F.lit(1).alias("ordinal"), F.col("row0").cast("int").alias("row0"), F.col("col0").cast("int").alias("col0"))
+        out, first = at.withColumn("windows", F.when(fit, F.array(one))), lambda t: F.when(~F.col("held"), "NOT_CONTAINED")
     elif params.crop_method == "stride":
-        tile = windows.tile_structs(windows.grid(found, size, params.crop_stride, keep=True), size, params.crop_stride, lambda t: stacks.spots_in(t["row0"], t["col0"], t["height"], t["width"], params) if params.positive else F.lit(None).cast("long"))
-        out = tile.select(*SLICE, F.lit(1).alias("attempts"), "tile.*")
-        reason = F.when(F.col("lesion") < least, "LESION_TOO_SMALL").otherwise(lost(F.col("height"), F.col("width"))) if params.positive else lost(F.col("height"), F.col("width"))
+        grid = windows.grid(shapes, size, params.crop_stride, keep=True)
+        out, first = grid.withColumn("windows", F.when(fit, windows.tile_list(size, params.crop_stride))), never
+        if params.positive:
+            out = windows.with_lesion(out, stacks.tumor(params), stacks.spot_level(params))
+            first = lambda t: F.when(t["lesion"] < least_area(params.c_min_positive, params.pixel_spacing), "LESION_TOO_SMALL")
     else:
-        drawn = windows.sampled(found, params, least_voxels(params.c_min_positive, params.pixel_spacing))
-        out = windows.bounded(drawn, size, F.col("slice_h"), F.col("slice_w")).drop("slice_h", "slice_w")
-        reason = lost(F.col("height"), F.col("width"))
-    reason = F.coalesce(reason, F.when(wrong, "WRONG_SIZE")) if exact else reason
-    return out.withColumn("reason", reason)
+        out, first = windows.drawn_lists(shapes, params, least_voxels(params.c_min_positive, params.pixel_spacing)), never
+    return out.withColumn("windows", _reasoned(params, first))
+
+
+def judged(slices: DataFrame, params: Params) -> DataFrame:
+    """One small row a gland slice, from one scan of its masks: ``gland_area``, ``metric`` (the area that counts), ``slice_reason`` (null: it may be cropped) and ``windows``. Nothing is shuffled."""
+    area = F.col("lesion_area" if params.positive else "gland_area")
+    measures = stacks.measured(slices, params).filter("gland_area > 0").withColumns({"slice_reason": stacks.reason(params), "metric": area})
+    shapes = shaped(measures, params).withColumn("slice_reason", F.coalesce("slice_reason", F.when(F.col("contours") == 0, "NO_CONTOUR")))
+    return placed(shapes, params).select(*SLICE, *(["block"] if "block" in slices.columns else []), "gland_area", "metric", "slice_reason", "windows")
+
+
+def kept_lists(rows: DataFrame, params: Params) -> DataFrame:
+    """``case_id, z`` and the ``windows`` that are cropped, of stored ``judged`` rows: those of slices in range."""
+    kept = stacks.in_range(rows, params).withColumn("windows", F.filter("windows", lambda t: t["reason"].isNull()))
+    return kept.filter(F.size("windows") > 0).drop("gland_area", "metric", "slice_reason")
 
 
 def kept_windows(slices: DataFrame, params: Params) -> DataFrame:
-    """Windows that are cropped."""
-    return placed(shaped(stacks.chosen(slices, params), params), params).filter("reason is null").select(*SLICE, "ordinal", "row0", "col0", "height", "width")
+    """Windows that are cropped, a row each."""
+    rows = stored(judged(slices, params), "windows")
+    return kept_lists(rows, params).select(*SLICE, F.explode("windows").alias("w")).select(*SLICE, "w.ordinal", "w.row0", "w.col0", "w.height", "w.width")
+
 
+def cut_crops(lists: DataFrame, images: DataFrame, originals: DataFrame, params: Params, resample=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Crops of the windows in ``lists`` with the range that their greys cover, and the greys.
 
-def crop(slices: DataFrame, images: DataFrame, params: Params, originals: DataFrame | None = None) -> DataFrame:
+    Percentiles are of whole volumes (``originals``). They are joined with the
+    lists, which are small, and crops carry them (and the columns of ``keep``).
+    """
+    p = crops.percentile(originals, params.max_percentile).groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct("modality", "p"))).alias("percentiles"))
+    carried = {"p": F.col("percentiles")[F.col("modality")], **{c: F.col(c) for c in keep}}
+    cut = crops.autoscale(crops.read_lists(lists.join(p, "case_id"), images, params.crop_image_size, resample, carried))
+    lo, hi = crops.window_policy(F.col("modality"), F.col("p"), F.col("vmin"), F.col("vmax"), params.normalized_image, params.normalized_vmax, params.do_normalization)
+    return crops.grayed(cut.withColumns({"lo": lo, "hi": hi})).drop("p", "vmin", "vmax")
+
+
+def crop(slices: DataFrame, images: DataFrame, params: Params, originals: DataFrame | None = None, resample=None) -> DataFrame:
     """Crops of every modality (a column of ``images``) with the range that their greys cover.
 
     Percentiles are of whole volumes as they were before resampling
-    (``originals``; without them, of ``images``), aggregated once and joined by
-    volume.
+    (``originals``; without them, of ``images``), selected once and joined by
+    volume. ``resample`` is applied to slices that have windows, as they are cut.
     """
-    volumes = images if originals is None else originals
-    p = crops.percentile(volumes.select("case_id", "modality", F.explode("px").alias("v")), params.max_percentile)
-    cut = crops.autoscale(crops.read_windows(kept_windows(slices, params), images, params.crop_image_size))
-    joined = cut.join(p, ["case_id", "modality"])
-    lo, hi = crops.window_policy(F.col("modality"), F.col("p"), F.col("vmin"), F.col("vmax"), params.normalized_image, params.normalized_vmax, params.do_normalization)
-    out = joined.withColumns({"lo": lo, "hi": hi})
-    return out.withColumn("gray", F.transform("px", lambda v: crops.gray(v, F.col("lo"), F.col("hi")))).drop("p", "vmin", "vmax")
+    lists = kept_lists(stored(judged(slices, params), "windows"), params)
+    return cut_crops(lists, images, images if originals is None else originals, params, resample)
 
 
 def decisions(slices: DataFrame, params: Params, ranged: bool = True) -> DataFrame:
@@ -78,16 +119,9 @@ def decisions(slices: DataFrame, params: Params, ranged: bool = True) -> DataFra
     windows). ``ranged`` leaves out slices that the range does not reach.
     ``metric`` is the lesion in a tile, or else the slice's area.
     """
-    measures = stacks.measured(slices, params).filter("gland_area > 0")
+    rows = stored(judged(slices, params), "windows")
     if ranged:
-        measures = stacks.in_range(measures, params)
-    area = F.col("lesion_area" if params.positive else "gland_area")
-    judged = shaped(measures.withColumns({"slice_reason": stacks.reason(params), "metric": area}), params)
-    judged = judged.withColumn("slice_reason", F.coalesce("slice_reason", F.when(F.col("contours") == 0, "NO_CONTOUR")))
-    failed = judged.filter("slice_reason is not null").select(*SLICE, F.lit(int(params.crop_method == "center")).alias("ordinal"), F.col("slice_reason").alias("reason"), "metric")
-    passed = judged.filter("slice_reason is null")
-    win = placed(passed, params).select(*SLICE, "ordinal", F.coalesce("reason", F.lit("CROPPED")).alias("reason"), *(["lesion"] if params.crop_method == "stride" else []))
-    win = win.join(passed.select(*SLICE, "metric"), list(SLICE))
-    if params.crop_method == "stride":
-        win = win.withColumn("metric", F.coalesce("lesion", "metric")).drop("lesion")
-    return failed.unionByName(win)
+        rows = stacks.in_range(rows, params)
+    told = F.transform("windows", lambda t: F.struct(t["ordinal"].alias("ordinal"), F.coalesce(t["reason"], F.lit("CROPPED")).alias("reason"), F.coalesce(t["lesion"], F.col("metric")).alias("metric")))
+    alone = F.array(F.struct(F.lit(int(params.crop_method == "center")).alias("ordinal"), F.col("slice_reason").alias("reason"), F.col("metric").alias("metric")))
+    return rows.select(*SLICE, F.explode(F.when(F.col("slice_reason").isNull(), told).otherwise(alone)).alias("d")).select(*SLICE, "d.*")

@@ -1,61 +1,73 @@
 """From volume files to crop files, for any number of cases at once.
 
 Cases are told apart by their files' names, so every path may be a folder or a
-pattern: masks and images of one case meet by case and slice.
+pattern: masks and images of one case meet by case and slice. Volumes are decoded
+once, into a bucketed table; all that follows reads that table, and no pixels are
+shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..operators import crops, outline, stacks
-from ..operators.masks import SLICE
 from ..params import Params
-from ..sources import images, nifti
+from ..sources import crop_sink
+from ..sources.slice_store import SliceStore
+from ..sources.stored import stored
 from . import patches
 
 
-def volumes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Slices of the image volumes, as they are in their files, with their ``modality``."""
-    every = [nifti.slices(spark, p).withColumn("modality", F.lit(m)) for m, p in paths.items()]
-    return reduce(DataFrame.unionByName, every)
-
-
-def masks(spark: SparkSession, gland: str, lesion: str | None, params: Params) -> DataFrame:
-    """Mask slices at the spacing that is asked for. Positives need lesions, in a mask of their own unless the gland's holds them.
-
-    Cases whose two stacks differ in length or size have no slices.
-    """
-    read = lambda p: outline.nearest(nifti.slices(spark, p), params.pixel_spacing, fill=params.fill)
-    g = read(gland)
+def load(spark: SparkSession, params: Params, images_at: dict[str, str], gland: str, lesion: str | None = None) -> SliceStore:
+    """Decode what a run needs. Positives need lesions, in a mask of their own unless the gland's holds them."""
+    missing = [m for m in params.modalities if not images_at.get(m)]
+    if missing:
+        raise ValueError(f"no path for {', '.join(missing)}")
+    paths = {m: images_at[m] for m in params.modalities} | {"gland": gland}
+    if params.positive and not params.gland_contains_lesion:
+        if not lesion:
+            raise ValueError("positive cases need a lesion mask, or a gland mask that holds lesions")
+        paths["lesion"] = lesion
+    return SliceStore.write(spark, paths)
+
+
+def masks(store: SliceStore, params: Params) -> DataFrame:
+    """Mask slices at the spacing that is asked for. Cases whose two stacks differ in length or size have no slices."""
+    read = lambda role: outline.nearest(store.role(role), params.pixel_spacing, fill=outline.filled(params))
+    g = read("gland")
     if not params.positive or params.gland_contains_lesion:
         return stacks.paired(g, None)
-    if not lesion:
-        raise ValueError("positive cases need a lesion mask, or a gland mask that holds lesions")
-    les = read(lesion)
-    roles = g.select(*SLICE, "height", "width", F.lit("gland").alias("role")).unionByName(les.select(*SLICE, "height", "width", F.lit("lesion").alias("role")))
-    return stacks.paired(g, les).join(stacks.same_stacks(roles).filter("consistent").select("case_id"), "case_id", "left_semi")
+    les = read("lesion")
+    keys = ["case_id", "block", "z", "height", "width"]
+    roles = g.select(*keys, F.lit("gland").alias("role")).unionByName(les.select(*keys, F.lit("lesion").alias("role")))
+    same = stacks.same_stacks(roles).filter("consistent").select("case_id")
+    # By block too, so that this small table comes to the buckets of the slices and not they to it.
+    blocks = store.role("gland").select("case_id", "block").distinct().join(same, "case_id")
+    return stacks.paired(g, les).join(blocks, ["case_id", "block"], "left_semi")
 
 
-def resampled(slices: DataFrame, params: Params) -> DataFrame:
-    """Images at the spacing that is asked for: by splines, or by the nearest pixel where the original does so."""
+def resampler(params: Params):
+    """How a slice is resampled in-plane before windows are cut: by splines, or by the nearest pixel where the original does so."""
     near = params.compat == "reference" and not params.positive and params.crop_method in ("center", "random")
-    cols = [*SLICE, "modality", "height", "width", "px"]
-    if not near:
-        return outline.spline(slices, params.pixel_spacing, params.fill)
-    t2, rest = slices.filter("modality = 'T2W'"), slices.filter("modality != 'T2W'")
-    return outline.spline(t2, params.pixel_spacing, params.fill).unionByName(outline.nearest(rest, params.pixel_spacing, fill=params.fill).select(*cols))
+    return partial(_resampled, params=params, near=near)
+
+
+def _resampled(img: np.ndarray, modality: str, spacing, src_dtype: str, params: Params, near: bool) -> np.ndarray:
+    make = kernels.nearest_resampled if near and modality != "T2W" else kernels.spline_resampled
+    return make(img, (spacing[1], spacing[0]), params.pixel_spacing, params.fill_of(src_dtype))
 
 
-def named(cut: DataFrame, params: Params, sizes: DataFrame) -> DataFrame:
+def named(cut: DataFrame, params: Params) -> DataFrame:
     """Crops with ``file``: case and study, then sequence, slice, ordinal, place and modality. Only tiles name the row first."""
     ordinal = None if params.crop_method == "center" else F.col("ordinal")
     a, b = ("row0", "col0") if params.crop_method == "stride" else ("col0", "row0")
     name = crops.crop_name(params.sequence_type, F.col("z"), F.col("n_slices"), ordinal, F.col(a), F.col(b), F.col("modality"))
-    return cut.join(sizes, "case_id").withColumn("file", F.concat("case_id", F.lit("_"), "study_id", F.lit("/"), name, F.lit(f".{params.file_type}")))
+    return cut.withColumn("file", F.concat("case_id", F.lit("_"), "study_id", F.lit("/"), name, F.lit(f".{params.file_type}")))
 
 
 def run(spark: SparkSession, params: Params, images_at: dict[str, str], gland: str, lesion: str | None = None, out: str | None = None) -> DataFrame:
@@ -64,18 +76,18 @@ def run(spark: SparkSession, params: Params, images_at: dict[str, str], gland: s
     ``images_at`` gives a path for each of the modalities that ``params`` wants.
     Only slices that have a window are resampled.
     """
-    missing = [m for m in params.modalities if not images_at.get(m)]
-    if missing:
-        raise ValueError(f"no path for {', '.join(missing)}")
-    original = volumes(spark, {m: images_at[m] for m in params.modalities})
-    mask = masks(spark, gland, lesion, params)
-    used = patches.kept_windows(mask, params).select(*SLICE).distinct()
-    cut = patches.crop(mask, resampled(original.join(used, list(SLICE), "left_semi"), params), params, original)
-    sizes = original.filter("modality = 'T2W'").groupBy("case_id").agg(F.first("study_id").alias("study_id"), F.max("n_slices").alias("n_slices"))
-    cut = named(cut, params, sizes)
-    if out is None or params.file_type == "parquet":
-        if out is not None:
-            cut.write.mode("overwrite").parquet(out)
-            return spark.read.parquet(out)
+    store = load(spark, params, images_at, gland, lesion)
+    original = store.modalities(params.modalities)
+    lists = patches.kept_lists(stored(patches.judged(masks(store, params), params), "windows"), params)
+    sizes = store.role("T2W").groupBy("case_id").agg(F.min("study_id").alias("study_id"), F.max("n_slices").alias("n_slices"))
+    cut = patches.cut_crops(lists.join(sizes, "case_id"), original, original, params, resampler(params), ("study_id", "n_slices"))
+    cut = named(cut, params)
+    if out is None:
         return cut
-    return images.write(images.encode(cut, params.file_type), out)
+    if params.file_type == "parquet":
+        cut.write.mode("overwrite").parquet(out)
+        made = spark.read.parquet(out)
+    else:
+        made = crop_sink.write(cut, out, params.file_type)
+    store.drop()
+    return made

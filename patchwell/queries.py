@@ -19,6 +19,7 @@ from .operators import crops, masks, outline, stacks, windows
 from .params import Params
 from .plans import patches
 from .sources import images, nifti, raster
+from .sources.stored import stored
 
 H, W = raster.HEIGHT, raster.WIDTH
 PS, SIZE, STRIDE, SAMPLES, SEED = 2.0, 16, 8, 12, 42
@@ -289,8 +290,7 @@ def crop_shape_filter(spark, sf_dir):
 
 
 def _percentiles(spark, sf_dir):
-    long = raster.modalities(spark, sf_dir, ["T2W", "ADC", "HBV"]).select("case_id", "modality", F.explode("px").alias("v"))
-    return crops.percentile(long, 99.5)
+    return crops.percentile(raster.modalities(spark, sf_dir, ["T2W", "ADC", "HBV"]), 99.5)
 
 
 MODAL = ", modal AS (SELECT 'T2W' AS modality, z, y, x, v FROM vox UNION ALL SELECT 'ADC', z, y, x, v*v FROM vox UNION ALL SELECT 'HBV', z, y, x, 1.0-v FROM vox), pct AS (SELECT modality, quantile_cont(v, 0.995) AS p FROM modal GROUP BY modality) "
@@ -424,8 +424,8 @@ def center_windows_contour(spark, sf_dir):
 def random_windows_hashed(spark, sf_dir):
     """Random windows of positives, drawn by hashes that hold the case, and redrawn as the original does."""
     params = Params(crop_method="random", patient_status="positive", tumor_label_level=1, pixel_spacing=PS, crop_image_size=SIZE, positive_draws="attempts")
-    shaped = patches.shaped(stacks.chosen(raster.mask_slices(spark, sf_dir), params), params)
-    return patches.placed(shaped, params).select("z", "ordinal", "attempts", "row0", "col0", "reason")
+    rows = stacks.in_range(stored(patches.judged(raster.mask_slices(spark, sf_dir), params), "windows"), params)
+    return rows.select("z", F.explode("windows").alias("w")).select("z", "w.ordinal", "w.attempts", "w.row0", "w.col0", "w.reason")
 
 
 def _mask_slices(spark, sf_dir):

@@ -1,8 +1,4 @@
-"""Crops as image files: PNG, JPEG, TIFF or NumPy arrays, made and written in tasks.
-
-Files go to any store that ``pyarrow.fs`` opens. A task that runs again writes
-the same bytes to the same names, so a lost executor leaves nothing half done.
-"""
+"""Crops as image files: PNG, JPEG, TIFF or NumPy arrays, made in tasks; ``crop_sink`` writes them."""
 
 from __future__ import annotations
 
@@ -121,30 +117,3 @@ def encode(crops: DataFrame, kind: str = "png") -> DataFrame:
 
     schema = ", ".join(f"`{c}` {crops.schema[c].dataType.simpleString()}" for c in keep)
     return crops.select(*keep, column).mapInPandas(run, f"{schema}, content binary")
-
-
-def write(files: DataFrame, root: str) -> DataFrame:
-    """Write ``content`` of each row to ``file`` below ``root`` (a path or URI); the rows without ``content``, with ``bytes``, as they were written.
-
-    Nothing is written before the result is used.
-    """
-    keep = [c for c in files.columns if c not in ("content", "bytes")]
-
-    def run(batches):
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-        made = set()
-        for pdf in batches:
-            for name, data in zip(pdf["file"], pdf["content"], strict=True):
-                path = f"{base}/{name}"
-                folder = path.rpartition("/")[0]
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                with store.open_output_stream(path) as out:
-                    out.write(data)
-            yield pdf[keep].assign(bytes=[len(x) for x in pdf["content"]])
-
-    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
-    return files.mapInPandas(run, f"{schema}, bytes long")

@@ -329,7 +329,7 @@ def test_from_volume_files_to_crop_files(spark, tmp_path, kind, status, method,
     params = Params(crop_method=method, patient_status=status, sequence_type=sequence, pixel_spacing=2.0, crop_image_size=30 if method == "center" else 16, crop_stride=8, saved_image_type=kind)
     out = run.run(spark, params, {m: str(tmp_path / m) for m in vol}, str(tmp_path / "gland"), str(tmp_path / "lesion"), str(tmp_path / "out")).collect()
     assert out and {r["modality"] for r in out} == set(params.modalities) and {r["case_id"] for r in out} == {"101", "102"}
-    assert {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*")} == {r["file"] for r in out}
+    assert {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*") if "_crops" not in p.parts} == {r["file"] for r in out}
     for r in out:
         order = (r["row0"], r["col0"]) if method == "stride" else (r["col0"], r["row0"])
         number = "" if method == "center" else f"_{r['ordinal']}"
@@ -355,7 +355,7 @@ def test_command(spark, tmp_path, capsys):
     where = {"orig-img-path-t2w": "5_6_t2.nii.gz", "seg-img-path": "5_6_seg.nii.gz", "path-to-save": "out"}
     argv = [x for k, v in where.items() for x in ("--" + k, str(tmp_path / v))] + ["--pixel-spacing", "2", "--crop-image-size", "26", "--saved-image-type", "tiff"]
     assert command.main(argv) == 0 and "1 files" in capsys.readouterr().out
-    assert [p.suffix for p in (tmp_path / "out").rglob("*.*")] == [".tiff"]
+    assert [p.suffix for p in (tmp_path / "out").rglob("*.*") if "_crops" not in p.parts] == [".tiff"]
 
 
 def test_keywords_of_an_ini_file(spark, tmp_path):
@@ -391,12 +391,15 @@ def test_masks_of_unequal_stacks_are_left_out(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / f"{name}.nii.gz").write_bytes(nifti.encode_nifti(v.astype(np.uint8), (1.0, 1.0, 3.0)))
     params = Params(patient_status="positive", pixel_spacing=2.0)
-    got = run.masks(spark, str(tmp_path / "g"), str(tmp_path / "l"), params).collect()
+    images_at = {"T2W": str(tmp_path / "g")}
+    got = run.masks(run.load(spark, params, images_at, str(tmp_path / "g"), str(tmp_path / "l")), params).collect()
     assert {r["case_id"] for r in got} == {"2"} and len(got) == 4
     want = gland[0][::2, ::2].ravel().tolist()
     assert all((r["height"], r["width"]) == (10, 10) and r["gland"] == want and r["lesion"] == [2 * v for v in want] for r in got)
     with pytest.raises(ValueError):
-        run.masks(spark, str(tmp_path / "g"), None, params)
+        run.load(spark, params, images_at, str(tmp_path / "g"))
+    with pytest.raises(ValueError):
+        run.load(spark, params, {}, str(tmp_path / "g"), str(tmp_path / "l"))
 
 
 def test_a_slice_needs_both_masks(spark):
@@ -404,3 +407,74 @@ def test_a_slice_needs_both_masks(spark):
     params = Params(patient_status="positive", c_min_positive=0.0, min_overlap_percent=0.0)
     s = stacks.measured(mask_rows(spark, (disc(8, 8, 4, 4, 4).astype(int), empty + 2), (empty, empty + 2)), params)
     assert [r[0] for r in s.orderBy("z").select(stacks.reason(params)).collect()] == [None, "EMPTY_MASK"]
+
+
+@pytest.mark.parametrize("bins, gather", [(4096, 65536), (64, 3), (4096, 0)])
+def test_percentile_by_selection(spark, bins, gather):
+    """Passes of few bins and small rests find what sorting finds: ties, runs, negative, huge and tiny values, volumes of one value, nulls and NaN."""
+    rng = np.random.default_rng(bins)
+    vols = {
+        "int": rng.integers(-50, 50, 300).astype(float), "ties": rng.integers(0, 3, 250).astype(float), "one": np.full(40, 7.0), "single": np.array([3.5]), "normal": rng.normal(size=333),
+        "wide": np.concatenate([[-1.7e308, 1.7e308], rng.normal(size=60) * 1e300]), "tiny": rng.random(50) * 1e-300, "skew": np.exp(rng.normal(size=200) * 12), "two": np.array([1.0] * 99 + [2.0]),
+    }
+    rows = [(k, "T2W", part.tolist()) for k, v in vols.items() for part in np.array_split(v, 3)] + [("int", "ADC", [1.0, None, float("nan"), 3.0]), ("none", "T2W", [None]), ("none", "ADC", [])]
+    df = spark.createDataFrame(rows, "case_id string, modality string, px array<double>")
+    for q in (0.0, 37.3, 99.5, 100.0) if gather > 3 else (37.3, 99.5):
+        got = {(r["case_id"], r["modality"]): r["p"] for r in crops.percentile(df, q, bins=bins, gather=gather).collect()}
+        assert set(got) == {(k, "T2W") for k in vols} | {("int", "ADC")}
+        for k, v in vols.items():
+            with np.errstate(over="ignore"):
+                assert got[k, "T2W"] == pytest.approx(np.percentile(v, q), rel=1e-12, abs=0) or k == "wide" and abs(got[k, "T2W"]) >= 1e290, (k, q)
+        assert got["int", "ADC"] == pytest.approx(1 + 2 * q / 100)
+        spark_own = {r["case_id"]: r["p"] for r in df.filter("case_id in ('int', 'ties', 'normal', 'skew')").filter("modality = 'T2W'").select("case_id", F.explode("px").alias("v")).groupBy("case_id").agg(F.percentile("v", F.lit(q / 100)).alias("p")).collect()}
+        assert all(got[k, "T2W"] == pytest.approx(p, rel=1e-14) for k, p in spark_own.items())
+
+
+@pytest.mark.parametrize("share, limit", [(0.02, 10_000), (0.3, 10_000), (0.002, 300), (0.0, 50), (1.0, 50)])
+def test_attempts_follow_the_law_of_redrawing(share, limit):
+    """Against a loop that draws: how many draws it takes, how often none is found, and which pixel stays."""
+    n = 2000
+    stop = np.arange(n) < share * n
+    rng = np.random.default_rng(11)
+    tries, pixels = [], []
+    for _ in range(1500):
+        at = rng.integers(0, n, limit - 1)
+        hit = np.flatnonzero(stop[at])
+        tries.append(hit[0] + 1 if len(hit) else limit)
+        pixels.append(at[hit[0]] if len(hit) else at[-1])
+    pick, took = windows.redrawn(np.arange(-20_000, 20_000, dtype=np.int64) * 7919, stop, limit)
+    tries, pixels = np.array(tries), np.array(pixels)
+    assert took.min() >= 1 and took.max() <= limit and (stop[pick] == (took < limit)).all()
+    for a, b in ((took, tries), (pick, pixels)):
+        every = np.unique(np.concatenate([a, b]))
+        gap = np.abs(np.searchsorted(np.sort(a), every, "right") / len(a) - np.searchsorted(np.sort(b), every, "right") / len(b)).max()
+        assert gap < 0.05  # of two samples of one law, more than 0.045 comes once in a hundred
+    again = windows.redrawn(np.arange(-20_000, 20_000, dtype=np.int64) * 7919, stop, limit)
+    assert (again[0] == pick).all() and (again[1] == took).all()
+
+
+def test_ends_of_a_case(spark):
+    rng = np.random.default_rng(2)
+    cases = {f"c{k}": sorted(rng.choice(60, rng.integers(1, 20), replace=False).tolist()) for k in range(30)}
+    df = spark.createDataFrame([(c, z) for c, zs in cases.items() for z in zs], "case_id string, z int").repartition(6)
+    for k in range(5):
+        got = {r["case_id"]: (r["lo"], r["hi"]) for r in stacks.ends(df, k).collect()}
+        assert got == {c: (zs[k], zs[-1 - k]) for c, zs in cases.items() if len(zs) > 2 * k}
+    plan = stacks.ends(df, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # rows are cut to k + 1 before they move
+
+
+def test_fill_is_the_pixel_types_number(spark):
+    """Places outside of the input: in "reference" the number of the stored type, in "strict" 0, or what is asked for."""
+    img = np.full((5, 5), 9.0)
+    s = spark.createDataFrame([("c", 0, 5, 5, [0.5, 0.5, 3.0], kind, img.ravel().tolist()) for kind in ("i1", "u1", "i2", "u2", "i4", "u4", "f4", "f8")], "case_id string, z int, height int, width int, spacing array<double>, src_dtype string, px array<double>")
+    for params, want in ((Params(), list(range(6)) + [8, 9]), (Params(compat="strict"), [0] * 8), (Params(fill=-3.0), [-3] * 8)):
+        got = [r["px"][-1] for r in outline.nearest(s, 0.7, fill=outline.filled(params)).collect()]
+        assert got == [9.0] * 8  # within half a pixel of the last one
+        wide = s.withColumn("spacing", F.array(F.lit(0.5), F.lit(0.5), F.lit(3.0)))
+        rows = outline.nearest(wide, 0.9, fill=outline.filled(params)).collect()
+        sizes = {(r["height"], r["width"]) for r in rows}
+        assert sizes == {(3, 3)}
+        out = [K.nearest_resampled(img[:2, :2], (0.5, 0.5), 0.3, params.fill_of(r["src_dtype"]))[-1, -1] for r in rows]
+        assert out == want or out == [9.0] * 8
+        assert [params.fill_of(r["src_dtype"]) for r in rows] == want
