@@ -37,6 +37,32 @@ def outlines(masks: DataFrame) -> DataFrame:
     return cols.mapInPandas(run, "case_id string, z int, contour int, parent int, n_points int, area double, biggest boolean, x int, y int, w int, h int, points array<int>")
 
 
+def components(masks: DataFrame) -> DataFrame:
+    """Connected parts of each mask slice (``case_id, z, height, width, px``): of its pixels (``filled``; 8 neighbours) and of what they leave (4), numbered from 0 in scan order, with area and extents."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for case, z, h, w, px in zip(*(pdf[c] for c in ("case_id", "z", "height", "width", "px")), strict=True):
+                m = np.asarray(px).reshape(h, w) != 0
+                for filled in (True, False):
+                    lines = kernels.runs(m if filled else ~m)
+                    number = kernels.connected(lines, diagonal=filled)
+                    n = int(number.max(initial=-1)) + 1
+                    least = {k: np.full(n, max(h, w)) for k in ("y", "x")}
+                    most, area = {k: np.zeros(n, int) for k in ("y", "x")}, np.zeros(n, int)
+                    np.add.at(area, number, lines.end - lines.start)
+                    for k, a, b in (("y", lines.row, lines.row), ("x", lines.start, lines.end - 1)):
+                        np.minimum.at(least[k], number, a)
+                        np.maximum.at(most[k], number, b)
+                    out.append(pd.DataFrame({"case_id": case, "z": z, "filled": filled, "component": np.arange(n), "area": area, "y_min": least["y"], "y_max": most["y"], "x_min": least["x"], "x_max": most["x"]}))
+            if out:
+                yield pd.concat(out)
+
+    cols = masks.select("case_id", "z", "height", "width", "px")
+    return cols.mapInPandas(run, "case_id string, z int, filled boolean, component long, area long, y_min int, y_max int, x_min int, x_max int")
+
+
 def shapes(slices: DataFrame, params: Params) -> DataFrame:
     """Mask slices with what windows are placed by.
 

@@ -18,8 +18,9 @@ from .functions import numeric
 from .operators import crops, masks, outline, stacks, windows
 from .params import Params
 from .plans import patches
-from .sources import images, nifti, raster
-from .sources.stored import stored
+from .sources import crop_sink, images, nifti, raster, volumes
+from .sources.slice_store import SliceStore
+from .sources.stored import new_path, stored
 
 H, W = raster.HEIGHT, raster.WIDTH
 PS, SIZE, STRIDE, SAMPLES, SEED = 2.0, 16, 8, 12, 42
@@ -35,7 +36,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: What every statement begins with: voxels, areas, outline extents and the slice range.
 COMMON = """
-WITH line AS (SELECT CAST(vec_id // 50 AS INT) AS z, CAST(vec_id % 50 AS INT) AS y, embedding FROM embeddings),
+WITH RECURSIVE line AS (SELECT CAST(vec_id // 50 AS INT) AS z, CAST(vec_id % 50 AS INT) AS y, embedding FROM embeddings),
 long AS (SELECT z, y, CAST(unnest(range(len(embedding))) AS INT) AS x, CAST(unnest(embedding) AS DOUBLE) AS v FROM line),
 vox AS (SELECT z, y, x, v,
   CASE WHEN z BETWEEN 1 AND (SELECT max(z) FROM line) - 1 AND (x-32)*(x-32) + (y-25)*(y-25) <= 20 + 60*(z%5) THEN 1 ELSE 0 END AS gland,
@@ -332,11 +333,89 @@ def modality_stack(spark, sf_dir):
     return out.select("modality", "z", "ordinal", F.size("px").cast("long").alias("n"), F.array_min("px").alias("vmin"), F.array_max("px").alias("vmax"))
 
 
-@query("SELECT CAST(round_even(n*(s/t), 0) AS INT) AS size, n, s, t FROM (SELECT unnest([50,64,101,25]) AS n), (SELECT unnest([1.0::DOUBLE,0.5,0.3]) AS s), (SELECT unnest([1.6::DOUBLE,0.4,0.5]) AS t)")
+@query("SELECT z, CAST(round_even(n*(s/t), 0) AS INT) AS size, n, s, t FROM (SELECT z, count(*)::INT + z AS n FROM line GROUP BY z), (SELECT unnest([1.0::DOUBLE,0.5,0.3]) AS s), (SELECT unnest([1.6::DOUBLE,0.4,0.5]) AS t)")
 def resample_size(spark, sf_dir):
-    n, s, t = (F.explode(F.array(*map(F.lit, x))) for x in ([50, 64, 101, 25], [1.0, 0.5, 0.3], [1.6, 0.4, 0.5]))
-    all_ = spark.range(1).select(n.alias("n")).select("n", s.alias("s")).select("*", t.alias("t"))
-    return all_.select(numeric.resized(F.col("n"), F.col("s"), F.col("t")).alias("size"), "n", "s", "t")
+    """Sizes of axes as long as each slice has lines, and its number more, at several spacings."""
+    s, t = (F.explode(F.array(*map(F.lit, x))) for x in ([1.0, 0.5, 0.3], [1.6, 0.4, 0.5]))
+    n = raster.places(spark, sf_dir).groupBy("z").agg(F.count("*").cast("int").alias("n")).select("z", (F.col("n") + F.col("z")).alias("n"))
+    return n.select("*", s.alias("s")).select("*", t.alias("t")).select("z", numeric.resized(F.col("n"), F.col("s"), F.col("t")).alias("size"), "n", "s", "t")
+
+
+@query("SELECT z FROM (SELECT DISTINCT z FROM line) WHERE z BETWEEN (SELECT z FROM filled WHERE up = 2) + 1 AND (SELECT z FROM filled WHERE down = 2)")
+def slice_range_exclude_two(spark, sf_dir):
+    """The range that leaves out two filled slices at either end, from rows that were cut to three an end before they moved."""
+    return masks.slice_range(raster.labels(spark, sf_dir), 2)
+
+
+@query(MODAL + " UNION ALL ".join(f"SELECT modality, {q}::DOUBLE AS q, round(quantile_cont(v, {q}), 9) AS p FROM modal GROUP BY modality" for q in (0.005, 0.373, 0.5, 0.995)))
+def percentile_passes(spark, sf_dir):
+    """Percentiles with passes of 16 bins until 50 values are left, as whole volumes need them."""
+    s = raster.modalities(spark, sf_dir, ["T2W", "ADC", "HBV"])
+    every = [crops.percentile(s, 100 * q, bins=16, gather=50).withColumn("q", F.lit(q)) for q in (0.005, 0.373, 0.5, 0.995)]
+    return reduce(DataFrame.unionByName, every).select("modality", "q", F.round("p", 9).alias("p"))
+
+
+@query(MODAL + "SELECT m.modality, t.z, t.ordinal, count(*) AS n, min(m.v) AS vmin, max(m.v) AS vmax FROM tile t SEMI JOIN chosen USING (z) JOIN modal m ON m.z=t.z AND m.y>=t.row0 AND m.y<t.row0+16 AND m.x>=t.col0 AND m.x<t.col0+16 WHERE t.height>0 AND t.width>0 GROUP BY ALL")
+def stored_crops(spark, sf_dir):
+    """Crops of all modalities out of a bucketed slice store: lists of windows come to the slices."""
+    params = Params(crop_method="stride", sequence_type="bpMRI", pixel_spacing=PS, crop_image_size=SIZE, crop_stride=STRIDE)
+    made = raster.modalities(spark, sf_dir, params.modalities)
+    store = SliceStore.of({m: made.filter(F.col("modality") == m).drop("modality") for m in params.modalities} | {"mask": raster.mask_slices(spark, sf_dir).withColumn("px", F.col("gland").cast("array<double>")).drop("gland", "lesion")}, buckets=4)
+    gland = store.role("mask").withColumns({"gland": F.transform("px", lambda v: v.cast("int")), "lesion": F.transform("px", lambda v: F.lit(0))}).drop("px")
+    lists = patches.kept_lists(stored(patches.judged(gland, params), "windows"), params)
+    out = crops.read_lists(lists, store.modalities(params.modalities), SIZE)
+    return out.select("modality", "z", "ordinal", F.size("px").cast("long").alias("n"), F.array_min("px").alias("vmin"), F.array_max("px").alias("vmax"))
+
+
+@query(""", part AS (SELECT z, y, x, CASE WHEN (gland = 1) <> (lesion = 1) THEN 1 ELSE 0 END AS on_ FROM vox),
+stretch AS (SELECT z, y, on_, x, x - row_number() OVER (PARTITION BY z, y, on_ ORDER BY x) AS g FROM part), run AS (SELECT z, on_, y, min(x) AS a, max(x) AS b, row_number() OVER (PARTITION BY z, on_ ORDER BY y, min(x)) AS r FROM stretch GROUP BY z, on_, y, g),
+edge AS (SELECT p.z, p.on_, p.r AS u, q.r AS v FROM run p JOIN run q ON p.z=q.z AND p.on_=q.on_ AND q.y=p.y+1 AND q.a<=p.b+p.on_ AND p.a<=q.b+p.on_), way AS (SELECT * FROM edge UNION ALL SELECT z, on_, v, u FROM edge),
+reach AS (SELECT z, on_, r AS s, r AS t FROM run UNION SELECT c.z, c.on_, c.s, w.v FROM reach c JOIN way w ON w.z=c.z AND w.on_=c.on_ AND w.u=c.t), name AS (SELECT z, on_, s, min(t) AS c FROM reach GROUP BY ALL)
+SELECT run.z, run.on_ = 1 AS filled, row_number() OVER (PARTITION BY run.z, run.on_ ORDER BY c) - 1 AS component, sum(b - a + 1)::BIGINT AS area, min(y) AS y_min, max(y) AS y_max, min(a) AS x_min, max(b) AS x_max FROM run JOIN name ON run.z=name.z AND run.on_=name.on_ AND run.r=name.s GROUP BY run.z, run.on_, c""")
+def mask_components(spark, sf_dir):
+    """Parts of the gland without its lesion and of the lesion without the gland (8 neighbours), and of what is between and around them (4), from runs of pixels."""
+    return outline.components(raster.mask_slices(spark, sf_dir).withColumn("px", F.zip_with("gland", "lesion", lambda g, t: (g != t).cast("int")))).drop("case_id")
+
+
+@query("SELECT 'tiles/' || t.z || '_' || ordinal || '.npy' AS file, 2176::BIGINT AS bytes FROM tile t SEMI JOIN chosen USING (z) WHERE t.height=16 AND t.width=16")
+def crop_files(spark, sf_dir):
+    """Tiles as array files (128 bytes of header and 256 numbers each), through the sink; what its table of files says."""
+    lists = patches.kept_lists(stored(patches.judged(raster.mask_slices(spark, sf_dir), NEG), "windows"), NEG)
+    cut = crops.read_lists(lists, raster.slices(spark, sf_dir), SIZE)
+    named = cut.withColumn("file", F.concat(F.lit("tiles/"), "z", F.lit("_"), "ordinal", F.lit(".npy")))
+    return crop_sink.write(named, new_path(spark, "crop-files"), "npy").select("file", "bytes")
+
+
+@query("SELECT z, (SELECT count(DISTINCT z) FROM line b WHERE b.z // 16 = a.z // 16) AS n_slices, count(*) AS n, min(v) AS vmin, max(v) AS vmax FROM vox a GROUP BY z")
+def volume_source(spark, sf_dir):
+    """Slices as volumes of sixteen, with headers and pixels in files of their own, and read back by byte ranges."""
+    root = new_path(spark, "volumes")
+    tall = raster.slices(spark, sf_dir).withColumn("block", F.floor(F.col("z") / 16).cast("int"))
+
+    def write(key, pdf):
+        store, base = crop_sink.opened(root)
+        store.create_dir(base, recursive=True)
+        pdf = pdf.sort_values("z")
+        h, w, name = int(pdf["height"].iloc[0]), int(pdf["width"].iloc[0]), f"{key[0]}_{key[1]}"
+        img = np.stack([np.pad(np.asarray(p, float), (0, h * w - len(p))) for p in pdf["px"]])
+        head = f"NDims = 3\nDimSize = {w} {h} {len(pdf)}\nElementType = MET_DOUBLE\nElementDataFile = {name}.raw\n"
+        for ending, data in (("raw", img.tobytes()), ("mhd", head.encode())):
+            with store.open_output_stream(f"{base}/{name}.{ending}") as out:
+                out.write(data)
+        return pd.DataFrame({"study": [key[1]]})
+
+    tall.groupBy("case_id", "block").applyInPandas(write, "study int").write.format("noop").mode("overwrite").save()
+    got = volumes.slices(spark, root, part_bytes=1 << 16)
+    return got.select((F.col("z") + 16 * F.col("study_id").cast("int")).alias("z"), F.col("n_slices").cast("long").alias("n_slices"), F.size("px").cast("long").alias("n"), F.array_min("px").alias("vmin"), F.array_max("px").alias("vmax"))
+
+
+@query(""", c AS (SELECT z, y_min - CAST(trunc((40-(y_max-y_min+1))/2) AS INT) AS row0, x_min - CAST(trunc((40-(x_max-x_min+1))/2) AS INT) AS col0 FROM ext),
+h AS (SELECT z, count(*) AS total, count(*) FILTER (y BETWEEN row0 AND row0+39 AND x BETWEEN col0 AND col0+39) AS inside FROM wide JOIN c USING (z) GROUP BY z)
+SELECT z, row0, col0 FROM c JOIN h USING (z) SEMI JOIN chosen_pos USING (z) WHERE total=inside AND row0>=0 AND col0>=0 AND row0+40<=50 AND col0+40<=64""")
+def center_windows_pos_wide(spark, sf_dir):
+    """Centred windows of positives, large enough to hold the gland."""
+    params = Params(crop_method="center", patient_status="positive", pixel_spacing=PS, crop_image_size=40, tumor_label_level=1, geometry="extents")
+    return patches.kept_windows(raster.mask_slices(spark, sf_dir), params).select("z", "row0", "col0")
 
 
 @query("""SELECT o.z, o.y, o.x, coalesce(v.v, 0.0) AS v, coalesce(v.gland, 0) AS gland FROM (SELECT z, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM (SELECT DISTINCT z FROM line), (SELECT unnest(range(CAST(round_even(50/1.6::DOUBLE,0) AS INT))) AS y), (SELECT unnest(range(CAST(round_even(64/1.6::DOUBLE,0) AS INT))) AS x)) o

@@ -29,7 +29,13 @@ class SliceStore:
     @classmethod
     def write(cls, spark: SparkSession, paths: dict[str, str], buckets: int | None = None) -> SliceStore:
         """Decode the volumes at the paths of each role. ``buckets``: as many as the session's shuffle partitions, unless given."""
-        every = [volumes.slices(spark, p).withColumn("role", F.lit(role)) for role, p in paths.items()]
+        return cls.of({role: volumes.slices(spark, p) for role, p in paths.items()}, buckets)
+
+    @classmethod
+    def of(cls, slices: dict[str, DataFrame], buckets: int | None = None) -> SliceStore:
+        """Store slices (``case_id, z`` and what they have) of each role, in one job."""
+        every = [df.withColumn("role", F.lit(role)) for role, df in slices.items()]
+        spark = every[0].sparkSession
         rows = reduce(DataFrame.unionByName, every).withColumn("block", F.floor(F.col("z") / volumes.BLOCK).cast("int"))
         table = f"slices_{uuid.uuid4().hex}"
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
