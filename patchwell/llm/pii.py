@@ -6,15 +6,21 @@ the text share a potential, and so do distant units that are equal (the same las
 nine digits, or address) or similar (the same last seven digits, or the name
 before the @). Loopy message passing spreads labels along those edges, so a
 number written once in full and once without its marks gets one label. A unit
-that no base span touches is added where the belief in a label is at least
-``SURE``; what it looks like is told without the marks that a pattern needs.
+that no base span touches is added where the belief in a label is at least what
+held-out examples ask for; what it looks like is told in parts (how many digits,
+which marks), so a look that no sample had is still told by its parts.
 
 Potentials are weights of a softmax regression of a unit's label on its look, the
 word before it, and the labels of the units that edges tie it to, with base spans
-as labels. The penalty is the one with the best likelihood on a fifth of the
-sample that the weights have not seen. The sample is bounded by ``MAX_DOCS``. A
-unit that repeats a base span's key without matching a pattern is of unknown
-label, and no example of anything.
+as labels. Patterns label only what matches them, so what they miss is made from
+what they find: of each base span, writings without its marks are examples of its
+label, tied to it, and the same writings untied are examples of no label. Both
+say by themselves how much an equal or similar writing counts. The penalty is
+the one with the best likelihood on a fifth of the sample that the weights have
+not seen, and the least belief is the one where ``PRECISION`` of what would be
+added there is right. The sample is bounded by ``MAX_DOCS``. A unit that repeats a
+base span's key without matching a pattern is of unknown label, and no example of
+anything.
 """
 
 from __future__ import annotations
@@ -34,10 +40,11 @@ from .scratch import crc, mapped
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 MAX_DOCS = 20_000
-SURE = 0.9
+#: Share of right ones among held-out examples that the least belief must reach, and the beliefs that are tried.
+PRECISION, BELIEFS = 0.98, (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
 PENALTIES = (0.1, 1.0, 10.0)
-#: What an equal pair's agreement is worth before any example, and numbers of words before a unit.
-EQUAL, WORDS = 4.0, 64
+#: Numbers of words before a unit.
+WORDS = 64
 ROUNDS = 10
 #: Edges whose messages are computed at once; all of a document's units pass messages together.
 AT_ONCE = 20_000
@@ -47,7 +54,8 @@ _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_UNIT = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}|\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++")
+_NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().-]{0,2}[0-9])++")
+_ADDRESS = re.compile(r"[A-Za-z0-9.-]++")
 _BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,2}\Z")
 _LOCALS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DIGIT = re.compile("[0-9]")
@@ -96,27 +104,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def units(text: str) -> list[tuple[int, int, str]]:
-    """``(start, end, key)`` of address-like and number-like stretches; equal keys are the same thing written twice."""
-    out = []
-    for m in _UNIT.finditer(text):
-        s = m[0]
-        if "@" in s:
-            out.append((m.start(), m.end(), s.lower().rstrip(".-")))
-        else:
-            d = "".join(_DIGIT.findall(s))
-            if len(d) >= 7:
-                out.append((m.start(), m.end(), d[-9:]))
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Stretches that look like addresses, from each @ outwards, of any length."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        a = at
+        while a > last and text[a - 1] in _LOCALS:
+            a -= 1
+        m = _ADDRESS.match(text, at + 1) if a < at else None
+        if m:
+            out.append((a, m.end()))
+            last = m.end()
+        at = text.find("@", max(at + 1, last))
     return out
 
 
-def unary_key(text: str, a: int, b: int) -> str:
-    """What a unit looks like, without the marks that make a pattern match it."""
-    s = text[a:b]
+def units(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, key)`` of address-like and number-like stretches; equal keys are the same thing written twice. Numbers within addresses are none."""
+    found = addresses(text) if "@" in text else []
+    out = [(a, b, text[a:b].lower().rstrip(".-")) for a, b in found]
+    k = 0
+    for m in _NUMBER.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        d = "".join(_DIGIT.findall(m[0]))
+        if len(d) >= 7 and (k == len(found) or found[k][0] >= m.end()):
+            out.append((m.start(), m.end(), d[-9:]))
+    return sorted(out)
+
+
+def look(s: str) -> tuple[str, str]:
+    """What a unit looks like, in two parts: how many digits (or that it is an address), and its marks; of as many as a card has, also whether their check digit is wrong (!)."""
     if "@" in s:
-        return "@" + ("." if "." in s[s.index("@") :] else "-")
-    n = len(_DIGIT.findall(s))
-    return f"{min(n, 20)}{'.' if '.' in s else ''}{'-' if '-' in s or ' ' in s else ''}{'(' if '(' in s else ''}"
+        return "@", "." if "." in s[s.index("@") :] else "@"
+    marks = "".join(c for c in ".-(" if c in s.replace(" ", "-"))
+    d = "".join(_DIGIT.findall(s))
+    return str(min(len(d), 20)), marks + "!" * (14 <= len(d) <= 19 and not luhn(d))
+
+
+def rewritten(s: str, kind: int) -> list[tuple[str, bool]]:
+    """A base span without the marks that its pattern needs, and whether the key stays equal (else it is similar)."""
+    if KINDS[kind] == "email":
+        return [(s.partition("@")[0] + "@host", False)]
+    d = "".join(_DIGIT.findall(s))
+    out = [(d, True), (" ".join(d[i : i + 3] for i in range(0, len(d), 3)), True), (".".join(d[i : i + 4] for i in range(0, len(d), 4)), True)]
+    if KINDS[kind] == "phone":
+        out += [(d[-7:], False), (f"{d[-7:-4]}-{d[-4:]}", False)]
+    return out if len(d) >= 7 else []
 
 
 def similar_key(key: str) -> str:
@@ -187,6 +221,10 @@ def edges_of(us, y: np.ndarray) -> list[np.ndarray]:
     return [near_edges(us), np.unique(both[0], axis=0), np.array([e for e in np.unique(both[1], axis=0).tolist() if tuple(e) not in same], np.int64).reshape(-1, 2)]
 
 
+#: What a unit's label is told from.
+CASE = ["digits", "marks", "word", "near", "equal", "similar"]
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict:
     """Log potentials, from at most about ``max_docs`` documents drawn by a hash of their id."""
     total = docs.count()
@@ -205,27 +243,33 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict:
             for kind, e in enumerate(edges_of(us, y)):
                 ties[e[:, 1], kind] = y[e[:, 0]]
             c.update(
-                (bool(held), unary_key(t, a, b), word_before(t, a), *ties[i].tolist(), v)
+                (bool(held), *look(t[a:b]), word_before(t, a), *ties[i].tolist(), v)
                 for i, ((a, b, key), v) in enumerate(zip(us, y.tolist(), strict=True)) if v or key not in named
             )
-        return pd.DataFrame([(*k, v) for k, v in c.items()], columns=["held", "look", "word", "near", "equal", "similar", "label", "n"])
-
-    # Looks are a few dozen, words WORDS and labels six, so cases are far fewer than units.
-    cases = mapped(part, run, "held boolean, look string, word int, near int, equal int, similar int, label int, n long").groupBy("held", "look", "word", "near", "equal", "similar", "label").agg(F.sum("n").alias("n")).toPandas()
+            for (a, b, _), v in zip(us, y.tolist(), strict=True):
+                for other, equal in rewritten(t[a:b], v - 1) if v else ():
+                    tied = (none, v, none) if equal else (none, none, v)
+                    c[(bool(held), *look(other), 0, *tied, v)] += 1
+                    c[(bool(held), *look(other), 0, none, none, none, 0)] += 1
+        return pd.DataFrame([(*k, v) for k, v in c.items()], columns=["held", *CASE, "label", "n"])
+
+    # Digits are twenty, marks eight, words WORDS and labels six, so cases are far fewer than units.
+    kinds = "digits string, marks string, word int, near int, equal int, similar int, label int"
+    cases = mapped(part, run, f"held boolean, {kinds}, n long").groupBy("held", *CASE, "label").agg(F.sum("n").alias("n")).toPandas()
     return trained(cases)
 
 
 def trained(cases: pd.DataFrame) -> dict:
-    """Weights from counted cases: of looks, words, and three symmetric tables of two labels each."""
+    """Weights from counted cases: of digits, marks, words, and three symmetric tables of two labels each; and the least belief (``sure``)."""
     k = len(LABELS)
-    looks = {q: i for i, q in enumerate(sorted(set(cases["look"])))}
-    sizes = [len(looks), WORDS, k + 1, k + 1, k + 1]
+    parts = [{q: i for i, q in enumerate(sorted(set(cases[c])))} for c in CASE[:2]]
+    sizes = [len(parts[0]), len(parts[1]), WORDS, k + 1, k + 1, k + 1]
     at = np.cumsum([0, *sizes])
-    cols = [cases["look"].map(looks).to_numpy(np.int64), *(cases[c].to_numpy(np.int64) for c in ("word", "near", "equal", "similar"))]
-    x = np.stack([c + a for c, a in zip(cols, at, strict=False)], axis=1) if len(cases) else np.zeros((0, 5), np.int64)
+    cols = [*(cases[c].map(q).to_numpy(np.int64) for c, q in zip(CASE, parts, strict=False)), *(cases[c].to_numpy(np.int64) for c in CASE[2:])]
+    x = np.stack([c + a for c, a in zip(cols, at, strict=False)], axis=1) if len(cases) else np.zeros((0, 6), np.int64)
     held, label, n = cases["held"].to_numpy(bool), cases["label"].to_numpy(np.int64), cases["n"].to_numpy(float)
     # No word before, and no unit tied, say nothing.
-    still = [int(at[1]), *(int(at[i] + k) for i in (2, 3, 4))]
+    still = [int(at[2]), *(int(at[i] + k) for i in (3, 4, 5))]
 
     def log_p(w, rows):
         z = w[x[rows]].sum(axis=1)
@@ -237,7 +281,7 @@ def trained(cases: pd.DataFrame) -> dict:
         for step in range(1, 301):  # Adam on the mean loss
             err = (np.exp(log_p(w, rows)) - goal) * n[rows, None]
             g = np.zeros_like(w)
-            for c in range(5):
+            for c in range(6):
                 np.add.at(g, x[rows, c], err)
             g = g / max(1.0, n[rows].sum()) + penalty * w / max(1.0, n[rows].sum())
             g[still] = 0
@@ -247,12 +291,20 @@ def trained(cases: pd.DataFrame) -> dict:
 
     every = np.arange(len(x))
     loss = lambda w: -(log_p(w, every[held])[np.arange(held.sum()), label[held]] * n[held]).sum()
-    penalty = min(PENALTIES, key=lambda p: loss(descend(every[~held], p))) if held.any() and (~held).any() else 1.0
+    penalty, sure = 1.0, BELIEFS[-1]
+    if held.any() and (~held).any():
+        tried = {p: descend(every[~held], p) for p in PENALTIES}
+        penalty = min(PENALTIES, key=lambda p: loss(tried[p]))
+        p = np.exp(log_p(tried[penalty], every[held]))
+        best, right = p.argmax(axis=1), p.argmax(axis=1) == label[held]
+        for sure in BELIEFS:
+            would = (best > 0) & (p.max(axis=1) >= sure)
+            if would.any() and (n[held] * right)[would].sum() >= PRECISION * n[held][would].sum():
+                break
     w = descend(every, penalty) if len(x) else np.zeros((int(at[-1]), k))
     table = lambda i: (w[at[i] : at[i] + k] + w[at[i] : at[i] + k].T) / 2
-    # Before any example equal units agree: a prior worth one such pair of each label.
-    equal = table(3) + np.eye(k) * EQUAL
-    return {"look": {q: w[i] for q, i in looks.items()}, "word": w[at[1] : at[2]], "near": table(2), "equal": equal, "similar": table(4), "penalty": penalty}
+    digits, marks = ({q: w[at[i] + j] for q, j in parts[i].items()} for i in (0, 1))
+    return {"digits": digits, "marks": marks, "word": w[at[2] : at[3]], "near": table(3), "equal": table(4), "similar": table(5), "penalty": penalty, "sure": sure}
 
 
 def propagate(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, rounds: int = ROUNDS, kind: np.ndarray | None = None) -> np.ndarray:
@@ -293,9 +345,10 @@ def added_spans(text: str, spans, model: dict) -> list[tuple[int, int, int]]:
     y = unit_labels(us, spans)
     if (y > 0).all():
         return []
-    flat = np.zeros(len(LABELS))
-    flat[1:] = -4.0  # a look that no sample had
-    u = np.stack([model["look"].get(unary_key(text, a, b), flat) + model["word"][word_before(text, a)] for a, b, _ in us])
+    looks = [look(text[a:b]) for a, b, _ in us]
+    # A part that no sample had says what the others say on the average.
+    mean = {k: np.mean([v for q, v in model[k].items() if "@" not in q] or [np.zeros(len(LABELS))], axis=0) for k in ("digits", "marks")}
+    u = np.stack([model["digits"].get(d, mean["digits"]) + model["marks"].get(m, mean["marks"]) + model["word"][word_before(text, a)] for (d, m), (a, _, _) in zip(looks, us, strict=True)])
     fixed = y > 0
     u[fixed] = -1e9  # no number of copies talks a base span out of its label
     u[fixed, y[fixed]] = 0.0
@@ -303,7 +356,7 @@ def added_spans(text: str, spans, model: dict) -> list[tuple[int, int, int]]:
     kind = np.repeat([0, 1, 2], [len(e) for e in every])
     p = propagate(u, np.concatenate(every), np.stack([model["near"], model["equal"], model["similar"]]), kind=kind)
     best = p.argmax(axis=1).tolist()
-    return [(us[i][0], k - 1, us[i][1]) for i, k in enumerate(best) if y[i] == 0 and k and p[i, k] >= SURE]
+    return [(us[i][0], k - 1, us[i][1]) for i, k in enumerate(best) if y[i] == 0 and k and p[i, k] >= model["sure"]]
 
 
 def joined(spans) -> str:

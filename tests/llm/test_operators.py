@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -356,6 +357,36 @@ def test_pii_field_spans_a_long_document(spark, copies):
     assert [text[a:b] for a, _, b in more] == ["15550104321"] * copies
 
 
+@pytest.fixture(scope="module")
+def table_model(spark, sf):
+    return pii.fit(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+
+
+def test_pii_field_of_the_table_adds_other_writings(table_model):
+    """Trained on the documents: a number without its marks and its last seven digits are added, and so is an address of the same name; what is not tied stays, and without edges nothing is added."""
+    bare = table_model | {k: np.zeros_like(table_model[k]) for k in ("equal", "similar")}
+    for text, want in (
+        ("Call +1 (555) 010-4321 now. Then " + "so on " * 20 + "Again: 15550104321 is it", ["15550104321"]),
+        ("Call +1 (555) 010-4321 now, or later just 010-4321 and 010-9999", ["010-4321"]),
+        ("card 4111 1111 1111 1111 or 4111.1111.1111.1111, not 4222.1111.1111.1113", ["4111.1111.1111.1111"]),
+        ("mail john.doe@example.org or john.doe@localhost, not jane.roe@localhost", ["john.doe@localhost"]),
+        ("in 1234567 of 15550104321 cases, 20 000 000", []),
+    ):
+        base = pii.base_spans(text)
+        assert [text[a:b] for a, _, b in pii.added_spans(text, base, table_model)] == want
+        assert pii.added_spans(text, base, bare) == []
+
+
+def test_pii_units_of_any_length():
+    long = "a" * 5000 + "@" + "b" * 5000
+    text = f"{long} and x {long}. 12345678@c or 12345678"
+    assert [text[a:b] for a, b, _ in pii.units(text)] == [long, long + ".", "12345678@c", "12345678"]
+    assert pii.units(text)[0][2] == pii.units(text)[1][2]
+    began = time.process_time()
+    pii.units("a" * 300_000 + "1 " * 100_000)
+    assert time.process_time() - began < 5
+
+
 def test_messages_match_enumeration():
     rng = np.random.default_rng(0)
     u, edges = rng.normal(size=(4, 3)), np.array([(0, 1), (1, 2), (1, 3)])  # a tree, where message passing is exact
