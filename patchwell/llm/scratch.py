@@ -84,14 +84,15 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def dealt_in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+def dealt_in_order(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
     """Rows dealt by ranges of ``order`` and sorted in each task, so tasks follow each other in that order.
 
     Rows that are equal in ``order`` may lie in several tasks: the place in the
-    input breaks ties, as one key may hold a third of all rows.
+    input breaks ties, as one key may hold a third of all rows. ``parts``: as many
+    ranges as the session's shuffle partitions, unless given.
     """
     keys = [*order, F.col("_place")]
-    return df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_place")
+    return df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys).drop("_place")
 
 
 def crc(col: str):

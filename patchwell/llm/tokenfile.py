@@ -8,7 +8,9 @@ of both; the closer the context, the more its counts weigh. An order-0 id follow
 by its place in the table, under adaptive counts of places, and a new id by how
 many bits it has, under adaptive counts, and those bits. Everything goes through
 one range coder with 32-bit range and 16-bit digits, whose carries are added to
-the digits when the block is done. Shares are renewed from the counts every
+the digits when the block is done. How much each of the four counts weighs is the
+block's own: of a few mixes the one that would have coded its ids best so far, judged
+anew whenever their number has doubled. Shares are renewed from the counts every
 ``RENEW`` ids, and sooner in the beginning.
 
 Every block of ``BLOCK`` ids starts from nothing and has its own checksums, so
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import new_path, release, small_batches, split_batches, store
+from .scratch import dealt_in_order, new_path, small_batches, split_batches, store, tidy
 from .tokens import encoder
 
 BLOCK = 2048
@@ -43,6 +45,8 @@ _HEAD = "<4sQQQBI"
 #: Bits of a distribution's total, of a context table and of the order-0 table.
 _TOTAL, _KEYS, _SLOTS = 12, 10, 8
 RENEW = 64
+#: Characters of a file's texts, and words that a worker keeps from task to task (some 250 bytes each).
+FILE_CHARS, WORDS = 16_000_000, 600_000
 #: How well a context has done, after a miss (first four) or a hit: 0 to 3.
 _NEXT = np.array([0, 0, 1, 1, 1, 2, 3, 3])
 
@@ -69,6 +73,16 @@ def _shares(counts: np.ndarray, symbols: int) -> np.ndarray:
     return begin | size.astype(np.uint32) << 16
 
 
+#: Weights of the four counts of a case that a block may mix: of both states, of order 1's, of order 2's, and of all.
+MIXES = np.array([[16, 4, 4, 1], [64, 4, 4, 1], [4, 16, 4, 1], [4, 4, 16, 1], [2, 2, 2, 4]], np.int32)
+
+
+def _cost(share: np.ndarray) -> np.ndarray:
+    """Bits that a symbol of this share costs, in 4096ths: by exponent and a straight line between, from exact operations alone, so that every machine tells the same."""
+    part, exponent = np.frexp(share)
+    return ((2.0 - exponent - 2.0 * part) * 4096).astype(np.int64)
+
+
 class Lanes:
     """The model's state for ``n`` blocks, flat by block. A table's entry is its id times 4, plus how well it has done."""
 
@@ -86,15 +100,31 @@ class Lanes:
         self.places, self.sizes, self.most = np.zeros((n, 1 << _SLOTS), np.int32), np.zeros((n, 64), np.int32), bits + 1
         self.h = self.g = np.zeros(n, kind)
         self.t = self.renewed = 0
+        #: By block, the mix that would have cost least so far, and what each would have.
+        self.weights, self.costs, self.judged = np.repeat(MIXES[:1], n, axis=0), np.zeros((n, len(MIXES)), np.int64), np.zeros(n << 6, np.int64)
+
+    def _mixed(self, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        c = counts.astype(np.int32).reshape(self.n, 4, 4, 4)
+        by_two = c.sum(axis=2, keepdims=True, dtype=np.int32)
+        by_one = c.sum(axis=1, keepdims=True, dtype=np.int32)
+        w = weights.T[:, :, None, None, None]
+        return w[0] * c + w[1] * by_one + w[2] * by_two + w[3] * (by_one.sum(axis=2, keepdims=True, dtype=np.int32) + 1)
+
+    def adapt(self) -> None:
+        """Each block takes the mix that would have coded it best: every mix of what was counted up to the last time is held against what came since."""
+        new = (self.counts - self.judged).reshape(self.n, 4, 4, 4)
+        for k, weights in enumerate(MIXES):
+            mixed = self._mixed(self.judged, weights[None, :])
+            self.costs[:, k] += (new * _cost(mixed / mixed.sum(axis=3, keepdims=True, dtype=np.int32))).sum(axis=(1, 2, 3))
+        self.weights, self.judged = MIXES[self.costs.argmin(axis=1)], self.counts.copy()
 
     def renew(self) -> None:
         """Shares of the cases for each pair of states, of places and of numbers of bits."""
         self.counts += np.bincount(self.coded[self.renewed : self.t].ravel(), minlength=self.n << 6)
         self.renewed = self.t
-        c = self.counts.astype(np.int32).reshape(self.n, 4, 4, 4)
-        by_two = c.sum(axis=2, keepdims=True, dtype=np.int32)
-        by_one = c.sum(axis=1, keepdims=True, dtype=np.int32)
-        mixed = 16 * c + 4 * by_one + 4 * by_two + (by_one.sum(axis=2, keepdims=True, dtype=np.int32) + 1)
+        if self.t >= RENEW and self.t & (self.t - 1) == 0:
+            self.adapt()
+        mixed = self._mixed(self.counts, self.weights)
         share = ((1 << _TOTAL) - 64) / mixed.sum(axis=3, keepdims=True, dtype=np.int32)
         size = (mixed * share).astype(np.uint32) + np.uint32(16)
         begin = np.zeros_like(size)
@@ -316,11 +346,17 @@ def read_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return names, ids, sizes
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, parts: int, end_id: int = END_ID) -> None:
-    """Files of ids in ascending doc_id (null first); each text ends in ``end_id``."""
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, words: int = WORDS) -> None:
+    """Files of ids in ascending doc_id (null first); each text ends in ``end_id``.
+
+    There are as many files as the texts' characters ask for, so a file stays far
+    below what one row can hold; rows of one id may lie in several.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).head()[0] or 0
+    parts = max(1, -(-chars // FILE_CHARS))
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, words)
         names, parts, sizes, total = [], [], [], 0
         for pdf in split_batches(batches):
             names += [None if x is None else int(x) for x in pdf["doc_id"]]
@@ -334,9 +370,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, parts: int, end_id: int =
                 names, parts, sizes, total = [], [], [], 0
         if names:
             yield pd.DataFrame({"value": [write_segment(names, np.concatenate(parts), np.array(sizes))]})
-        release()
+        tidy()
 
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    rows = dealt_in_order(docs.select("doc_id", "text"), [F.col("doc_id").asc_nulls_first()], parts)
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     # Bytes as they are; Spark's writer commits a file only as a whole.
     rows.mapInPandas(run, "value binary").select(F.col("value").cast("string")).write.text(path)
@@ -371,5 +407,5 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     path = new_path(spark, "tokens")
-    write(docs, path, tokenizer, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write(docs, path, tokenizer)
     return read(spark, path)

@@ -46,13 +46,13 @@ class _Words(dict):
 class Encoder:
     """Ids of texts by one tokenizer file. ``lowered``: its words are lower-cased and lose white space."""
 
-    LIMIT = 250_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        #: Words that are kept, some 250 bytes each.
+        self.limit = limit
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.model = self.tok.model
@@ -108,10 +108,10 @@ class Encoder:
 
     def encode_marked(self, texts) -> list[np.ndarray]:
         """Ids of each text (null: none), sentence ends with ``MARK`` set."""
-        if len(self.words) + len(self.spaced) > self.LIMIT:
+        if len(self.words) + len(self.spaced) > self.limit:
             self.words.clear()
             self.spaced.clear()
-        if len(self.pieces) > self.LIMIT // 2:
+        if len(self.pieces) > self.limit // 2:
             self.pieces.clear()
         out = []
         for t in texts:
@@ -130,6 +130,6 @@ class Encoder:
         return [x & ~MARK for x in self.encode_marked(texts)]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's own encoder of a file, until a task releases it: its words take some 100 MB."""
-    return owned(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, limit: int = 250_000) -> Encoder:
+    """The worker's own encoder of a file, until a task releases it or another operator keeps something."""
+    return owned(("encoder", path, limit), lambda: Encoder(path, limit))
