@@ -15,16 +15,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through ARC and WARC files and back, a row each. A null page is empty; repeated rows each stay; a null id is the smallest; no rows give no rows."""
     return warc.round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a benchmark window. Null and empty texts have no words and are clean; repeated rows each stay; without items all are clean."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document. Null and empty texts are scored by their statistics, which are zeros; rows without a usable label teach nothing."""
     measured = quality.measure(_read(spark, sf_dir, "documents"))
     held = F.pmod(crc("doc_id"), F.lit(5)) == 0
     model = quality.fit(measured, _read(spark, sf_dir, "labels").filter(~held))
@@ -32,14 +35,17 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes. Null and empty texts have no shingles and are alone; repeated rows each stay."""
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences. Null and empty texts are their end id; repeated rows are documents of their own."""
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), words=1_000_000)
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of each document. Null and empty texts are one end token; repeated rows each count."""
     docs = _read(spark, sf_dir, "documents")
     held = F.pmod(crc("doc_id"), F.lit(5)) == 1
     out, model = language_model.score(docs, ~held)
@@ -47,10 +53,12 @@ def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token files and back, in order of ids (nulls first). Null and empty texts are their end id; repeated rows each stay."""
     return tokenfile.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole texts. Null texts and texts without a letter are und; rows without a language teach nothing."""
     docs = _read(spark, sf_dir, "documents")
     held = F.pmod(crc("doc_id"), F.lit(4)) == 2
     model = language_id.fit(docs.filter(~held).select("doc_id", "text", "lang"))
@@ -58,10 +66,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every hundredth vector. Null, zero and non-finite vectors take no part; ties go to the smaller id."""
     return vectors.search(_read(spark, sf_dir, "embeddings"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in whole texts. Null and empty texts have none; repeated rows each stay."""
     out = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
