@@ -17,8 +17,8 @@ def outlines(masks: DataFrame) -> DataFrame:
     """Outlines of each mask slice (``case_id, z, height, width, px``): blur, edges, borders.
 
     ``contour`` counts from 0 in scan order and ``parent`` is the one around it
-    (-1: none), holes having outlines of their own; ``biggest`` marks the one of
-    the largest area; ``x, y, w, h`` is the rectangle around its simplified polygon.
+    (-1: none), holes having outlines of their own (``hole``); ``biggest`` marks the
+    one of the largest area; ``x, y, w, h`` is the rectangle around its simplified polygon.
     """
 
     def run(batches):
@@ -30,11 +30,27 @@ def outlines(masks: DataFrame) -> DataFrame:
                     continue
                 found = [p + (dx, dy) for p in found]
                 top = kernels.biggest(found)
-                rows = [(case, z, i, parent[i], len(p), kernels.area(p), i == top, *kernels.rect(kernels.simplified(p)), p.ravel().tolist()) for i, p in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["case_id", "z", "contour", "parent", "n_points", "area", "biggest", "x", "y", "w", "h", "points"])
+                hole: list[bool] = []
+                for up in parent:  # parents come first: what lies in a part is a hole, what lies in a hole is a part
+                    hole.append(up >= 0 and not hole[up])
+                rows = [(case, z, i, parent[i], hole[i], len(p), kernels.area(p), i == top, *kernels.rect(kernels.simplified(p)), p.ravel().tolist()) for i, p in enumerate(found)]
+                yield pd.DataFrame(rows, columns=["case_id", "z", "contour", "parent", "hole", "n_points", "area", "biggest", "x", "y", "w", "h", "points"])
 
     cols = masks.select("case_id", "z", "height", "width", "px")
-    return cols.mapInPandas(run, "case_id string, z int, contour int, parent int, n_points int, area double, biggest boolean, x int, y int, w int, h int, points array<int>")
+    return cols.mapInPandas(run, "case_id string, z int, contour int, parent int, hole boolean, n_points int, area double, biggest boolean, x int, y int, w int, h int, points array<int>")
+
+
+def edge_pixels(masks: DataFrame) -> DataFrame:
+    """Edge pixels of each mask slice (``case_id, z, height, width, px``)."""
+
+    def run(batches):
+        for pdf in batches:
+            for case, z, h, w, px in zip(*(pdf[c] for c in ("case_id", "z", "height", "width", "px")), strict=True):
+                drawn, dy, dx = kernels.mask_edges(np.asarray(px, float).astype(int).reshape(h, w))
+                y, x = np.nonzero(drawn)
+                yield pd.DataFrame({"case_id": case, "z": z, "y": y + dy, "x": x + dx})
+
+    return masks.select("case_id", "z", "height", "width", "px").mapInPandas(run, "case_id string, z int, y int, x int")
 
 
 def components(masks: DataFrame) -> DataFrame:

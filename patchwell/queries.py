@@ -377,6 +377,43 @@ def mask_components(spark, sf_dir):
     return outline.components(raster.mask_slices(spark, sf_dir).withColumn("px", F.zip_with("gland", "lesion", lambda g, t: (g != t).cast("int")))).drop("case_id")
 
 
+#: Edges of the pixels that are gland or lesion and not both, pixel by pixel: blur, Sobel, the steeper of neighbours, growth from strong ones.
+EDGES = """, m AS (SELECT z, y, x, CASE WHEN (gland = 1) <> (lesion = 1) THEN 255 ELSE 0 END AS u FROM vox),
+near AS (SELECT dy, dx FROM (SELECT unnest([-1,0,1]) AS dy), (SELECT unnest([-1,0,1]) AS dx)),
+beside AS (SELECT z, y, x, dy, dx, CASE WHEN y+dy < 0 THEN 1 WHEN y+dy > 49 THEN 48 ELSE y+dy END AS my, CASE WHEN x+dx < 0 THEN 1 WHEN x+dx > 63 THEN 62 ELSE x+dx END AS mx, least(greatest(y+dy, 0), 49) AS cy, least(greatest(x+dx, 0), 63) AS cx FROM m, near),
+blur AS (SELECT o.z, o.y, o.x, CAST(round_even(sum(n.u)/9, 0) AS INT) AS b FROM beside o JOIN m n ON n.z = o.z AND n.y = o.my AND n.x = o.mx GROUP BY ALL),
+slope AS (SELECT o.z, o.y, o.x, sum(n.b*dx*(2-abs(dy))) AS gx, sum(n.b*dy*(2-abs(dx))) AS gy FROM beside o JOIN blur n ON n.z = o.z AND n.y = o.cy AND n.x = o.cx GROUP BY ALL),
+steep AS MATERIALIZED (SELECT *, abs(gx)+abs(gy) AS mag, CASE WHEN abs(gy) <= abs(gx)*tan(pi()/8) THEN 0 WHEN abs(gy) >= abs(gx)*tan(3*pi()/8) THEN 1 ELSE 2 END AS kind FROM slope),
+along AS MATERIALIZED (SELECT *, CASE kind WHEN 0 THEN 0 ELSE 1 END AS oy, CASE WHEN kind = 1 THEN 0 WHEN kind = 0 OR gx*gy >= 0 THEN 1 ELSE -1 END AS ox FROM steep),
+weak AS MATERIALIZED (SELECT a.z, a.y, a.x, a.mag FROM along a LEFT JOIN steep p ON p.z=a.z AND p.y=a.y-oy AND p.x=a.x-ox LEFT JOIN steep q ON q.z=a.z AND q.y=a.y+oy AND q.x=a.x+ox
+  WHERE a.mag > 100 AND a.mag > coalesce(p.mag, 0) AND (a.mag > coalesce(q.mag, 0) OR (a.kind < 2 AND a.mag = coalesce(q.mag, 0)))),
+edge AS (SELECT z, y, x FROM weak WHERE mag > 200 UNION SELECT w.z, w.y, w.x FROM (SELECT z, y+dy AS y, x+dx AS x FROM edge, near) e JOIN weak w ON w.z=e.z AND w.y=e.y AND w.x=e.x) """
+
+
+def _part(spark, sf_dir):
+    """Slices of what is gland or lesion and not both."""
+    return raster.mask_slices(spark, sf_dir).withColumn("px", F.zip_with("gland", "lesion", lambda g, t: (g != t).cast("int")))
+
+
+@query(EDGES + "SELECT z, y, x FROM edge")
+def mask_edges(spark, sf_dir):
+    """Edge pixels of each slice, which outlines are followed on."""
+    return outline.edge_pixels(_part(spark, sf_dir)).drop("case_id")
+
+
+@query(EDGES + """, part AS (SELECT m.z, m.y, m.x, CASE WHEN e.z IS NULL THEN 0 ELSE 1 END AS on_ FROM m LEFT JOIN edge e USING (z, y, x)),
+ring AS (SELECT z, y, x, on_ FROM part UNION ALL SELECT z, -1, x, 0 FROM (SELECT DISTINCT z FROM m), (SELECT unnest(range(-1, 65)) AS x) UNION ALL SELECT z, y, -1, 0 FROM (SELECT DISTINCT z, y FROM m)),
+stretch AS (SELECT z, y, on_, x, x - row_number() OVER (PARTITION BY z, y, on_ ORDER BY x) AS g FROM ring), run AS (SELECT z, on_, y, min(x) AS a, max(x) AS b, row_number() OVER (PARTITION BY z, on_ ORDER BY y, min(x)) AS r FROM stretch GROUP BY z, on_, y, g),
+touch AS (SELECT p.z, p.on_, p.r AS u, q.r AS v FROM run p JOIN run q ON p.z=q.z AND p.on_=q.on_ AND q.y=p.y+1 AND q.a<=p.b+p.on_ AND p.a<=q.b+p.on_), way AS (SELECT * FROM touch UNION ALL SELECT z, on_, v, u FROM touch),
+reach AS (SELECT z, on_, r AS s, r AS t FROM run UNION SELECT c.z, c.on_, c.s, w.v FROM reach c JOIN way w ON w.z=c.z AND w.on_=c.on_ AND w.u=c.t), name AS (SELECT z, on_, s, min(t) AS c FROM reach GROUP BY ALL),
+parts AS (SELECT run.z, run.on_, c, min(y) AS y_min, max(y) AS y_max, min(a) AS x_min, max(b) AS x_max FROM run JOIN name ON run.z=name.z AND run.on_=name.on_ AND run.r=name.s GROUP BY run.z, run.on_, c)
+SELECT z, on_ = 0 AS hole, y_min - (1 - on_) AS y_min, y_max + (1 - on_) AS y_max, x_min - (1 - on_) AS x_min, x_max + (1 - on_) AS x_max FROM parts WHERE on_ = 1 OR y_min > 0 AND x_min > 0 AND y_max < 49 AND x_max < 63""")
+def outline_extents(spark, sf_dir):
+    """Every outline on the edges, around parts and around their holes, with its reach: a part's own, and one pixel around a hole."""
+    got = outline.outlines(_part(spark, sf_dir)).withColumns({"xs": F.filter("points", lambda v, i: i % 2 == 0), "ys": F.filter("points", lambda v, i: i % 2 == 1)})
+    return got.select("z", "hole", F.array_min("ys").alias("y_min"), F.array_max("ys").alias("y_max"), F.array_min("xs").alias("x_min"), F.array_max("xs").alias("x_max"))
+
+
 @query("SELECT 'tiles/' || t.z || '_' || ordinal || '.npy' AS file, 2176::BIGINT AS bytes FROM tile t SEMI JOIN chosen USING (z) WHERE t.height=16 AND t.width=16")
 def crop_files(spark, sf_dir):
     """Tiles as array files (128 bytes of header and 256 numbers each), through the sink; what its table of files says."""
@@ -532,6 +569,27 @@ def bspline_resample(spark, sf_dir):
     return out.select("z", "height", "width", F.transform("px", lambda v: F.round(v, 9)).alias("px"))
 
 
+def _spline_sql(source: str, name: str, other: str, axis: str, n: int, size: int) -> str:
+    """CTEs that resample a table (``z, y, x, v``) by cubic splines along an axis of ``n`` pixels at steps of 1.6: the recursion forward and back, and four weights a place."""
+    root = "(sqrt(3.0::DOUBLE)-2)"
+    return f""", {name}_first AS (SELECT a.z, a.{other}, 0 AS i, 6*(any_value(a.v) + sum(pow({root}, k)*b.v)) AS c FROM {source} a,
+  (SELECT k, CASE WHEN k % {2 * n - 2} < {n} THEN k % {2 * n - 2} ELSE {2 * n - 2} - k % {2 * n - 2} END AS at FROM (SELECT unnest(range(1, 40)) AS k)) m JOIN {source} b ON b.z=a.z AND b.{other}=a.{other} AND b.{axis}=m.at WHERE a.{axis}=0 GROUP BY a.z, a.{other}),
+{name}_on AS (SELECT * FROM {name}_first UNION ALL SELECT f.z, f.{other}, f.i+1, 6*s.v + {root}*f.c FROM {name}_on f JOIN {source} s ON s.z=f.z AND s.{other}=f.{other} AND s.{axis}=f.i+1),
+{name}_back AS (SELECT a.z, a.{other}, a.i, {root}/({root}*{root}-1)*(a.c + {root}*b.c) AS c FROM {name}_on a JOIN {name}_on b ON b.z=a.z AND b.{other}=a.{other} AND a.i={n - 1} AND b.i={n - 2}
+  UNION ALL SELECT g.z, g.{other}, f.i, {root}*(g.c - f.c) FROM {name}_back g JOIN {name}_on f ON f.z=g.z AND f.{other}=g.{other} AND f.i=g.i-1),
+{name}_at AS (SELECT o, k, p - floor(p) AS t, abs(CAST(floor(p) AS INT) + k - 1) AS raw FROM (SELECT o, o*1.6::DOUBLE AS p FROM (SELECT unnest(range({size})) AS o)), (SELECT unnest(range(4)) AS k)),
+{name}_take AS (SELECT o, CASE WHEN raw > {n - 1} THEN {2 * n - 2} - raw ELSE raw END AS i, CASE k WHEN 0 THEN pow(1-t, 3)/6 WHEN 1 THEN (3*pow(t, 3)-6*t*t+4)/6 WHEN 2 THEN (-3*pow(t, 3)+3*t*t+3*t+1)/6 ELSE pow(t, 3)/6 END AS w FROM {name}_at),
+{name} AS (SELECT c.z, c.{other}, CAST(o AS INT) AS {axis}, sum(w*c) AS v FROM {name}_take JOIN {name}_back c USING (i) GROUP BY ALL)"""
+
+
+@query(", plain AS (SELECT z, y, x, v FROM vox)" + _spline_sql("plain", "tall", "x", "y", 50, 31) + _spline_sql("tall", "wide_", "y", "x", 64, 40) + " SELECT z, y, x, round(v, 6) AS v FROM wide_")
+def bspline_pixels(spark, sf_dir):
+    """Slices resampled by cubic splines, pixel by pixel."""
+    out = outline.spline(raster.slices(spark, sf_dir).withColumn("spacing", F.array(F.lit(1.0), F.lit(1.0), F.lit(3.0))), 1.6)
+    long = out.select("z", "width", F.posexplode("px").alias("i", "v"))
+    return long.select("z", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), F.round("v", 6).alias("v"))
+
+
 @query()
 def png_encode(spark, sf_dir):
     out = patches.crop(raster.mask_slices(spark, sf_dir), raster.slices(spark, sf_dir), NEG)
