@@ -79,13 +79,40 @@ def components(masks: DataFrame) -> DataFrame:
     return cols.mapInPandas(run, "case_id string, z int, filled boolean, component long, area long, y_min int, y_max int, x_min int, x_max int")
 
 
-def shapes(slices: DataFrame, params: Params) -> DataFrame:
+def at_spacing(slices: DataFrame, params: Params) -> DataFrame:
+    """Mask slices at the spacing that is asked for, by the nearest pixel: ``gland`` and ``lesion`` (zeros where there is none) as arrays of labels.
+
+    Each mask comes with its own ``height, width, spacing, src_dtype`` (of lesions
+    with ``l_`` before them), so both are read, joined within their buckets, and
+    resampled in one pass.
+    """
+    both = "lesion" in slices.columns
+    own = [c for c in slices.columns if c in (*SLICE, "block", "n_slices")]
+    target = params.pixel_spacing
+
+    def run(batches):
+        for pdf in batches:
+            out = {"height": [], "width": [], "gland": [], "lesion": []}
+            for r in pdf.to_dict("records"):
+                make = lambda px, p: kernels.nearest_resampled(np.asarray(px, float).reshape(r[p + "height"], r[p + "width"]), (r[p + "spacing"][1], r[p + "spacing"][0]), target, params.fill_of(r[p + "src_dtype"])).astype(np.int32)  # noqa: E731, B023
+                gland = make(r["gland"], "")
+                lesion = make(r["lesion"], "l_") if both else np.zeros_like(gland)
+                for k, v in (("height", gland.shape[0]), ("width", gland.shape[1]), ("gland", gland.ravel()), ("lesion", lesion.ravel())):
+                    out[k].append(v)
+            yield pdf[own].assign(**out)
+
+    schema = ", ".join([f"{c} {slices.schema[c].dataType.simpleString()}" for c in own] + ["height int", "width int", "gland array<int>", "lesion array<int>"])
+    return slices.mapInPandas(run, schema)
+
+
+def shapes(slices: DataFrame, params: Params, arrays: bool = True) -> DataFrame:
     """Mask slices with what windows are placed by.
 
     ``contours`` counts the outlines of the gland's edges (0: none, the rest is
     null); ``y_min`` to ``x_max`` are the extents of the largest outline, ``box_*``
     the rectangle around it simplified; ``g_*`` are the extents of all gland pixels.
-    Slices with a ``slice_reason`` are not followed.
+    Slices with a ``slice_reason`` are not followed. Without ``arrays`` the labels
+    stay behind, where nothing reads them any more.
     """
     names = ["contours", "y_min", "y_max", "x_min", "x_max", "box_x", "box_y", "box_w", "box_h", "g_top", "g_bottom", "g_left", "g_right"]
     binary = params.positive and params.gland_contains_lesion
@@ -103,10 +130,12 @@ def shapes(slices: DataFrame, params: Params) -> DataFrame:
                 else:
                     rows.append((got[0], *got[1], *got[2], y.min(), y.max(), x.min(), x.max()))
             # Nullable numbers, as a slice without an outline has none.
-            yield pd.concat([pdf, pd.DataFrame(rows, columns=names, dtype="Int32")], axis=1)
+            yield pd.concat([pdf[stay], pd.DataFrame(rows, columns=names, dtype="Int32")], axis=1)
 
-    keep = slices.select(*[c for c in slices.columns if c not in names])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + [f"{n} int" for n in names])
+    unread = [] if arrays else ["lesion"]
+    keep = slices.select(*[c for c in slices.columns if c not in (*names, *unread)])
+    stay = [c for c in keep.columns if arrays or c != "gland"]
+    schema = ", ".join([f"`{c}` {keep.schema[c].dataType.simpleString()}" for c in stay] + [f"{n} int" for n in names])
     return keep.mapInPandas(run, schema)
 
 

@@ -22,7 +22,7 @@ from ..sources.stored import stored
 def shaped(slices: DataFrame, params: Params) -> DataFrame:
     """Mask slices with the extents and the rectangle that windows are placed by; without an outline, ``contours`` is 0."""
     if params.geometry == "contour":
-        return outline.shapes(slices, params)
+        return outline.shapes(slices, params, arrays=params.crop_method == "random" or (params.crop_method == "stride" and params.positive))
     out = stacks.box(slices)
     return out.withColumns({
         "contours": F.lit(1), "box_x": F.col("x_min"), "box_y": F.col("y_min"), "box_w": F.col("x_max") - F.col("x_min") + 1, "box_h": F.col("y_max") - F.col("y_min") + 1,

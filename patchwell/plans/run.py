@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.numeric import resized
 from ..operators import crops, outline, stacks
+from ..operators.masks import by_slice
 from ..params import Params
 from ..sources import crop_sink
-from ..sources.slice_store import SliceStore
+from ..sources.slice_store import KEYS, SliceStore
 from ..sources.stored import stored
 from . import patches
 
@@ -38,17 +40,20 @@ def load(spark: SparkSession, params: Params, images_at: dict[str, str], gland:
 
 def masks(store: SliceStore, params: Params) -> DataFrame:
     """Mask slices at the spacing that is asked for. Cases whose two stacks differ in length or size have no slices."""
-    read = lambda role: outline.nearest(store.role(role), params.pixel_spacing, fill=outline.filled(params))
-    g = read("gland")
-    if not params.positive or params.gland_contains_lesion:
-        return stacks.paired(g, None)
-    les = read("lesion")
-    keys = ["case_id", "block", "z", "height", "width"]
-    roles = g.select(*keys, F.lit("gland").alias("role")).unionByName(les.select(*keys, F.lit("lesion").alias("role")))
-    same = stacks.same_stacks(roles).filter("consistent").select("case_id")
-    # By block too, so that this small table comes to the buckets of the slices and not they to it.
-    blocks = store.role("gland").select("case_id", "block").distinct().join(same, "case_id")
-    return stacks.paired(g, les).join(blocks, ["case_id", "block"], "left_semi")
+    header = ["height", "width", "spacing", "src_dtype"]
+    gland = store.role("gland")
+    rows = gland.select(*KEYS, "n_slices", *header, F.col("px").alias("gland"))
+    if params.positive and not params.gland_contains_lesion:
+        lesion = store.role("lesion")
+        at = F.lit(float(params.pixel_spacing))
+        size = [resized(F.col("height"), F.col("spacing")[1], at).alias("height"), resized(F.col("width"), F.col("spacing")[0], at).alias("width")]
+        roles = gland.select("case_id", F.lit("gland").alias("role"), *size).unionByName(lesion.select("case_id", F.lit("lesion").alias("role"), *size))
+        same = stacks.same_stacks(roles).filter("consistent").select("case_id")
+        # By block too, so that this small table comes to the buckets of the slices and not they to it.
+        blocks = gland.select("case_id", "block").distinct().join(same, "case_id")
+        rows = by_slice(rows, lesion.select(*KEYS, *[F.col(c).alias(f"l_{c}") for c in header], F.col("px").alias("lesion")))
+        rows = rows.join(blocks, ["case_id", "block"], "left_semi")
+    return outline.at_spacing(rows, params)
 
 
 def resampler(params: Params):
