@@ -1,6 +1,15 @@
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from patchwell.llm import language_id, pii
+from patchwell.llm.queries import ORACLE_SQL
+from patchwell.llm.scratch import crc
 
 
 def test_stages(spark, sf):
@@ -50,3 +59,34 @@ def test_stages_on_odd_rows(spark, sf, tmp_path):
     for name, f in stage.items():
         got = f(spark, docs.limit(0), f"{tmp_path}/some")
         assert got.count() == 0 and (name == "pack" or got.columns == docs.columns)
+
+
+def test_run_against_plain_steps(spark, sf, tmp_path):
+    """The whole pipeline: after language ID, the documents that SQL keeps of near duplicates and then of benchmark windows, each packed with the ids that its redacted text has."""
+    model = language_id.fit(spark.read.parquet(f"{sf}/documents.parquet").filter(F.pmod(crc("doc_id"), F.lit(4)) != 2).select("doc_id", "text", "lang"))
+    language_id.accepted(spark.read.parquet(f"{sf}/documents.parquet"), model).write.parquet(f"{tmp_path}/told")
+    con = duckdb.connect()
+    con.execute(f"create table documents as select * from '{tmp_path}/told/*.parquet'")
+    con.execute(f"create view benchmark as select * from '{sf}/benchmark.parquet'")
+    con.execute(f"create table classes as {ORACLE_SQL['op4_ngram_join']}")
+    con.execute("delete from documents where doc_id in (select doc_id from classes where n_shingles > 0 and component_id <> doc_id)")
+    con.execute(f"create table marks as {ORACLE_SQL['op2_decontaminate']}")
+    kept = dict(con.execute("select doc_id, text from documents where doc_id in (select doc_id from marks where not contaminated)").fetchall())
+    assert 50 < len(kept) < 200
+    field = pii.fit(spark.createDataFrame(list(kept.items()), "doc_id long, text string"))
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    want = {}
+    for i, text in kept.items():
+        base = pii.base_spans(text)
+        safe = pii.redact_text(text, pii.joined(base + pii.added_spans(text, base, field)))
+        want[i] = [*tok.encode(safe, add_special_tokens=False).ids, 1]
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r["doc_id"] for r in got} == set(kept)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
+        ids = want[r["doc_id"]]
+        assert r["start"] == ends.get(r["doc_id"], 0) and r["doc_tokens"] == len(ids)
+        ends[r["doc_id"]] = r["start"] + r["length"]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : ends[r["doc_id"]]], "<u4").tobytes())
+    assert ends == {i: len(x) for i, x in want.items()}
