@@ -7,12 +7,11 @@ and nothing is shuffled but one small row a slice where a case's slices meet.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import least_area
 from ..params import Params
-from .masks import SLICE
+from .masks import SLICE, ends
 
 
 def tumor(params: Params) -> Column:
@@ -38,22 +37,6 @@ def measured(slices: DataFrame, params: Params) -> DataFrame:
     return out.withColumn("percent", F.try_divide(F.col("overlap_area") * 100.0, F.col("spot_area")))
 
 
-def ends(filled: DataFrame, k: int) -> DataFrame:
-    """Of each case the slices ``lo`` and ``hi`` that ``k`` filled slices (``case_id, z``, each once) lie before and behind; cases of too few have none.
-
-    Tasks keep the ``k + 1`` rows at either end of a case and no others before
-    they are shuffled, however many slices a case has.
-    """
-    if k == 0:
-        return filled.groupBy("case_id").agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
-
-    def side(order: Column, pick, name: str) -> DataFrame:
-        near = filled.select(*SLICE, F.row_number().over(W.partitionBy("case_id").orderBy(order)).alias("place")).filter(F.col("place") <= k + 1)
-        return near.groupBy("case_id").agg(pick("z").alias(name), F.count("*").alias("n")).filter(F.col("n") == k + 1).drop("n")
-
-    return side(F.col("z").asc(), F.max, "lo").join(side(F.col("z").desc(), F.min, "hi"), "case_id").filter("lo <= hi")
-
-
 def in_range(measures: DataFrame, params: Params) -> DataFrame:
     """Slices from one filled slice to another, gaps included: ``exclude_slices`` are left out at either end, unless all are kept.
 
