@@ -12,6 +12,10 @@ from ..sources.stored import stored
 from .masks import SLICE, by_slice
 
 
+#: Pixels of crops that a task holds before it gives them on.
+HELD = 2_000_000
+
+
 def read_windows(windows: DataFrame, slices: DataFrame, size: int) -> DataFrame:
     """Windows (a row each) with their pixels, row by row, from ``slices`` (``case_id, z, modality, height, width, px``)."""
     lists = windows.groupBy(*SLICE).agg(F.collect_list(F.struct("ordinal", "row0", "col0")).alias("windows"))
@@ -38,8 +42,9 @@ def read_lists(lists: DataFrame, slices: DataFrame, size: int, resample=None, ke
     more = "".join(f", `{k}` {flat.schema[k].dataType.simpleString()}" for k in names)
 
     def run(batches):
+        columns = ["case_id", "z", "ordinal", "row0", "col0", "modality", "height", "width", "px", *names]
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for r in pdf.to_dict("records"):
                 img = np.asarray(r["px"], float).reshape(r["height"], r["width"])
                 if resample:
@@ -48,7 +53,11 @@ def read_lists(lists: DataFrame, slices: DataFrame, size: int, resample=None, ke
                     cut = img[_bounds(y, size, img.shape[0]), _bounds(x, size, img.shape[1])]
                     if cut.size:
                         out.append((r["case_id"], r["z"], k, y, x, r["modality"], *cut.shape, cut.ravel(), *(r[k] for k in names)))
-            yield pd.DataFrame(out, columns=["case_id", "z", "ordinal", "row0", "col0", "modality", "height", "width", "px", *names])
+                        held += cut.size
+                        if held >= HELD:  # crops of a batch may be many times its slices
+                            yield pd.DataFrame(out, columns=columns)
+                            out, held = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     return flat.mapInPandas(run, "case_id string, z int, ordinal int, row0 int, col0 int, modality string, height int, width int, px array<double>" + more)
 

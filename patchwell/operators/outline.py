@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,18 +92,22 @@ def at_spacing(slices: DataFrame, params: Params) -> DataFrame:
     target = params.pixel_spacing
 
     def run(batches):
-        for pdf in batches:
-            out = {"height": [], "width": [], "gland": [], "lesion": []}
-            for r in pdf.to_dict("records"):
-                make = lambda px, p: kernels.nearest_resampled(np.asarray(px, float).reshape(r[p + "height"], r[p + "width"]), (r[p + "spacing"][1], r[p + "spacing"][0]), target, params.fill_of(r[p + "src_dtype"])).astype(np.int32)  # noqa: E731, B023
-                gland = make(r["gland"], "")
-                lesion = make(r["lesion"], "l_") if both else np.zeros_like(gland)
-                for k, v in (("height", gland.shape[0]), ("width", gland.shape[1]), ("gland", gland.ravel()), ("lesion", lesion.ravel())):
-                    out[k].append(v)
-            yield pdf[own].assign(**out)
+        for b in batches:
+            heads = b.select([c for c in b.schema.names if c not in ("gland", "lesion")]).to_pylist()
+
+            def made(i, mask, p):
+                r, px = heads[i], b.column(mask)[i].values.to_numpy(zero_copy_only=False)  # noqa: B023
+                img = px.astype(float).reshape(r[p + "height"], r[p + "width"])
+                return kernels.nearest_resampled(img, (r[p + "spacing"][1], r[p + "spacing"][0]), target, params.fill_of(r[p + "src_dtype"])).astype(np.int32)
+
+            gland = [made(i, "gland", "") for i in range(len(heads))]
+            lesion = [made(i, "lesion", "l_") for i in range(len(heads))] if both else [np.zeros_like(g) for g in gland]
+            lists = [pa.ListArray.from_arrays(np.cumsum([0, *(g.size for g in some)], dtype=np.int32), np.concatenate([g.ravel() for g in some] or [np.zeros(0, np.int32)])) for some in (gland, lesion)]
+            sizes = [pa.array([g.shape[k] for g in gland], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *sizes, *lists], names=[*own, "height", "width", "gland", "lesion"])
 
     schema = ", ".join([f"{c} {slices.schema[c].dataType.simpleString()}" for c in own] + ["height int", "width int", "gland array<int>", "lesion array<int>"])
-    return slices.mapInPandas(run, schema)
+    return slices.mapInArrow(run, schema)
 
 
 def shapes(slices: DataFrame, params: Params, arrays: bool = True) -> DataFrame:
