@@ -99,13 +99,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
     rows too; a null doc_id stays null. Other columns are not used. No rows give
     no rows. ``sequence_id`` holds the partition in its upper bits; sequences are
     numbered from 0 below that. ``words`` is how many words a worker keeps from task
-    to task, at some 250 bytes each; with 0 it keeps a quarter million for a task and
-    gives the memory back, where other operators follow.
+    to task, at some 250 bytes each; with 0 it keeps sixty thousand for a task and
+    gives the memory back, where other operators run in the same workers.
     """
     from pyspark import TaskContext
 
     def run(batches):
-        enc, base = encoder(tokenizer, words or 250_000), TaskContext.get().partitionId() << 40
+        enc, base = encoder(tokenizer, words or 60_000), TaskContext.get().partitionId() << 40
         made = 0
         ids = np.zeros(0, np.uint32)  # what is not written yet
         begin, names, offs, sizes = np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
