@@ -23,8 +23,8 @@ KEYS = ("case_id", "block", "z")
 class SliceStore:
     """Slices by ``role`` (a modality, or a mask's name)."""
 
-    def __init__(self, spark: SparkSession, table: str):
-        self.spark, self.table = spark, table
+    def __init__(self, spark: SparkSession, table: str, path: str):
+        self.spark, self.table, self.path = spark, table, path
 
     @classmethod
     def write(cls, spark: SparkSession, paths: dict[str, str], buckets: int | None = None) -> SliceStore:
@@ -37,10 +37,10 @@ class SliceStore:
         every = [df.withColumn("role", F.lit(role)) for role, df in slices.items()]
         spark = every[0].sparkSession
         rows = reduce(DataFrame.unionByName, every).withColumn("block", F.floor(F.col("z") / volumes.BLOCK).cast("int"))
-        table = f"slices_{uuid.uuid4().hex}"
+        table, path = f"slices_{uuid.uuid4().hex}", new_path(spark, "slices")
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.write.partitionBy("role").bucketBy(n, "case_id", "block").sortBy("case_id", "block", "z").option("path", new_path(spark, "slices")).format("parquet").saveAsTable(table)
-        return cls(spark, table)
+        rows.write.partitionBy("role").bucketBy(n, "case_id", "block").sortBy("case_id", "block", "z").option("path", path).format("parquet").saveAsTable(table)
+        return cls(spark, table, path)
 
     def role(self, name: str) -> DataFrame:
         return self.spark.table(self.table).filter(F.col("role") == name).drop("role")
@@ -49,5 +49,7 @@ class SliceStore:
         return self.spark.table(self.table).filter(F.col("role").isin(names)).withColumnRenamed("role", "modality")
 
     def drop(self) -> None:
-        """Forget the table. Its files stay until the shared folder is cleared."""
+        """Forget the table and remove its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -163,6 +163,8 @@ def test_a_store_keeps_blocks_together(spark, volume):
     assert spark.catalog.tableExists(store.table)
     store.drop()
     assert not spark.catalog.tableExists(store.table)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(store.path)
 
 
 def crops_of(spark, n, bad=None):
