@@ -212,6 +212,8 @@ class Cell:
             if side is not None:
                 ok &= side[a] != side[b]
             a, b = a[ok], b[ok]
+            if not len(a):  # all of them are linked by now, or on one side
+                continue
             order = np.argsort(a, kind="stable")
             a, b = a[order], b[order]
             cut = np.flatnonzero(np.diff(a, prepend=-1))

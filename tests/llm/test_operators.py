@@ -123,6 +123,16 @@ def test_cells_hold_every_pair_of_different_components_once(spark, monkeypatch):
     assert want <= set(met) and all(met[p] == 1 for p in want)
 
 
+def test_a_cell_whose_pairs_are_all_ruled_out():
+    """Pairs that the tree leaves over may all be on one side, or linked by the time they come."""
+    one = np.arange(40)
+    cell = lambda: ngram_join.Cell([one, one, one], np.full(3, 40), np.arange(3))
+    assert cell().link(np.zeros(3, int)) == []
+    linked = cell()
+    linked.check(0, np.array([1]))
+    assert linked.link(np.array([0, 1, 0])) == [(0, 1), (1, 2)]
+
+
 def test_packed_sets_come_back():
     for n in (1, 2, 255, 4000, 9000):
         s = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * 2)
