@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, mapped, release, small_batches, split_batches, squeezed, store, tidy, unsqueezed
+from .scratch import drop, mapped, release, single_rows, small_batches, split_batches, squeezed, store, tidy, unsqueezed
 from .words import SPACED, mix, word_hashes
 
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -491,6 +491,8 @@ class Model:
 
         parts = mapped(self.shards, run, "key long, n_tokens long, n_known long, ends long, base_score double, score double", column="a", limit=1)
         whole = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "ends", "base_score", "score")])
+        with single_rows(self.shards.sparkSession):
+            whole = store(whole, "scores")
         each = lambda c: F.col(c) / F.col("ends")  # noqa: E731  every run that held the text has added it once
         return whole.select("key", *[each(c).cast("long").alias(c) for c in ("n_tokens", "n_known")], *[each(c).alias(c) for c in ("base_score", "score")])
 

@@ -6,6 +6,7 @@ executor can read, so a lost executor costs a re-read and never a restart.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -67,6 +68,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+@contextlib.contextmanager
+def single_rows(spark: SparkSession):
+    """For what runs within, an Arrow batch is one row: where rows are many MB each, a batch of those of a whole file would be held twice by the task."""
+    small_batches(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: later uses do not recompute what made it."""
     spark = df.sparkSession

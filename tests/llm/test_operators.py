@@ -525,6 +525,20 @@ def test_katz_is_the_recursion(spark, limits):
         assert sum(brute.p3(a, b, c) for c in brute.c1) + brute.p3(a, b, b"never") == pytest.approx(1.0)
 
 
+def test_katz_scores_take_a_shard_at_a_time(spark, monkeypatch):
+    """Rows of shards are many MB: while they are scored, an Arrow batch holds one, and other steps keep their batches."""
+    key, seen, store = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, language_model.store
+
+    def watched(df, name):
+        seen[name] = spark.conf.get(key)
+        return store(df, name)
+
+    monkeypatch.setattr(language_model, "store", watched)
+    table = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+    assert language_model.score(table, F.lit(True))[0].count() == 2
+    assert seen["scores"] == "1" != seen["ngrams"] and spark.conf.get(key) != "1"
+
+
 def test_katz_of_odd_tables(spark, docs):
     got, model = language_model.score(docs, F.col("doc_id") % 2 == 0)
     assert got.count() == docs.count() and got.filter("score > 0 or score is null or n_tokens < 1").count() == 0
