@@ -96,9 +96,9 @@ def fit_language(words: Counter) -> list[tuple[str, int, np.ndarray, np.ndarray]
         ctx = contexts[n - 1][first]
         if n == ORDER:
             count = np.bincount(inv, weight)
-        else:  # how many different letters (or edges) stand before it
-            wider = np.unique(np.stack([grams[n], grams[n + 1]]), axis=1)
-            count = np.bincount(np.searchsorted(g, wider[0]), minlength=len(g)).astype(float)
+        else:  # how many different letters (or edges) stand before it: each wider n-gram ends with one of these
+            count = np.bincount(inv[wider], minlength=len(g)).astype(float)
+        wider = first
         n1, n2 = (count == 1).sum(), (count == 2).sum()
         d = n1 / (n1 + 2 * n2) if n1 and n1 + 2 * n2 else 0.5
         c, back = np.unique(ctx, return_inverse=True)
