@@ -41,7 +41,7 @@ K = 5
 #: What larger n-gram counts lose, so that every context leaves some mass to backoff.
 ABOVE = 0.1
 #: Tokens that a task holds before it sends them on, and those of a shard.
-RUN, SHARD = 4_000_000, 3_500_000
+RUN, SHARD = 1_500_000, 3_500_000
 #: Words with a number of their own.
 TOP = 3_000_000
 #: A middle word of more training tokens is split.
@@ -111,6 +111,7 @@ def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(to, kind="stable")
             rows = [(int(to[order[a]]), squeezed(np.diff(voc[order[a:b]], prepend=_U(0))), squeezed(n[order[a:b]])) for a, b in _groups(to[order])]
             yield pd.DataFrame(rows, columns=["bucket", "keys", "counts"])
+        tidy()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.cumsum(unsqueezed(b, "uint64"), dtype=np.uint64) for b in pdf["keys"]])
@@ -244,6 +245,7 @@ def lacking(docs: DataFrame, words: Words, shared, table: DataFrame, buckets: in
                     out.append(pd.DataFrame({"bucket": three[0], "kind": 1, "key": pair(voc[three[1]], voc[three[2]]).view(_I), "c": np.bincount(inv.ravel(), weight[text[split]]).astype(_I)}))
             if out:
                 yield pd.concat(out)
+        tidy()
 
     if not rare and not hot:
         return None
