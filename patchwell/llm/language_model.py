@@ -18,9 +18,12 @@ a word never seen. A token's probability is evaluated by that recursion.
 3. *What a shard lacks* is brought to it: the counts of rare words (a small part
    of all tokens), and, as a middle word may hold a third of all tokens, shards
    of words over ``HOT`` are split by ``a`` and get the bigram counts of the whole.
-4. *Scores.* A shard adds up each document's part; parts are summed by document.
+4. *Scores.* A shard adds up each text's part, and a run's parts come together in
+   arrays. What numbered words alone tell (tokens, known ones, their base score)
+   is added up where the run is made.
 
-Equal texts are one document with a weight in each task's run.
+Equal texts are one text with a weight in each task's run. Shards know texts by
+their run and their place in it; a run's keys go with one of its pieces.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ import heapq
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, mapped, release, single_rows, small_batches, split_batches, squeezed, store, tidy, unsqueezed
+from .scratch import drop, release, single_rows, small_batches, split_batches, squeezed, store, tidy, unsqueezed
 from .words import SPACED, mix, word_hashes
 
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -41,11 +45,15 @@ K = 5
 #: What larger n-gram counts lose, so that every context leaves some mass to backoff.
 ABOVE = 0.1
 #: Tokens that a task holds before it sends them on, and those of a shard.
-RUN, SHARD = 4_000_000, 3_500_000
+RUN, SHARD = 1_500_000, 2_000_000
 #: Words with a number of their own.
 TOP = 3_000_000
 #: A middle word of more training tokens is split.
-HOT = 4_000_000
+HOT = 2_000_000
+#: Sums of texts that a task holds before it sends them on.
+SUMS = 1_000_000
+#: Bits of a text's place in its run; the run's number lies above, and has 16 for its place in the task.
+_PLACE = 24
 #: Words whose shards are chosen so that these hold about equally many tokens.
 HEAVY = 4096
 _U = np.uint64
@@ -72,7 +80,10 @@ def runs(batches, size: int):
 
     def flush():
         first = np.cumsum([0, *(len(p) for p in parts)])
-        return np.concatenate(parts), first, np.fromiter(held, _I, len(held)), np.array([held[k][0] for k in held], _I)
+        out = np.concatenate(parts), first, np.fromiter(held, _I, len(held)), np.array([held[k][0] for k in held], _I)
+        held.clear()  # the caller needs the memory
+        parts.clear()
+        return out
 
     for pdf in split_batches(batches):
         new = ~pdf["key"].duplicated() & ~pdf["key"].isin(list(held))
@@ -85,7 +96,7 @@ def runs(batches, size: int):
             held[k][0] += 1
         if total >= size:
             yield flush()
-            held, parts, total = {}, [], 0
+            total = 0
     if held:
         yield flush()
 
@@ -165,12 +176,13 @@ class Words:
         self.keys, self.number = keys, np.empty(len(keys), np.int32)
         order = np.lexsort((keys, -c))
         self.number[order] = np.arange(len(keys), dtype=np.int32)
-        self.count = np.append(c[order], self.docs)
-        self.key_of = np.append(keys[order], BEGIN)
+        count = np.append(c[order], self.docs)
         self.begin = len(keys)
         #: Into how many parts, by number, a middle word is split.
-        self.split = np.maximum(1, -(-2 * self.count // hot)) if hot else np.ones(len(self.count), _I)
-        self.split[self.count < hot] = 1
+        split = np.maximum(1, -(-2 * count // hot)) if hot else np.ones(len(count), _I)
+        split[count < hot] = 1
+        # Every task holds these: no wider than their numbers ask for.
+        self.split, self.count = split.astype(np.min_scalar_type(int(split.max()))), count.astype(np.int32 if count.max() < 1 << 31 else _I)
         self.home = np.zeros(0, np.int32)
 
     def place(self, shards: int) -> None:
@@ -184,12 +196,18 @@ class Words:
             self.home[k] = i
             heapq.heapreplace(load, (have + c, i))
 
+    def key_of(self) -> np.ndarray:
+        """Keys by number."""
+        out = np.full(self.begin + 1, BEGIN, np.uint64)
+        out[self.number] = self.keys
+        return out
+
     def numbers(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of distinct keys, -1 for words without one."""
         if not len(self.keys):
-            return np.where(keys == BEGIN, self.begin, -1).astype(_I)
+            return np.where(keys == BEGIN, self.begin, -1).astype(np.int32)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.number[at], np.where(keys == BEGIN, self.begin, -1)).astype(_I)
+        return np.where(self.keys[at] == keys, self.number[at], np.where(keys == BEGIN, self.begin, -1)).astype(np.int32)
 
     def p(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, discounted(count, self.d1) * self.scale, self.unseen)
@@ -269,23 +287,29 @@ def split_pairs(docs: DataFrame, words: Words, shared) -> DataFrame:
     return pairs.groupBy("b", "key").agg(F.sum("f").alias("f"))
 
 
-def encoded(tok, first, keys, weight, words: Words, buckets: int) -> pd.DataFrame:
-    """A run's tokens by shard: words without a number have places after the numbered ones in the shard's own list."""
+def encoded(tok, first, keys, weight, words: Words, buckets: int, run: int) -> pd.DataFrame:
+    """A run's tokens by shard: words without a number have places after the numbered ones in the shard's own list. One piece has the run's texts: keys, tokens, and what numbered words add to known ones and to the base score."""
     voc, number, a, b, c, text, to = trigrams(tok, first, words, buckets)
+    count = words.count[np.maximum(number, 0)]
+    common = number >= 0
+    known, base_score = (np.bincount(text, x[c], len(keys)) for x in (common & (count > 0), np.where(common, words.floor(count), 0.0)))
+    texts = np.stack([keys, np.diff(first), known.astype(_I), base_score.view(_I)])
     base = words.begin + 1
     order = np.lexsort((number[a], number[b], to))
+    groups = _groups(to[order])
     rows = []
-    for i, j in _groups(to[order]):
+    for k, (i, j) in enumerate(groups):
         at = order[i:j]
         three = np.stack([a[at], b[at], c[at]])
         own = np.unique(three[number[three] < 0])
         ids = np.where(number[three] >= 0, number[three], base + np.searchsorted(own, three)).astype(np.int32)
         docs, of = np.unique(text[at], return_inverse=True)
-        rows.append((int(to[at[0]]), len(at), squeezed(ids[0]), squeezed(ids[1]), squeezed(ids[2]), squeezed(of.astype(np.int32)), squeezed(voc[own]), squeezed(keys[docs]), squeezed(weight[docs])))
-    return pd.DataFrame(rows, columns=["bucket", "n", *_COLUMNS])
+        named = squeezed(texts) if k == run % len(groups) else None
+        rows.append((int(to[at[0]]), len(at), run, squeezed(ids[0]), squeezed(ids[1]), squeezed(ids[2]), squeezed(of.astype(np.int32)), squeezed(voc[own]), squeezed(np.diff(docs, prepend=np.int32(0))), squeezed(weight[docs]), named))
+    return pd.DataFrame(rows, columns=["bucket", "n", "run", *_COLUMNS, "texts"])
 
 
-_COLUMNS = ("a", "b", "c", "text", "own", "keys", "weight")
+_COLUMNS = ("a", "b", "c", "text", "own", "places", "weight")
 _TYPES = ("int32", "int32", "int32", "int32", "uint64", "int64", "int64")
 
 
@@ -296,8 +320,9 @@ class Shard:
         self.base = base
         own = [unsqueezed(x, "uint64") for x in rows["own"]]
         self.own = np.unique(np.concatenate(own))
-        keys = [unsqueezed(x, "int64") for x in rows["keys"]]
-        self.keys, self.weight = np.concatenate(keys), np.concatenate([unsqueezed(x, "int64") for x in rows["weight"]])
+        #: Of each text, its run and its place there.
+        places = [np.cumsum(unsqueezed(x, "int32"), dtype=_I) + (run << _PLACE) for x, run in zip(rows["places"], rows["run"].tolist(), strict=True)]
+        self.places, self.weight = np.concatenate(places), np.concatenate([unsqueezed(x, "int64") for x in rows["weight"]])
         n, at, texts = rows["n"].tolist(), 0, 0
         self.a, self.b, self.c, self.text = (np.empty(sum(n), np.int32) for _ in range(4))
         for i, k in enumerate(n):
@@ -306,7 +331,7 @@ class Shard:
                 x = unsqueezed(rows[name].iloc[i], "int32")
                 getattr(self, name)[at : at + k] = np.where(x < base, x, place[np.maximum(x - base, 0)])
             self.text[at : at + k] = unsqueezed(rows["text"].iloc[i], "int32") + texts
-            at, texts = at + k, texts + len(keys[i])
+            at, texts = at + k, texts + len(places[i])
         self._sort()
 
     def _sort(self) -> None:
@@ -332,8 +357,8 @@ class Shard:
     def stored(cls, row, base: int) -> "Shard":
         s = cls.__new__(cls)
         s.base = base
-        s.a, s.b, s.c, s.text, s.own, s.keys, s.weight = (unsqueezed(getattr(row, k), t) for k, t in zip(_COLUMNS, _TYPES, strict=True))
-        s.b = np.cumsum(s.b, dtype=np.int32)
+        s.a, s.b, s.c, s.text, s.own, s.places, s.weight = (unsqueezed(getattr(row, k), t) for k, t in zip(_COLUMNS, _TYPES, strict=True))
+        s.b, s.places = np.cumsum(s.b, dtype=np.int32), np.cumsum(s.places)
         return s
 
     def count(self, rare: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], words: Words) -> None:
@@ -347,7 +372,7 @@ class Shard:
         self.f3 = np.add.reduceat(self.weight.astype(np.int32)[self.text], at, dtype=np.int32)
         self.ctx = ctx[at]  # of each trigram
         del ctx, new
-        self.word = np.concatenate([words.count, rare])
+        self.word = np.concatenate([words.count, rare.astype(words.count.dtype)])
         tb, tc = self.b[at], self.c[at]
         del at
         key = tb.astype(_I) << 32
@@ -364,7 +389,7 @@ class Shard:
         self.f2 = np.bincount(self.bi, self.f3, len(self.bb)).astype(_I)
         self.split = (self.bb < self.base) & (words.split[np.minimum(self.bb, self.base - 1)] > 1)
         if self.split.any():
-            key_of = np.concatenate([words.key_of, self.own])
+            key_of = np.concatenate([words.key_of(), self.own])
             want = pair(key_of[self.bb[self.split]], key_of[self.bc[self.split]])
             where = np.minimum(np.searchsorted(pairs[0], want), len(pairs[0]) - 1)
             self.f2[self.split] = np.where(pairs[0][where] == want, pairs[1][where], 0)
@@ -392,14 +417,22 @@ class Shard:
         back = np.where(total > 0, np.maximum(1 - freed, 1e-300) / np.maximum(1 - taken, 1e-300), 1.0)
         return np.log10(np.where(seen, q3, back[self.ctx] * p2[self.bi]))
 
-    def sums(self, words: Words, log_p: np.ndarray) -> pd.DataFrame:
-        """Of each text: tokens, known ones, both scores, and how many ends, by which the texts of many runs are told."""
-        count, n = self.word[self.c], len(self.keys)
-        end = int(words.numbers(np.array([END]))[0])
-        end = end if end >= 0 else self.base + int(np.searchsorted(self.own, END)) if END in self.own else -1
-        add = lambda x: np.bincount(self.text, x, n)
-        out = {"key": self.keys, "n_tokens": add(None), "n_known": add(count > 0), "ends": add(self.c == end), "base_score": add(words.floor(count)), "score": add(log_p[self.tri])}
-        return pd.DataFrame(out).astype({"n_tokens": _I, "n_known": _I, "ends": _I})
+    def sums(self, words: Words, log_p: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each text, by its place: known tokens and base score of words without a number, and the score of all."""
+        rare = np.flatnonzero(self.c >= self.base)
+        count, n = self.word[self.c[rare]], len(self.places)
+        known, base_score = (np.bincount(self.text[rare], x, n) for x in (count > 0, words.floor(count)))
+        return self.places, known, base_score, np.bincount(self.text, log_p[self.tri], n)
+
+
+def by_run(sums: list) -> pd.DataFrame:
+    """What shards have added up, a row a run: places, known tokens and both scores."""
+    places, *each = (np.concatenate(x) for x in zip(*sums, strict=True))
+    voc, at = np.unique(places, return_inverse=True)
+    known, base_score, score = (np.bincount(at, x, len(voc)) for x in each)
+    known, place = known.astype(np.int32), (voc & ((1 << _PLACE) - 1)).astype(np.int32)
+    rows = [(int(voc[i]) >> _PLACE, squeezed(np.diff(place[i:j], prepend=np.int32(0))), *(squeezed(x[i:j]) for x in (known, base_score, score))) for i, j in _groups(voc >> _PLACE)]
+    return pd.DataFrame(rows, columns=["run", "places", "known", "base_score", "score"])
 
 
 class Model:
@@ -423,13 +456,14 @@ class Model:
         self.hot: dict[int, float] = {}
 
         def run(batches):
-            for tok, first, keys, weight in runs(batches, RUN):
-                yield encoded(tok, first, keys, weight, shared.value, buckets)
+            task = TaskContext.get().partitionId()
+            for k, (tok, first, keys, weight) in enumerate(runs(batches, RUN)):
+                yield encoded(tok, first, keys, weight, shared.value, buckets, task << 16 | k)
             tidy()
 
         def merge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             release()
-            names = ["bucket", "n", *_COLUMNS, "rare", "pairs", "pair_counts", "n2", "n3"]
+            names = ["bucket", "n", *_COLUMNS, "rare", "pairs", "pair_counts", "n2", "n3", "runs", "texts"]
             if not len(left):
                 return pd.DataFrame(columns=names)
             w = shared.value
@@ -447,12 +481,13 @@ class Model:
             s.count(rare, (key, c), w)
             f2 = s.f2[~s.split]
             n2, n3 = (np.bincount(np.minimum(f, K + 2), minlength=K + 3)[1 : K + 2].tolist() for f in (f2, s.f3))
-            out = [squeezed(np.ascontiguousarray(x)) for x in (s.a, np.diff(s.b, prepend=np.int32(0)), s.c, s.text, s.own, s.keys, s.weight, rare, key, c)]
-            return pd.DataFrame([(int(left["bucket"].iloc[0]), len(s.a), *out, n2, n3)], columns=names)
+            out = [squeezed(np.ascontiguousarray(x)) for x in (s.a, np.diff(s.b, prepend=np.int32(0)), s.c, s.text, s.own, np.diff(s.places, prepend=0), s.weight, rare, key, c)]
+            have = left[left["texts"].notna()]
+            return pd.DataFrame([(int(left["bucket"].iloc[0]), len(s.a), *out, n2, n3, have["run"].tolist(), have["texts"].tolist())], columns=names)
 
         blob = ", ".join(f"{c} binary" for c in _COLUMNS)
-        sent = rows.mapInPandas(run, f"bucket int, n int, {blob}")
-        shards = sent.groupBy("bucket").cogroup(lacks.groupBy("bucket")).applyInPandas(merge, f"bucket int, n int, {blob}, rare binary, pairs binary, pair_counts binary, n2 array<long>, n3 array<long>")
+        sent = rows.mapInPandas(run, f"bucket int, n int, run long, {blob}, texts binary")
+        shards = sent.groupBy("bucket").cogroup(lacks.groupBy("bucket")).applyInPandas(merge, f"bucket int, n int, {blob}, rare binary, pairs binary, pair_counts binary, n2 array<long>, n3 array<long>, runs array<long>, texts array<binary>")
         self.shards = store(shards, "ngrams")
         freq = self.shards.select(*[F.sum(F.col(f"n{o}")[r]).alias(f"n{o}_{r + 1}") for o in (2, 3) for r in range(K + 1)]).head()
         n2, n3 = ({r: freq[f"n{o}_{r}"] or 0 for r in range(1, K + 2)} for o in (2, 3))
@@ -479,22 +514,41 @@ class Model:
         """``key, n_tokens, n_known, base_score, score`` of every different text."""
         shared, d2, d3, hot = self.shared, self.d2, self.d3, self.hot
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for row in pdf.itertuples(index=False):
-                w = shared.value
-                s = Shard.stored(row, w.begin + 1)
-                s.count(unsqueezed(row.rare, "int64"), (unsqueezed(row.pairs, "uint64"), unsqueezed(row.pair_counts, "int64")), w)
-                s.a = s.b = None  # counted
-                out.append(s.sums(w, s.scores(w, d2, d3, hot)))
-            return pd.concat(out)
-
-        parts = mapped(self.shards, run, "key long, n_tokens long, n_known long, ends long, base_score double, score double", column="a", limit=1)
-        whole = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "ends", "base_score", "score")])
+        def run(batches):
+            held, size = [], 0
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    w = shared.value
+                    s = Shard.stored(row, w.begin + 1)
+                    s.count(unsqueezed(row.rare, "int64"), (unsqueezed(row.pairs, "uint64"), unsqueezed(row.pair_counts, "int64")), w)
+                    s.a = s.b = None  # counted
+                    held.append(s.sums(w, s.scores(w, d2, d3, hot)))
+                    size += len(s.places)
+                    del s
+                    if size >= SUMS:
+                        yield by_run(held)
+                        held, size = [], 0
+            if held:
+                yield by_run(held)
+            tidy()
+
+        def total(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            keys, n_tokens, n_known, base_score = unsqueezed(left["texts"].iloc[0], "int64").reshape(4, -1)
+            base_score, score = base_score.view(np.float64), np.zeros(len(keys))
+            for row in right.itertuples(index=False):
+                at = np.cumsum(unsqueezed(row.places, "int32"))
+                n_known[at] += unsqueezed(row.known, "int32")
+                base_score[at] += unsqueezed(row.base_score, "float64")
+                score[at] += unsqueezed(row.score, "float64")
+            return pd.DataFrame({"key": keys, "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
+
+        columns = [c for c in self.shards.columns if c not in ("runs", "texts")]
+        parts = self.shards.select(columns).mapInPandas(run, "run long, places binary, known binary, base_score binary, score binary")
+        texts = self.shards.select(F.explode(F.arrays_zip("runs", "texts")).alias("x")).select(F.col("x.runs").alias("run"), F.col("x.texts").alias("texts"))
+        whole = texts.groupBy("run").cogroup(parts.groupBy("run")).applyInPandas(total, "key long, n_tokens long, n_known long, base_score double, score double")
         with single_rows(self.shards.sparkSession):
-            whole = store(whole, "scores")
-        each = lambda c: F.col(c) / F.col("ends")  # noqa: E731  every run that held the text has added it once
-        return whole.select("key", *[each(c).cast("long").alias(c) for c in ("n_tokens", "n_known")], *[each(c).alias(c) for c in ("base_score", "score")])
+            # Every run that held the text has all of its tokens.
+            return store(whole.groupBy("key").agg(*[F.min(c).alias(c) for c in whole.columns[1:]]), "scores")
 
 
 def score(docs: DataFrame, learns: Column, **limits) -> tuple[DataFrame, Model]:

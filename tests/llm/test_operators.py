@@ -6,9 +6,11 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -539,6 +541,33 @@ def test_katz_scores_take_a_shard_at_a_time(spark, monkeypatch):
     assert seen["scores"] == "1" != seen["ngrams"] and spark.conf.get(key) != "1"
 
 
+def test_katz_tasks_hold_a_run_once():
+    batches = [pd.DataFrame({"key": range(i * 50, i * 50 + 50), "learns": True, "text": [f"w{i} w{j} " * 200 for j in range(50)]}) for i in range(20)]
+    tracemalloc.start()
+    tok, first, _, _ = next(language_model.runs(batches, 10**9))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(first) == 1001 and held < 1.5 * tok.nbytes
+
+
+def test_katz_words_are_few_bytes_each(spark):
+    table = spark.range(1000).select(F.xxhash64("id").alias("key"), (F.col("id") + 1).alias("c"))
+    words = language_model.Words(table, 1000, 900)
+    assert sum(x.nbytes for x in vars(words).values() if isinstance(x, np.ndarray)) <= 20 * 1001
+    assert (words.split > 1).any() and words.count[: words.begin].tolist() == list(range(1000, 0, -1))
+    assert words.numbers(words.key_of()[[5, 999, 1000]]).tolist() == [5, 999, words.begin] and words.begin == 1000
+
+
+def test_katz_texts_of_a_shard_take_a_byte_or_two(spark):
+    """Texts go with every piece and stay with every shard: as places in their run, whose keys are sent once."""
+    table = spark.createDataFrame([(i, f"the w{i % 7} end") for i in range(7)] * 3 + [(90 + i, f"the same x{i}") for i in range(3000)], "doc_id long, text string").repartition(3)
+    model = language_model.Model(table, F.lit(True), shard=4000)
+    kept = model.shards.select(F.sum(F.length("places")).alias("places"), F.sum(F.size("runs")).alias("runs")).head()
+    assert kept["runs"] == 3 and kept["places"] < 4 * 3000
+    got = language_model.score(table, F.lit(True), shard=4000)[0].select("doc_id", "n_tokens", "n_known").collect()
+    assert len(got) == 3021 and {(r["n_tokens"], r["n_known"]) for r in got} == {(4, 4)}
+
+
 def test_katz_of_odd_tables(spark, docs):
     got, model = language_model.score(docs, F.col("doc_id") % 2 == 0)
     assert got.count() == docs.count() and got.filter("score > 0 or score is null or n_tokens < 1").count() == 0
