@@ -271,9 +271,9 @@ def lacking(docs: DataFrame, words: Words, shared, table: DataFrame, buckets: in
     return few.unionByName(asked.filter("kind = 1").join(whole, "key").select("bucket", "kind", "key", F.col("whole").alias("c")))
 
 
-def split_pairs(docs: DataFrame, words: Words, shared) -> DataFrame:
-    """``(b, key, f)``: how often, in training, split middle words (by number) are followed by each word."""
-    split = np.flatnonzero(words.split > 1)
+def split_pairs(docs: DataFrame, words: Words, shared, table: DataFrame) -> DataFrame:
+    """``(b, key, f, c)``: how often, in training, split middle words (by number) are followed by each word, and that word's count."""
+    split, least = np.flatnonzero(words.split > 1), words.least
 
     def run(batches):
         for tok, first, _, weight in runs(batches, RUN):
@@ -281,10 +281,16 @@ def split_pairs(docs: DataFrame, words: Words, shared) -> DataFrame:
             use = np.flatnonzero(np.isin(number[b], split) & (weight[text] > 0))
             if len(use):
                 two, inv = np.unique(np.stack([b[use], c[use]]), axis=1, return_inverse=True)
-                yield pd.DataFrame({"b": number[two[0]], "key": voc[two[1]].view(_I), "f": np.bincount(inv.ravel(), weight[text[use]]).astype(_I)})
+                of = number[two[1]]
+                c = np.where(of >= 0, shared.value.count[np.maximum(of, 0)], 1)  # one: with numbers from two occurrences on
+                yield pd.DataFrame({"b": number[two[0]], "key": voc[two[1]].view(_I), "f": np.bincount(inv.ravel(), weight[text[use]]).astype(_I), "c": c.astype(_I)})
 
-    pairs = docs.select("text", "key", "learns").mapInPandas(run, "b int, key long, f long")
-    return pairs.groupBy("b", "key").agg(F.sum("f").alias("f"))
+    pairs = docs.select("text", "key", "learns").mapInPandas(run, "b int, key long, f long, c long")
+    pairs = pairs.groupBy("b", "key").agg(F.sum("f").alias("f"), F.max("c").alias("c"))
+    if least > 2:
+        rare = table.filter(F.col("c") < least).withColumnRenamed("c", "few")
+        pairs = pairs.join(rare, "key", "left").select("b", "key", "f", F.coalesce("few", "c").alias("c"))
+    return pairs
 
 
 def encoded(tok, first, keys, weight, words: Words, buckets: int, run: int) -> pd.DataFrame:
@@ -305,7 +311,7 @@ def encoded(tok, first, keys, weight, words: Words, buckets: int, run: int) -> p
         ids = np.where(number[three] >= 0, number[three], base + np.searchsorted(own, three)).astype(np.int32)
         docs, of = np.unique(text[at], return_inverse=True)
         named = squeezed(texts) if k == run % len(groups) else None
-        rows.append((int(to[at[0]]), len(at), run, squeezed(ids[0]), squeezed(ids[1]), squeezed(ids[2]), squeezed(of.astype(np.int32)), squeezed(voc[own]), squeezed(np.diff(docs, prepend=np.int32(0))), squeezed(weight[docs]), named))
+        rows.append((int(to[at[0]]), len(at), run, squeezed(ids[0]), squeezed(np.diff(ids[1], prepend=np.int32(0))), squeezed(ids[2]), squeezed(of.astype(np.int32)), squeezed(voc[own]), squeezed(np.diff(docs, prepend=np.int32(0))), squeezed(weight[docs]), named))
     return pd.DataFrame(rows, columns=["bucket", "n", "run", *_COLUMNS, "texts"])
 
 
@@ -329,6 +335,7 @@ class Shard:
             place = np.append(np.searchsorted(self.own, own[i]), 0).astype(np.int32) + np.int32(base)
             for name in "abc":
                 x = unsqueezed(rows[name].iloc[i], "int32")
+                x = np.cumsum(x, dtype=np.int32) if name == "b" else x
                 getattr(self, name)[at : at + k] = np.where(x < base, x, place[np.maximum(x - base, 0)])
             self.text[at : at + k] = unsqueezed(rows["text"].iloc[i], "int32") + texts
             at, texts = at + k, texts + len(places[i])
@@ -507,7 +514,7 @@ class Model:
         for r in range(1, K + 1):
             d = d.when(c == r, F.lit(r * self.words.d1[r]))
         few = [F.count_if(F.col("f") == r).alias(f"f{r}") for r in range(1, K + 2)]
-        joined = split_pairs(rows, self.words, self.shared).join(self.table, "key").withColumn("p", d * F.lit(self.words.scale))
+        joined = split_pairs(rows, self.words, self.shared, self.table).withColumn("p", d * F.lit(self.words.scale))
         return joined.groupBy("b").agg(*few, F.sum(F.when(F.col("f") > K, F.col("f"))).alias("large"), F.count_if(F.col("f") > K).alias("many"), F.sum("p").alias("p")).collect()
 
     def scores(self) -> DataFrame:
@@ -543,7 +550,8 @@ class Model:
             return pd.DataFrame({"key": keys, "n_tokens": n_tokens, "n_known": n_known, "base_score": base_score, "score": score})
 
         columns = [c for c in self.shards.columns if c not in ("runs", "texts")]
-        parts = self.shards.select(columns).mapInPandas(run, "run long, places binary, known binary, base_score binary, score binary")
+        # A task has four shards, as what several of them add to a text is sent once.
+        parts = self.shards.select(columns).coalesce(max(12, -(-self.buckets // 4))).mapInPandas(run, "run long, places binary, known binary, base_score binary, score binary")
         texts = self.shards.select(F.explode(F.arrays_zip("runs", "texts")).alias("x")).select(F.col("x.runs").alias("run"), F.col("x.texts").alias("texts"))
         whole = texts.groupBy("run").cogroup(parts.groupBy("run")).applyInPandas(total, "key long, n_tokens long, n_known long, base_score double, score double")
         with single_rows(self.shards.sparkSession):
