@@ -58,6 +58,7 @@ class Encoder:
         self.model = self.tok.model
         self.lowered = self.tok.normalizer is not None
         self.letters = {b: c for b, c in enumerate(_byte_letters()) if c != chr(b)}
+        self.space, self.feed = self.letters[0x20], self.letters[0x0A]
         if self.lowered:
             self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         else:
@@ -88,8 +89,9 @@ class Encoder:
 
     def _piece(self, p: str) -> bytes:
         """Ids of one pre-token, in little-endian order as on every usual machine."""
-        raw = p if p.isascii() else p.encode().decode("latin-1")
-        got = array("I", [t.id for t in self.model.tokenize(raw.translate(self.letters))]).tobytes()
+        # Of the plain words that come here, ASCII ones have no other bytes to spell than these two.
+        raw = p.replace(" ", self.space).replace("\n", self.feed) if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+        got = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
         self.pieces[p] = got
         return got
 

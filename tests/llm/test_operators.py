@@ -258,6 +258,30 @@ def test_tokens_are_the_librarys(name, texts):
     assert [x.tolist() for x in e.encode(odd)] == [x.ids for x in e.tok.encode_batch(odd, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("factor, digest", [(1, "e1e194192050a18fd3f81e6415ef5f2c749e0e2510fbb66410efb9f100dff332"), (70001, "d071c7127a9497b5c45434953f0551dc06ae37f20e59b2c3812f45ab769f705d")])
+def test_token_segments_keep_their_bytes(factor, digest):
+    ids = (np.arange(9000) ** 2 % 977 // 3 * factor).astype(np.uint32)
+    assert hashlib.sha256(tokenfile.write_segment([1], ids, np.array([9000]))).hexdigest() == digest
+
+
+def test_token_shares_are_found_by_one_division_a_symbol():
+    """Shares are ordered by where they begin, so a search compares them as they are."""
+    rng = np.random.default_rng(3)
+    m, n = tokenfile.Lanes(5, 8, 16), 5
+    m.counts[:] = rng.integers(0, 50, n << 6)
+    m.places[:] = rng.integers(0, 9, m.places.shape)
+    m.renew()
+    for shares, steps in ((m.shares.reshape(n * 16, 4), 2), (m.place_shares.reshape(n, 256), 8)):
+        begin, size = shares >> 16, shares & 0xFFFF
+        assert (np.diff(shares.astype(np.int64)) > 0).all() and (begin[:, 0] == 0).all()
+        assert (begin[:, 1:] == np.cumsum(size, axis=1)[:, :-1]).all() and (size.sum(axis=1) == 4096).all()
+        d = tokenfile.Decoder([bytes(8)] * len(shares))
+        d.rng[:] = 4096 * 77 + 5
+        d.code[:] = rng.integers(0, 4096 * 77, len(shares))
+        want = [np.flatnonzero(b * 77 <= c)[-1] for b, c in zip(begin.astype(int), d.code.tolist(), strict=True)]
+        assert d.symbol(np.arange(len(shares)), shares.ravel(), np.arange(len(shares)) * shares.shape[1], steps).tolist() == want
+
+
 def test_token_file(spark, docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
