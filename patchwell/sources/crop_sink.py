@@ -3,13 +3,14 @@
 Below the target, ``_crops/<job>`` holds the staged files, a manifest part a task,
 the ``commit`` file and, when all is done, the table of files. A task that fails or
 runs twice leaves staged files that no commit names; a job that fails leaves
-nothing. What a committed job has not moved yet, ``finish`` moves, as often as
-it is called.
+nothing, as tasks that still run when it is given up find no folder to go on in.
+What a committed job has not moved yet, ``finish`` moves, as often as it is called.
 """
 
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ from . import images
 MAKE = {"png": images.png, "jpg": images.jpeg, "tiff": images.tiff, "npy": images.npy}
 #: Columns of pixels, which the table of files leaves out.
 PIXELS = ("px", "gray")
+#: How often, and after how many seconds each, a folder is removed again that tasks were writing to.
+TRIES, PAUSE = 50, 0.1
 
 
 def opened(root: str):
@@ -33,6 +36,14 @@ def opened(root: str):
     return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
 
 
+def _folder_below(store, job: str, path: str) -> None:
+    """Make a folder below a job's own, which must be there: with that gone, the job was given up."""
+    at = job
+    for name in path[len(job) + 1 :].split("/"):
+        at += f"/{name}"
+        store.create_dir(at, recursive=False)
+
+
 @dataclass
 class TaskFiles(WriterCommitMessage):
     """The manifest part of a task that ended well; null if it had no rows."""
@@ -59,7 +70,7 @@ class CropWriter(DataSourceArrowWriter):
                 data = MAKE[self.kind](np.asarray(row.values.to_numpy(zero_copy_only=False)).reshape(h, w))
                 path = f"{at}/staged/{task}/{name}"
                 if (folder := path.rpartition("/")[0]) not in folders:
-                    store.create_dir(folder, recursive=True)
+                    _folder_below(store, at, folder)
                     folders.add(folder)
                 with store.open_output_stream(path) as out:
                     out.write(data)
@@ -69,7 +80,7 @@ class CropWriter(DataSourceArrowWriter):
             parts.append(pa.Table.from_batches([kept]).append_column("bytes", pa.array(sizes, pa.int64())).append_column("staged", staged))
         if not parts:
             return TaskFiles(None)
-        store.create_dir(f"{at}/manifest", recursive=True)
+        _folder_below(store, at, f"{at}/manifest")
         pq.write_table(pa.concat_tables(parts), f"{at}/manifest/{task}.parquet", filesystem=store)
         return TaskFiles(f"{task}.parquet")
 
@@ -80,9 +91,19 @@ class CropWriter(DataSourceArrowWriter):
             out.write("\n".join(m.part for m in messages if m is not None and m.part).encode())
 
     def abort(self, messages) -> None:
+        """Other tasks may write until they are told: what comes in between makes a removal fail, and is removed with the next."""
         store, base = opened(self.root)
-        if store.get_file_info(f"{base}/_crops/{self.job}").type == fs.FileType.Directory:
-            store.delete_dir(f"{base}/_crops/{self.job}")
+        at = f"{base}/_crops/{self.job}"
+        for left in reversed(range(TRIES)):
+            try:
+                if store.get_file_info(at).type == fs.FileType.Directory:
+                    store.delete_dir(at)
+                break
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(PAUSE)
+        if store.get_file_info(f"{base}/_crops").type == fs.FileType.Directory:
             if not store.get_file_info(fs.FileSelector(f"{base}/_crops")):
                 store.delete_dir(f"{base}/_crops")
 
@@ -93,7 +114,10 @@ class CropSink(DataSource):
         return "crop_files"
 
     def writer(self, schema, overwrite):
-        return CropWriter(dict(self.options))
+        out = CropWriter(dict(self.options))
+        store, base = opened(out.root)
+        store.create_dir(f"{base}/_crops/{out.job}", recursive=True)
+        return out
 
 
 def _moved(root: str):

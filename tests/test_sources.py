@@ -193,6 +193,40 @@ def test_a_failing_task_leaves_no_file(spark, tmp_path):
     assert not [p for p in root.rglob("*") if p.is_file()]
 
 
+def test_a_task_that_runs_on_after_the_abort_leaves_no_file(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    writer = crop_sink.CropSink({"path": str(tmp_path), "job": "j", "kind": "png"}).writer(None, False)
+    batch = lambda name: pa.RecordBatch.from_pydict({"file": [name], "height": [2], "width": [3], "gray": [[1] * 6]})
+    tries, opened = [], crop_sink.opened
+
+    class Busy:
+        """A file system where a task still writes as its folder is first removed."""
+
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+        def delete_dir(self, path):
+            tries.append(path)
+            if len(tries) == 1:
+                raise OSError("Directory not empty")
+            self.store.delete_dir(path)
+
+    def rows():
+        yield batch("0_s/a.png")
+        assert [p for p in tmp_path.rglob("a.png")]
+        monkeypatch.setattr(crop_sink, "opened", lambda root: (Busy(opened(root)[0]), opened(root)[1]))
+        writer.abort([])
+        yield batch("1_s/b.png")
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert len(tries) > 1 and not list(tmp_path.rglob("*"))
+
+
 def test_a_committed_job_can_be_finished_later(spark, tmp_path):
     """As after a driver that is lost between commit and move: what is moved already is left, the rest follows."""
     root = tmp_path / "out"
