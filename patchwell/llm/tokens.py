@@ -33,15 +33,21 @@ def _byte_letters() -> list[str]:
 
 
 class _Words(dict):
-    """Word to ids; what is missing is learned as it is met."""
+    """Word to ids; what is missing is taken over from older words, or learned as it is met."""
 
     def __init__(self, owner: "Encoder", before: str):
-        self.owner, self.before = owner, before
+        self.owner, self.before, self.older = owner, before, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.owner.learn(word if word[:1] == "\n" else self.before + word)
+        ids = self.older.get(word) or self.owner.learn(word if word[:1] == "\n" else self.before + word)
+        self[word] = ids
         return ids
 
+    def age(self) -> None:
+        """What has not been met since the last time is dropped."""
+        self.older = dict(self)
+        self.clear()
+
 
 class Encoder:
     """Ids of texts by one tokenizer file. ``lowered``: its words are lower-cased and lose white space."""
@@ -73,27 +79,33 @@ class Encoder:
 
     def learn(self, w: str) -> bytes:
         """Ids of one word, the last of a sentence marked."""
-        known, piece, space = self.pieces.get, self._piece, 0 if self.lowered else 1
-        mark = False
+        space = 0 if self.lowered else 1
+        if w.isascii() and w[space:].isalpha() and (not space or w[0] == " ") and (space or w.islower()):
+            return self._spell(w)  # most words: kept by their table alone
+        known, piece, mark = self.pieces.get, self._piece, False
+        plain = self.spaced if space else self.words
         if not self.simple(w):
             ids, mark = array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes(), True
         else:
             low = w.lower() if self.lowered else w
             if low[space:].isalpha() and (not space or low[0] == " "):
-                return known(low) or piece(low)
+                return self._spell(low) if low == w else plain[low]
             if low[-1] in ".," and low[space:-1].isalpha() and (not space or low[0] == " "):
-                ids, mark = (known(low[:-1]) or piece(low[:-1])) + (known(low[-1]) or piece(low[-1])), low[-1] == "."
+                ids, mark = plain[low[space:-1]] + (known(low[-1]) or piece(low[-1])), low[-1] == "."
             else:
                 ids, mark = b"".join([known(p) or piece(p) for p in self.pattern.findall(low)]), True
         return ids[:-1] + bytes([ids[-1] | 0x80]) if mark and ids and w.rstrip()[-1:] in self.ends else ids
 
     def _piece(self, p: str) -> bytes:
+        """Ids of one pre-token, which are kept."""
+        got = self.pieces[p] = self._spell(p)
+        return got
+
+    def _spell(self, p: str) -> bytes:
         """Ids of one pre-token, in little-endian order as on every usual machine."""
         # Of the plain words that come here, ASCII ones have no other bytes to spell than these two.
         raw = p.replace(" ", self.space).replace("\n", self.feed) if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-        got = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
-        self.pieces[p] = got
-        return got
+        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
 
     def ids(self, text: str) -> bytes | None:
         """Marked ids; None where white space is unusual."""
@@ -110,9 +122,9 @@ class Encoder:
 
     def encode_marked(self, texts) -> list[np.ndarray]:
         """Ids of each text (null: none), sentence ends with ``MARK`` set."""
-        if len(self.words) + len(self.spaced) > self.limit:
-            self.words.clear()
-            self.spaced.clear()
+        if len(self.words) + len(self.spaced) > self.limit // 2:  # as many are older ones
+            self.words.age()
+            self.spaced.age()
         if len(self.pieces) > self.limit // 2:
             self.pieces.clear()
         out = []

@@ -282,6 +282,30 @@ def test_token_shares_are_found_by_one_division_a_symbol():
         assert d.symbol(np.arange(len(shares)), shares.ravel(), np.arange(len(shares)) * shares.shape[1], steps).tolist() == want
 
 
+def test_blocks_advance_in_groups_of_like_size():
+    """A step takes its time for few blocks too, so none are left over to go alone."""
+    for n in (0, 1, tokenfile.LANES, tokenfile.LANES + 1, 3 * tokenfile.LANES - 5):
+        groups = tokenfile._groups(n)
+        sizes = [b - a for a, b in groups]
+        assert sum(sizes) == n and [a for a, _ in groups[1:]] == [b for _, b in groups[:-1]]
+        assert n == 0 or max(sizes) - min(sizes) <= 1 and max(sizes) <= tokenfile.LANES
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_in_use_are_learned_once(name):
+    from patchwell.llm.tokens import Encoder
+
+    e, learned = Encoder(public_tokenizers.path(name), 200), []
+    learn = e.learn
+    e.learn = lambda w: learned.append(w.strip()) or learn(w)
+    letters = [chr(97 + k) for k in range(26)]
+    for i in range(12):
+        rare = ["rare" + letters[i] + letters[j] + letters[k] for j in range(6) for k in range(26)]
+        e.encode(["so often here " + " ".join(rare)])
+    assert learned.count("often") == learned.count("here") == 1
+    assert len(e.words) + len(e.spaced) + len(e.words.older) + len(e.spaced.older) <= 200 + 2 * 160 and len(e.pieces) < 10
+
+
 def test_token_file(spark, docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
