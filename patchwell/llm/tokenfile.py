@@ -99,7 +99,7 @@ class Lanes:
         self.table = np.full((2 * n << _KEYS) + (n << _SLOTS), -4, kind)
         self.next = _NEXT.astype(kind)
         #: Of each step since shares were renewed: by block, order 2's state, order 1's state and case.
-        self.coded = np.zeros((RENEW, n), np.int64)
+        self.coded = np.zeros((min(RENEW, width), n), np.int64)
         self.counts = np.zeros(n << 6, np.int64)
         #: How often a place of the order-0 table, and a number of bits, came up, in one row with what needs neither; and their shares, of which the last changes nothing.
         self.second = np.zeros((n << _SLOTS) + (n << 6) + 1, np.int32)
